@@ -29,3 +29,25 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver tables; a parquet file or a directory of parquet files."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, so that Python workers can import it anywhere."""
+    import io
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_filinglake_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    folder = tempfile.mkdtemp(prefix="filinglake-package-")
+    target = Path(folder, "filinglake_package.zip")
+    target.write_bytes(data.getvalue())
+    sc.addPyFile(str(target))
+    sc._filinglake_shipped = True
