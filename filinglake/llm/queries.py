@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from filinglake.llm import token_counts, token_io
+from filinglake.llm import mixing, quality, sharding, token_counts, token_io
 from filinglake.session import ship_package
 
 
@@ -18,10 +19,48 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), rule="first")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule figures and the verdict of the cascade for every document."""
+    return quality.quality_report(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 shards of equal row counts along a curve over language, source and length."""
+    out = sharding.hilbert_shards(_read(spark, sf_dir, "documents"), 24, keep=["doc_id"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document written to seekable token files and read back."""
     return token_io.read(token_io.write(_read(spark, sf_dir, "documents"), eos_id=2))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op9_token_ids": op9_token_ids}
-ORACLES: dict[str, str] = {}
+#: Target weights of sources; all others have weight 1.
+MIX_WEIGHTS = {"src0": 2.0, "src1": 0.5, "src2": 1.5}
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents replicated to target weights and shuffled."""
+    return mixing.poisson_mix(_read(spark, sf_dir, "documents"), MIX_WEIGHTS)
+
+
+_MIX_SQL = """
+WITH c AS (SELECT source, count(*) AS n, CASE source WHEN 'src0' THEN 2.0::DOUBLE WHEN 'src1' THEN 0.5 WHEN 'src2' THEN 1.5 ELSE 1.0 END AS w FROM documents GROUP BY source),
+r AS (SELECT source, (SELECT sum(n) FROM c)::DOUBLE * w / (SELECT sum(w) FROM c) / n AS rate FROM c),
+k AS (SELECT source, rate, unnest(generate_series(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT)) AS k FROM r),
+p AS (SELECT source, rate, k, exp(-rate + k * ln(rate) - sum(CASE WHEN k = 0 THEN 0 ELSE ln(k) END) OVER (PARTITION BY source ORDER BY k)) AS p FROM k),
+f AS (SELECT source, rate, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p),
+u AS (SELECT *, (('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, 'null') || ':0'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u FROM documents),
+m AS (SELECT u.*, f.rate, f.k AS copy FROM u JOIN f ON u.source IS NOT DISTINCT FROM f.source AND f.cdf < u.u)
+SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, rate,
+  ('0x' || substr(md5('shuffle:42:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy), 1, 15))::BIGINT AS shuffle_key
+FROM m"""
+
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_hilbert_shards": op7_hilbert_shards,
+    "op9_token_ids": op9_token_ids,
+    "op10_mixing": op10_mixing,
+}
+ORACLES: dict[str, str] = {"op10_mixing": _MIX_SQL}
