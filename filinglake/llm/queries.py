@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filinglake.llm import mixing, quality, sharding, token_counts, token_io
+from filinglake.llm import mixing, quality, sharding, simhash, token_counts, token_io
 from filinglake.session import ship_package
 
 
@@ -24,6 +24,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of 3-word shingles and component under links at 3 bits or fewer, for every document."""
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"), width=3, k=3)
+
+
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards of equal row counts along a curve over language, source and length."""
     out = sharding.hilbert_shards(_read(spark, sf_dir, "documents"), 24, keep=["doc_id"])
@@ -59,6 +64,7 @@ FROM m"""
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op5_quality_rules": op5_quality_rules,
+    "op6_simhash": op6_simhash,
     "op7_hilbert_shards": op7_hilbert_shards,
     "op9_token_ids": op9_token_ids,
     "op10_mixing": op10_mixing,
