@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 BLOCK_BYTES = 16 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 SCHEMA = "doc_id long, item_id long, n_tiles int, covered_words int, item_words int, coverage double"
 
@@ -41,15 +42,17 @@ def word_list(text: str | None) -> list[str]:
 def rolling(ids: np.ndarray, width: int) -> np.ndarray:
     """Karp-Rabin hashes (modulo 2**64) of all windows, each from the one before in constant time.
 
-    A prefix sum of id * BASE**position gives every window as a difference; multiplying by the
-    remaining power brings windows to one scale.
+    A prefix sum of id * BASE**position gives every window as a difference; BASE is odd, so the power of
+    its inverse brings each window back to position 0.
     """
     n = len(ids)
     if n < width:
         return np.zeros(0, np.uint64)
-    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, BASE)]), dtype=np.uint64)
-    prefix = np.concatenate([[np.uint64(0)], np.cumsum(ids.astype(np.uint64) * powers[:n], dtype=np.uint64)])
-    return (prefix[width:] - prefix[:-width]) * powers[n - width :: -1][: n - width + 1]
+    one = np.ones(1, np.uint64)
+    powers = np.cumprod(np.concatenate([one, np.full(n - 1, BASE)]), dtype=np.uint64)
+    back = np.cumprod(np.concatenate([one, np.full(n - width, INVERSE)]), dtype=np.uint64)
+    prefix = np.concatenate([[np.uint64(0)], np.cumsum(ids.astype(np.uint64) * powers, dtype=np.uint64)])
+    return (prefix[width:] - prefix[:-width]) * back
 
 
 def tiles(a: np.ndarray, b: np.ndarray, pairs: np.ndarray, width: int) -> list[tuple[int, int, int]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filinglake.llm import mixing, quality, sharding, simhash, token_counts, token_io
+from filinglake.llm import decontam, mixing, quality, sharding, simhash, token_counts, token_io
 from filinglake.session import ship_package
 
 
@@ -19,6 +19,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), rule="first")
 
 
+def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, in whatever order of its passages."""
+    return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule figures and the verdict of the cascade for every document."""
     return quality.quality_report(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -63,6 +68,7 @@ FROM m"""
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op4_string_tiling": op4_string_tiling,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash": op6_simhash,
     "op7_hilbert_shards": op7_hilbert_shards,
