@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filinglake.llm import decontam, mixing, quality, sharding, simhash, token_counts, token_io
+from filinglake.llm import decontam, mixing, pii, quality, sharding, simhash, token_counts, token_io, url_filters
 from filinglake.session import ship_package
 
 
@@ -19,6 +19,29 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), rule="first")
 
 
+#: A demonstration key; a deployment passes its own secret.
+PII_KEY = b"replace this key with a secret of your own"
+
+
+def op2_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms in place of valid personal numbers, dates and addresses."""
+    return pii.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(page_id, good): the label of the document whose number the page's path carries."""
+    number = F.regexp_extract(url_filters.path_of(F.col("url")), r"/([0-9]{1,18})(?:[./]|$)", 1).try_cast("long")
+    good = labels.groupBy("doc_id").agg(F.min(F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))).alias("good"))
+    found = pages.select("page_id", number.alias("doc_id")).join(good, "doc_id")
+    return found.groupBy("page_id").agg(F.min("good").alias("good"))
+
+
+def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page by rules and path templates."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filters.judge(pages, page_labels(pages, _read(spark, sf_dir, "labels")))
+
+
 def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, in whatever order of its passages."""
     return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
@@ -68,6 +91,8 @@ FROM m"""
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_feistel_pii": op2_feistel_pii,
+    "op3_url_templates": op3_url_templates,
     "op4_string_tiling": op4_string_tiling,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash": op6_simhash,
