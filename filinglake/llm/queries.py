@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filinglake.llm import decontam, mixing, pii, quality, sharding, simhash, token_counts, token_io, url_filters
+from filinglake.llm import decontam, lm, mixing, pii, quality, sharding, simhash, token_counts, token_io, url_filters
 from filinglake.session import ship_package
 
 
@@ -63,6 +63,11 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op8_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every whole document under the unigram base and the recurrent model."""
+    return lm.language_model_scores(_read(spark, sf_dir, "documents"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document written to seekable token files and read back."""
     return token_io.read(token_io.write(_read(spark, sf_dir, "documents"), eos_id=2))
@@ -97,6 +102,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash": op6_simhash,
     "op7_hilbert_shards": op7_hilbert_shards,
+    "op8_gru_scores": op8_gru_scores,
     "op9_token_ids": op9_token_ids,
     "op10_mixing": op10_mixing,
 }
