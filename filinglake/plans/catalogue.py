@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from filinglake.plans import web
+from filinglake.plans import company, web
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (web,):
+for _module in (web, company):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
