@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from filinglake.plans import company, web
+from filinglake.plans import company, corpus, web
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (web, company):
+for _module in (web, company, corpus):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
