@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filinglake.functions import urls
-from filinglake.operators import manifest
-from filinglake.session import table
+from filinglake.operators import manifest, sites
+from filinglake.session import ship_package, table
 
 
 def crawl_index(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,6 +20,147 @@ def manifest_select(spark: SparkSession, sf: str) -> DataFrame:
     return manifest.select_pages(crawl_index(spark, sf)).select("domain", "page_rank", "page_id", "url", "crawl", "depth")
 
 
+def manifest_sql_variant(spark, sf):
+    """The declarative twin: lower-case path keys, depth by segments, a domain list, order by depth and path."""
+    u = F.col("url")
+    wanted = table(spark, sf, "pages").select(urls.domain(u).alias("domain")).filter(~F.col("domain").contains("casino")).distinct()
+    base = crawl_index(spark, sf).filter(u.isNotNull() & ~u.endswith(".txt") & ~urls.is_junk(u)).join(wanted, "domain", "left_semi")
+    base = base.withColumn("norm_path", urls.norm_path(u)).withColumn("depth", urls.segment_count(u))
+    best = manifest.keep_first(base, ["domain", "norm_path"], [urls.crawl_rank(F.col("crawl")), "page_id"])
+    out = manifest.top_k_per_group(best, ["domain"], ["depth", "norm_path", "page_id"], manifest.PAGE_CAP, "page_rank")
+    return out.select("domain", "norm_path", "depth", "page_rank", "page_id", "url", "crawl").orderBy("domain", "page_rank")
+
+
+def manifest_nested(spark, sf):
+    """One row a domain: its pages in rank order."""
+    m = manifest_select(spark, sf)
+    held = F.array_sort(F.collect_list(F.struct("page_rank", "url")))
+    return m.groupBy("domain").agg(F.count(F.lit(1)).alias("n_pages"), F.array_join(F.transform(held, lambda x: x["url"]), " ").alias("urls"))
+
+
+def url_slug(spark, sf):
+    return table(spark, sf, "pages").select("page_id", urls.slug(F.col("url")).alias("slug"))
+
+
+def url_parts(spark, sf):
+    u = F.col("url")
+    return table(spark, sf, "pages").select("page_id", urls.domain(u).alias("domain"), urls.depth(u).alias("depth"), urls.segment_count(u).alias("segments"), urls.normalized(u).alias("norm_url"), urls.norm_path(u).alias("norm_path"), urls.is_excluded(u).alias("excluded"))
+
+
+def registered_domain(spark, sf):
+    return table(spark, sf, "pages").select("page_id", sites.registered_domain(F.col("url")).alias("registered"))
+
+
+def domain_blocklist(spark, sf):
+    """Candidate domains less those in the manifest and those blocked."""
+    d = table(spark, sf, "pages").select(urls.domain(F.col("url")).alias("domain"))
+    have = manifest_select(spark, sf).filter("page_id % 2 = 0").select("domain").distinct()
+    blocked = d.filter(F.col("domain").rlike("casino|adult|bets")).distinct()
+    return d.distinct().join(have, "domain", "left_anti").join(blocked, "domain", "left_anti")
+
+
+def statuses(spark, sf):
+    s = F.when(F.col("event_type").isin("view", "click"), F.concat(F.lit("ok: "), "event_type")).when(F.col("event_type") == "signup", "skipped").otherwise(F.concat(F.lit("failed: "), "event_type"))
+    return table(spark, sf, "events").select("event_id", F.col("user_id").alias("domain"), s.alias("status"))
+
+
+def fetch_status_rollup(spark, sf):
+    """Pages in use and in all of each domain, and whether it must be fetched (again)."""
+    e = statuses(spark, sf).filter("event_id % 40 = 0")
+    known = e.groupBy("domain").agg(F.count_if(F.col("status").rlike("^(ok|skipped)")).alias("n_ok"), F.count(F.lit(1)).alias("n"), F.bool_or(F.col("status").rlike("^(ok|skipped)")).alias("usable"))
+    every = statuses(spark, sf).select("domain").distinct()
+    return every.join(known, "domain", "left").select("domain", F.coalesce("n_ok", F.lit(0)).alias("n_ok"), F.coalesce("n", F.lit(0)).alias("n"), (~F.coalesce("usable", F.lit(False))).alias("needs_fetch"))
+
+
+def outcome_counts(spark, sf):
+    """Outcomes by the text before the colon, most common first."""
+    return statuses(spark, sf).groupBy(F.substring_index("status", ":", 1).alias("outcome")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "outcome")
+
+
+def dedup_keep_first(spark, sf):
+    return manifest.keep_first(table(spark, sf, "events"), ["user_id", "event_type"], ["event_id"]).select("event_id", "user_id", "event_type", "value")
+
+
+def page_usability(spark, sf):
+    return table(spark, sf, "pages").filter((F.col("page_id") % 5 != 0) & (F.length("html") >= 50)).select("page_id", F.length("html").alias("n"))
+
+
+def nearest_ancestor(spark, sf):
+    """Nearest existing page on the path above (5 levels at most), else the page before in (depth, path) order."""
+    p = table(spark, sf, "pages").select("page_id", urls.domain(F.col("url")).alias("domain"), F.regexp_replace(urls.path(F.col("url")), "/+$", "").alias("path"))
+    parents = p.filter("page_id % 3 = 0").select((F.col("page_id") + 1000000).alias("page_id"), "domain", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("path"))
+    return sites.reference_pages(p.unionByName(parents), "page_id", "domain", "path")
+
+
+def added_lines(spark, sf):
+    """Lines of each document that the one before it in the source does not have, by line difference."""
+    ship_package(spark)
+    d = table(spark, sf, "documents").select("doc_id", "source", "text")
+    prev = d.withColumn("ref", F.lag("text").over(Window.partitionBy("source").orderBy("doc_id")))
+    return prev.select("doc_id", sites.added_lines(F.coalesce("ref", F.lit("")), F.coalesce("text", F.lit(""))).alias("added"))
+
+
+TAGS = r"<([a-z][a-z0-9]*)"
+
+
+def dom_counts(spark, sf):
+    return sites.tag_counts(table(spark, sf, "pages"))
+
+
+def tag_entropy(spark, sf):
+    names = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(TAGS), 1)).alias("tag")).groupBy("page_id", "tag").count()
+    total = names.groupBy("page_id").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.log2("count")).alias("s"), F.count(F.lit(1)).alias("unique_tags"))
+    return total.select("page_id", "unique_tags", F.round(F.log2("n") - F.col("s") / F.col("n"), 4).alias("entropy"))
+
+
+def domain_stats_merge(spark, sf):
+    d = table(spark, sf, "pages").select("page_id", urls.domain(F.col("url")).alias("domain"))
+    return sites.merge_counts(dom_counts(spark, sf).join(d, "page_id"), "domain")
+
+
+def dom_stats(spark, sf):
+    ship_package(spark)
+    return table(spark, sf, "pages").select("page_id", sites.dom_stats()(F.col("html")).alias("s")).select("page_id", "s.*")
+
+
+def dom_stats_by_domain(spark, sf):
+    ship_package(spark)
+    d = table(spark, sf, "pages").select("page_id", urls.domain(F.col("url")).alias("domain"), sites.dom_stats()(F.col("html")).alias("s")).select("page_id", "domain", "s.*")
+    return sites.combine_stats(d, "domain", "page_id")
+
+
+def html_markdown(spark, sf):
+    ship_package(spark)
+    return table(spark, sf, "pages").select("page_id", sites.markdown()(F.col("html")).alias("markdown"))
+
+
+def sanitize_html(spark, sf):
+    ship_package(spark)
+    return table(spark, sf, "pages").select("page_id", sites.sanitized()(F.col("html")).alias("html"))
+
+
+def filing_text(spark, sf):
+    ship_package(spark)
+    return table(spark, sf, "pages").select("page_id", sites.filing_text()(F.col("html")).alias("s")).select("page_id", "s.text", F.size("s.tables").alias("n_tables"))
+
+
+def _sample_tables(spark, sf):
+    o = table(spark, sf, "orders").filter("o_orderkey % 10 = 0")
+    html = F.concat(F.lit("<table><tr><th colspan=2>Total</th><th>$</th></tr><tr><td rowspan='2'>"), "o_orderkey", F.lit("</td><td>$ ("), "o_custkey", F.lit("</td><td>) %</td></tr><tr><td>"), "o_totalprice", F.lit("</td></tr></table>"))
+    return o.select("o_orderkey", html.alias("html"))
+
+
+def table_grid(spark, sf):
+    """(row, col, content) of every cell of a table under its spans."""
+    ship_package(spark)
+    return _sample_tables(spark, sf).select("o_orderkey", F.explode(sites.grid()(F.col("html"))).alias("c")).select("o_orderkey", "c.*")
+
+
+def table_repair(spark, sf):
+    ship_package(spark)
+    return _sample_tables(spark, sf).select("o_orderkey", sites.repaired()(F.col("html")).alias("html"))
+
+
 PATH = r"regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1)"
 HOST = r"regexp_extract(url, '^[^:]+://([^/?#]*)', 1)"
 DOMAIN = rf"regexp_replace(lower({HOST}), '^www\.', '')"
@@ -30,7 +171,16 @@ DEPTH = f"length({STEM}) - length(replace({STEM}, '/', ''))"
 NORM = rf"regexp_extract(url, '^([^:]+)://', 1) || '://' || {DOMAIN} || CASE WHEN {STEM} = '' THEN '/' ELSE {STEM} END"
 INDEX = f"SELECT page_id, url, {DOMAIN} AS domain, {CRAWLS}[page_id % 4 + 1] AS crawl, page_id % 4 AS crawl_rank FROM pages"
 
-QUERIES = {"manifest_select": manifest_select}
+MANIFEST_BASE = f"""SELECT *, {NORM} AS norm_url, {DEPTH} AS depth, {PATH} AS p FROM ({INDEX}) WHERE url IS NOT NULL AND NOT (lower({PATH}) LIKE '%.txt') AND NOT regexp_matches(lower(url), '{JUNK}')"""
+SEGS = f"len(list_filter(string_split({PATH}, '/'), lambda x: x <> ''))"
+NORM_PATH = f"lower(regexp_replace({PATH}, '/$', ''))"
+STATUS = "SELECT event_id, user_id AS domain, CASE WHEN event_type IN ('view', 'click') THEN 'ok: ' || event_type WHEN event_type = 'signup' THEN 'skipped' ELSE 'failed: ' || event_type END AS status FROM events"
+COUNTS = "SELECT page_id, " + ", ".join(f"len(regexp_extract_all(html, '<{t}[ >]')) AS n_{t}" for t in sites.COUNTED) + ", strlen(html) AS n_bytes FROM pages"
+
+QUERIES = {f.__name__: f for f in (
+    manifest_select, manifest_sql_variant, manifest_nested, url_slug, url_parts, registered_domain, domain_blocklist, fetch_status_rollup, outcome_counts, dedup_keep_first, page_usability, nearest_ancestor, added_lines,
+    dom_counts, tag_entropy, domain_stats_merge, dom_stats, dom_stats_by_domain, html_markdown, sanitize_html, filing_text, table_grid, table_repair,
+)}
 ORACLES = {
     "manifest_select": rf"""
 WITH base AS (
@@ -40,4 +190,35 @@ best AS (SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY domain, norm
 ranked AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY depth,
   CASE WHEN regexp_matches(lower(p), '\.html?$') THEN 0 ELSE 1 END, p, page_id) AS page_rank FROM best)
 SELECT domain, page_rank, page_id, url, crawl, depth FROM ranked WHERE page_rank <= 20""",
+    "manifest_sql_variant": f"""
+WITH wanted AS (SELECT DISTINCT {DOMAIN} AS domain FROM pages WHERE NOT contains({DOMAIN}, 'casino')),
+base AS (SELECT *, {NORM_PATH} AS norm_path, {SEGS} AS depth FROM ({INDEX}) WHERE url IS NOT NULL AND NOT (url LIKE '%.txt') AND NOT regexp_matches(lower(url), '{JUNK}') AND domain IN (SELECT domain FROM wanted)),
+deduped AS (SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY domain, norm_path ORDER BY crawl_rank, page_id) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY depth, norm_path, page_id) AS page_rank FROM deduped)
+SELECT domain, norm_path, depth, page_rank, page_id, url, crawl FROM ranked WHERE page_rank <= 20""",
+    "url_slug": rf"""SELECT page_id, CASE WHEN s = '' THEN 'index' WHEN length(s) > 200 THEN left(s, 200) || '_' || left(md5(s), 12) ELSE s END AS slug
+FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace({PATH}, '^/+|/+$', '', 'g'), '(?i)\.(html?|php|aspx?|jsp|cfm|do)$', ''), '/', '__'), '[^A-Za-z0-9_-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM pages)""",
+    "url_parts": f"SELECT page_id, {DOMAIN} AS domain, {DEPTH} AS depth, {SEGS} AS segments, {NORM} AS norm_url, {NORM_PATH} AS norm_path, (lower({PATH}) LIKE '%.txt' OR regexp_matches(lower(url), '{JUNK}')) AS excluded FROM pages",
+    "registered_domain": f"SELECT page_id, regexp_extract(lower({HOST}), '([^.]+\\.[^.:]+)(?::[0-9]+)?$', 1) AS registered FROM pages",
+    "domain_blocklist": f"""WITH base AS ({MANIFEST_BASE}), best AS (SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY domain, norm_url ORDER BY crawl_rank, page_id) = 1),
+m AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY domain ORDER BY depth, CASE WHEN regexp_matches(lower(p), '\\.html?$') THEN 0 ELSE 1 END, p, page_id) <= 20)
+SELECT DISTINCT {DOMAIN} AS domain FROM pages WHERE {DOMAIN} NOT IN (SELECT domain FROM m WHERE page_id % 2 = 0) AND NOT regexp_matches({DOMAIN}, 'casino|adult|bets')""",
+    "fetch_status_rollup": f"""WITH s AS ({STATUS}) SELECT domain, count(*) FILTER (event_id % 40 = 0 AND regexp_matches(status, '^(ok|skipped)')) AS n_ok, count(*) FILTER (event_id % 40 = 0) AS n,
+  count(*) FILTER (event_id % 40 = 0 AND regexp_matches(status, '^(ok|skipped)')) = 0 AS needs_fetch FROM s GROUP BY domain""",
+    "outcome_counts": f"SELECT split_part(status, ':', 1) AS outcome, count(*) AS n FROM ({STATUS}) GROUP BY 1",
+    "dedup_keep_first": "SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1",
+    "page_usability": "SELECT page_id, length(html) AS n FROM pages WHERE page_id % 5 <> 0 AND length(html) >= 50",
+    "dom_counts": COUNTS,
+    "tag_entropy": r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages), c AS (SELECT page_id, tag, count(*) AS c FROM t GROUP BY 1, 2), n AS (SELECT *, sum(c) OVER (PARTITION BY page_id) AS n FROM c)
+SELECT page_id, count(*) AS unique_tags, round(-sum(c / n * log2(c / n)), 4) AS entropy FROM n GROUP BY page_id""",
+    "domain_stats_merge": f"WITH c AS ({COUNTS}), d AS (SELECT c.*, {DOMAIN} AS domain FROM c JOIN pages USING (page_id)) SELECT domain, count(*) AS n_pages, " + ", ".join(f"sum(n_{t})::BIGINT AS n_{t}" for t in sites.COUNTED) + ", sum(n_bytes)::BIGINT AS n_bytes, max(n_bytes) AS max_bytes, bool_or(n_script > 0) AS has_script, round(sum(n_a) / nullif(sum(n_p), 0), 4) AS links_per_p, round(avg(n_bytes), 4) AS mean_bytes FROM d GROUP BY domain",
+    "nearest_ancestor": rf"""
+WITH p0 AS (SELECT page_id, {DOMAIN} AS domain, {STEM} AS path FROM pages),
+p AS (SELECT * FROM p0 UNION ALL SELECT page_id + 1000000, domain, regexp_extract(path, '^(.*)/[^/]*$', 1) FROM p0 WHERE page_id % 3 = 0),
+u AS (SELECT domain, path, min(page_id) AS ref FROM p WHERE path <> '' GROUP BY 1, 2),
+a AS (SELECT page_id, domain, unnest(range(1, 6)) AS lvl, string_split(path, '/') AS s FROM p),
+c AS (SELECT page_id, domain, lvl, array_to_string(s[1:len(s) - lvl], '/') AS anc FROM a WHERE len(s) - lvl >= 2),
+f AS (SELECT c.page_id, arg_min(u.ref, lvl) AS ancestor FROM c JOIN u ON c.domain = u.domain AND c.anc = u.path GROUP BY c.page_id),
+w AS (SELECT *, lag(page_id) OVER (PARTITION BY domain ORDER BY length(path) - length(replace(path, '/', '')), path, page_id) AS prev FROM p)
+SELECT w.page_id, w.domain, coalesce(f.ancestor, w.prev) AS ref_id, f.ancestor IS NOT NULL AS is_ancestor FROM w LEFT JOIN f USING (page_id)""",
 }
