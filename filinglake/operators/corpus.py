@@ -155,7 +155,7 @@ def greedy_pack(chunks: DataFrame, group: str, length: str, tie: str, budget: in
     ``padded`` counts max * size instead of the sum. The order within a group is sequential by definition, so a
     group (a split, a bucket, a hash shard) is one task, which streams its rows in order and holds none of them.
     """
-    schema = chunks.schema.add("batch", "long")
+    schema = T.StructType([*chunks.schema.fields, T.StructField("batch", T.LongType())])
     cols = chunks.columns
     at_g, at_n = cols.index(group), cols.index(length)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from filinglake.plans import company, corpus, vectors, web
+from filinglake.plans import company, corpus, streams, vectors, web
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (web, company, corpus, vectors):
+for _module in (web, company, corpus, vectors, streams):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

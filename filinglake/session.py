@@ -51,3 +51,14 @@ def ship_package(spark: SparkSession) -> None:
     target.write_bytes(data.getvalue())
     sc.addPyFile(str(target))
     sc._filinglake_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set."""
+    import tempfile
+
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="filinglake-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
