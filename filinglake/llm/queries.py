@@ -94,6 +94,49 @@ SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, rate,
   ('0x' || substr(md5('shuffle:42:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy), 1, 15))::BIGINT AS shuffle_key
 FROM m"""
 
+_SPACE = r"[ \t\n\x0B\f\r]+"
+_QUALITY_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '{_SPACE}'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS l FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM r) GROUP BY doc_id),
+f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, list_filter(w, lambda x: lower(x) <> upper(x)) AS lettered FROM w LEFT JOIN c USING (doc_id)),
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR n_symbols * 10 > n_words OR n_dup_lines * 2 > n_lines
+  OR len(list_filter(lettered, lambda x: x = upper(x) AND length(x) > 1)) * 2 > len(lettered) OR (n_words > 0 AND word_chars NOT BETWEEN n_words * 2 AND n_words * 15)) AS kept FROM v"""
+
+
+def _templates_sql(max_depth: int = 8, max_children: int = 12, strength: float = 4.0) -> str:
+    """The template tree level by level, as common table expressions."""
+    rules = "[" + ", ".join(f"{{'v': '{v}', 'h': '{h}', 'p': '{p}'}}" for v, h, p in sorted(url_filters.RULES, key=lambda r: -len(r[1] + r[2]))) + "]"
+    levels = ""
+    for k in range(max_depth):
+        seg = f"segs[{k + 1}]"
+        levels += rf"""
+k{k} AS (SELECT host, template, count(DISTINCT {seg}) AS d FROM t{k} WHERE len(segs) > {k} GROUP BY host, template),
+t{k + 1} AS (SELECT host, path, segs, good, bad, template || CASE WHEN len(segs) <= {k} THEN '' WHEN d > {max_children} OR regexp_matches({seg}, '{url_filters.VARIABLE}') THEN '/*' || regexp_extract({seg}, '(\.[A-Za-z0-9]{{1,5}})$', 1) ELSE '/' || {seg} END AS template
+  FROM t{k} LEFT JOIN k{k} USING (host, template)),"""
+    return rf"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+g AS (SELECT doc_id, bool_and(coalesce(quality = 1 AND toxic = 0, false)) AS good FROM labels GROUP BY doc_id),
+y AS (SELECT page_id, bool_and(good) AS good FROM p JOIN g ON try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:[./]|$)', 1) AS BIGINT) = doc_id GROUP BY page_id),
+t0 AS (SELECT host, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad, '' AS template FROM p LEFT JOIN y USING (page_id) GROUP BY host, path),{levels}
+t AS (SELECT host, path, good, bad, template || CASE WHEN len(segs) > {max_depth} THEN '/**' ELSE '' END AS template FROM t{max_depth}),
+l AS (SELECT host, template, sum(good) AS good, sum(bad) AS bad FROM t GROUP BY host, template),
+prior AS (SELECT (sum(good) + 1.0::DOUBLE) / (sum(good) + sum(bad) + 2.0::DOUBLE) AS prior FROM l),
+h AS (SELECT host, (sum(good) + {strength} * any_value(prior)) / (sum(good) + sum(bad) + {strength}) AS hp FROM l, prior GROUP BY host),
+s AS (SELECT l.*, hp, regexp_replace(replace(template, '/', '//'), '/[^/*]+(/|$)', '/+\1', 'g') AS shape, (good + {strength} * hp) / (good + bad + {strength}) AS pur, good + bad + {strength} AS w FROM l JOIN h USING (host)),
+q AS (SELECT *, lag(pur) OVER o AS q, lag(w) OVER o AS v FROM s WINDOW o AS (PARTITION BY host, shape ORDER BY pur, template)),
+n AS (SELECT *, coalesce((pur - q) > 1.96::DOUBLE * sqrt((pur * w + q * v) / (w + v) * (1 - (pur * w + q * v) / (w + v)) * (1 / w + 1 / v)), false)::INT AS fresh FROM q),
+b AS (SELECT *, sum(fresh) OVER (PARTITION BY host, shape ORDER BY pur, template) AS branch FROM n),
+m AS (SELECT host, template, (sum(good) OVER z + {strength} * hp) / (sum(good) OVER z + sum(bad) OVER z + {strength}) AS purity FROM b WINDOW z AS (PARTITION BY host, shape, branch)),
+j AS (SELECT p.page_id, p.host, p.path, t.template, m.purity, list_filter({rules}, lambda r: (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p))[1] AS r
+  FROM p JOIN t ON p.host = t.host AND p.path = t.path JOIN m ON m.host = t.host AND m.template = t.template)
+SELECT page_id, host, path, r.h || r.p AS rule, coalesce(r.v, CASE WHEN purity < 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, purity FROM j"""
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_feistel_pii": op2_feistel_pii,
@@ -106,4 +149,4 @@ QUERIES = {
     "op9_token_ids": op9_token_ids,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {"op10_mixing": _MIX_SQL}
+ORACLES: dict[str, str] = {"op3_url_templates": _templates_sql(), "op5_quality_rules": _QUALITY_SQL, "op10_mixing": _MIX_SQL}

@@ -138,8 +138,9 @@ def poisson_inverse(u, mean):
     return k
 
 
-def test_mixing_matches_sql(spark):
-    assert differences(Q.op10_mixing(spark, SF), Q.ORACLES["op10_mixing"], SF) == ""
+@pytest.mark.parametrize("name", sorted(Q.ORACLES))
+def test_matches_its_sql(spark, name):
+    assert differences(Q.QUERIES[name](spark, SF), Q.ORACLES[name], SF) == ""
 
 
 def test_mixing_counts_and_weights(spark):
