@@ -59,9 +59,9 @@ def magnitude_bins(x: Column, low: float = -12.0, high: float = 12.0, bins: int
 
 
 def short_number(v: Column) -> Column:
-    """Readable number in four ranges of size."""
+    """Readable number: exponent form under 0.01, whole with separators from a million, one decimal from 100, else two."""
     a = F.abs(v)
-    return F.when(a >= 1e9, F.format_string("%.2fB", v / 1e9)).when(a >= 1e6, F.format_string("%.2fM", v / 1e6)).when(a >= 1e3, F.format_string("%.1fK", v / 1e3)).otherwise(F.format_string("%.2f", v))
+    return F.when(a < 0.01, F.format_string("%.4e", v)).when(a >= 1e6, F.format_string("%,.0f", v)).when(a >= 100, F.format_string("%,.1f", v)).otherwise(F.format_string("%.2f", v))
 
 
 def learning_rate(step: Column, warm_up: int, total: int, floor: float = 0.0) -> Column:

@@ -148,7 +148,9 @@ STAT_FIELDS = tuple(
 )
 MAXIMA = frozenset(("max_dom_depth", "max_children_count", "nav_depth_levels", "unique_tag_count", "unique_external_domains"))
 #: Ratios taken anew when pages are merged: (numerator, denominator).
-RATIOS = {"html_to_text_ratio": ("inner_html_length", "inner_text_length")}
+RATIOS = {"html_to_text_ratio": (("inner_html_length",), "inner_text_length"), "interactive_density": (("input_count", "button_count", "form_count", "iframe_count"), "total_element_count")}
+#: Means weighted by another figure when pages are merged.
+WEIGHTED = {"semantic_tag_ratio": "total_element_count", "internal_link_ratio": "total_link_count", "alt_text_coverage": "image_count", "tag_entropy": "total_element_count"}
 
 SEMANTIC = ("article", "section", "nav", "header", "footer", "main", "aside", "figure")
 
@@ -221,7 +223,7 @@ def page_stats(html: str) -> dict:
         "html_to_text_ratio": round(len(inner) / len(text), 4) if text else 0.0, "tag_entropy": round(-sum(c / total * math.log2(c / total) for c in count.values()), 4) if count else 0.0, "unique_tag_count": len(count),
         "semantic_tag_ratio": round(sum(count[t] for t in SEMANTIC) / total, 4), "table_element_count": sum(count[t] for t in ("table", "tr", "td", "th")), "list_element_count": sum(count[t] for t in ("ul", "ol", "li")),
         "heading_count": sum(heads.values()), "heading_distribution": heads, "form_count": count["form"], "input_count": inputs, "button_count": buttons, "iframe_count": count["iframe"],
-        "interactive_density": round((inputs + buttons + count["form"] + count["iframe"]) / total, 4), "image_count": len(images), "svg_count": count["svg"], "video_count": count["video"], "canvas_count": count["canvas"], "largest_image_bytes": None, "total_image_bytes": None,
+        "interactive_density": round((inputs + buttons + count["form"] + count["iframe"]) / len(tags), 4), "image_count": len(images), "svg_count": count["svg"], "video_count": count["video"], "canvas_count": count["canvas"], "largest_image_bytes": None, "total_image_bytes": None,
         "external_script_count": sum("src" in n.attrs for n in scripts), "inline_script_count": sum("src" not in n.attrs for n in scripts), "total_script_byte_size": sum(_size(n.content()) for n in scripts if "src" not in n.attrs),
         "stylesheet_count": sum("stylesheet" in (n.attrs.get("rel") or "") for n in root.find("link")), "unique_external_domains": len(outside), "inline_style_count": has("style"), "total_css_byte_size": _size(styles),
         "media_query_count": len(re.findall(r"@media\s", styles)), "css_rule_count": max(0, styles.count("{") - at_rules), "has_json_ld": n_json > 0, "json_ld_type_count": len(types), "meta_tag_count": count["meta"],

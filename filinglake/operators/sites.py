@@ -102,12 +102,14 @@ def dom_stats():
 def combine_stats(stats: DataFrame, key: str, order: str) -> DataFrame:
     """Page figures merged by key: sums, maxima, means of what is there, any, map sums; ratios from the sums."""
     total = lambda n: F.sum(n)
-    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(F.sum(a), F.sum(b)), F.lit(0.0)), 4)
-    kinds = dict(dom.STAT_FIELDS)
+    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(sum(F.sum(x) for x in a), F.sum(b)), F.lit(0.0)), 4)
+    weighted = lambda x, w: F.round(F.try_divide(F.sum(F.col(x) * F.col(w)), F.sum(F.when(F.col(x).isNotNull(), F.col(w)))), 4)
     out = [F.count(F.lit(1)).alias("n_pages")]
     for n, k in dom.STAT_FIELDS:
         if n in dom.RATIOS:
             out.append(ratio(*dom.RATIOS[n]).alias(n))
+        elif n in dom.WEIGHTED:
+            out.append(weighted(n, dom.WEIGHTED[n]).alias(n))
         elif n in dom.MAXIMA:
             out.append(F.max(n).alias(n))
         elif n == "heading_distribution":
@@ -121,7 +123,6 @@ def combine_stats(stats: DataFrame, key: str, order: str) -> DataFrame:
             out.append(F.round(F.avg(n), 4).alias(n))
         else:
             out.append(total(n).alias(n))
-    assert kinds
     return stats.groupBy(key).agg(*out)
 
 

@@ -75,7 +75,7 @@ def tag_filing(text: str) -> str:
     return BOLD_NUMBER.sub(lambda m: m[0] if is_year(m[2]) else f"**{m[1]}{tag(canonical(m[2]))}{m[3]}**", "".join(pieces))
 
 
-def _udf(f):
+def text_udf(f):
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(f, na_action="ignore")
@@ -85,4 +85,4 @@ def _udf(f):
 
 def taggers() -> dict:
     """Column functions by kind of text."""
-    return {"all": _udf(tag_all), "ocr": _udf(tag_ocr), "filing": _udf(tag_filing)}
+    return {"all": text_udf(tag_all), "ocr": text_udf(tag_ocr), "filing": text_udf(tag_filing)}

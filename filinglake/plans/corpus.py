@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from filinglake.functions import numbers, text
-from filinglake.operators import corpus, tagging
+from filinglake.operators import corpus, examples, tagging
 from filinglake.session import ship_package, table
 
 CURVE = [(100, 0.82), (1000, 0.55), (10000, 0.42), (100000, 0.36), (853076, 0.31)]
@@ -333,3 +333,44 @@ SELECT lang, count(*) AS n_docs, sum(n_chars)::BIGINT AS total, min(n_chars) AS
   ((a.quality IS NULL)::INT + (b.quality IS NULL)::INT)::BIGINT AS n_missing FROM documents d LEFT JOIN (SELECT * FROM labels WHERE toxic = 0) a USING (doc_id) LEFT JOIN (SELECT * FROM labels WHERE toxic = 1) b USING (doc_id)""",
     "learning_rates": "SELECT step, round(CASE WHEN step < 100 THEN step / 100.0::DOUBLE ELSE 0.5::DOUBLE * (1 + cos(pi() * least(1.0::DOUBLE, (step - 100) / 900.0::DOUBLE))) END, 6) AS lr FROM range(1000) r(step)",
 }
+
+
+# ---- training examples -------------------------------------------------------------------------------------------
+
+
+def text_examples(spark, sf):
+    return examples.examples(docs_of(spark, sf), "doc_id", "text", windows=3, least=1000, most=4000)
+
+
+def regrouped_lengths(spark, sf):
+    """Lengths of the sub-texts of each example, back in order."""
+    r = examples.regroup(text_examples(spark, sf), lambda s: F.length(s))
+    return r.select("id", "draw", F.array_join("values", ",").alias("lengths"))
+
+
+def random_token_windows(spark, sf):
+    return examples.token_windows(docs_of(spark, sf), "doc_id", "text", 64, 100).select("doc_id", "start", F.array_join("tokens", " ").alias("window"))
+
+
+def tokenised_numbers(spark, sf):
+    t = docs_of(spark, sf).select("doc_id", F.concat(F.lit("Sales <number>1200</number> <table><tr><td>a</td><td><number>0.5</number></td></tr></table> "), F.coalesce("text", F.lit(""))).alias("text"))
+    return examples.tokenise(t, "doc_id", "text").select("id", "seq_length", F.size(F.filter("is_number_mask", lambda m: m)).alias("n_numbers"))
+
+
+def blob_fill(spark, sf):
+    d = docs_of(spark, sf).select("doc_id", "text")
+    return examples.fill_blobs(d, "doc_id", "text", 5, 20_000).select("blob", F.octet_length("text").alias("n_bytes"), "n_articles")
+
+
+def title_slugs(spark, sf):
+    ship_package(spark)
+    slug = tagging.text_udf(examples.slugify)
+    return docs_of(spark, sf).select("doc_id", slug(F.substring("text", 1, 120)).alias("slug"))
+
+
+def readable_numbers(spark, sf):
+    v = F.when(F.col("l_linenumber") == 1, F.col("l_discount") / 100).when(F.col("l_linenumber") == 2, F.col("l_extendedprice") * 1000).otherwise(F.col("l_extendedprice"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", numbers.short_number(v).alias("shown"))
+
+
+QUERIES |= {f.__name__: f for f in (text_examples, regrouped_lengths, random_token_windows, tokenised_numbers, blob_fill, title_slugs, readable_numbers)}
