@@ -46,13 +46,17 @@ HINT = re.compile(r"[0-9@]")
 
 
 class Feistel:
-    """Keyed permutation of 0 … n-1."""
+    """Keyed permutation of 0 … n-1 that leaves no value in place (for n > 1).
+
+    The network's permutation P is used as P(P^-1(x) + r) with a keyed step r: a rotation seen through P.
+    """
 
     def __init__(self, key: bytes, tweak: str, n: int):
         self.n = n
         self.half = max(1, ((n - 1).bit_length() + 1) // 2)
         self.mask = (1 << self.half) - 1
         self.keyed = hashlib.blake2b(tweak.encode() + b":" + str(n).encode(), key=key[:64], digest_size=32)
+        self.step = 1 + int.from_bytes(self.keyed.digest(), "big") % max(1, n - 1)
 
     def _f(self, r: int, x: int) -> int:
         h = self.keyed.copy()
@@ -70,11 +74,16 @@ class Feistel:
             if x < self.n:
                 return x
 
+    def _turned(self, x: int, step: int) -> int:
+        if self.n < 2:
+            return x
+        return self._walk((self._walk(x, range(ROUNDS - 1, -1, -1)) + step) % self.n, range(ROUNDS))
+
     def forward(self, x: int) -> int:
-        return x if self.n < 2 else self._walk(x, range(ROUNDS))
+        return self._turned(x, self.step)
 
     def back(self, x: int) -> int:
-        return x if self.n < 2 else self._walk(x, range(ROUNDS - 1, -1, -1))
+        return self._turned(x, -self.step)
 
 
 def luhn_digit(body: str) -> int:
