@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 BLOCK_BYTES = 16 << 20
+MOST_SEEDS = 4_000_000  # laid out at once
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -89,11 +90,12 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], min_match: int, coverage: float):
         self.coverage = coverage
         self.vocab: dict[str, int] = {}
-        self.items: list[tuple[int, np.ndarray]] = []
+        alike: dict[tuple[int, ...], list[int]] = {}
         for item_id, text in items:
-            w = word_list(text)
-            if w:
-                self.items.append((item_id, np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.int64)))
+            if w := word_list(text):
+                alike.setdefault(tuple(self.vocab.setdefault(x, len(self.vocab) + 1) for x in w), []).append(item_id)
+        #: Items of equal words are matched once.
+        self.items = [(names, np.array(ids, np.int64)) for ids, names in alike.items()]
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for width in {min(min_match, len(ids)) for _, ids in self.items}:
             hashes, owner, at = [], [], []
@@ -122,23 +124,45 @@ class Matcher:
             live, lo, hi = live[hi > lo], lo[hi > lo], hi[hi > lo]
             if not len(live):
                 continue
-            counts = hi - lo
+            for k, where, place in self._by_item(live, lo, hi, owner, at):
+                names, item = self.items[k]
+                touched = np.zeros(len(item) + 1, np.int64)
+                np.add.at(touched, place, 1)
+                np.add.at(touched, np.minimum(place + width, len(item)), -1)
+                if np.count_nonzero(np.cumsum(touched[:-1])) < self.coverage * len(item):
+                    continue  # not even all seeds together cover enough
+                found = tiles(ids, item, np.stack([where, place], axis=1), width)
+                covered = sum(n for _, _, n in found)
+                if covered >= self.coverage * len(item):
+                    for item_id in names:
+                        yield item_id, len(found), covered, len(item), covered / len(item)
+
+    @staticmethod
+    def _by_item(live, lo, hi, owner, at) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(item, positions in the text, positions in the item) of the seeds.
+
+        All seeds are laid out at once if they are few; else item by item, so that memory holds one item's seeds.
+        """
+        counts = hi - lo
+        if counts.sum() <= MOST_SEEDS:
             slot = np.repeat(lo - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
             where, who, place = np.repeat(live, counts), owner[slot], at[slot]
             order = np.argsort(who, kind="stable")
             where, who, place = where[order], who[order], place[order]
             cuts = np.flatnonzero(who[1:] != who[:-1]) + 1
             for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(who)]):
-                item_id, item = self.items[who[s]]
-                touched = np.zeros(len(item) + 1, np.int64)
-                np.add.at(touched, place[s:e], 1)
-                np.add.at(touched, np.minimum(place[s:e] + width, len(item)), -1)
-                if np.count_nonzero(np.cumsum(touched[:-1])) < self.coverage * len(item):
-                    continue  # not even all seeds together cover enough
-                found = tiles(ids, item, np.stack([where[s:e], place[s:e]], axis=1), width)
-                covered = sum(n for _, _, n in found)
-                if covered >= self.coverage * len(item):
-                    yield item_id, len(found), covered, len(item), covered / len(item)
+                yield int(who[s]), where[s:e], place[s:e]
+            return
+        runs, back = np.unique(lo, return_inverse=True)
+        length = np.zeros(len(runs), np.int64)
+        length[back] = counts
+        held: dict[int, list[tuple[int, int]]] = {}
+        for r, (start, n) in enumerate(zip(runs.tolist(), length.tolist())):
+            for j in range(start, start + n):
+                held.setdefault(int(owner[j]), []).append((r, int(at[j])))
+        for k, seeds in held.items():
+            where = [live[back == r] for r, _ in seeds]
+            yield k, np.concatenate(where), np.concatenate([np.full(len(w), p) for w, (_, p) in zip(where, seeds)])
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[int, str]]]:

@@ -44,6 +44,15 @@ def test_tiles_match_brute_force(seed):
     assert sum(g[2] for g in got) == want
 
 
+def test_seeds_item_by_item_are_the_same(monkeypatch):
+    items = [(1, ITEM), (2, ITEM), (3, "seven eight nine ten eleven other words here"), (4, "one two three four five " * 3)]
+    text = (ITEM + " and ") * 40 + "one two three four five " * 7
+    m = decontam.Matcher(items, 5, 0.6)
+    want = sorted(m.match(text))
+    monkeypatch.setattr(decontam, "MOST_SEEDS", 0)
+    assert sorted(m.match(text)) == want and {w[0] for w in want} == {1, 2, 3, 4}
+
+
 def test_running_hash_is_that_of_the_window():
     ids = np.random.default_rng(1).integers(0, 9, 500)
     h = decontam.rolling(ids, 5)
