@@ -183,7 +183,8 @@ def linked_pairs(classes: DataFrame, k: int = 3, block: int = BLOCK, plan: list[
     """Links (a, b) between distinct fingerprints ``fp`` that span the same components as all links at <= k bits."""
     if plan is None:
         n = classes.count()
-        rows = classes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()
+        every = max(1, n // (2 * SAMPLE))  # thinned by hash before any row moves
+        rows = classes.select("fp").filter(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).limit(SAMPLE).collect()
         plan = choose_plan(np.array([r.fp for r in rows] or [0], dtype=np.int64), max(n, 1), k)
     probing = {p for p, (_, t) in enumerate(plan) if t > 0}
     filed = classes.select("fp", F.explode(_filed(F.col("fp"), plan)).alias("e")).select("fp", "e.p", "e.key", "e.probe")
