@@ -15,7 +15,8 @@ cost, never results. Each fingerprint is filed under its own value of each
 group and probes the values within the threshold; what meets is verified on
 all 64 bits. Keys with more than ``BLOCK`` entries are dealt out as pairs of
 blocks, so no task holds an unbounded group, and each meeting returns a
-spanning forest of its links, not the links, so that dense groups stay linear.
+minimum spanning forest of its links by bits, not the links, so that dense
+groups stay linear.
 
 Null texts are empty; texts without a word have fingerprint 0 and link like
 any other. Repeated rows give repeated rows. Null ids never name a component.
@@ -151,32 +152,61 @@ def _filed(fp: Column, plan: list[tuple[list[int], int]]) -> Column:
     return F.concat(*parts)
 
 
+class Forest:
+    """Minimum spanning forest of links by differing bits, kept up as links arrive in blocks.
+
+    Whatever two nodes a left-out link joins, the forest joins them by links of no more bits.
+    """
+
+    HELD = 2_000_000  # links before the forest is taken again
+
+    def __init__(self, n: int):
+        self.n = n
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, x: np.ndarray, y: np.ndarray, bits: np.ndarray) -> None:
+        self.parts.append((x, y, bits))
+        self.held += len(x)
+        if self.held > self.HELD:
+            self.parts = [self.links()]
+            self.held = len(self.parts[0][0])
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, y, bits = (np.concatenate(c) for c in zip(*self.parts)) if self.parts else (np.zeros(0, np.int64),) * 3
+        lab, kept = np.arange(self.n), []
+        for level in np.unique(bits):
+            at = np.flatnonzero(bits == level)
+            while len(at := at[lab[x[at]] != lab[y[at]]]):  # join one tree with all its neighbours at a time
+                root = lab[x[at[0]]]
+                mine = at[(lab[x[at]] == root) | (lab[y[at]] == root)]
+                other = np.where(lab[x[mine]] == root, lab[y[mine]], lab[x[mine]])
+                new, first = np.unique(other, return_index=True)
+                kept.append(mine[first])
+                lab[np.isin(lab, new)] = root
+        kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+        return x[kept], y[kept], bits[kept]
+
+
 def forest(index: np.ndarray, probes: np.ndarray | None, k: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links between the two sides (within ``index`` if there are no probes)."""
+    """Minimum spanning forest of the links between the two sides (within ``index`` if there are no probes)."""
     same = probes is None
     left = index.view(np.uint64)
     right = left if same else probes.view(np.uint64)
-    nodes, inverse = np.unique(np.concatenate([left, right]), return_inverse=True)
-    lab, li, ri = np.arange(len(nodes)), inverse[: len(left)], inverse[len(left) :]
-    out: list[tuple[int, int]] = []
+    nodes, inverse = np.unique(left if same else np.concatenate([left, right]), return_inverse=True)
+    li, ri = inverse[: len(left)], inverse[len(left) :] if not same else inverse[: len(left)]
+    out = Forest(len(nodes))
     step = max(1, (1 << 21) // max(len(right), 1))
     for at in range(0, len(left), step):
-        close = np.bitwise_count(left[at : at + step, None] ^ right[None, :]) <= k
-        rows, cols = np.nonzero(close & (li[at : at + step, None] != ri[None, :]))
-        while len(rows):  # take a link, join the two trees, drop links that have become inner ones
-            keep = lab[li[at + rows]] != lab[ri[cols]]
-            rows, cols = rows[keep], cols[keep]
-            if not len(rows):
-                break
-            x = li[at + rows[0]]
-            near = ri[cols[rows == rows[0]]]
-            near = near[np.unique(lab[near], return_index=True)[1]]
-            for y in near:
-                if lab[y] != lab[x]:
-                    out.append((int(x), int(y)))
-                    lab[lab == lab[y]] = lab[x]
+        bits = np.bitwise_count(left[at : at + step, None] ^ right[None, :])
+        rows, cols = np.nonzero(bits <= k)
+        x, y, d = li[at + rows], ri[cols], bits[rows, cols]
+        keep = x < y if same else x != y
+        if keep.any():
+            out.add(x[keep], y[keep], d[keep])
+    x, y, _ = out.links()
     signed = nodes.view(np.int64)
-    return [(int(signed[x]), int(signed[y])) for x, y in out]
+    return list(zip(signed[x].tolist(), signed[y].tolist()))
 
 
 def linked_pairs(classes: DataFrame, k: int = 3, block: int = BLOCK, plan: list[tuple[list[int], int]] | None = None) -> DataFrame:
@@ -267,10 +297,10 @@ def shingle_set(text: str | None, width: int) -> set[bytes]:
     return set(map(b" ".join, zip(*[w[i:] for i in range(width)])))
 
 
-def near_duplicate_classes(docs: DataFrame, k: int = 8, width: int = 3, check_width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, k: int = 11, width: int = 3, check_width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(fp, component_id): classes joined by links at <= k bits whose texts' shingle sets are at least ``similarity`` alike (Jaccard).
 
-    The links verified are those of the spanning forests; the text of a class is that of its least id.
+    The links verified are those of the minimum spanning forests, so a link left out is spanned by closer ones; the text of a class is that of its least id.
     """
     fps = staged(fingerprints(docs, width, id_col, text_col), "fingerprints")
     classes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
@@ -293,7 +323,7 @@ def near_duplicate_classes(docs: DataFrame, k: int = 8, width: int = 3, check_wi
     return components_of(classes, checked)
 
 
-def deduplicate(docs: DataFrame, k: int = 8, width: int = 3, check_width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, k: int = 11, width: int = 3, check_width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near-duplicates: the one of least id, in the input's columns.
 
     Rows without an id are kept; of repeated rows (same id, same text) one stays.

@@ -36,7 +36,7 @@ def deduplicated(rows):
         return x
 
     for a, b in itertools.combinations(sorted(least), 2):
-        if bin((a ^ b) & (2**64 - 1)).count("1") <= 8:
+        if bin((a ^ b) & (2**64 - 1)).count("1") <= 11:
             s, t = (simhash.shingle_set(text[least[x]], 5) for x in (a, b))
             if len(s & t) >= 0.8 * len(s | t):
                 root[find(a)] = find(b)
