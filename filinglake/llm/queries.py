@@ -39,7 +39,7 @@ def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page by rules and path templates."""
     pages = _read(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filters.judge(pages, page_labels(pages, _read(spark, sf_dir, "labels")))
+    return url_filters.judge(pages, page_labels(pages, _read(spark, sf_dir, "labels"))).withColumn("purity", F.round("purity", 6))
 
 
 def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +134,7 @@ b AS (SELECT *, sum(fresh) OVER (PARTITION BY host, shape ORDER BY pur, template
 m AS (SELECT host, template, (sum(good) OVER z + {strength} * hp) / (sum(good) OVER z + sum(bad) OVER z + {strength}) AS purity FROM b WINDOW z AS (PARTITION BY host, shape, branch)),
 j AS (SELECT p.page_id, p.host, p.path, t.template, m.purity, list_filter({rules}, lambda r: (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p))[1] AS r
   FROM p JOIN t ON p.host = t.host AND p.path = t.path JOIN m ON m.host = t.host AND m.template = t.template)
-SELECT page_id, host, path, r.h || r.p AS rule, coalesce(r.v, CASE WHEN purity < 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, purity FROM j"""
+SELECT page_id, host, path, r.h || r.p AS rule, coalesce(r.v, CASE WHEN purity < 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6) AS purity FROM j"""
 
 
 QUERIES = {

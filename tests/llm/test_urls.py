@@ -80,12 +80,12 @@ def brute(pages, labels, max_children=12, max_depth=8, strength=4.0, below=0.5):
         hp = split(u)
         r, v = rule(*hp)
         p = purity[(hp[0], template[hp])]
-        out.append((i, *hp, r, v or ("block" if p < below else "allow"), template[hp], round(p, 9)))
+        out.append((i, *hp, r, v or ("block" if p < below else "allow"), template[hp], round(p, 6)))
     return out
 
 
 def same(rows, want):
-    got = [(r.page_id, r.host, r.path, r.rule, r.verdict, r.template, round(r.purity, 9)) for r in rows]
+    got = [(r.page_id, r.host, r.path, r.rule, r.verdict, r.template, round(r.purity, 6)) for r in rows]
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
