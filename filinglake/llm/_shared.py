@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,7 +16,11 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="filinglake-")
         spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
         spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    # a path without a scheme belongs to the cluster's default file system; Python readers need it spelt out
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(found)
+    full = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return "file://" + full[5:] if re.match("file:/(?!/)", full) else full
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
