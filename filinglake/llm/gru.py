@@ -78,9 +78,10 @@ class Model:
         self.p, self.end, self.batch = p, end, batch
         self.hidden = p["u"].shape[0]
 
-    def _step(self, h: np.ndarray, y: np.ndarray, clear: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    def _step(self, h: np.ndarray, y: np.ndarray, clear: np.ndarray, keep: tuple | None = None) -> np.ndarray:
+        """The next state after ids ``y`` or their input projections; ``keep`` takes the gates, the candidate and its part of the state."""
         k = self.hidden
-        g, a = self.p["x"][y], h @ self.p["u"]
+        g, a = self.p["x"][y] if y.ndim == 1 else y, h @ self.p["u"]
         rz = g[:, : 2 * k] + a[:, : 2 * k]
         rz = _sigmoid(np.clip(rz, -30, 30, out=rz))
         r, z = rz[:, :k], rz[:, k:]
@@ -88,8 +89,7 @@ class Model:
         new = n + z * (h - n)
         new[clear] = 0
         if keep is not None:
-            for name, v in (("h", h), ("rz", rz), ("n", n), ("q", a[:, 2 * k :])):
-                keep[name].append(v)
+            keep[0][:], keep[1][:], keep[2][:] = rz, n, a[:, 2 * k :]
         return new
 
     def _output(self, m: np.ndarray, y: np.ndarray, grad: dict | None = None) -> np.ndarray:
@@ -162,29 +162,33 @@ class Model:
             y = ids[np.minimum(at, len(ids) - 1)]
             y[~inside] = self.end
             clear = last[np.minimum(at, len(ids) - 1)] | ~inside
-            keep: dict = {"h": [], "rz": [], "n": [], "q": []}
+            # what does not depend on the step before is computed for the whole window at once
+            g = p["x"][y]
+            states, n, q = (np.empty((*at.shape, k), np.float32) for _ in range(3))
+            rz = np.empty((*at.shape, 2 * k), np.float32)
             for t in range(len(at)):
-                h = self._step(h, y[t], clear[t], keep)
-            states = np.stack(keep["h"])
+                states[t] = h
+                h = self._step(h, g[t], clear[t], (rz[t], n[t], q[t]))
             grad: dict = {}
             self._output(states[inside], y[inside], grad)
             dm = np.zeros_like(states)
             dm[inside] = grad.pop("m")
+            r, z = rz[:, :, :k], rz[:, :, k:]
+            by_n, by_z, by_r = (1 - z) * (1 - n * n), (states - n) * z * (1 - z), q * r * (1 - r)
+            goes_on = (~clear[:, :, None]).astype(np.float32)
             dh = np.zeros_like(h)
-            dg = np.empty((*at.shape, 3 * k), np.float32)
-            grad["u"] = np.zeros_like(p["u"])
+            dg, da = np.empty_like(g), np.empty_like(g)
+            back = np.ascontiguousarray(p["u"].T)
             for t in range(len(at) - 1, -1, -1):
-                dh[clear[t]] = 0
-                h0, rz, n, q = (keep[x][t] for x in ("h", "rz", "n", "q"))
-                r, z = rz[:, :k], rz[:, k:]
-                dn = dh * (1 - z) * (1 - n * n)
-                dg[t, :, k : 2 * k] = dh * (h0 - n) * z * (1 - z)
-                dg[t, :, :k] = dn * q * r * (1 - r)
-                dg[t, :, 2 * k :] = dn
-                da = dg[t].copy()
-                da[:, 2 * k :] *= r
-                grad["u"] += h0.T @ da
-                dh = dh * z + da @ p["u"].T + dm[t]
+                dh *= goes_on[t]
+                dn = dg[t, :, 2 * k :]
+                np.multiply(dh, by_n[t], out=dn)
+                np.multiply(dh, by_z[t], out=dg[t, :, k : 2 * k])
+                np.multiply(dn, by_r[t], out=dg[t, :, :k])
+                da[t, :, : 2 * k] = dg[t, :, : 2 * k]
+                np.multiply(dn, r[t], out=da[t, :, 2 * k :])
+                dh = dh * z[t] + da[t] @ back + dm[t]
+            grad["u"] = states.reshape(-1, k).T @ da.reshape(-1, 3 * k)
             scale = 1.0 / max(1, live)
             flat, dx = y.ravel(), dg.reshape(-1, 3 * k)
             order = np.argsort(flat, kind="stable")

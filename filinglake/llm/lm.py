@@ -11,10 +11,11 @@ CRC-32 of its id is divisible by 10. Three layers share these counts:
   (:mod:`filinglake.llm.gru`), whose state runs through the whole document.
 
 Training: every partition starts each round from common parameters and trains
-on one of ``SHARE`` segments of ``SEGMENT`` tokens of its documents, dealt by
-the document's hash over the whole length of every text; parameters are then
-averaged by token counts, group by group. Words, counts and thresholds always
-come from all tokens.
+on the documents that their hash deals to the round, each whole and with its
+state carried from first token to last; parameters are then averaged by token
+counts, group by group. Every token of every training document trains once.
+A caller's ``share`` over 1 trains on one of so many segments of ``SEGMENT``
+tokens instead. Words, counts and thresholds always come from all tokens.
 
 Counts of the ``HEAD`` most frequent words at most travel to every task; rarer
 words meet their counts in a join, so no step holds the vocabulary.
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -47,8 +49,10 @@ NET_WORDS = 1500
 BUCKETS = 64
 HIDDEN = 24
 SEGMENT = 96
-SHARE = 6
+SHARE = 1
 ROUNDS = 2
+STREAMS = 256
+HELD = 1 << 21  # tokens a task holds before it trains on them
 BLOCKS = 16
 END = b"\n"  # no word holds white space
 LN10 = float(np.log(10))
@@ -165,6 +169,13 @@ def segments(n: int, mark: int, share: int, rounds: int, turn: int) -> range:
     return range(first * SEGMENT, n, share * rounds * SEGMENT)
 
 
+def pieces(n: int, mark: int, share: int, rounds: int, turn: int) -> list[tuple[int, int]]:
+    """(start, end) of what a document of ``n`` tokens trains in one round: the whole of it in its own round at share 1."""
+    if share == 1:
+        return [(0, n)] if mark % rounds == turn else []
+    return [(s, min(s + SEGMENT, n)) for s in segments(n, mark, share, rounds, turn)]
+
+
 def train(docs: DataFrame, words: Words, share: int = SHARE, rounds: int = ROUNDS, rate: float = 0.05) -> dict[str, np.ndarray]:
     """Parameters after ``rounds`` of local training on every partition and averaging; ``docs`` has doc_id and text."""
     spark = docs.sparkSession
@@ -172,27 +183,28 @@ def train(docs: DataFrame, words: Words, share: int = SHARE, rounds: int = ROUND
     gru.warm(p, words.output_counts)
     salts = max(1, int(docs.rdd.getNumPartitions() ** 0.5))
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((p, words.output_of(), words.bucket_outputs(), words.end))
+        sent = spark.sparkContext.broadcast((p, words.output_of(), words.bucket_outputs().tolist(), words.end))
 
         def local(batches: Iterator[pa.RecordBatch], turn=turn, sent=sent) -> Iterator[pa.RecordBatch]:
             start, net, buckets, end = sent.value
-            model = gru.Model({k: v.copy() for k, v in start.items()}, end, batch=96)
+            model = gru.Model({k: v.copy() for k, v in start.items()}, end, batch=STREAMS)
             memory, seen, salt = gru.memory_of(start), 0, 0
+            ids, ends = array("i"), array("q")
             for b in batches:
-                ids: list[int] = []
-                ends: list[int] = []
                 for doc_id, t in zip(b.column(0).to_pylist(), b.column(1)):
-                    w = tokens(t.as_py())
                     mark = zlib.crc32(str(doc_id).encode())
                     salt = mark
-                    for s in segments(len(w) + 1, mark, share, rounds, turn):
-                        part = w[s : s + SEGMENT]
-                        ids += [net[x] if x in net else buckets[bucket(x)] for x in part]
-                        if len(part) < SEGMENT:
+                    w = tokens(t.as_py())
+                    for s, e in pieces(len(w) + 1, mark, share, rounds, turn):
+                        ids.extend([net[x] if x in net else buckets[bucket(x)] for x in w[s:e]])
+                        if e > len(w):
                             ids.append(end)
                         ends.append(len(ids))
-                if ids:
-                    seen += model.train(np.array(ids, np.int32), np.array(ends), memory, rate)
+                    if len(ids) >= HELD:
+                        seen += model.train(np.array(ids, np.int32), np.array(ends), memory, rate)
+                        ids, ends = array("i"), array("q")
+            if ids:
+                seen += model.train(np.array(ids, np.int32), np.array(ends), memory, rate)
             if seen:
                 v = gru.flat(model.p).astype(np.float64) * seen
                 cuts = np.array_split(v, BLOCKS)

@@ -123,3 +123,18 @@ def test_segments_cover_each_token_once():
     for n in (1, 95, 96, 97, 5000):
         seen = [s for mark in range(12) for turn in range(2) for s in lm.segments(n, mark, 6, 2, turn)]
         assert Counter(seen) == Counter({s: 2 for s in range(0, n, lm.SEGMENT)})
+
+
+def test_every_token_trains_once_in_whole_documents():
+    for n in (1, 95, 96, 97, 5000):
+        for mark in range(12):
+            assert [x for turn in range(lm.ROUNDS) for x in lm.pieces(n, mark, lm.SHARE, lm.ROUNDS, turn)] == [(0, n)]
+
+
+def test_every_short_document_trains(spark):
+    df = spark.createDataFrame([(i, f"a{i} b c d e") for i in range(1, 6)], "doc_id long, text string")
+    words = lm.collect_words(lm.word_counts(df))
+    untrained = gru.init(len(words.place), lm.HIDDEN)
+    gru.warm(untrained, words.output_counts)
+    for i in range(1, 6):
+        assert not np.array_equal(gru.flat(lm.train(df.filter(df.doc_id == i), words)), gru.flat(untrained))
