@@ -60,15 +60,16 @@ def fingerprint(text: str | None, width: int, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row."""
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", extra: Column | None = None) -> DataFrame:
+    """(doc_id, fp) of every row, and the number ``extra`` as node if it is given."""
+    more = [] if extra is None else [extra.cast("long").alias("node")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t.as_py(), width) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *["node" for _ in b.columns[2:]]])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more).mapInArrow(run, "doc_id long, fp long" + (", node long" if more else ""))
 
 
 def group_bits(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -209,15 +210,35 @@ def forest(index: np.ndarray, probes: np.ndarray | None, k: int) -> list[tuple[i
     return list(zip(signed[x].tolist(), signed[y].tolist()))
 
 
-def linked_pairs(classes: DataFrame, k: int = 3, block: int = BLOCK, plan: list[tuple[list[int], int]] | None = None) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp`` that span the same components as all links at <= k bits."""
+def every_link(left: np.ndarray, left_lab: np.ndarray, right: np.ndarray, right_lab: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links at <= k bits between the two sides whose labels differ, the lesser fingerprint first, in bounded pieces."""
+    step = max(1, (1 << 21) // max(len(right), 1))
+    for at in range(0, len(left), step):
+        near = np.bitwise_count(left.view(np.uint64)[at : at + step, None] ^ right.view(np.uint64)[None, :]) <= k
+        rows, cols = np.nonzero(near & (left_lab[at : at + step, None] != right_lab[None, :]))
+        if len(rows):
+            a, b = left[at + rows], right[cols]
+            yield np.minimum(a, b), np.maximum(a, b)
+
+
+def plan_of(classes: DataFrame, k: int) -> list[tuple[list[int], int]]:
+    n = classes.count()
+    every = max(1, n // (2 * SAMPLE))  # thinned by hash before any row moves
+    rows = classes.select("fp").filter(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).limit(SAMPLE).collect()
+    return choose_plan(np.array([r.fp for r in rows] or [0], dtype=np.int64), max(n, 1), k)
+
+
+def linked_pairs(classes: DataFrame, k: int = 3, block: int = BLOCK, plan: list[tuple[list[int], int]] | None = None, every: bool = False) -> DataFrame:
+    """Links (a, b) between distinct fingerprints ``fp`` that span the same components as all links at <= k bits.
+
+    With ``every``, all links at <= k bits between rows of different ``lab``; a link comes once from each key in which it is met.
+    """
     if plan is None:
-        n = classes.count()
-        every = max(1, n // (2 * SAMPLE))  # thinned by hash before any row moves
-        rows = classes.select("fp").filter(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).limit(SAMPLE).collect()
-        plan = choose_plan(np.array([r.fp for r in rows] or [0], dtype=np.int64), max(n, 1), k)
+        plan = plan_of(classes, k)
+    if not every:
+        classes = classes.select("fp", F.lit(0).cast("long").alias("lab"))
     probing = {p for p, (_, t) in enumerate(plan) if t > 0}
-    filed = classes.select("fp", F.explode(_filed(F.col("fp"), plan)).alias("e")).select("fp", "e.p", "e.key", "e.probe")
+    filed = classes.select("fp", "lab", F.explode(_filed(F.col("fp"), plan)).alias("e")).select("fp", "lab", "e.p", "e.key", "e.probe")
     crowded = filed.groupBy("p", "key").count().filter(F.col("count") > block).select("p", "key", F.ceil(F.col("count") / block).cast("int").alias("g"))
     # a crowded key's rows go to a pair of blocks each: row i meets column j; few keys are crowded, and adaptive
     # execution broadcasts them only if their measured size allows
@@ -231,43 +252,54 @@ def linked_pairs(classes: DataFrame, k: int = 3, block: int = BLOCK, plan: list[
         as_col = F.transform(others, lambda j: F.struct(j.alias("i"), own.alias("j"), F.lit(True).alias("side")))
         single = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("probe").alias("side")))
         place = F.when(F.col("g") == 1, single).when(two & F.col("probe"), as_col).when(two, as_row).otherwise(F.concat(as_row, as_col))
-        dealt = dealt.withColumn("b", F.explode(place)).select("p", "key", "b.i", "b.j", F.col("b.side").alias("side"), F.when(F.col("g") == 1, F.col("p").isin(*probing) if probing else F.lit(False)).otherwise(True).alias("two"), "fp")
+        dealt = dealt.withColumn("b", F.explode(place)).select("p", "key", "b.i", "b.j", F.col("b.side").alias("side"), F.when(F.col("g") == 1, F.col("p").isin(*probing) if probing else F.lit(False)).otherwise(True).alias("two"), "fp", "lab")
     else:
-        dealt = filed.select("p", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("probe").alias("side"), (F.col("p").isin(*probing) if probing else F.lit(False)).alias("two"), "fp")
+        dealt = filed.select("p", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("probe").alias("side"), (F.col("p").isin(*probing) if probing else F.lit(False)).alias("two"), "fp", "lab")
     keys = ["p", "key", "i", "j"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
+        waiting: list[pa.RecordBatch] = []
+
+        def gathered(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in found:
+                waiting.append(x)
+                if len(waiting) >= 1000 or x.num_rows > 10_000:
+                    yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+                    waiting.clear()
 
-        def group(key, two, side, fp) -> list[tuple[int, int]]:
+        def group(key, two, side, fp, lab) -> Iterator[pa.RecordBatch]:
             index = fp[~side]
-            if not two:
-                return forest(index, None, k) if len(index) > 1 else []
-            return forest(index, fp[side], k) if len(index) and side.any() else []
+            if two and not side.any() or len(index) < (1 if two else 2):
+                return
+            if every:
+                right = side if two else ~side
+                for found in every_link(index, lab[~side], fp[right], lab[right], k):
+                    yield _links(*found)
+            elif links := forest(index, fp[side] if two else None, k):
+                yield _links(*zip(*links))
 
         for b in batches:
             if not b.num_rows:
                 continue
             p, key, i, j = (b.column(c).to_numpy(zero_copy_only=False) for c in range(4))
-            side, two, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in (4, 5, 6))
+            side, two, fp, lab = (b.column(c).to_numpy(zero_copy_only=False) for c in (4, 5, 6, 7))
             change = (p[1:] != p[:-1]) | (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
             starts = [0, *(np.flatnonzero(change) + 1).tolist(), len(p)]
-            links: list[tuple[int, int]] = []
             for s, e in zip(starts, starts[1:]):
                 name = (int(p[s]), int(key[s]), int(i[s]), int(j[s]))
                 if held is not None and held[0] == name:
-                    held = (name, held[1], np.concatenate([held[2], side[s:e]]), np.concatenate([held[3], fp[s:e]]))
+                    held = (name, held[1], *(np.concatenate([x, y[s:e]]) for x, y in zip(held[2:], (side, fp, lab))))
                     continue
                 if held is not None and len(held[3]) > 1:
-                    links += group(*held)
-                held = (name, bool(two[s]), side[s:e], fp[s:e])
-            if links:
-                yield _links(links)
-        if held is not None and (links := group(*held)):
-            yield _links(links)
-
-    def _links(links) -> pa.RecordBatch:
-        a, b = zip(*links)
+                    yield from gathered(group(*held))
+                held = (name, bool(two[s]), side[s:e], fp[s:e], lab[s:e])
+        if held is not None:
+            yield from gathered(group(*held))
+        if waiting:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+    def _links(a, b) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(meet, "a long, b long")
@@ -297,30 +329,63 @@ def shingle_set(text: str | None, width: int) -> set[bytes]:
     return set(map(b" ".join, zip(*[w[i:] for i in range(width)])))
 
 
-def near_duplicate_classes(docs: DataFrame, k: int = 11, width: int = 3, check_width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(fp, component_id): classes joined by links at <= k bits whose texts' shingle sets are at least ``similarity`` alike (Jaccard).
-
-    The links verified are those of the minimum spanning forests, so a link left out is spanned by closer ones; the text of a class is that of its least id.
-    """
-    fps = staged(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    classes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    links = staged(linked_pairs(classes, k), "links")
-    ends = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).alias("text")).join(classes.join(ends, "fp", "left_semi"), "least").dropDuplicates(["fp"]).select("fp", "text")
-    texts = staged(texts, "linked-texts")
-    paired = links.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b")
+def alike(links: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The links (a, b) whose texts' shingle sets are at least ``similarity`` alike (Jaccard); ``texts`` has (node, text)."""
+    paired = links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, set[bytes]] = {}
+
+        def shingles(node: int, text: pa.Scalar) -> set[bytes]:
+            if node not in known:
+                if len(known) >= 500:
+                    known.clear()
+                known[node] = shingle_set(text.as_py(), width)
+            return known[node]
+
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                s, t = shingle_set(x.as_py(), check_width), shingle_set(y.as_py(), check_width)
-                both = len(s & t)
+            for i, j, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                s, t = shingles(i, x), shingles(j, y)
+                small, large = sorted((len(s), len(t)))
+                both = len(s & t) if small >= similarity * large else 0
                 keep.append(both >= similarity * (len(s) + len(t) - both))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    checked = paired.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-    return components_of(classes, checked)
+    return paired.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+
+def near_duplicate_classes(docs: DataFrame, k: int = 11, width: int = 3, check_width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(fp, component_id) of every distinct text, named by its hash: texts joined by links at <= k bits whose shingle sets are at least ``similarity`` alike (Jaccard).
+
+    The minimum spanning forests and the texts of equal fingerprint are verified first. Then every link between texts that these have not
+    joined is verified, so none is lost; links inside what is joined already change nothing and are not made.
+    """
+    node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = staged(fingerprints(docs, width, id_col, text_col, node), "fingerprints")
+    nodes = staged(rows.groupBy("fp", "node").agg(F.min("doc_id").alias("least")), "nodes")
+    classes = staged(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")), "classes")
+    plan = plan_of(classes, k)
+    links = staged(linked_pairs(classes, k, plan=plan), "links")
+    ends = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).union(classes.filter("n > 1").select("fp")).distinct()
+    met = staged(nodes.join(ends, "fp", "left_semi").select("fp", "node"), "met")
+    texts = docs.select(node.alias("node"), F.col(text_col).alias("text")).join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    texts = staged(texts, "linked-texts")
+    heads = classes.select("fp", "head")
+    spanning = links.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = met.join(heads, "fp").filter(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
+    passed = staged(alike(spanning.union(same), texts, check_width, similarity), "alike")
+
+    roots = staged(connected_components(passed), "joined")
+    labelled = staged(met.join(roots, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("lab")), "labelled")
+    # a class whose texts are not all joined meets every other class, and itself
+    mixed = F.min("lab") != F.max("lab")
+    sets = staged(labelled.groupBy("fp").agg(F.when(mixed, F.xxhash64("fp")).otherwise(F.min("lab")).alias("lab"), mixed.alias("mixed")), "label-sets")
+    near = linked_pairs(sets.select("fp", "lab"), k, plan=plan, every=True).distinct().union(sets.filter("mixed").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+    left, right = (labelled.select(F.col("fp").alias(f), F.col("node").alias(n), F.col("lab").alias(m)) for f, n, m in (("a", "x", "p"), ("b", "y", "q")))
+    left_over = near.join(left, "a").join(right, "b").filter((F.col("p") != F.col("q")) & ((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    checked = staged(passed.union(alike(left_over, texts, check_width, similarity)), "checked")
+    return components_of(nodes.select(F.col("node").alias("fp"), "least"), checked)
 
 
 def deduplicate(docs: DataFrame, k: int = 11, width: int = 3, check_width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

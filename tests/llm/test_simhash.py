@@ -151,3 +151,32 @@ def test_deduplicate_verifies_similarity(spark):
     got = sorted((x.doc_id for x in kept.collect()), key=lambda x: (x is None, x))
     assert got[:6] == [0, 10, 20, 30, 40, 50] and got[6:] == [90, None]
     assert simhash.deduplicate(df.limit(0)).count() == 0
+
+
+def test_no_similar_pair_is_lost_in_a_large_group(spark):
+    r = random.Random(5)
+    base = [f"w{r.randint(0, 5000)}" for _ in range(300)]
+    texts = []
+    for _ in range(300):
+        w = list(base)
+        for at in r.sample(range(300), r.randint(4, 6)):
+            w[at] = f"v{r.randint(0, 10**6)}"
+        texts.append(" ".join(w))
+    # texts of one fingerprint that are not alike
+    texts += ["a b c " * 40 + "p q", "a b c " * 40 + " ".join(f"z{i}" for i in range(60))]
+    fps, sets = [brute_fp(t) for t in texts], [simhash.shingle_set(t, 5) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (fps[i] ^ fps[j]).bit_count() <= 11 and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.deduplicate(df).collect()) == sorted({find(i) for i in range(len(texts))})
