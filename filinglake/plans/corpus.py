@@ -162,7 +162,7 @@ def k_of_n_mask(spark, sf):
 
 def table_depth(spark, sf):
     """Nesting depth at each line: starts so far less the ends before."""
-    lines = docs_of(spark, sf).filter("doc_id % 2 = 0").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = docs_of(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     w = Window.partitionBy("doc_id").orderBy("pos")
     start, end = F.col("line").contains("a").cast("int"), F.col("line").contains("e").cast("int")
     d = lines.withColumn("depth", F.sum(start).over(w) - F.coalesce(F.sum(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -171,9 +171,10 @@ def table_depth(spark, sf):
 
 def line_boundaries(spark, sf):
     """Character positions behind newlines, as an array."""
-    parts = F.split("text", "\n")
-    ends = F.aggregate(parts, F.struct(F.lit(-1).alias("p"), F.array().cast("array<int>").alias("o")), lambda a, x: F.struct((a["p"] + F.length(x) + 1).alias("p"), F.concat(a["o"], F.array(a["p"] + F.length(x) + 1)).alias("o")), lambda a: a["o"])
-    return docs_of(spark, sf).filter("n_chars < 3000").select("doc_id", F.size(ends).alias("n"), F.array_join(ends, ",").alias("bounds"))
+    lines = docs_of(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    ends = lines.select("doc_id", "pos", (F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("pos")) - 1).cast("int").alias("end"))
+    held = F.transform(F.array_sort(F.collect_list(F.struct("pos", "end"))), lambda x: x["end"])
+    return ends.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n"), F.array_join(held, ",").alias("bounds"))
 
 
 def moving_average(spark, sf):
