@@ -66,10 +66,8 @@ def statuses(spark, sf):
 
 def fetch_status_rollup(spark, sf):
     """Pages in use and in all of each domain, and whether it must be fetched (again)."""
-    e = statuses(spark, sf).filter("event_id % 40 = 0")
-    known = e.groupBy("domain").agg(F.count_if(F.col("status").rlike("^(ok|skipped)")).alias("n_ok"), F.count(F.lit(1)).alias("n"), F.bool_or(F.col("status").rlike("^(ok|skipped)")).alias("usable"))
-    every = statuses(spark, sf).select("domain").distinct()
-    return every.join(known, "domain", "left").select("domain", F.coalesce("n_ok", F.lit(0)).alias("n_ok"), F.coalesce("n", F.lit(0)).alias("n"), (~F.coalesce("usable", F.lit(False))).alias("needs_fetch"))
+    known = statuses(spark, sf).groupBy("domain").agg(F.count_if(F.col("status").rlike("^(ok|skipped)")).alias("n_ok"), F.count(F.lit(1)).alias("n"), F.bool_or(F.col("status").rlike("^(ok|skipped)")).alias("usable"))
+    return known.select("domain", "n_ok", "n", (~F.col("usable")).alias("needs_fetch"))
 
 
 def outcome_counts(spark, sf):
@@ -144,8 +142,8 @@ def filing_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", sites.filing_text()(F.col("html")).alias("s")).select("page_id", "s.text", F.size("s.tables").alias("n_tables"))
 
 
-def _sample_tables(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderkey % 10 = 0")
+def _order_tables(spark, sf):
+    o = table(spark, sf, "orders")
     html = F.concat(F.lit("<table><tr><th colspan=2>Total</th><th>$</th></tr><tr><td rowspan='2'>"), "o_orderkey", F.lit("</td><td>$ ("), "o_custkey", F.lit("</td><td>) %</td></tr><tr><td>"), "o_totalprice", F.lit("</td></tr></table>"))
     return o.select("o_orderkey", html.alias("html"))
 
@@ -153,12 +151,12 @@ def _sample_tables(spark, sf):
 def table_grid(spark, sf):
     """(row, col, content) of every cell of a table under its spans."""
     ship_package(spark)
-    return _sample_tables(spark, sf).select("o_orderkey", F.explode(sites.grid()(F.col("html"))).alias("c")).select("o_orderkey", "c.*")
+    return _order_tables(spark, sf).select("o_orderkey", F.explode(sites.grid()(F.col("html"))).alias("c")).select("o_orderkey", "c.*")
 
 
 def table_repair(spark, sf):
     ship_package(spark)
-    return _sample_tables(spark, sf).select("o_orderkey", sites.repaired()(F.col("html")).alias("html"))
+    return _order_tables(spark, sf).select("o_orderkey", sites.repaired()(F.col("html")).alias("html"))
 
 
 PATH = r"regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1)"

@@ -29,3 +29,18 @@ def test_table_depth_of_every_document(spark):
             ends += "e" in x
         want[i] = (max(depths), min(depths), len(depths))
     assert {r.doc_id: (r.max_depth, r.min_depth, r.n_lines) for r in catalogue.QUERIES["table_depth"](spark, SF).collect()} == want
+
+
+def test_tables_of_every_order(spark):
+    keys = {r.o_orderkey for r in table(spark, SF, "orders").select("o_orderkey").collect()}
+    assert {r.o_orderkey for r in catalogue.QUERIES["table_grid"](spark, SF).select("o_orderkey").collect()} == keys
+    assert {r.o_orderkey for r in catalogue.QUERIES["table_repair"](spark, SF).select("o_orderkey").collect()} == keys
+
+
+def test_fetch_status_counts_every_event(spark):
+    want = {}
+    for e in table(spark, SF, "events").collect():
+        ok, n = want.get(e.user_id, (0, 0))
+        want[e.user_id] = (ok + (e.event_type in ("view", "click", "signup")), n + 1)
+    got = {r.domain: (r.n_ok, r.n, r.needs_fetch) for r in catalogue.QUERIES["fetch_status_rollup"](spark, SF).collect()}
+    assert got == {d: (ok, n, not ok) for d, (ok, n) in want.items()}
