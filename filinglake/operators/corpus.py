@@ -21,7 +21,7 @@ def explode_pages(docs: DataFrame, id_col: str, text_col: str, mark: str = "####
     return rows.select(id_col, "seq", F.substr(head, F.lit(len(mark) + 1)).alias("url"), F.substr("part", F.length(head) + 2).alias("content"))
 
 
-def concat_pages(pages: DataFrame, key: str, order: str, url: str, content: str, mark: str = "########## ") -> DataFrame:
+def concat_pages(pages: DataFrame, key: str | list[str], order: str, url: str, content: str, mark: str = "########## ") -> DataFrame:
     """One text a key: each page's separator line and content, in order."""
     page = F.concat(F.lit(mark), F.col(url), F.lit("\n"), F.col(content))
     held = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), page.alias("t"))))

@@ -69,9 +69,13 @@ def page_explode(spark, sf):
     return corpus.explode_pages(t, "doc_id", "text")
 
 
+PIECE = 1000  # ids a piece of a source's text
+
+
 def page_concat(spark, sf):
-    pages = docs_of(spark, sf).select("source", "doc_id", F.concat(F.lit("http://d/"), F.col("doc_id")).alias("url"), F.substring("text", 1, 40).alias("content"))
-    return corpus.concat_pages(pages, "source", "doc_id", "url", "content")
+    """Whole pages of each source in order of ids, in ordered pieces, so that no row holds a whole source."""
+    pages = docs_of(spark, sf).select("source", F.floor(F.col("doc_id") / PIECE).alias("piece"), "doc_id", F.concat(F.lit("http://d/"), F.col("doc_id")).alias("url"), F.col("text").alias("content"))
+    return corpus.concat_pages(pages, ["source", "piece"], "doc_id", "url", "content")
 
 
 def density_expected(spark, sf):

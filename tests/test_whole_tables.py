@@ -1,4 +1,4 @@
-from filinglake.plans import catalogue
+from filinglake.plans import catalogue, corpus
 from filinglake.session import table
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +44,12 @@ def test_fetch_status_counts_every_event(spark):
         want[e.user_id] = (ok + (e.event_type in ("view", "click", "signup")), n + 1)
     got = {r.domain: (r.n_ok, r.n, r.needs_fetch) for r in catalogue.QUERIES["fetch_status_rollup"](spark, SF).collect()}
     assert got == {d: (ok, n, not ok) for d, (ok, n) in want.items()}
+
+
+def test_page_concat_keeps_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "PIECE", 50)
+    held = {}
+    for r in table(spark, SF, "documents").collect():
+        held.setdefault((r.source, r.doc_id // 50), []).append((r.doc_id, r.text))
+    got = {(r.source, r.piece): (r.text, r.n_pages) for r in catalogue.QUERIES["page_concat"](spark, SF).collect()}
+    assert got == {s: ("\n".join(f"########## http://d/{i}\n{t}" for i, t in sorted(x)), len(x)) for s, x in held.items()}
