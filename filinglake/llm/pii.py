@@ -8,7 +8,11 @@ Feistel network under the key (walking its cycle until it falls inside the
 format again), and the new number is written in the old layout, separators and
 case included, with check digits made right. The permutation depends on key
 and kind alone, so equal values stay equal across documents and different ones
-stay different, and the holder of the key can undo it.
+stay different, and the holder of the key can undo it. A card or IBAN candidate
+that fails may have taken in a neighbour (an expiry date, a count, a word): its
+shorter readings in whole groups are tried, the longest first, and the search
+goes on with its next group. Undoing is exact unless a longer reading beside a
+neighbour happens to prove valid after the replacement.
 
 Null texts stay null with a count of 0, texts without a digit or an @ are
 untouched, invalid look-alikes are left alone, repeated rows are treated
@@ -43,6 +47,12 @@ CANDIDATE = re.compile(
     re.VERBOSE | re.ASCII,
 )
 HINT = re.compile(r"[0-9@]")
+#: Groups of the kinds whose candidates may take in a neighbour, what joins groups, and what a reading looks like.
+GROUPS = {"card": re.compile(r"[0-9]+"), "iban": re.compile(r"[A-Z0-9]+")}
+JOINED = {"card": re.compile(r"(?:[0-9]+[ -])*"), "iban": re.compile(r"(?:[A-Z0-9]+ )*")}
+READINGS = {"card": re.compile(r"(?:[0-9][ -]?){12,18}[0-9]"), "iban": re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")}
+#: Lengths of shortened readings of IBANs; other countries pass by their check digits alone.
+IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SK": 24}
 
 
 class Feistel:
@@ -219,23 +229,46 @@ class Pseudonymiser:
     def replace(self, text: str | None) -> tuple[str | None, int]:
         if not text or not HINT.search(text):
             return text, 0
-        n = 0
-
-        def one(m: re.Match) -> str:
-            nonlocal n
-            kind, s = m.lastgroup or next(k for k, v in m.groupdict().items() if v), m[0]
-            known = (kind, s)
-            if known not in self.known:
-                if len(self.known) > 100_000:
-                    self.known.clear()
-                self.known[known] = getattr(self, kind)(s)
-            new = self.known[known]
+        n, pos, done, out = 0, 0, 0, []
+        while m := CANDIDATE.search(text, pos):
+            kind = m.lastgroup or next(k for k, v in m.groupdict().items() if v)
+            start, end = m.span()
+            new = self._new(kind, m[0])
+            if new is None and kind in GROUPS:
+                start, end, new = self._shorter(kind, text, start, end)
             if new is None:
-                return s
-            n += 1
-            return new
+                pos = end
+                continue
+            out += [text[done:start], new]
+            n, pos, done = n + 1, end, end
+        return "".join([*out, text[done:]]), n
+
+    def _new(self, kind: str, s: str) -> str | None:
+        known = (kind, s)
+        if known not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[known] = getattr(self, kind)(s)
+        return self.known[known]
+
+    def _shorter(self, kind: str, text: str, start: int, end: int) -> tuple[int, int, str | None]:
+        """The first valid reading of a failed candidate in whole groups, or the place to search on from: its next group."""
+        while True:
+            for stop in reversed([g.end() for g in GROUPS[kind].finditer(text, start, start + 48) if self._joined(kind, text, start, g.start())]):
+                s = text[start:stop]
+                if READINGS[kind].fullmatch(s) and IBAN_LENGTHS.get(s[:2], len(s.replace(" ", ""))) == len(s.replace(" ", "")) and (new := self._new(kind, s)) is not None:
+                    return start, stop, new
+            after = GROUPS[kind].search(text, start).end() + 1
+            if after >= end:
+                return end, end, None
+            if text[after - 1] != "-" or CANDIDATE.match(text, after):
+                return after, after, None
+            start = after  # CANDIDATE takes no card behind a dash
 
-        return CANDIDATE.sub(one, text), n
+    @staticmethod
+    def _joined(kind: str, text: str, start: int, at: int) -> bool:
+        """Whether single separators alone join the groups from ``start`` to ``at``."""
+        return JOINED[kind].fullmatch(text, start, at) is not None
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", undo: bool = False) -> DataFrame:

@@ -90,3 +90,30 @@ def test_whole_table_round_trip(spark):
             assert v not in r.text
     back = {r.doc_id: r.text for r in pii.pseudonymise(out, Q.PII_KEY, undo=True).collect()}
     assert back == docs
+
+
+@pytest.mark.parametrize(
+    "text,value",
+    [
+        ("4111 1111 1111 1111 12/26", "4111 1111 1111 1111"),
+        ("4111111111111111 123", "4111111111111111"),
+        ("4111111111111111-123", "4111111111111111"),
+        ("12 4111111111111111", "4111111111111111"),
+        ("12-4111111111111111", "4111111111111111"),
+        ("pay GB82 WEST 1234 5698 7654 32 FOR", "GB82 WEST 1234 5698 7654 32"),
+        ("NO93 8601 1117 947 FOR", "NO93 8601 1117 947"),
+        ("BE68 5390 0754 7034 FOR", "BE68 5390 0754 7034"),
+        ("AB13 BE68 5390 0754 7034 NOW", "BE68 5390 0754 7034"),
+        ("12 123-45-6789 1234567", "123-45-6789"),
+    ],
+)
+def test_neighbours_do_not_hide_a_value(text, value):
+    new, n = P.replace(text)
+    before, after = text.split(value)
+    assert n == 1 and value not in new and new.startswith(before) and new.endswith(after) and len(new) == len(text)
+
+
+def test_failed_candidates_are_left_alone_in_linear_time():
+    text = " ".join(["1"] * 50_000)
+    assert pii.Pseudonymiser(b"k").replace("4111 1111 1111 1112 12/26") == ("4111 1111 1111 1112 12/26", 0)
+    assert len(pii.Pseudonymiser(b"k").replace(text)[0]) == len(text)
