@@ -18,9 +18,11 @@ named are read.
 
 from __future__ import annotations
 
+import math
 import string
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +71,14 @@ def templates(paths: DataFrame, max_depth: int = 8, max_children: int = 12) -> D
     return tree.withColumn("template", F.concat("template", rest)).drop("__segs")
 
 
+def differ(good: int, bad: int, g: int, b: int, host_purity: float, strength: float, z: float) -> bool:
+    """Whether a template's purity lies significantly over that of the branch with the pooled counts ``g`` and ``b``."""
+    w, v = good + bad + strength, g + b + strength
+    p, q = (good + strength * host_purity) / w, (g + strength * host_purity) / v
+    pool = (p * w + q * v) / (w + v)
+    return p - q > z * math.sqrt(max(pool * (1 - pool), 0.0) * (1 / w + 1 / v))
+
+
 def merged(tree: DataFrame, strength: float = 4.0, z: float = 1.96) -> DataFrame:
     """One row a (host, template): branch (merged with its like) and smoothed purity."""
     leaves = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
@@ -79,13 +89,32 @@ def merged(tree: DataFrame, strength: float = 4.0, z: float = 1.96) -> DataFrame
     smooth = lambda g, b: (g + strength * F.col("host_purity")) / (g + b + strength)
     shape = F.regexp_replace("template", r"/[^/*]+(?=/|$)", "/+")
     leaves = leaves.join(hosts, "host").withColumn("shape", shape)
-    leaves = leaves.withColumn("p", smooth(F.col("good"), F.col("bad"))).withColumn("w", F.col("good") + F.col("bad") + strength)
-    # siblings of one shape: at most max_children of them under each parent
-    order = Window.partitionBy("host", "shape").orderBy("p", "template")
-    q, v = F.lag("p").over(order), F.lag("w").over(order)
-    pooled = (F.col("p") * F.col("w") + q * v) / (F.col("w") + v)
-    differs = F.coalesce((F.col("p") - q) > z * F.sqrt(pooled * (1 - pooled) * (1 / F.col("w") + 1 / v)), F.lit(False))
-    leaves = leaves.withColumn("__new", differs.cast("int")).withColumn("branch", F.sum("__new").over(order))
+    leaves = leaves.withColumn("p", smooth(F.col("good"), F.col("bad")))
+    # labelled templates in order of purity: each joins the branch before it or starts the next one
+    fields = "host string, template string, shape string, good long, bad long, host_purity double, branch long"
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, branch, g, b = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if (r["host"], r["shape"]) != family:
+                    family, branch, g, b = (r["host"], r["shape"]), 0, 0, 0
+                elif differ(r["good"], r["bad"], g, b, r["host_purity"], strength, z):
+                    branch, g, b = branch + 1, 0, 0
+                g, b = g + r["good"], b + r["bad"]
+                out.append(branch)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(out, pa.int64())], [f.split()[0] for f in fields.split(", ")])
+
+    labelled = F.col("good") + F.col("bad") > 0
+    ordered = leaves.filter(labelled).repartition("host", "shape").sortWithinPartitions("host", "shape", "p", "template")
+    walked = staged(ordered.select("host", "template", "shape", "good", "bad", "host_purity").mapInArrow(walk, fields), "url-branches")
+    # a template without labels takes the branch nearest to the host's purity and adds nothing to it
+    pooled = walked.groupBy("host", "shape", "branch").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"), F.first("host_purity").alias("host_purity"))
+    off = F.abs(smooth(F.col("g"), F.col("b")) - F.col("host_purity"))
+    nearest = pooled.groupBy("host", "shape").agg(F.min_by("branch", F.struct(off.alias("o"), "branch")).alias("branch"))
+    silent = leaves.filter(~labelled).join(nearest, ["host", "shape"], "left").select("host", "template", "shape", "good", "bad", "host_purity", F.coalesce("branch", F.lit(0)).cast("long").alias("branch"))
+    leaves = walked.union(silent)
     branches = leaves.groupBy("host", "shape", "branch").agg(F.sum("good").alias("__g"), F.sum("bad").alias("__b"), F.first("host_purity").alias("host_purity"))
     purity = branches.select("host", "shape", "branch", smooth(F.col("__g"), F.col("__b")).alias("purity"))
     return leaves.select("host", "template", "shape", "branch").join(purity, ["host", "shape", "branch"])

@@ -117,3 +117,12 @@ def test_whole_table(spark):
         if m and int(m[1]) in lab:
             labels[p.page_id] = lab[int(m[1])]
     same(Q.op3_url_templates(spark, SF).collect(), brute([(p.page_id, p.url) for p in pages], labels))
+
+
+def test_an_unlabelled_template_does_not_bridge(spark):
+    rows = [("h", f"/{t}", f"/{t}", 10, g, b) for t, g, b in (("bad", 0, 10), ("none", 0, 0), ("good", 10, 0))]
+    steps = [("s", f"/t{i:02d}", f"/t{i:02d}", 40, 2 * i, 40 - 2 * i) for i in range(21)]
+    tree = spark.createDataFrame(rows + steps, "host string, path string, template string, n long, good long, bad long")
+    got = {r.template: r.purity for r in U.merged(tree).collect()}
+    assert got["/bad"] < 0.5 < got["/good"]
+    assert got["/t00"] < 0.3 and got["/t20"] > 0.7
