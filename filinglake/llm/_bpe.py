@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from itertools import islice
 
 import numpy as np
@@ -30,73 +29,60 @@ class ChunkEncoder:
     """Ids of whole texts; ``memo_items`` bounds the memo, whose older half goes when it is full."""
 
     LONGEST = 48  # longer chunks are encoded but not remembered
-    PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str, memo_items: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.model = self.tok.model
-        vocab = self.tok.get_vocab(with_added_tokens=False)
-        self.byte_len = np.zeros(max(vocab.values(), default=0) + 2, dtype=np.int64)
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        added = {i: t.content for i, t in self.tok.get_added_tokens_decoder().items()}
+        #: Texts that hold an added token are encoded whole: the library cuts it out before anything else.
+        self.added = re.compile("|".join(map(re.escape, sorted(added.values(), key=len, reverse=True)))) if added else None
+        size = max(vocab.values(), default=0) + 2
+        self.byte_len, self.spaced = np.zeros(size, np.int64), np.zeros(size, bool)
         for piece, i in vocab.items():
-            self.byte_len[i] = len(piece)  # one character of a byte-level piece stands for one byte
-        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in kept]
-        self.letters = {b: 256 + i for i, b in enumerate(rest)}  # byte-level alphabet of the bytes that move
+            self.byte_len[i] = len(added[i].encode()) if i in added else len(piece)  # one character of a byte-level piece stands for one byte
+            self.spaced[i] = i not in added and piece[:1] == "\u0120"  # the byte-level letter of a space
         self.memo_items = memo_items
         self.memo: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _one(self, chunk: str) -> bytes | None:
-        """Ids of a chunk behind a space; None if it has white space at an end."""
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+    def _learn(self, chunks: list[str]) -> dict[str, bytes] | None:
+        """Ids of chunks, each behind a space, by one call; None if one has white space at an end.
+
+        Inside a chunk is no space, so its ids begin at the one piece that opens with a space.
+        """
+        if any(not c or c[0].isspace() or c[-1].isspace() for c in chunks):
+            return None
+        ids = self._ids(" " + " ".join(chunks))
+        at = np.flatnonzero(self.spaced[ids])
+        if len(at) != len(chunks):
             return None
-        core = chunk.rstrip(self.PUNCTUATION)
-        if not core.isalpha() or max(core) >= "\u0250":
-            found = self._ids(" " + chunk).tobytes()
-        elif len(core) < len(chunk) and (known := self.memo.get(core)):
-            found = known + self._tail(chunk[len(core) :])
-        else:  # Latin letters are one pre-token, which the library's model merges as it stands
-            piece = (" " + core).encode().decode("latin-1").translate(self.letters)
-            found = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
-            if len(core) < len(chunk):
-                if len(core) <= self.LONGEST:
-                    self.memo[core] = found
-                found += self._tail(chunk[len(core) :])
-        if len(chunk) <= self.LONGEST:
-            self.memo[chunk] = found
-            if len(self.memo) > self.memo_items:
-                self.memo = dict(islice(self.memo.items(), self.memo_items // 2, None))
+        cuts, raw = [*(4 * at).tolist(), 4 * len(ids)], ids.tobytes()
+        found = {c: raw[a:b] for c, a, b in zip(chunks, cuts, cuts[1:])}
+        self.memo |= {c: b for c, b in found.items() if len(c) <= self.LONGEST}
+        if len(self.memo) > self.memo_items:
+            self.memo = dict(islice(self.memo.items(), len(self.memo) - self.memo_items // 2, None))
         return found
 
-    def _tail(self, marks: str) -> bytes:
-        if marks not in self.tails:
-            if len(self.tails) > 10_000:
-                self.tails = {"": b""}
-            self.tails[marks] = self._ids(marks).tobytes()
-        return self.tails[marks]
-
     def _all(self, parts: list[str]) -> list[bytes] | None:
         found = list(map(self.memo.get, parts))
         if None in found:
-            for i, b in enumerate(found):
-                if b is None:
-                    b = self.memo.get(parts[i]) or self._one(parts[i])
-                    if b is None:
-                        return None
-                    found[i] = b
+            new = self._learn(list(dict.fromkeys(p for p, b in zip(parts, found) if b is None)))
+            if new is None:
+                return None
+            found = [new[p] if b is None else b for p, b in zip(parts, found)]
         return found
 
     def encode(self, text: str) -> np.ndarray:
         """uint32 ids of the whole text, the same as the library's for that text."""
         if not text:
             return np.zeros(0, dtype="<u4")
+        if self.added is not None and self.added.search(text):
+            return self._ids(text)
         first, *rest = text.split(" ")
         last = b""
         found = self._all(rest) if first and not first[-1].isspace() else None

@@ -2,15 +2,17 @@
 
 A file holds data frames of at most ``FRAME_IDS`` little-endian uint32 ids,
 each an independent zstandard frame; then a skippable frame with the
-document index (ids and lengths of the file's documents); then the seek
+document index (ids, lengths and null marks of the file's documents); then the seek
 table of the public seekable format: one entry a frame (compressed size,
 size, low 32 bits of the XXH64 of the content) and a footer. A reader fetches
 the tail of the file, finds a document in the index and decompresses only the
 frames that it touches; a plain zstandard reader skips both tables.
 
 Null texts count as empty; a document without text is its end id alone.
-Documents go out in ascending id, null ids first; repeated rows stay, in the
-order of their texts. Extra columns are ignored. An empty table makes no file.
+Documents go out in ascending id, null ids first; rows of equal id stay, in the
+order of a hash of their texts, so that they can be dealt to several files.
+Very long texts go out frame by frame. Extra columns are ignored. An empty
+table makes no file.
 """
 
 from __future__ import annotations
@@ -33,9 +35,7 @@ FRAME_IDS = 1 << 16
 INDEX_MAGIC = 0x184D2A50  # first of the skippable-frame magics
 SEEK_MAGIC = 0x184D2A5E
 FOOTER_MAGIC = 0x8F92EAB1
-NULL_ID = -(1 << 63)
-
-MANIFEST = "file string, first_id long, n_docs long, n_ids long, n_bytes long"
+MANIFEST = "file string, first_id long, first_hash long, n_docs long, n_ids long, n_bytes long"
 
 
 def _fs(uri: str):
@@ -56,6 +56,7 @@ class TokenFileWriter:
         self.held_ids = 0
         self.entries: list[tuple[int, int, int]] = []
         self.docs: list[int] = []
+        self.nulls: list[bool] = []
         self.lengths: list[int] = []
         self.n_bytes = 0
 
@@ -71,7 +72,8 @@ class TokenFileWriter:
         self.entries.append((len(packed), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append(NULL_ID if doc_id is None else doc_id)
+        self.docs.append(doc_id or 0)
+        self.nulls.append(doc_id is None)
         self.lengths.append(len(ids))
         raw = ids.astype("<u4", copy=False).tobytes()
         room = FRAME_IDS - self.held_ids
@@ -86,7 +88,7 @@ class TokenFileWriter:
     def close(self) -> None:
         if self.held:
             self._frame(b"".join(self.held))
-        index = self.zip.compress(np.array(self.docs, "<i8").tobytes() + np.array(self.lengths, "<u8").tobytes())
+        index = self.zip.compress(np.array(self.docs, "<i8").tobytes() + np.array(self.lengths, "<u8").tobytes() + bytes(self.nulls))
         self._put(struct.pack("<II", INDEX_MAGIC, len(index)) + index)
         table = b"".join(struct.pack("<III", *e) for e in self.entries)
         self._put(struct.pack("<II", SEEK_MAGIC, len(table) + 9) + table + struct.pack("<IBI", len(self.entries), 0x80, FOOTER_MAGIC))
@@ -108,9 +110,9 @@ class TokenFileReader:
         self.frame_ids = np.concatenate([[0], np.cumsum(self.entries[:, 1] // 4)])
         begin = int(self.starts[-1])
         raw = self.unzip.decompress(self._read(begin + 8, at - begin - 8))
-        half = len(raw) // 16
-        self.doc_ids = np.frombuffer(raw, "<i8", half)
-        self.lengths = np.frombuffer(raw, "<u8", half, 8 * half).astype(np.int64)
+        n = len(raw) // 17  # bytes of a document: id, length, null mark
+        self.doc_ids = [None if null else i for i, null in zip(np.frombuffer(raw, "<i8", n).tolist(), raw[16 * n :])]
+        self.lengths = np.frombuffer(raw, "<u8", n, 8 * n).astype(np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
 
     def _read(self, at: int, n: int) -> bytes:
@@ -148,8 +150,8 @@ class TokenFileReader:
                 held = (f, self.frame(f))
             return held[1]
 
-        for k, d in enumerate(self.doc_ids.tolist()):
-            yield None if d == NULL_ID else d, int(self.offsets[k]), self.pieces(k, load)
+        for k, d in enumerate(self.doc_ids):
+            yield d, int(self.offsets[k]), self.pieces(k, load)
 
 
 def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, eos_id: int = 2) -> DataFrame:
@@ -169,10 +171,10 @@ def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
         fs.create_dir(root, recursive=True)
         name, sink, out, total = f"{uuid.uuid4().hex}.zst", None, None, 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if out is None:
                     sink = fs.open_output_stream(posixpath.join(root, name), compression=None)
-                    out, first = TokenFileWriter(sink), doc_id
+                    out, first, first_mark = TokenFileWriter(sink), doc_id, mark
                 ids = np.concatenate([enc.encode(text.as_py() or ""), end])
                 total += len(ids)
                 out.add(doc_id, ids)
@@ -180,11 +182,12 @@ def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
             out.close()
             sink.close()
             yield pa.RecordBatch.from_pydict(
-                {"file": [name], "first_id": pa.array([first], pa.int64()), "n_docs": pa.array([len(out.docs)], pa.int64()), "n_ids": pa.array([total], pa.int64()), "n_bytes": pa.array([out.n_bytes], pa.int64())}
+                {"file": [name], "first_id": pa.array([first], pa.int64()), "first_hash": pa.array([first_mark], pa.int64()), "n_docs": pa.array([len(out.docs)], pa.int64()), "n_ids": pa.array([total], pa.int64()), "n_bytes": pa.array([out.n_bytes], pa.int64())}
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    dealt = rows.repartitionByRange(F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), "_text")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_mark"), F.col(text_col).alias("_text"))
+    order = [F.col("_id").asc_nulls_first(), F.col("_mark")]  # the hash deals rows without an id to many files
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, "_text")
     files = staged(dealt.mapInArrow(encode, MANIFEST), "token-manifest")
     return files.withColumn("path", F.lit(path))
 
@@ -196,7 +199,7 @@ def read(manifest: DataFrame) -> DataFrame:
     over files, not documents.
     """
     spark = manifest.sparkSession
-    before = Window.orderBy(F.col("first_id").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_hash", "file").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
     width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

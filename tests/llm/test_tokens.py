@@ -1,9 +1,12 @@
+import random
 import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from filinglake.llm import _bpe, token_counts, token_io
+from filinglake.llm import queries as Q
 
 TEXTS = [
     (3, "The cat sat.\nOn the mat, it's 12.5%!"),
@@ -24,24 +27,59 @@ def enc():
     return _bpe.ChunkEncoder(_bpe.default_tokenizer())
 
 
-@pytest.mark.parametrize("text", [t for _, t in TEXTS if t] + ["a \n b", "\n", "x\x1c y", "  ", "don't  I'll", "a  b", "x" * 300])
-def test_chunks_encode_as_the_whole(enc, text):
-    assert enc.encode(text).tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+@pytest.fixture(scope="module")
+def lib():
+    """The library as it comes, to compare with."""
+    return Tokenizer.from_file(_bpe.default_tokenizer())
+
+
+@pytest.mark.parametrize("text", [t for _, t in TEXTS if t] + ["a \n b", "\n", "x\x1c y", "  ", "don't  I'll", "a  b", "x" * 300, "a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> <|endoftext|>\n"])
+def test_chunks_encode_as_the_whole(enc, lib, text):
+    ids = enc.encode(text)
+    assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert enc.ends(ids)[-1] == len(text.encode())
+
+
+def test_odd_strings_encode_as_the_library(enc, lib):
+    r = random.Random(3)
+    small = _bpe.ChunkEncoder(_bpe.default_tokenizer(), memo_items=40)
+    parts = ["a", "the", " ", "  ", "\n", "\t", "<|endoftext|>", "é", "\u2003", "\u3000", "1", "23", ",", "'s", "'ll", "\x1c", "\x85", "x" * 60, "😀", "Ġ", "Ċ", "|>", "<|", "ñandú", "İ", "\xa0"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 14)))
+        want = lib.encode(text, add_special_tokens=False).ids
+        assert enc.encode(text).tolist() == want and small.encode(text).tolist() == want, repr(text)
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01"])
+def test_whole_tables_as_the_library_gives_them(spark, lib, sf):
+    """op1 and op9 on every document, against the library's ids and offsets."""
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    encoded = lib.encode_batch([t for _, t in docs], add_special_tokens=False)
+    want, counts, start = [], {}, 0
+    for (i, t), e in zip(docs, encoded):
+        ids = [*e.ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+        line_of = np.cumsum([0] + [c == "\n" for c in t])
+        for a, _ in e.offsets:
+            counts[(i, int(line_of[a]))] = counts.get((i, int(line_of[a])), 0) + 1
+    assert sorted(map(tuple, Q.op9_token_ids(spark, sf).collect())) == want
+    assert {(r.doc_id, r.section): r.n_tokens for r in Q.op1_token_counts(spark, sf).collect() if r.n_tokens} == counts
 
 
-def test_memo_stays_bounded_and_right():
+def test_memo_stays_bounded_and_right(lib):
     small = _bpe.ChunkEncoder(_bpe.default_tokenizer(), memo_items=20)
     text = " ".join(f"w{'abcdefghij'[i % 10]}{'klmnop'[i % 6]}, x" for i in range(300))
-    assert small.encode(text).tolist() == small.tok.encode(text, add_special_tokens=False).ids
+    assert small.encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids
     assert len(small.memo) <= 21
 
 
-def test_round_trip(spark, enc):
+def test_round_trip(spark, lib):
     docs = spark.createDataFrame([(i, t, "x") for i, t in TEXTS], SCHEMA + ", start string")
     got = sorted(map(tuple, token_io.read(token_io.write(docs, eos_id=2)).collect()), key=lambda r: r[1])
     want, start = [], 0
     for i, t in sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0)):
-        ids = [*enc.tok.encode(t or "", add_special_tokens=False).ids, 2]
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == want
@@ -91,9 +129,15 @@ def test_empty_tables(spark):
     assert token_counts.token_counts(docs).collect() == []
 
 
-def brute_counts(enc, text):
+def test_ids_of_every_kind_come_back(spark):
+    rows = [(i, "x") for i in (-(1 << 63), (1 << 63) - 1, 0, None, None)]
+    got = token_io.read(token_io.write(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None, None, -(1 << 63), 0, (1 << 63) - 1]
+
+
+def brute_counts(lib, text):
     """Tokens by the line of their first character, from the library's own offsets."""
-    e = enc.tok.encode(text, add_special_tokens=False)
+    e = lib.encode(text, add_special_tokens=False)
     line_of = np.cumsum([0] + [c == "\n" for c in text])
     out = {}
     for a, _ in e.offsets:
@@ -101,14 +145,14 @@ def brute_counts(enc, text):
     return out
 
 
-def test_counts_by_line_match_the_offsets(spark, enc):
+def test_counts_by_line_match_the_offsets(spark, lib):
     docs = spark.createDataFrame(TEXTS, SCHEMA)
     rows = token_counts.token_counts(docs).collect()
     for i, t in TEXTS:
         if i in (None, 7):
             continue
         got = {r.section: r.n_tokens for r in rows if r.doc_id == i and r.n_tokens}
-        assert got == brute_counts(enc, t or "")
+        assert got == brute_counts(lib, t or "")
     assert sum(r.doc_id is None for r in rows) == 1
     assert sum(r.doc_id == 7 for r in rows) == 6
 
