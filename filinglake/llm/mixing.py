@@ -8,9 +8,11 @@ exploded by their counts and dealt out by a hash of (seed, id, copy), which
 shuffles the whole output.
 
 A null source is a source of its own; sources without a stated weight have
-``default_weight``; weights at or below 0 remove a source. Null ids share one
-uniform number. Repeated rows get equal counts. Empty tables give empty
-results. Input columns named copy, rate or shuffle_key are replaced.
+``default_weight``; weights at or below 0 remove a source. A row without an id
+goes by a digest of its text. Rows of equal id get equal counts. Null, empty
+and very long texts are moved as they are. Empty tables give empty results.
+Input columns named copy, rate or shuffle_key are replaced where those are
+asked for, and kept otherwise.
 """
 
 from __future__ import annotations
@@ -61,16 +63,19 @@ def _key(source_col: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
 
 
-def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", default_weight: float = 1.0, target_rows: int | None = None, seed: int = 42) -> DataFrame:
-    """Replicated and shuffled documents: the input's columns, copy (from 0), rate and shuffle_key."""
+def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", default_weight: float = 1.0, target_rows: int | None = None, seed: int = 42, text_col: str = "text", figures: bool = True) -> DataFrame:
+    """Replicated and shuffled documents: the input's columns and, with ``figures``, copy (from 0), rate and shuffle_key."""
     rates = source_rates(docs, weights, source_col, default_weight, target_rows)
     # a row a source: adaptive execution broadcasts it if its measured size allows, else joins by shuffle
     joined = docs.withColumn("__source", _key(source_col)).join(rates.select("__source", F.col("rate").alias("__rate"), F.col("draws").alias("__draws"), F.col("cdf").alias("__cdf")), "__source")
-    draw = lambda j: F.size(F.filter(F.col("__cdf"), lambda c: c < uniform(F.lit(seed), F.col(id_col), j)))
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null-"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+    draw = lambda j: F.size(F.filter(F.col("__cdf"), lambda c: c < uniform(F.lit(seed), name, j)))
     one = F.size(F.filter(F.col("__cdf"), lambda c: c < F.col("__u")))
     more = F.aggregate(F.sequence(F.lit(1), F.col("__draws") - 1), F.lit(0), lambda a, j: a + draw(j))
-    counted = joined.withColumn("__u", uniform(F.lit(seed), F.col(id_col), F.lit(0))).withColumn("__n", F.when(F.col("__draws") > 1, one + more).otherwise(one))
-    copies = counted.filter("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"shuffle:{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
-    out = copies.withColumn("rate", F.col("__rate")).drop("__source", "__rate", "__draws", "__cdf", "__u", "__n").withColumn("shuffle_key", key)
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    counted = joined.withColumn("__u", uniform(F.lit(seed), name, F.lit(0))).withColumn("__n", F.when(F.col("__draws") > 1, one + more).otherwise(one))
+    copies = counted.filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"shuffle:{seed}"), name, F.col("__copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+    out = copies.withColumn("__key", key).repartition("__key").sortWithinPartitions("__key")
+    made = {"copy": "__copy", "rate": "__rate", "shuffle_key": "__key"} if figures else {}
+    kept = [F.col(c) for c in docs.columns if c.lower() not in made]
+    return out.select(*kept, *[F.col(c).alias(n) for n, c in made.items()])

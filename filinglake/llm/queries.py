@@ -88,10 +88,10 @@ r AS (SELECT source, (SELECT sum(n) FROM c)::DOUBLE * w / (SELECT sum(w) FROM c)
 k AS (SELECT source, rate, unnest(generate_series(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT)) AS k FROM r),
 p AS (SELECT source, rate, k, exp(-rate + k * ln(rate) - sum(CASE WHEN k = 0 THEN 0 ELSE ln(k) END) OVER (PARTITION BY source ORDER BY k)) AS p FROM k),
 f AS (SELECT source, rate, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p),
-u AS (SELECT *, (('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, 'null') || ':0'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u FROM documents),
+u AS (SELECT *, (('0x' || substr(md5('42:' || name || ':0'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u FROM (SELECT *, coalesce(doc_id::VARCHAR, 'null-' || md5(coalesce(text, ''))) AS name FROM documents)),
 m AS (SELECT u.*, f.rate, f.k AS copy FROM u JOIN f ON u.source IS NOT DISTINCT FROM f.source AND f.cdf < u.u)
 SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, rate,
-  ('0x' || substr(md5('shuffle:42:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy), 1, 15))::BIGINT AS shuffle_key
+  ('0x' || substr(md5('shuffle:42:' || name || ':' || copy), 1, 15))::BIGINT AS shuffle_key
 FROM m"""
 
 _SPACE = r"[ \t\n\x0B\f\r]+"
