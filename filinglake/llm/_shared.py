@@ -1,25 +1,36 @@
-"""Folders and written tables that every executor can see."""
+"""Folders and written tables that every executor can see, and joins that spread hot keys."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+HOT = 1000  # a key with more than one row in so many is hot; there are fewer than HOT such keys
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    found = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(sc._jsc.hadoopConfiguration())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary folder."""
+    """The cluster's ``spark.checkpoint.dir``; only where that is unset on one machine (tests) a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="filinglake-")
         spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
         spark.sparkContext.setCheckpointDir(found)
     # a path without a scheme belongs to the cluster's default file system; Python readers need it spelt out
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(found)
-    full = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    path, fs = _hadoop_path(spark, found)
+    full = fs.makeQualified(path).toString().rstrip("/")
     return "file://" + full[5:] if re.match("file:/(?!/)", full) else full
 
 
@@ -32,4 +43,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    path, fs = _hadoop_path(df.sparkSession, df._staged_at)
+    fs.delete(path, True)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: Column, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key, keys not null), so that no hot key meets in one task.
+
+    ``weight`` is the number of ``rows`` of a key, ``total`` that of all. Keys with over a ``HOT``-th of all
+    are fewer than ``HOT`` rows and are broadcast; the others are shuffled. Both inputs are read twice: stage them.
+    """
+    hot = F.broadcast(table.filter(weight * HOT > total))
+    met = rows.join(hot, list(keys))
+    rest = rows.join(hot.select(*keys), list(keys), "left_anti").join(table.filter(weight * HOT <= total), list(keys), how)
+    return met.select(*rest.columns).union(rest)

@@ -19,7 +19,10 @@ minimum spanning forest of its links by bits, not the links, so that dense
 groups stay linear.
 
 Null texts are empty; texts without a word have fingerprint 0 and link like
-any other. Repeated rows give repeated rows. Null ids never name a component.
+any other; very long texts are hashed in pieces. Repeated rows give repeated
+rows. Null ids never name a component. Of equal least ids, either row does.
+Empty tables give empty results; only the id and the text are read, so further
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filinglake.llm._shared import staged
+from filinglake.llm._shared import spread_join, staged
 from filinglake.llm.components import connected_components
 
 BITS = 64
@@ -308,18 +311,18 @@ def linked_pairs(classes: DataFrame, k: int = 3, block: int = BLOCK, plan: list[
 def near_duplicates(docs: DataFrame, width: int = 3, k: int = 3, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (least id that links reach) of every row."""
     fps = staged(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    classes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    named = components_of(classes, linked_pairs(classes, k, block))
-    out = fps.join(named, "fp")
+    classes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
+    named = staged(components_of(classes, linked_pairs(classes, k, block)), "named")
+    out = spread_join(fps, named, ["fp"], F.col("n"), fps.count())
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def components_of(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """(fp, component_id) of every class (fp, least) under the links."""
+    """(fp, root, component_id, …) of every class (fp, least, …) under the links: the least class and the least id that it reaches."""
     roots = staged(connected_components(links), "roots")
-    least = roots.join(classes, roots.node == classes.fp).groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    return classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    least = roots.join(classes, roots.node == classes.fp).groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    linked = spread_join(roots, staged(least, "least"), ["root"], F.col("size"), roots.count()).select(F.col("node").alias("fp"), "root", "component_id")
+    return classes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"), *[c for c in classes.columns if c != "fp"])
 
 
 def shingle_set(text: str | None, width: int) -> set[bytes]:
@@ -356,21 +359,22 @@ def alike(links: DataFrame, texts: DataFrame, width: int, similarity: float) ->
 
 
 def near_duplicate_classes(docs: DataFrame, k: int = 11, width: int = 3, check_width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(fp, component_id) of every distinct text, named by its hash: texts joined by links at <= k bits whose shingle sets are at least ``similarity`` alike (Jaccard).
+    """(fp, root, component_id, least) of every distinct text, named ``fp`` by its 64-bit hash: texts joined by links at <= k bits whose shingle sets are at least ``similarity`` alike (Jaccard).
 
     The minimum spanning forests and the texts of equal fingerprint are verified first. Then every link between texts that these have not
-    joined is verified, so none is lost; links inside what is joined already change nothing and are not made.
+    joined is verified, so none is lost; links inside what is joined already change nothing and are not made. ``least`` is the least id of a text.
     """
     node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = staged(fingerprints(docs, width, id_col, text_col, node), "fingerprints")
-    nodes = staged(rows.groupBy("fp", "node").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = staged(rows.groupBy("fp", "node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "nodes")
     classes = staged(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")), "classes")
     plan = plan_of(classes, k)
     links = staged(linked_pairs(classes, k, plan=plan), "links")
     ends = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).union(classes.filter("n > 1").select("fp")).distinct()
-    met = staged(nodes.join(ends, "fp", "left_semi").select("fp", "node"), "met")
-    texts = docs.select(node.alias("node"), F.col(text_col).alias("text")).join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    texts = staged(texts, "linked-texts")
+    met = staged(nodes.join(ends, "fp", "left_semi").select("fp", "node", "copies"), "met")
+    wanted = met.groupBy("node").agg(F.sum("copies").alias("copies"))
+    texts = spread_join(docs.select(node.alias("node"), F.col(text_col).alias("text")), wanted, ["node"], F.col("copies"), rows.count())
+    texts = staged(texts.select("node", "text").dropDuplicates(["node"]), "linked-texts")
     heads = classes.select("fp", "head")
     spanning = links.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     same = met.join(heads, "fp").filter(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
@@ -385,14 +389,16 @@ def near_duplicate_classes(docs: DataFrame, k: int = 11, width: int = 3, check_w
     left, right = (labelled.select(F.col("fp").alias(f), F.col("node").alias(n), F.col("lab").alias(m)) for f, n, m in (("a", "x", "p"), ("b", "y", "q")))
     left_over = near.join(left, "a").join(right, "b").filter((F.col("p") != F.col("q")) & ((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))).select(F.col("x").alias("a"), F.col("y").alias("b"))
     checked = staged(passed.union(alike(left_over, texts, check_width, similarity)), "checked")
-    return components_of(nodes.select(F.col("node").alias("fp"), "least"), checked)
+    return components_of(nodes.groupBy(F.col("node").alias("fp")).agg(F.min("least").alias("least")), checked)
 
 
 def deduplicate(docs: DataFrame, k: int = 11, width: int = 3, check_width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near-duplicates: the one of least id, in the input's columns.
 
+    Where that id has several texts in the group, one of them stays; its texts in other groups are judged there.
     Rows without an id are kept; of repeated rows (same id, same text) one stays.
     """
     named = near_duplicate_classes(docs, k, width, check_width, similarity, id_col, text_col)
-    kept = named.select(F.col("component_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col, text_col]).select(*docs.columns).union(docs.filter(F.col(id_col).isNull()))
+    kept = named.filter(F.col("least") == F.col("component_id")).groupBy("component_id", "root").agg(F.min("fp").alias("__node")).select(F.col("component_id").alias(id_col), "__node")
+    node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.withColumn("__node", node).join(kept, [id_col, "__node"], "left_semi").dropDuplicates([id_col, text_col]).select(*docs.columns).union(docs.filter(F.col(id_col).isNull()))
