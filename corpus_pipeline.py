@@ -34,7 +34,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the sources' target weights, in shuffled order."""
-    return mixing.poisson_mix(docs, MIX_WEIGHTS).select(*docs.columns)
+    return mixing.poisson_mix(docs, MIX_WEIGHTS, figures=False)
 
 
 def hilbert_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
