@@ -27,7 +27,7 @@ columns may have any name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,11 +95,16 @@ def group_bits(sample: np.ndarray, m: int) -> list[list[int]]:
     return out
 
 
-def choose_plan(sample: np.ndarray, n: int, k: int, most_groups: int = 8, most_threshold: int = 2) -> list[tuple[list[int], int]]:
-    """[(bits, threshold)] of least estimated cost, by dynamic programming over thresholds for each number of groups."""
+def choose_plan(sample: np.ndarray, n: int, k: int, most_groups: int = 8, most_threshold: int = 2, whole: bool = False) -> list[tuple[list[int], int]]:
+    """[(bits, threshold)] of least estimated cost, by dynamic programming over thresholds for each number of groups.
+
+    With ``whole``, one group of no bits, in which all meet block by block, competes too.
+    """
     from math import comb
 
     best, plan = float("inf"), None
+    if whole:
+        best, plan = n * 2 * -(-n // BLOCK) * ROW_COST + n * n * PAIR_COST, [([], 0)]
     scale = n * n / max(len(sample) ** 2, 1)
     for m in range(1, min(most_groups, k + 1) + 1):
         groups = group_bits(sample, m)
@@ -213,51 +218,64 @@ def forest(index: np.ndarray, probes: np.ndarray | None, k: int) -> list[tuple[i
     return list(zip(signed[x].tolist(), signed[y].tolist()))
 
 
-def every_link(left: np.ndarray, left_lab: np.ndarray, right: np.ndarray, right_lab: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All links at <= k bits between the two sides whose labels differ, the lesser fingerprint first, in bounded pieces."""
-    step = max(1, (1 << 21) // max(len(right), 1))
-    for at in range(0, len(left), step):
-        near = np.bitwise_count(left.view(np.uint64)[at : at + step, None] ^ right.view(np.uint64)[None, :]) <= k
-        rows, cols = np.nonzero(near & (left_lab[at : at + step, None] != right_lab[None, :]))
-        if len(rows):
-            a, b = left[at + rows], right[cols]
-            yield np.minimum(a, b), np.maximum(a, b)
-
+def every_link(left: dict[str, np.ndarray], right: dict[str, np.ndarray], k: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes of all links at <= k bits between the two sides whose labels differ and whose shingle sets may be alike, the lesser first, in bounded pieces.
 
-def plan_of(classes: DataFrame, k: int) -> list[tuple[list[int], int]]:
+    The differing bits of two parity sketches never exceed the shingles that only one of the texts has, so no pair that is alike is left out.
+    """
+    most = (1 - similarity) / (1 + similarity)
+    step = max(1, (1 << 21) // max(len(right["fp"]), 1))
+    for at in range(0, len(left["fp"]), step):
+        near = np.bitwise_count(left["fp"].view(np.uint64)[at : at + step, None] ^ right["fp"].view(np.uint64)[None, :]) <= k
+        rows, cols = np.nonzero(near & (left["lab"][at : at + step, None] != right["lab"][None, :]))
+        for s in range(0, len(rows), 1 << 17):
+            i, j = at + rows[s : s + (1 << 17)], cols[s : s + (1 << 17)]
+            apart = np.bitwise_count(left["sketch"][i] ^ right["sketch"][j]).sum(1, dtype=np.int64)
+            a, b = left["node"][i], right["node"][j]
+            keep = (apart <= most * (left["size"][i] + right["size"][j]) + 1e-6) & (a != b)
+            if keep.any():
+                yield np.minimum(a, b)[keep], np.maximum(a, b)[keep]
+
+
+def plan_of(classes: DataFrame, k: int, whole: bool = False) -> list[tuple[list[int], int]]:
     n = classes.count()
     every = max(1, n // (2 * SAMPLE))  # thinned by hash before any row moves
     rows = classes.select("fp").filter(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).limit(SAMPLE).collect()
-    return choose_plan(np.array([r.fp for r in rows] or [0], dtype=np.int64), max(n, 1), k)
+    return choose_plan(np.array([r.fp for r in rows] or [0], dtype=np.int64), max(n, 1), k, whole=whole)
 
 
-def linked_pairs(classes: DataFrame, k: int = 3, block: int = BLOCK, plan: list[tuple[list[int], int]] | None = None, every: bool = False) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp`` that span the same components as all links at <= k bits.
+def _links(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    With ``every``, all links at <= k bits between rows of different ``lab``; a link comes once from each key in which it is met.
-    """
-    if plan is None:
-        plan = plan_of(classes, k)
-    if not every:
-        classes = classes.select("fp", F.lit(0).cast("long").alias("lab"))
+
+def _array(column: pa.Array) -> np.ndarray:
+    """A column as numpy has it; a row of words a row for sketches."""
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+    return column.to_numpy(zero_copy_only=False)
+
+
+def meetings(rows: DataFrame, plan: list[tuple[list[int], int]], block: int, work: Callable[[dict, dict | None], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Links (a, b) that ``work`` finds where rows (fp and more) meet under a key: it gets the filed rows, and the probing ones where a group has a threshold."""
+    more = rows.columns
     probing = {p for p, (_, t) in enumerate(plan) if t > 0}
-    filed = classes.select("fp", "lab", F.explode(_filed(F.col("fp"), plan)).alias("e")).select("fp", "lab", "e.p", "e.key", "e.probe")
+    filed = rows.select(*more, F.explode(_filed(F.col("fp"), plan)).alias("e")).select(*more, "e.p", "e.key", "e.probe")
     crowded = filed.groupBy("p", "key").count().filter(F.col("count") > block).select("p", "key", F.ceil(F.col("count") / block).cast("int").alias("g"))
     # a crowded key's rows go to a pair of blocks each: row i meets column j; few keys are crowded, and adaptive
     # execution broadcasts them only if their measured size allows
     crowded = staged(crowded, "crowded")
+    two = F.col("p").isin(*probing) if probing else F.lit(False)
     if crowded.limit(1).count():
         dealt = filed.join(crowded, ["p", "key"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
-        own = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
+        own = F.pmod(F.xxhash64("fp", *[c for c in more if c == "node"]), F.col("g")).cast("int")
         others = F.sequence(F.lit(0), F.col("g") - 1)
-        two = F.when(F.col("p").isin(*probing) if probing else F.lit(False), True).otherwise(False)
         as_row = F.transform(others, lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(False).alias("side")))
         as_col = F.transform(others, lambda j: F.struct(j.alias("i"), own.alias("j"), F.lit(True).alias("side")))
         single = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("probe").alias("side")))
         place = F.when(F.col("g") == 1, single).when(two & F.col("probe"), as_col).when(two, as_row).otherwise(F.concat(as_row, as_col))
-        dealt = dealt.withColumn("b", F.explode(place)).select("p", "key", "b.i", "b.j", F.col("b.side").alias("side"), F.when(F.col("g") == 1, F.col("p").isin(*probing) if probing else F.lit(False)).otherwise(True).alias("two"), "fp", "lab")
+        dealt = dealt.withColumn("b", F.explode(place)).select("p", "key", "b.i", "b.j", F.col("b.side").alias("side"), F.when(F.col("g") == 1, two).otherwise(True).alias("two"), *more)
     else:
-        dealt = filed.select("p", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("probe").alias("side"), (F.col("p").isin(*probing) if probing else F.lit(False)).alias("two"), "fp", "lab")
+        dealt = filed.select("p", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("probe").alias("side"), two.alias("two"), *more)
     keys = ["p", "key", "i", "j"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,43 +289,54 @@ def linked_pairs(classes: DataFrame, k: int = 3, block: int = BLOCK, plan: list[
                     yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
                     waiting.clear()
 
-        def group(key, two, side, fp, lab) -> Iterator[pa.RecordBatch]:
-            index = fp[~side]
-            if two and not side.any() or len(index) < (1 if two else 2):
-                return
-            if every:
-                right = side if two else ~side
-                for found in every_link(index, lab[~side], fp[right], lab[right], k):
-                    yield _links(*found)
-            elif links := forest(index, fp[side] if two else None, k):
-                yield _links(*zip(*links))
+        def group(_, two, parts) -> Iterator[pa.RecordBatch]:
+            side, *cols = (np.concatenate(c) for c in zip(*parts))
+            index = {n: c[~side] for n, c in zip(more, cols)}
+            if len(index["fp"]) >= 2 - two and (not two or side.any()):
+                yield from work(index, {n: c[side] for n, c in zip(more, cols)} if two else None)
 
         for b in batches:
             if not b.num_rows:
                 continue
-            p, key, i, j = (b.column(c).to_numpy(zero_copy_only=False) for c in range(4))
-            side, two, fp, lab = (b.column(c).to_numpy(zero_copy_only=False) for c in (4, 5, 6, 7))
+            p, key, i, j, side, two, *cols = map(_array, b.columns)
             change = (p[1:] != p[:-1]) | (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
             starts = [0, *(np.flatnonzero(change) + 1).tolist(), len(p)]
             for s, e in zip(starts, starts[1:]):
-                name = (int(p[s]), int(key[s]), int(i[s]), int(j[s]))
+                name, part = (int(p[s]), int(key[s]), int(i[s]), int(j[s])), [x[s:e] for x in (side, *cols)]
                 if held is not None and held[0] == name:
-                    held = (name, held[1], *(np.concatenate([x, y[s:e]]) for x, y in zip(held[2:], (side, fp, lab))))
+                    held[2].append(part)
                     continue
-                if held is not None and len(held[3]) > 1:
+                if held is not None and (len(held[2]) > 1 or len(held[2][0][0]) > 1):
                     yield from gathered(group(*held))
-                held = (name, bool(two[s]), side[s:e], fp[s:e], lab[s:e])
+                held = (name, bool(two[s]), [part])
         if held is not None:
             yield from gathered(group(*held))
         if waiting:
             yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
 
-    def _links(a, b) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(meet, "a long, b long")
 
 
+def linked_pairs(classes: DataFrame, k: int = 3, block: int = BLOCK, plan: list[tuple[list[int], int]] | None = None) -> DataFrame:
+    """Links (a, b) between distinct fingerprints ``fp`` that span the same components as all links at <= k bits."""
+
+    def spanning(index: dict, probes: dict | None) -> Iterator[pa.RecordBatch]:
+        if links := forest(index["fp"], probes and probes["fp"], k):
+            yield _links(*zip(*links))
+
+    return meetings(classes.select("fp"), plan or plan_of(classes, k), block, spanning)
+
+
+def left_over(labelled: DataFrame, k: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) at <= k bits between the nodes of different ``lab`` that may be alike; rows are (fp, node, lab, size, sketch)."""
+
+    def across(index: dict, probes: dict | None) -> Iterator[pa.RecordBatch]:
+        for found in every_link(index, probes or index, k, similarity):
+            yield _links(*found)
+
+    return meetings(labelled.select("fp", "node", "lab", "size", "sketch"), plan_of(labelled, k, whole=True), block, across).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, k: int = 3, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (least id that links reach) of every row."""
     fps = staged(fingerprints(docs, width, id_col, text_col), "fingerprints")
@@ -332,6 +361,27 @@ def shingle_set(text: str | None, width: int) -> set[bytes]:
     return set(map(b" ".join, zip(*[w[i:] for i in range(width)])))
 
 
+SKETCH = 1024  # bits
+
+
+def sketches(texts: DataFrame, width: int) -> DataFrame:
+    """(node, size, sketch) of texts: the number of different shingles, and the parities of how many fall on each bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            sizes, out = [], []
+            for t in b.column(1):
+                held = shingle_set(t.as_py(), width)
+                at = np.fromiter((xxhash.xxh64_intdigest(x) % SKETCH for x in held), np.int64, len(held))
+                sizes.append(len(held))
+                out.append(np.packbits(np.bincount(at, minlength=SKETCH) % 2 == 1).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], ["node", "size", "sketch"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, size long, sketch binary")
+
+
 def alike(links: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """The links (a, b) whose texts' shingle sets are at least ``similarity`` alike (Jaccard); ``texts`` has (node, text)."""
     paired = links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
@@ -381,14 +431,9 @@ def near_duplicate_classes(docs: DataFrame, k: int = 11, width: int = 3, check_w
     passed = staged(alike(spanning.union(same), texts, check_width, similarity), "alike")
 
     roots = staged(connected_components(passed), "joined")
-    labelled = staged(met.join(roots, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("lab")), "labelled")
-    # a class whose texts are not all joined meets every other class, and itself
-    mixed = F.min("lab") != F.max("lab")
-    sets = staged(labelled.groupBy("fp").agg(F.when(mixed, F.xxhash64("fp")).otherwise(F.min("lab")).alias("lab"), mixed.alias("mixed")), "label-sets")
-    near = linked_pairs(sets.select("fp", "lab"), k, plan=plan, every=True).distinct().union(sets.filter("mixed").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
-    left, right = (labelled.select(F.col("fp").alias(f), F.col("node").alias(n), F.col("lab").alias(m)) for f, n, m in (("a", "x", "p"), ("b", "y", "q")))
-    left_over = near.join(left, "a").join(right, "b").filter((F.col("p") != F.col("q")) & ((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    checked = staged(passed.union(alike(left_over, texts, check_width, similarity)), "checked")
+    labelled = met.select("fp", "node").join(roots, "node", "left").join(sketches(texts, check_width), "node").select("fp", "node", F.coalesce("root", "node").alias("lab"), "size", "sketch")
+    more = left_over(staged(labelled, "labelled"), k, similarity)
+    checked = staged(passed.union(alike(more, texts, check_width, similarity)), "checked")
     return components_of(nodes.groupBy(F.col("node").alias("fp")).agg(F.min("least").alias("least")), checked)
 
 
