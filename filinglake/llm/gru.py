@@ -13,32 +13,40 @@ from __future__ import annotations
 import numpy as np
 
 WINDOW = 32
+NEVER = -1e9  # bias of a place that no id has
 
 
 def init(n_out: int, hidden: int, seed: int = 7) -> dict[str, np.ndarray]:
-    """Parameters for ``n_out`` output ids in classes of near-square-root size, by rank."""
+    """Parameters for ``n_out`` output ids in classes of near-square-root size, by rank; the last row of an output matrix is its bias."""
     rng = np.random.default_rng(seed)
     size = int(np.ceil(np.sqrt(n_out)))
     n_classes = -(-n_out // size)
     u = lambda *s, a=0.1: rng.uniform(-a, a, s).astype(np.float32)
-    return {
+    p = {
         "x": u(n_out, 3 * hidden),  # input projection of each id: reset, update, candidate
         "u": u(hidden, 3 * hidden, a=1 / np.sqrt(hidden)),
-        "c": u(hidden, n_classes),
-        "cb": np.zeros(n_classes, np.float32),
-        "o": u(n_classes, hidden, size),
-        "ob": np.where(np.arange(n_classes * size).reshape(n_classes, size) < n_out, 0, -1e9).astype(np.float32),
+        "c": u(hidden + 1, n_classes),
+        "o": u(n_classes, hidden + 1, size),
     }
+    p["c"][-1] = 0
+    p["o"][:, -1] = np.where(np.arange(n_classes * size).reshape(n_classes, size) < n_out, 0, NEVER)
+    return p
 
 
 def warm(p: dict[str, np.ndarray], counts: np.ndarray) -> None:
     """Start the output biases at the log frequencies."""
-    n_classes, size = p["ob"].shape
+    n_classes, _, size = p["o"].shape
     f = np.zeros(n_classes * size)
     f[: len(counts)] = counts + 1.0
     f = f.reshape(n_classes, size)
-    p["cb"][:] = np.log(f.sum(1) / f.sum())
-    p["ob"][:] = np.where(f > 0, np.log(np.maximum(f, 1) / f.sum(1, keepdims=True)), -1e9)
+    p["c"][-1] = np.log(f.sum(1) / f.sum())
+    p["o"][:, -1] = np.where(f > 0, np.log(np.maximum(f, 1) / f.sum(1, keepdims=True)), NEVER)
+
+
+def even(ends: np.ndarray, most: int, least: int = 16) -> int:
+    """Number of streams of near-equal length, so that the last windows do not hold one long document alone."""
+    longest = int(np.diff(ends, prepend=0).max()) if len(ends) else 1
+    return max(1, min(most, max(least, int(ends[-1]) // longest))) if len(ends) else 1
 
 
 def streams(ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,24 +61,10 @@ def streams(ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return a[order], b[order]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
+def _exp_sums(x: np.ndarray) -> np.ndarray:
+    """Sums of the exponentials of each row, which take the place of ``x``."""
     np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
-    return x
-
-
-def _classes(y: np.ndarray, size: int, n_classes: int):
-    cls = y // size
-    order = np.argsort(cls.astype(np.int16), kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(n_classes + 1))
-    return cls, order, bounds
+    return x @ np.ones(x.shape[1], np.float32)
 
 
 class Model:
@@ -78,90 +72,111 @@ class Model:
         self.p, self.end, self.batch = p, end, batch
         self.hidden = p["u"].shape[0]
 
-    def _step(self, h: np.ndarray, y: np.ndarray, clear: np.ndarray, keep: tuple | None = None) -> np.ndarray:
-        """The next state after ids ``y`` or their input projections; ``keep`` takes the gates, the candidate and its part of the state."""
+    def _step(self, h: np.ndarray, g: np.ndarray, clear: np.ndarray, keep: tuple | None = None) -> np.ndarray:
+        """The next state after input projections ``g``; ``keep`` takes the gates, the candidate and its part of the state."""
         k = self.hidden
-        g, a = self.p["x"][y] if y.ndim == 1 else y, h @ self.p["u"]
-        rz = g[:, : 2 * k] + a[:, : 2 * k]
-        rz = _sigmoid(np.clip(rz, -30, 30, out=rz))
-        r, z = rz[:, :k], rz[:, k:]
-        n = np.tanh(g[:, 2 * k :] + r * a[:, 2 * k :])
-        new = n + z * (h - n)
-        new[clear] = 0
+        a = h @ self.p["u"]
+        rz, q = a[:, : 2 * k], a[:, 2 * k :]
+        rz += g[:, : 2 * k]
+        rz *= 0.5
+        np.tanh(rz, out=rz)  # the logistic function by tanh, which does not overflow
+        rz *= 0.5
+        rz += 0.5
+        n = rz[:, :k] * q
+        n += g[:, 2 * k :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= rz[:, k:]
+        new += n
+        if clear.any():
+            new[clear] = 0
         if keep is not None:
-            keep[0][:], keep[1][:], keep[2][:] = rz, n, a[:, 2 * k :]
+            keep[0][:], keep[1][:], keep[2][:] = rz, n, q
         return new
 
     def _output(self, m: np.ndarray, y: np.ndarray, grad: dict | None = None) -> np.ndarray:
         """Natural log probabilities of ``y`` at states ``m``; with ``grad``, its gradients and that of m."""
-        p = self.p
-        n_classes, _, size = p["o"].shape
-        cls, order, bounds = _classes(y, size, n_classes)
-        lc = _log_softmax(m @ p["c"] + p["cb"])
-        rows = np.arange(len(y))
+        c, o = self.p["c"], self.p["o"]
+        n_classes, wide, size = o.shape
+        order = np.argsort(y.astype(np.uint16) if n_classes * size < 1 << 16 else y, kind="stable")  # by class, and by id inside it
+        ys = y[order]
+        ms = np.empty((len(y), wide), np.float32)
+        ms[:, :-1], ms[:, -1] = m[order], 1
+        cls, rows = ys // size, np.arange(len(y))
+        bounds = np.searchsorted(cls, np.arange(n_classes + 1)).tolist()
+        place = ys - cls * size
+        lc = ms @ c
         out = lc[rows, cls]
+        sums = _exp_sums(lc)
+        out -= np.log(sums)
         dm = None
         if grad is not None:
-            d = np.exp(lc)
-            d[rows, cls] -= 1
-            grad["c"], grad["cb"] = m.T @ d, d.sum(0)
-            grad["o"], grad["ob"] = np.zeros_like(p["o"]), np.zeros_like(p["ob"])
-            dm = d @ p["c"].T
-        for c in range(n_classes):
-            at = order[bounds[c] : bounds[c + 1]]
-            if not len(at):
+            lc *= (1 / sums)[:, None]
+            lc[rows, cls] -= 1
+            grad["c"], grad["o"] = ms.T @ lc, np.zeros_like(o)
+            dm = lc @ c.T
+        for k in range(n_classes):
+            a, b = bounds[k], bounds[k + 1]
+            if a == b:
                 continue
-            mc = m[at]
-            lo = _log_softmax(mc @ p["o"][c] + p["ob"][c])
-            place, k = y[at] - c * size, np.arange(len(at))
-            out[at] += lo[k, place]
+            lo = ms[a:b] @ o[k]
+            at, own = place[a:b], rows[: b - a]
+            out[a:b] += lo[own, at]
+            sums = _exp_sums(lo)
+            out[a:b] -= np.log(sums)
             if grad is not None:
-                d = np.exp(lo)
-                d[k, place] -= 1
-                grad["o"][c], grad["ob"][c] = mc.T @ d, d.sum(0)
-                dm[at] += d @ p["o"][c].T
+                lo *= (1 / sums)[:, None]
+                lo[own, at] -= 1
+                np.matmul(ms[a:b].T, lo, out=grad["o"][k])
+                dm[a:b] += lo @ o[k].T
+        back = np.empty_like(out)
+        back[order] = out
         if grad is not None:
-            grad["m"] = dm
-        return out
+            grad["m"] = np.empty_like(m)
+            grad["m"][order] = dm[:, :-1]
+        return back
 
-    def score(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Natural log probability of every token; each document ends in the end id."""
-        out = np.zeros(len(ids), np.float32)
-        a, b = streams(ends, self.batch)
-        h = np.zeros((len(a), self.hidden), np.float32)
+    def _windows(self, ids: np.ndarray, ends: np.ndarray, most: int):
+        """For each window: (positions of shape steps x streams, which of them are inside, ids there, positions after which a state is cleared)."""
+        last = np.zeros(len(ids), bool)
+        last[ends - 1] = True
+        a, b = streams(ends, most)
         longest = int((b - a).max()) if len(a) else 0
         for w in range(0, longest, WINDOW):
             live = int(np.count_nonzero(b - a > w))
-            h = h[:live]
             at = a[:live] + w + np.arange(min(WINDOW, longest - w))[:, None]
             inside = at < b[:live]
-            y = ids[np.minimum(at, len(ids) - 1)]
+            near = np.minimum(at, len(ids) - 1)
+            y = ids[near]
             y[~inside] = self.end
+            yield at, inside, y, last[near] | ~inside
+
+    def score(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Natural log probability of every token; each document ends in the end id."""
+        out = np.zeros(len(ids), np.float32)
+        h = np.zeros((self.batch, self.hidden), np.float32)
+        for at, inside, y, clear in self._windows(ids, ends, self.batch):
+            h = h[: at.shape[1]]
+            g = self.p["x"][y]
             states = np.empty((*at.shape, self.hidden), np.float32)
             for t in range(len(at)):
                 states[t] = h
-                h = self._step(h, y[t], y[t] == self.end)
+                h = self._step(h, g[t], clear[t])
             out[at[inside]] = self._output(states[inside], y[inside])
         return out
 
     def train(self, ids: np.ndarray, ends: np.ndarray, memory: dict[str, np.ndarray], rate: float = 0.05) -> int:
-        """One pass over runs of tokens that end at ``ends``, where the state is cleared.
+        """One pass over documents that end at ``ends``, where the state is cleared.
 
         ``memory`` holds Adagrad's sums of squares. Returns the number of tokens.
         """
-        last = np.zeros(len(ids), bool)
-        last[ends - 1] = True
-        a, b = streams(ends, self.batch)
-        h = np.zeros((len(a), self.hidden), np.float32)
-        longest, k, p = int((b - a).max()) if len(a) else 0, self.hidden, self.p
-        for w in range(0, longest, WINDOW):
-            live = int(np.count_nonzero(b - a > w))
+        k, p = self.hidden, self.p
+        h = np.zeros((self.batch, k), np.float32)
+        most = even(ends, self.batch)
+        scale = 1.0 / max(1, len(streams(ends, most)[0]))  # every token weighs the same
+        for at, inside, y, clear in self._windows(ids, ends, most):
+            live = at.shape[1]
             h = h[:live]
-            at = a[:live] + w + np.arange(min(WINDOW, longest - w))[:, None]
-            inside = at < b[:live]
-            y = ids[np.minimum(at, len(ids) - 1)]
-            y[~inside] = self.end
-            clear = last[np.minimum(at, len(ids) - 1)] | ~inside
             # what does not depend on the step before is computed for the whole window at once
             g = p["x"][y]
             states, n, q = (np.empty((*at.shape, k), np.float32) for _ in range(3))
@@ -174,29 +189,33 @@ class Model:
             dm = np.zeros_like(states)
             dm[inside] = grad.pop("m")
             r, z = rz[:, :, :k], rz[:, :, k:]
-            by_n, by_z, by_r = (1 - z) * (1 - n * n), (states - n) * z * (1 - z), q * r * (1 - r)
+            # a state that is cleared passes no gradient back
             goes_on = (~clear[:, :, None]).astype(np.float32)
+            by_n = (1 - z) * (1 - n * n) * goes_on
+            by_z, by_r = (states - n) * z * (1 - z) * goes_on, q * r * (1 - r)
+            through = z * goes_on
             dh = np.zeros_like(h)
             dg, da = np.empty_like(g), np.empty_like(g)
             back = np.ascontiguousarray(p["u"].T)
             for t in range(len(at) - 1, -1, -1):
-                dh *= goes_on[t]
-                dn = dg[t, :, 2 * k :]
-                np.multiply(dh, by_n[t], out=dn)
-                np.multiply(dh, by_z[t], out=dg[t, :, k : 2 * k])
-                np.multiply(dn, by_r[t], out=dg[t, :, :k])
-                da[t, :, : 2 * k] = dg[t, :, : 2 * k]
-                np.multiply(dn, r[t], out=da[t, :, 2 * k :])
-                dh = dh * z[t] + da[t] @ back + dm[t]
+                dgt, dat = dg[t], da[t]
+                np.multiply(dh, by_n[t], out=dgt[:, 2 * k :])
+                np.multiply(dh, by_z[t], out=dgt[:, k : 2 * k])
+                np.multiply(dgt[:, 2 * k :], by_r[t], out=dgt[:, :k])
+                dat[:, : 2 * k] = dgt[:, : 2 * k]
+                np.multiply(dgt[:, 2 * k :], r[t], out=dat[:, 2 * k :])
+                dh *= through[t]
+                dh += dat @ back
+                dh += dm[t]
             grad["u"] = states.reshape(-1, k).T @ da.reshape(-1, 3 * k)
-            scale = 1.0 / max(1, live)
             flat, dx = y.ravel(), dg.reshape(-1, 3 * k)
-            order = np.argsort(flat, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) > 0]))
-            touched, sums = flat[order][first], np.add.reduceat(dx[order], first) * scale
+            order = np.argsort(flat.astype(np.uint16) if len(p["x"]) < 1 << 16 else flat, kind="stable")
+            ordered = flat[order]
+            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            touched, sums = ordered[first], np.add.reduceat(dx[order], first) * scale
             memory["x"][touched] += sums * sums
             p["x"][touched] -= rate * sums / np.sqrt(memory["x"][touched] + 1e-6)
-            for name in ("u", "c", "cb", "o", "ob"):
+            for name in ("u", "c", "o"):
                 g = np.clip(grad[name] * scale, -5, 5)
                 memory[name] += g * g
                 p[name] -= rate * g / np.sqrt(memory[name] + 1e-6)

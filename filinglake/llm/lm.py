@@ -4,33 +4,36 @@ Words are counted over all training documents; a document trains unless the
 CRC-32 of its id is divisible by 10. Three layers share these counts:
 
 - the base: add-0.1 unigram probabilities of words and the end token;
-- the vocabulary of the network: the end, the most frequent words, and buckets
-  for all others by their last two bytes, inside which a word has its smoothed
-  share of the bucket's count;
+- the vocabulary of the network: the end, the ``NET_WORDS`` most frequent
+  words, and buckets for all others by their last two bytes, inside which a
+  word has its smoothed share of the bucket's count;
 - the network: a gated recurrent unit with a class-factored softmax
-  (:mod:`filinglake.llm.gru`), whose state runs through the whole document.
-
-Training: every partition starts each round from common parameters and trains
-on the documents that their hash deals to the round, each whole and with its
-state carried from first token to last; parameters are then averaged by token
-counts, group by group. Every token of every training document trains once.
-A caller's ``share`` over 1 trains on one of so many segments of ``SEGMENT``
-tokens instead. Words, counts and thresholds always come from all tokens.
+  (:mod:`filinglake.llm.gru`), whose state runs through the whole document,
+  in training as in scoring; only gradients are cut at a window's edge.
+
+Documents are encoded once; training and scoring read the ids. Training
+documents are dealt by a hash of id and content to groups of about
+``GROUP_TOKENS`` tokens, and the groups to rounds. In a round every group
+starts from the common parameters and trains on its documents in the order of
+the hash, each whole; the groups' parameters are then averaged by token
+counts, in the order of the groups. Every token of every training document
+trains once, and nothing depends on how the input is partitioned: scores on
+other partitions differ by the rounding of single-precision sums alone.
 
 Counts of the ``HEAD`` most frequent words at most travel to every task; rarer
 words meet their counts in a join, so no step holds the vocabulary.
 
-Null and empty texts are an end token alone; a null id counts as the empty
-string; repeated rows each give a row; an empty table gives an empty result;
-without training documents every token has the base's unseen share. Extra
-columns are ignored.
+Null and empty texts are an end token alone; a text of any length is one run
+of the network; a null id counts as the empty string; repeated rows each give
+a row, and train each; words of equal count rank by their bytes; an empty
+table gives an empty result; without training documents every token has the
+base's unseen share. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -48,11 +51,10 @@ LONGEST = 64  # bytes of a head word; longer ones are joined like rare ones
 NET_WORDS = 1500
 BUCKETS = 64
 HIDDEN = 24
-SEGMENT = 96
-SHARE = 1
 ROUNDS = 2
 STREAMS = 256
-HELD = 1 << 21  # tokens a task holds before it trains on them
+GROUP_TOKENS = 1 << 21
+HELD = 1 << 22  # tokens a task holds before it trains on them
 BLOCKS = 16
 END = b"\n"  # no word holds white space
 LN10 = float(np.log(10))
@@ -163,81 +165,23 @@ def collect_words(counts: DataFrame, head: int = HEAD) -> Words:
     return Words(words, sizes, total["n"] or 0, total["v"] or 0, n, v)
 
 
-def segments(n: int, mark: int, share: int, rounds: int, turn: int) -> range:
-    """Starts of a document's training segments of one round."""
-    first = (turn * share - mark) % (share * rounds)
-    return range(first * SEGMENT, n, share * rounds * SEGMENT)
-
-
-def pieces(n: int, mark: int, share: int, rounds: int, turn: int) -> list[tuple[int, int]]:
-    """(start, end) of what a document of ``n`` tokens trains in one round: the whole of it in its own round at share 1."""
-    if share == 1:
-        return [(0, n)] if mark % rounds == turn else []
-    return [(s, min(s + SEGMENT, n)) for s in segments(n, mark, share, rounds, turn)]
+_LOOKUPS: dict[str, tuple] = {}  # of the worker's present words
 
 
-def train(docs: DataFrame, words: Words, share: int = SHARE, rounds: int = ROUNDS, rate: float = 0.05) -> dict[str, np.ndarray]:
-    """Parameters after ``rounds`` of local training on every partition and averaging; ``docs`` has doc_id and text."""
+def encode(docs: DataFrame, words: Words) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text) with ids of the network, the base's log10 of head words, the natural log inside their ids, and the rare words."""
     spark = docs.sparkSession
-    p = gru.init(len(words.place), HIDDEN)
-    gru.warm(p, words.output_counts)
-    salts = max(1, int(docs.rdd.getNumPartitions() ** 0.5))
-    for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((p, words.output_of(), words.bucket_outputs().tolist(), words.end))
-
-        def local(batches: Iterator[pa.RecordBatch], turn=turn, sent=sent) -> Iterator[pa.RecordBatch]:
-            start, net, buckets, end = sent.value
-            model = gru.Model({k: v.copy() for k, v in start.items()}, end, batch=STREAMS)
-            memory, seen, salt = gru.memory_of(start), 0, 0
-            ids, ends = array("i"), array("q")
-            for b in batches:
-                for doc_id, t in zip(b.column(0).to_pylist(), b.column(1)):
-                    mark = zlib.crc32(str(doc_id).encode())
-                    salt = mark
-                    w = tokens(t.as_py())
-                    for s, e in pieces(len(w) + 1, mark, share, rounds, turn):
-                        ids.extend([net[x] if x in net else buckets[bucket(x)] for x in w[s:e]])
-                        if e > len(w):
-                            ids.append(end)
-                        ends.append(len(ids))
-                    if len(ids) >= HELD:
-                        seen += model.train(np.array(ids, np.int32), np.array(ends), memory, rate)
-                        ids, ends = array("i"), array("q")
-            if ids:
-                seen += model.train(np.array(ids, np.int32), np.array(ends), memory, rate)
-            if seen:
-                v = gru.flat(model.p).astype(np.float64) * seen
-                cuts = np.array_split(v, BLOCKS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS)), pa.array(np.full(BLOCKS, salt % salts)), pa.array(np.full(BLOCKS, float(seen))), pa.array([c.tobytes() for c in cuts], pa.binary())], ["block", "salt", "w", "v"])
-
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(v, np.float64) for v in pdf["v"])
-            return pd.DataFrame({"block": [pdf["block"].iloc[0]], "salt": [0], "w": [pdf["w"].sum()], "v": [total.tobytes()]})
-
-        schema = "block long, salt long, w double, v binary"
-        parts = docs.mapInArrow(local, schema).groupBy("block", "salt").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema).collect()
-        if parts:  # one model: a fixed number of bytes
-            parts.sort(key=lambda r: r.block)
-            p = gru.unflat(np.concatenate([np.frombuffer(r.v, np.float64) / r.w for r in parts]), p)
-    return p
-
-
-_LOOKUPS: dict[str, tuple] = {}  # of the worker's present model
-
-
-def score(docs: DataFrame, words: Words, params: dict[str, np.ndarray], counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score of every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((words, params))  # bounded by HEAD words and one model
+    sent = spark.sparkContext.broadcast(words)  # bounded by HEAD words
     name = uuid.uuid4().hex
-    schema = "key long, doc_id long, n_tokens long, n_tail long, base double, score double, tail array<struct<word:binary,n:long>>"
+    fields = "key long, doc_id long, ids binary, n_tokens long, n_tail long, base double, inside double, tail array<struct<word:binary,n:long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sent.value
         if name not in _LOOKUPS:
             _LOOKUPS.clear()
-            _LOOKUPS[name] = sent.value[0].lookup()
-        (row, out, base, inside), (held, p) = _LOOKUPS[name], sent.value
-        buckets, model, get = held.bucket_outputs(), gru.Model(p, held.end), row.get
+            _LOOKUPS[name] = held.lookup()
+        row, out, base, inside = _LOOKUPS[name]
+        buckets, get = held.bucket_outputs(), row.get
         at_end = base[row[END]] if END in row else float(np.log10((0 + ALPHA) / held.floor))
         for b in batches:
             parts, ends, tails, late_at, late_bucket, n = [], [], [], [], [], 0
@@ -259,7 +203,6 @@ def score(docs: DataFrame, words: Words, params: dict[str, np.ndarray], counts:
             if not ends:
                 continue
             r = np.concatenate(parts)
-            del parts, found, w
             stops = np.array(ends)
             starts = np.concatenate([[0], stops[:-1]])
             last = stops - 1
@@ -275,37 +218,109 @@ def score(docs: DataFrame, words: Words, params: dict[str, np.ndarray], counts:
             part = inside.take(r, mode="wrap") if len(inside) else np.zeros(n)
             part[last] = 0.0
             part[pos] = -np.log(held.bucket_den[late])
-            del r
-            part += model.score(ids, stops)
-            sums = np.add.reduceat(part, starts) / LN10
-            del part, ids
+            inside_sums = np.add.reduceat(part, starts)
+            raw = [x.tobytes() for x in np.split(ids.astype("<u2"), stops[:-1])]
             flat = [(w, n) for tail in tails for w, n in tail.items()]
             cuts = np.concatenate([[0], np.cumsum([len(x) for x in tails])]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.binary()), pa.array([n for _, n in flat], pa.int64())], ["word", "n"]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(stops - starts), pa.array([sum(x.values()) for x in tails], pa.int64()), pa.array(base_sums), pa.array(sums), listed], [f.split()[0] for f in ("key", "doc_id", "n_tokens", "n_tail", "base", "score", "tail")]
+                [b.column(0), b.column(1), pa.array(raw, pa.binary()), pa.array(stops - starts), pa.array([sum(x.values()) for x in tails], pa.int64()), pa.array(base_sums), pa.array(inside_sums), listed], [f.split()[0] for f in fields.split(", ")]
             )
 
-    scored = staged(docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text").mapInArrow(run, schema), "scored")
-    rare = scored.select("key", F.explode("tail").alias("t")).select("key", F.col("t.word").alias("word"), F.col("t.n").alias("k"))
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return staged(rows.mapInArrow(run, fields), "encoded")
+
+
+def train(encoded: DataFrame, words: Words, rounds: int = ROUNDS, rate: float = 0.05, group_tokens: int = GROUP_TOKENS) -> dict[str, np.ndarray]:
+    """Parameters after ``rounds`` of training in groups and averaging; ``encoded`` has doc_id and ids of the training documents."""
+    spark = encoded.sparkSession
+    p = gru.init(len(words.place), HIDDEN)
+    gru.warm(p, words.output_counts)
+    groups = max(1, -(-words.total // group_tokens))
+    rounds, salts = min(rounds, groups), max(1, int(groups**0.5))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    mark = F.xxhash64("doc_id", "ids")
+    dealt = encoded.select(F.pmod(mark, F.lit(groups)).alias("g"), mark.alias("mark"), "doc_id", "ids")
+    for turn in range(rounds):
+        sent = spark.sparkContext.broadcast((p, words.end))
+
+        def local(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            start, end = sent.value
+            now, model, memory, seen, held, n = None, None, None, 0, [], 0
+
+            def fit() -> int:
+                return model.train(np.concatenate(held).astype(np.int32), np.cumsum([len(x) for x in held]), memory, rate) if held else 0
+
+            def trained() -> pa.RecordBatch:
+                cuts = np.array_split(gru.flat(model.p).astype(np.float64) * seen, BLOCKS)
+                return pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS)), pa.array(np.full(BLOCKS, now % salts)), pa.array(np.full(BLOCKS, now)), pa.array(np.full(BLOCKS, float(seen))), pa.array([c.tobytes() for c in cuts], pa.binary())], ["block", "salt", "g", "w", "v"])
+
+            for b in batches:
+                for g, ids in zip(b.column(0).to_pylist(), b.column(1)):
+                    if g != now:
+                        if now is not None:
+                            seen += fit()
+                            yield trained()
+                        now, seen, held, n = g, 0, [], 0
+                        model, memory = gru.Model({k: v.copy() for k, v in start.items()}, end, batch=STREAMS), gru.memory_of(start)
+                    held.append(np.frombuffer(ids.as_py(), "<u2"))
+                    n += len(held[-1])
+                    if n >= HELD:
+                        seen += fit()
+                        held, n = [], 0
+            if now is not None:
+                seen += fit()
+                yield trained()
+
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("g")  # sums in one order, whatever the partitions
+            total = sum(np.frombuffer(v, np.float64) for v in pdf["v"])
+            return pd.DataFrame({"block": [pdf["block"].iloc[0]], "salt": [0], "g": [pdf["salt"].iloc[0]], "w": [pdf["w"].sum()], "v": [total.tobytes()]})
+
+        schema = "block long, salt long, g long, w double, v binary"
+        mine = dealt.filter(F.col("g") % rounds == turn).repartition(width, "g").sortWithinPartitions("g", "mark", "doc_id", "ids").select("g", "ids")
+        parts = mine.mapInArrow(local, schema).groupBy("block", "salt").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema).collect()
+        if parts:  # one model: a fixed number of bytes
+            parts.sort(key=lambda r: r.block)
+            p = gru.unflat(np.concatenate([np.frombuffer(r.v, np.float64) / r.w for r in parts]), p)
+    return p
+
+
+def score(encoded: DataFrame, words: Words, params: dict[str, np.ndarray], counts: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score and score of every row of ``encoded``."""
+    sent = encoded.sparkSession.sparkContext.broadcast(params)  # one model
+    end = words.end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = gru.Model(sent.value, end, batch=2 * STREAMS)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            docs = [np.frombuffer(x.as_py(), "<u2") for x in b.column(1)]
+            stops = np.cumsum([len(x) for x in docs])
+            sums = np.add.reduceat(model.score(np.concatenate(docs).astype(np.int32), stops).astype(np.float64), np.concatenate([[0], stops[:-1]]))
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(sums)], ["key", "doc_id", "n_tokens", "n_tail", "base", "inside", "net"])
+
+    scored = encoded.select("key", "ids", "doc_id", "n_tokens", "n_tail", "base", "inside").mapInArrow(run, "key long, doc_id long, n_tokens long, n_tail long, base double, inside double, net double")
+    rare = encoded.select("key", F.explode("tail").alias("t")).select("key", F.col("t.word").alias("word"), F.col("t.n").alias("k"))
     met = rare.join(counts, "word", "left").groupBy("key").agg(F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + ALPHA)).alias("__s"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("__known"))
     s, known = F.coalesce("__s", F.lit(0.0)), F.coalesce("__known", F.lit(0))
     end_known = 1 if words.total else 0
-    return scored.drop("tail").join(met, "key", "left").select(
+    return scored.join(met, "key", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_tokens") - (1 - end_known) - F.col("n_tail") + known).alias("n_known"),
         (F.col("base") + s - F.col("n_tail") * float(np.log10(words.floor))).alias("base_score"),
-        (F.col("score") + s).alias("score"),
+        ((F.col("inside") + F.col("net")) / LN10 + s).alias("score"),
     )
 
 
-def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, share: int = SHARE) -> DataFrame:
+def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    training = rows.filter(~held_out(F.col("doc_id")))
-    counts = staged(word_counts(training), "word-counts")
+    counts = staged(word_counts(rows.filter(~held_out(F.col("doc_id")))), "word-counts")
     words = collect_words(counts, head)
-    params = train(training, words, share)
-    out = score(rows.withColumn("doc_id", F.col("doc_id").cast("long")), words, params, counts)
+    encoded = encode(rows, words)
+    params = train(encoded.filter(~held_out(F.col("doc_id"))), words, group_tokens=group_tokens)
+    out = score(encoded, words, params, counts)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(words.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -74,7 +74,7 @@ def test_state_is_carried_over_windows():
     want = []
     for y in ids:
         want.append(m._output(h, np.array([y]))[0])
-        h = m._step(h, np.array([y]), np.array([False]))
+        h = m._step(h, p["x"][np.array([y])], np.array([False]))
     assert np.allclose(got, want, atol=1e-4)
 
 
@@ -95,7 +95,7 @@ def test_gradients_match_differences(monkeypatch):
     memory = {k: np.zeros_like(v) for k, v in p.items()}
     before = {k: v.copy() for k, v in model.p.items()}
     model.train(ids, np.array([8]), memory, rate=0.0)
-    for name in ("x", "u", "c", "o", "ob", "cb"):
+    for name in ("x", "u", "c", "o"):
         # memory holds squared gradients after one window
         for at in list(np.ndindex(before[name].shape))[:: max(1, before[name].size // 12)]:
             q = {k: v.copy() for k, v in before.items()}
@@ -119,22 +119,35 @@ def test_training_learns_a_pattern():
     assert m.score(ids[:49], ends[:1]).mean() > before / 4
 
 
-def test_segments_cover_each_token_once():
-    for n in (1, 95, 96, 97, 5000):
-        seen = [s for mark in range(12) for turn in range(2) for s in lm.segments(n, mark, 6, 2, turn)]
-        assert Counter(seen) == Counter({s: 2 for s in range(0, n, lm.SEGMENT)})
-
-
-def test_every_token_trains_once_in_whole_documents():
-    for n in (1, 95, 96, 97, 5000):
-        for mark in range(12):
-            assert [x for turn in range(lm.ROUNDS) for x in lm.pieces(n, mark, lm.SHARE, lm.ROUNDS, turn)] == [(0, n)]
-
-
 def test_every_short_document_trains(spark):
     df = spark.createDataFrame([(i, f"a{i} b c d e") for i in range(1, 6)], "doc_id long, text string")
     words = lm.collect_words(lm.word_counts(df))
     untrained = gru.init(len(words.place), lm.HIDDEN)
     gru.warm(untrained, words.output_counts)
+    encoded = lm.encode(df, words)
     for i in range(1, 6):
-        assert not np.array_equal(gru.flat(lm.train(df.filter(df.doc_id == i), words)), gru.flat(untrained))
+        assert not np.array_equal(gru.flat(lm.train(encoded.filter(f"doc_id = {i}"), words)), gru.flat(untrained))
+
+
+def test_every_token_trains_once_with_its_state(spark, monkeypatch):
+    """Groups hold whole documents; the calls of all rounds together hold each document once."""
+    df = spark.createDataFrame([(i, f"w{i} " * (i % 40)) for i in range(1, 200)], "doc_id long, text string").coalesce(1)
+    words = lm.collect_words(lm.word_counts(df))
+    encoded = lm.encode(df, words)
+    seen = []
+    monkeypatch.setattr(gru.Model, "train", lambda self, ids, ends, memory, rate: seen.append((ids, ends)) or len(ids))
+    # the training function of a task, run here
+    monkeypatch.setattr(type(encoded), "mapInArrow", lambda self, f, schema: spark.createDataFrame([tuple(c.as_py() for c in row) for b in f(iter(self.toArrow().to_batches())) for row in zip(*b.columns)], schema), raising=False)
+    lm.train(encoded.select("doc_id", "ids"), words, group_tokens=500)
+    got = Counter(x.tobytes() for ids, ends in seen for x in np.split(ids.astype("<u2"), ends[:-1]))
+    assert got == Counter(r.ids for r in encoded.collect())
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = [{r.doc_id: r.score for r in lm.language_model_scores(docs.repartition(n), group_tokens=20_000).collect()} for n in (1, 4, 16)]
+    assert len(got[0]) == docs.count()
+    for other in got[1:]:
+        assert other.keys() == got[0].keys()
+        assert all(other[i] == pytest.approx(got[0][i], rel=2e-5) for i in other)
