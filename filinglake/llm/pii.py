@@ -7,17 +7,22 @@ value is numbered within all values of its format, the number is permuted by a
 Feistel network under the key (walking its cycle until it falls inside the
 format again), and the new number is written in the old layout, separators and
 case included, with check digits made right. The permutation depends on key
-and kind alone, so equal values stay equal across documents and different ones
-stay different, and the holder of the key can undo it. A card or IBAN candidate
+and kind alone, so equal values stay equal across documents, whatever their
+layout, and different ones stay different, and the holder of the key can undo
+it. Days are permuted among those of like kind (up to the 12th, or after it),
+so that month and day can be told apart as before; a number without country
+code in a North American layout counts as one of code 1. A value of over
+``LONG`` letters and digits is permuted in chained blocks, forwards and back.
+A card or IBAN candidate
 that fails may have taken in a neighbour (an expiry date, a count, a word): its
 shorter readings in whole groups are tried, the longest first, and the search
 goes on with its next group. Undoing is exact unless a longer reading beside a
 neighbour happens to prove valid after the replacement.
 
 Null texts stay null with a count of 0, texts without a digit or an @ are
-untouched, invalid look-alikes are left alone, repeated rows are treated
-alike, empty tables give empty results. ``pseudonymise`` keeps every input
-column; one named n_replaced is replaced.
+untouched, invalid look-alikes are left alone, very long texts are searched to
+their end, repeated rows are treated alike, empty tables give empty results.
+``pseudonymise`` keeps every input column; one named n_replaced is replaced.
 """
 
 from __future__ import annotations
@@ -34,6 +39,9 @@ from pyspark.sql import types as T
 ROUNDS = 10
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2100, 1, 1).toordinal() - FIRST_DAY
+LONG = 128  # letters and digits of a block
+#: Country calling codes of one and two digits; all others have three.
+CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 
 CANDIDATE = re.compile(
     r"""(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
@@ -71,8 +79,12 @@ class Feistel:
     def _f(self, r: int, x: int) -> int:
         h = self.keyed.copy()
         h.update(bytes([r]) + x.to_bytes((self.half + 7) // 8, "big"))
-        out = int.from_bytes(h.digest(), "big")
-        return out & self.mask
+        out = h.digest()
+        for k in range(1, -(-self.half // 256)):  # as many digests as the half is wide
+            more = h.copy()
+            more.update(k.to_bytes(4, "big"))
+            out += more.digest()
+        return int.from_bytes(out, "big") & self.mask
 
     def _walk(self, x: int, rounds) -> int:
         forward = rounds[0] == 0
@@ -138,11 +150,30 @@ class Pseudonymiser:
     def _letters(self, kind: str, s: str) -> str:
         """Letters to letters of the same case, digits to digits, all else in place."""
         at = [i for i, c in enumerate(s) if c.isalnum()]
+        if len(at) <= LONG:
+            return self._block(kind, s, at, self._permute)
+        # blocks in turn, each under the block before it, then back again: every letter depends on every other
+        out, cuts = s, [at[k : k + LONG] for k in range(0, len(at), LONG)]
+        for k in self._turns(len(cuts)):
+            other = "".join(out[i] for i in cuts[k[1]])
+            out = self._block(f"{kind}:{k[0] - k[1]}:{other}", out, cuts[k[0]], self._once)
+        return out
+
+    def _turns(self, n: int) -> list[tuple[int, int]]:
+        """(block, the block it goes by): forwards, then back; the other way round to undo."""
+        order = [(k, (k - 1) % n) for k in range(n)] + [(k, (k + 1) % n) for k in range(n - 1, -1, -1)]
+        return order[::-1] if self.undo else order
+
+    def _once(self, kind: str, x: int, n: int) -> int:
+        net = Feistel(self.key, kind, n)
+        return net.back(x) if self.undo else net.forward(x)
+
+    def _block(self, kind: str, s: str, at: list[int], permute: Callable[[str, int, int], int]) -> str:
         base = {i: "0" if s[i].isdigit() else "a" if s[i].islower() else "A" for i in at}
         radices = [10 if base[i] == "0" else 26 for i in at]
         x, n = _number([ord(s[i]) - ord(base[i]) for i in at], radices)
         out = list(s)
-        for i, v in zip(at, _values(self._permute(kind, x, n), radices)):
+        for i, v in zip(at, _values(permute(kind, x, n), radices)):
             out[i] = chr(ord(base[i]) + v)
         return "".join(out)
 
@@ -191,22 +222,22 @@ class Pseudonymiser:
             return None
         if not 0 <= day < DAYS:
             return None
-        if swapped:  # the result must read as month before day again: permute among days after the 12th
-            days = self._late_days()
-            new = datetime.date.fromordinal(FIRST_DAY + days[self._permute("date-us", self._late_at()[day], len(days))])
-            return f"{new.month:02d}{s[2]}{new.day:02d}{s[2]}{new.year:04d}"
-        new = datetime.date.fromordinal(FIRST_DAY + self._permute("date", day, DAYS))
-        return f"{new.year:04d}{s[4]}{new.month:02d}{s[4]}{new.day:02d}" if year_first else f"{new.day:02d}{s[2]}{new.month:02d}{s[2]}{new.year:04d}"
-
-    def _late_days(self) -> list[int]:
-        if not hasattr(self, "_late"):
-            self._late = [k for k in range(DAYS) if datetime.date.fromordinal(FIRST_DAY + k).day > 12]
-            self._late_index = {k: i for i, k in enumerate(self._late)}
-        return self._late
-
-    def _late_at(self) -> dict[int, int]:
-        self._late_days()
-        return self._late_index
+        kind, days, index = self._days(int(d) > 12)
+        new = datetime.date.fromordinal(FIRST_DAY + days[self._permute(kind, index[day], len(days))])
+        if year_first:
+            return f"{new.year:04d}{s[4]}{new.month:02d}{s[4]}{new.day:02d}"
+        first, second = (new.month, new.day) if swapped else (new.day, new.month)
+        return f"{first:02d}{s[2]}{second:02d}{s[2]}{new.year:04d}"
+
+    def _days(self, late: bool) -> tuple[str, list[int], dict[int, int]]:
+        """The days up to the 12th, or those after it, and their places; both kinds keep month and day in their order."""
+        if not hasattr(self, "_calendar"):
+            after = [datetime.date.fromordinal(FIRST_DAY + k).day > 12 for k in range(DAYS)]
+            self._calendar = {}
+            for kind, side in (("date", False), ("date-late", True)):
+                days = [k for k in range(DAYS) if after[k] == side]
+                self._calendar[side] = (kind, days, {k: i for i, k in enumerate(days)})
+        return self._calendar[late]
 
     def ssn(self, s: str) -> str | None:
         a, g, n = int(s[:3]), int(s[4:6]), int(s[7:])
@@ -218,13 +249,13 @@ class Pseudonymiser:
         return f"{a + 1 + (a >= 665):03d}-{g + 1:02d}-{n + 1:04d}"
 
     def phone(self, s: str) -> str | None:
-        """The country code stays, where one is set off; the other digits are permuted."""
-        code = m[0] if (m := re.match(r"\+\d{1,3}(?=[ .(-])", s)) else ""
-        rest = s[len(code) :]
-        d = re.sub(r"\D", "", rest)
-        if not 7 <= len(d) <= 15 or len(set(d)) == 1:
+        """The country code stays; the other digits are permuted as one number, whatever the layout."""
+        d = re.sub(r"\D", "", s)
+        code = "1" if s[0] != "+" else next((c for c in CODES if d.startswith(c)), d[:3])
+        rest = d if s[0] != "+" else d[len(code) :]
+        if not 7 <= len(rest) <= 14 or len(d) > 15 or len(set(rest)) == 1:
             return None
-        return code + self._layout(rest, f"{self._permute('phone' + re.sub(r'[^0-9]', '', code), int(d), 10 ** len(d)):0{len(d)}d}")
+        return self._layout(s, d[: len(d) - len(rest)] + f"{self._permute('phone' + code, int(rest), 10 ** len(rest)):0{len(rest)}d}")
 
     def replace(self, text: str | None) -> tuple[str | None, int]:
         if not text or not HINT.search(text):

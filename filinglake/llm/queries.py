@@ -19,13 +19,17 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), rule="first")
 
 
-#: A demonstration key; a deployment passes its own secret.
+#: For demonstrations and tests alone: anyone can undo what it permutes.
 PII_KEY = b"replace this key with a secret of your own"
 
 
 def op2_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with pseudonyms in place of valid personal numbers, dates and addresses."""
-    return pii.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    """Every document with pseudonyms in place of valid personal numbers, dates and addresses.
+
+    The key is the session's ``spark.filinglake.pii.key``; the demonstration key where that is unset.
+    """
+    key = spark.conf.get("spark.filinglake.pii.key", None)
+    return pii.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), key.encode() if key else PII_KEY)
 
 
 def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
