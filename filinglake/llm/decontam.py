@@ -1,19 +1,23 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts become words (runs of letters, digits and underscores, lower-cased).
+Texts become words (runs of letters, digits and underscores, lower-cased; in
+scripts without spaces each character is a word).
 Seeds are windows of ``min_match`` words whose running Karp-Rabin hash occurs
 in a benchmark item. For a document and an item that share seeds, the longest
 match of unmarked words is marked again and again, until none of ``min_match``
 words is left; matches do not overlap on either side and their order is free,
 so reordered passages are caught. A pair is reported if the marked words cover
 at least ``coverage`` of the item. An item shorter than ``min_match`` words
-must occur as one piece.
-
-The benchmark meets the documents in blocks of at most ``BLOCK_BYTES`` of text,
-measured before; a block is all that travels to a task. Null and empty texts
-match nothing, items without words are never found, repeated rows are judged
-each, extra columns are ignored. Matches are compared word by word, so hash
-collisions cost time only.
+must occur as one piece; an item of one word is thus found wherever it stands.
+
+The benchmark meets the documents in blocks of about ``BLOCK_BYTES`` of text,
+one after the other; a block is all that travels to a task. Each block is a
+pass over the documents, of which nothing is shuffled; where one is not enough,
+the marks of each pass are written before the next one starts. Null and empty
+texts match nothing, items without words are never found, texts of any length
+are searched whole, repeated rows and equal items are judged each, extra
+columns are ignored. Matches are compared word by word: a hash collision cuts
+a match where the words differ and takes no word from it.
 """
 
 from __future__ import annotations
@@ -27,7 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filinglake.llm._shared import staged
+
+#: Thai, Lao, Khmer, kana and Han, which are written without spaces.
+UNSPACED = "\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 WORD = re.compile(r"\w+")
+UNSPACED_WORD = re.compile(rf"[{UNSPACED}]|(?:(?![{UNSPACED}])\w)+")
+HAS_UNSPACED = re.compile(f"[{UNSPACED}]")
 BLOCK_BYTES = 16 << 20
 MOST_SEEDS = 4_000_000  # laid out at once
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -37,7 +47,8 @@ SCHEMA = "doc_id long, item_id long, n_tiles int, covered_words int, item_words
 
 
 def word_list(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    low = (text or "").lower()
+    return (UNSPACED_WORD if not low.isascii() and HAS_UNSPACED.search(low) else WORD).findall(low)
 
 
 def rolling(ids: np.ndarray, width: int) -> np.ndarray:
@@ -65,8 +76,14 @@ def tiles(a: np.ndarray, b: np.ndarray, pairs: np.ndarray, width: int) -> list[t
     heap = []
     for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(p)]):  # a run of seeds on a diagonal is one maximal match
         x, y, n = int(p[s, 0]), int(p[s, 1]), e - s + width - 1
-        if np.array_equal(a[x : x + n], b[y : y + n]):
+        same = a[x : x + n] == b[y : y + n]
+        if same.all():
             heapq.heappush(heap, (-n, x, y))
+            continue
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]])))
+        for i, j in zip(edges[::2].tolist(), edges[1::2].tolist()):  # a seed was a collision
+            if j - i >= width:
+                heapq.heappush(heap, (i - j, x + i, y + i))
     used_a, used_b, out, left = np.zeros(len(a), bool), np.zeros(len(b), bool), [], len(b)
     while heap and left >= width:
         n, x, y = heapq.heappop(heap)
@@ -165,20 +182,15 @@ class Matcher:
             yield k, np.concatenate(where), np.concatenate([np.full(len(w), p) for w, (_, p) in zip(where, seeds)])
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[int, str]]]:
-    """The benchmark in blocks of about ``block_bytes``; their number follows from the measured size."""
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("t is not null")
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-total // block_bytes)
-    return [[(r.i, r.t) for r in rows.filter(F.pmod(F.xxhash64("t", "i"), F.lit(n)) == b).toLocalIterator()] for b in range(n)]
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.6, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each document and benchmark item that it covers enough of."""
-    spark = docs.sparkSession
+def matches(rows: DataFrame, benchmark: DataFrame, min_match: int, coverage: float, item_col: str, text_col: str, block_bytes: int) -> DataFrame:
+    """One row (doc_id, item_id, …) for each row of ``rows`` (doc_id, text) and item that it covers enough of; the blocks of the benchmark come in turn."""
+    spark = rows.sparkSession
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("t is not null")
+    n = -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes)
     out = None
-    for items in blocks(benchmark, item_col, text_col, block_bytes):
-        sent = spark.sparkContext.broadcast(items)  # bounded by block_bytes
+    for b in range(n):
+        held = [(r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("t", "i"), F.lit(n)) == b).toLocalIterator()]
+        sent = spark.sparkContext.broadcast(held)  # bounded by block_bytes
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value, min_match, coverage)
@@ -188,23 +200,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, cove
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], ["doc_id", "item_id", "n_tiles", "covered_words", "item_words", "coverage"])
 
-        one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, SCHEMA)
+        one = rows.mapInArrow(scan, SCHEMA)
+        if n > 1:
+            one = staged(one, "matches")
+            sent.unpersist()
         out = one if out is None else out.union(one)
     return out if out is not None else spark.createDataFrame([], SCHEMA)
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.6, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row for each document and benchmark item that it covers enough of."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return matches(rows, benchmark, min_match, coverage, item_col, "text", block_bytes)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.6, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents that match no item, in their own columns and order of partitions; each row is judged by its own text."""
-    spark = docs.sparkSession
-    schema = docs.schema
-    at = docs.columns.index(text_col)
-    for items in blocks(benchmark, "item_id", "text", block_bytes):
-        sent = spark.sparkContext.broadcast(items)
-
-        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, min_match, coverage)
-            for b in batches:
-                yield b.filter(pa.array([next(matcher.match(t.as_py()), None) is None for t in b.column(at)], pa.bool_()))
+    """The documents that match no item, in their own columns; each row is judged by its own text.
 
-        docs = docs.mapInArrow(keep, schema)
-    return docs
+    A benchmark of one block filters the documents in place. Beyond that they are written once with a row number, which the passes mark.
+    """
+    spark, schema, at = docs.sparkSession, docs.schema, docs.columns.index(text_col)
+    items = benchmark.select("item_id", "text").filter("text is not null")
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > block_bytes:
+        rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+        found = matches(rows.select(F.col("__row").alias("doc_id"), F.col(text_col).alias("text")), items, min_match, coverage, "item_id", "text", block_bytes)
+        return rows.join(found.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(*docs.columns)
+    sent = spark.sparkContext.broadcast([(r.item_id, r.text) for r in items.toLocalIterator()])  # bounded by block_bytes
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(sent.value, min_match, coverage)
+        for b in batches:
+            yield b.filter(pa.array([next(matcher.match(t.as_py()), None) is None for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(keep, schema)

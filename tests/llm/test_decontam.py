@@ -88,6 +88,8 @@ def test_odd_rows_and_reordered_passages(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5]
     small = decontam.contaminated(docs, items, block_bytes=20)  # many blocks of the benchmark
     assert sorted(map(str, small.collect())) == sorted(map(str, rows))
+    many = decontam.decontaminate(docs, items, block_bytes=20)
+    assert many.columns == docs.columns and sorted(map(str, many.collect())) == sorted(map(str, kept.collect()))
     assert decontam.contaminated(docs.limit(0), items).count() == 0
     assert decontam.contaminated(docs, items.limit(0)).count() == 0
     assert decontam.decontaminate(docs, items.limit(0)).count() == len(DOCS)
@@ -108,3 +110,18 @@ def test_whole_table_against_brute_force(spark):
                 want.add((d.doc_id, b.item_id))
     got = {(r.doc_id, r.item_id) for r in Q.op4_string_tiling(spark, SF).collect()}
     assert got == want and want
+
+
+def test_a_collision_takes_no_word_from_a_match():
+    a, b = np.arange(20), np.arange(20)
+    a[9] = 99  # every window over it is a collision in this list of seeds
+    pairs = np.stack([np.arange(16), np.arange(16)], axis=1)
+    assert sorted(decontam.tiles(a, b, pairs, 5)) == [(0, 0, 9), (10, 10, 10)]
+
+
+def test_text_without_spaces_is_found_inside_a_run():
+    item = "人工智能的发展改变了世界的面貌"
+    m = decontam.Matcher([(1, item)], 5, 0.6)
+    assert [x[0] for x in m.match("他们说" + item + "而且如此")] == [1]
+    assert decontam.word_list("a1 漢字b_2") == ["a1", "漢", "字", "b_2"]
+    assert not list(m.match("天气很好我们去公园散步吧"))
