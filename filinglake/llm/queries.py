@@ -112,32 +112,44 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   OR len(list_filter(lettered, lambda x: x = upper(x) AND length(x) > 1)) * 2 > len(lettered) OR (n_words > 0 AND word_chars NOT BETWEEN n_words * 2 AND n_words * 15)) AS kept FROM v"""
 
 
-def _templates_sql(max_depth: int = 8, max_children: int = 12, strength: float = 4.0) -> str:
-    """The template tree level by level, as common table expressions."""
+def _templates_sql(depth: int = 8, max_children: int = 12, strength: float = 4.0) -> str:
+    """Template tree and merged branches level by level, as common table expressions for paths of up to ``depth`` segments."""
     rules = "[" + ", ".join(f"{{'v': '{v}', 'h': '{h}', 'p': '{p}'}}" for v, h, p in sorted(url_filters.RULES, key=lambda r: -len(r[1] + r[2]))) + "]"
-    levels = ""
-    for k in range(max_depth):
+    pure = lambda g, b: f"(({g} + {strength} * hp) / ({g} + {b} + {strength}))"
+    grow = merge = ""
+    for k in range(depth):
         seg = f"segs[{k + 1}]"
-        levels += rf"""
+        grow += rf"""
 k{k} AS (SELECT host, template, count(DISTINCT {seg}) AS d FROM t{k} WHERE len(segs) > {k} GROUP BY host, template),
 t{k + 1} AS (SELECT host, path, segs, good, bad, template || CASE WHEN len(segs) <= {k} THEN '' WHEN d > {max_children} OR regexp_matches({seg}, '{url_filters.VARIABLE}') THEN '/*' || regexp_extract({seg}, '(\.[A-Za-z0-9]{{1,5}})$', 1) ELSE '/' || {seg} END AS template
   FROM t{k} LEFT JOIN k{k} USING (host, template)),"""
+        p, q = pure("o.good", "o.bad").replace("hp", "o.hp"), pure("w.g", "w.b").replace("hp", "w.hp")
+        w, v = f"(o.good + o.bad + {strength})", f"(w.g + w.b + {strength})"
+        mid = f"(({p} * {w} + {q} * {v}) / ({w} + {v}))"
+        far = f"{p} - {q} > 1.96::DOUBLE * sqrt(greatest({mid} * (1 - {mid}), 0) * (1 / {w} + 1 / {v}))"
+        merge += rf"""
+n{k} AS (SELECT host, branch, step, CASE WHEN starts_with(step, '*') THEN step ELSE '+' END AS kind, sum(good)::DOUBLE AS good, sum(bad)::DOUBLE AS bad, any_value(hp) AS hp
+  FROM (SELECT *, steps[{k + 1}] AS step FROM b{k} WHERE len(steps) > {k}) GROUP BY host, branch, step),
+o{k} AS (SELECT *, row_number() OVER (PARTITION BY host, branch, kind ORDER BY {pure("good", "bad")}, step) AS i FROM n{k} WHERE good + bad > 0),
+w{k} AS (SELECT host, branch, kind, step, i, 0 AS n, good AS g, bad AS b, hp, good, bad FROM o{k} WHERE i = 1
+  UNION ALL SELECT o.host, o.branch, o.kind, o.step, o.i, CASE WHEN {far} THEN w.n + 1 ELSE w.n END, CASE WHEN {far} THEN o.good ELSE w.g + o.good END, CASE WHEN {far} THEN o.bad ELSE w.b + o.bad END, o.hp, o.good, o.bad
+  FROM w{k} w JOIN o{k} o ON o.host = w.host AND o.branch = w.branch AND o.kind = w.kind AND o.i = w.i + 1),
+f{k} AS (SELECT host, branch, kind, n, abs({pure("sum(good)", "sum(bad)").replace("hp", "any_value(hp)")} - any_value(hp)) AS far FROM w{k} GROUP BY host, branch, kind, n),
+c{k} AS (SELECT host, branch, kind, first(n ORDER BY far, n) AS n FROM f{k} GROUP BY host, branch, kind),
+m{k} AS (SELECT host, branch, kind, step, n FROM w{k} UNION ALL SELECT x.host, x.branch, x.kind, x.step, coalesce(c.n, 0) FROM n{k} x LEFT JOIN c{k} c USING (host, branch, kind) WHERE x.good + x.bad = 0),
+b{k + 1} AS (SELECT b.host, b.template, b.steps, b.good, b.bad, b.hp, b.branch || coalesce('/' || m.kind || '#' || m.n, '') AS branch FROM b{k} b LEFT JOIN m{k} m ON m.host = b.host AND m.branch = b.branch AND m.step = b.steps[{k + 1}]),"""
     return rf"""
-WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+WITH RECURSIVE p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 g AS (SELECT doc_id, bool_and(coalesce(quality = 1 AND toxic = 0, false)) AS good FROM labels GROUP BY doc_id),
 y AS (SELECT page_id, bool_and(good) AS good FROM p JOIN g ON try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:[./]|$)', 1) AS BIGINT) = doc_id GROUP BY page_id),
-t0 AS (SELECT host, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad, '' AS template FROM p LEFT JOIN y USING (page_id) GROUP BY host, path),{levels}
-t AS (SELECT host, path, good, bad, template || CASE WHEN len(segs) > {max_depth} THEN '/**' ELSE '' END AS template FROM t{max_depth}),
-l AS (SELECT host, template, sum(good) AS good, sum(bad) AS bad FROM t GROUP BY host, template),
+t0 AS (SELECT host, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad, '' AS template FROM p LEFT JOIN y USING (page_id) GROUP BY host, path),{grow}
+l AS (SELECT host, template, sum(good)::DOUBLE AS good, sum(bad)::DOUBLE AS bad FROM t{depth} GROUP BY host, template),
 prior AS (SELECT (sum(good) + 1.0::DOUBLE) / (sum(good) + sum(bad) + 2.0::DOUBLE) AS prior FROM l),
 h AS (SELECT host, (sum(good) + {strength} * any_value(prior)) / (sum(good) + sum(bad) + {strength}) AS hp FROM l, prior GROUP BY host),
-s AS (SELECT l.*, hp, regexp_replace(replace(template, '/', '//'), '/[^/*]+(/|$)', '/+\1', 'g') AS shape, (good + {strength} * hp) / (good + bad + {strength}) AS pur, good + bad + {strength} AS w FROM l JOIN h USING (host)),
-q AS (SELECT *, lag(pur) OVER o AS q, lag(w) OVER o AS v FROM s WINDOW o AS (PARTITION BY host, shape ORDER BY pur, template)),
-n AS (SELECT *, coalesce((pur - q) > 1.96::DOUBLE * sqrt((pur * w + q * v) / (w + v) * (1 - (pur * w + q * v) / (w + v)) * (1 / w + 1 / v)), false)::INT AS fresh FROM q),
-b AS (SELECT *, sum(fresh) OVER (PARTITION BY host, shape ORDER BY pur, template) AS branch FROM n),
-m AS (SELECT host, template, (sum(good) OVER z + {strength} * hp) / (sum(good) OVER z + sum(bad) OVER z + {strength}) AS purity FROM b WINDOW z AS (PARTITION BY host, shape, branch)),
+b0 AS (SELECT l.host, template, list_filter(string_split(template, '/'), lambda x: x <> '') AS steps, good, bad, hp, '' AS branch FROM l JOIN h USING (host)),{merge}
+m AS (SELECT host, template, {pure("sum(good) OVER z", "sum(bad) OVER z")} AS purity FROM b{depth} WINDOW z AS (PARTITION BY host, branch)),
 j AS (SELECT p.page_id, p.host, p.path, t.template, m.purity, list_filter({rules}, lambda r: (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p))[1] AS r
-  FROM p JOIN t ON p.host = t.host AND p.path = t.path JOIN m ON m.host = t.host AND m.template = t.template)
+  FROM p JOIN t{depth} t ON p.host = t.host AND p.path = t.path JOIN m ON m.host = t.host AND m.template = t.template)
 SELECT page_id, host, path, r.h || r.p AS rule, coalesce(r.v, CASE WHEN purity < 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6) AS purity FROM j"""
 
 

@@ -21,12 +21,12 @@ def rule(host, path):
     return max(fit)[1:] if fit else (None, None)
 
 
-def brute(pages, labels, max_children=12, max_depth=8, strength=4.0, below=0.5):
+def brute(pages, labels, max_children=12, strength=4.0, below=0.5):
     """The method with dictionaries: (page_id, host, path, rule, verdict, template, purity)."""
     paths = collections.Counter(split(u) for _, u in pages)
     segs = {hp: [s for s in hp[1].split("/") if s] for hp in paths}
     template = dict.fromkeys(paths, "")
-    for level in range(max_depth):
+    for level in range(max(map(len, segs.values()), default=0)):
         kids = collections.defaultdict(set)
         for hp, s in segs.items():
             if len(s) > level:
@@ -41,40 +41,13 @@ def brute(pages, labels, max_children=12, max_depth=8, strength=4.0, below=0.5):
                 t += "/*" + (end[0] if end else "") if wild else "/" + x
             new[hp] = t
         template = new
-    for hp, s in segs.items():
-        template[hp] += "/**" if len(s) > max_depth else ""
     good, bad = collections.Counter(), collections.Counter()
     for i, u in pages:
         if i in labels:
             hp = split(u)
             (good if labels[i] else bad)[(hp[0], template[hp])] += 1
     leaves = {(hp[0], template[hp]) for hp in paths}
-    prior = (sum(good.values()) + 1) / (sum(good.values()) + sum(bad.values()) + 2)
-    host_purity = {}
-    for h in {x[0] for x in leaves}:
-        g, b = (sum(c[x] for x in leaves if x[0] == h) for c in (good, bad))
-        host_purity[h] = (g + strength * prior) / (g + b + strength)
-    families = collections.defaultdict(list)
-    for h, t in leaves:
-        g, b = good[(h, t)], bad[(h, t)]
-        families[(h, re.sub(r"/[^/*]+(?=/|$)", "/+", t))].append(((g + strength * host_purity[h]) / (g + b + strength), t, g, b))
-    purity = {}
-    for (h, _), members in families.items():
-        runs, last = [], None
-        for m in sorted(members):
-            w = m[2] + m[3] + strength
-            if last is not None:
-                q, v = last
-                pool = (m[0] * w + q * v) / (w + v)
-                far = m[0] - q > 1.96 * math.sqrt(pool * (1 - pool) * (1 / w + 1 / v))
-            if last is None or far:
-                runs.append([])
-            runs[-1].append(m)
-            last = (m[0], w)
-        for r in runs:
-            g, b = sum(m[2] for m in r), sum(m[3] for m in r)
-            for m in r:
-                purity[(h, m[1])] = (g + strength * host_purity[h]) / (g + b + strength)
+    purity = pure(leaves, good, bad, strength)
     out = []
     for i, u in pages:
         hp = split(u)
@@ -84,6 +57,53 @@ def brute(pages, labels, max_children=12, max_depth=8, strength=4.0, below=0.5):
     return out
 
 
+def pure(leaves, good, bad, strength=4.0):
+    """Purity of each (host, template) by recursion from the root of each host's tree."""
+    prior = (sum(good.values()) + 1) / (sum(good.values()) + sum(bad.values()) + 2)
+    purity = {}
+    for h in {x[0] for x in leaves}:
+        mine = [t for x, t in leaves if x == h]
+        g, b = (sum(c[(h, t)] for t in mine) for c in (good, bad))
+        hp = (g + strength * prior) / (g + b + strength)
+
+        def descend(members, level):
+            """``members``: templates of one merged branch, each with its steps."""
+            here = [t for t, s in members if len(s) == level]
+            g, b = (sum(c[(h, t)] for t in here) for c in (good, bad))
+            for t in here:
+                purity[(h, t)] = (g + strength * hp) / (g + b + strength)
+            children = collections.defaultdict(list)
+            for t, s in members:
+                if len(s) > level:
+                    children[s[level]].append((t, s))
+            families = collections.defaultdict(list)
+            for step, below in children.items():
+                g, b = (sum(c[(h, t)] for t, _ in below) for c in (good, bad))
+                families[step if step[0] == "*" else "+"].append(((g + strength * hp) / (g + b + strength), step, g, b, below))
+            for members in families.values():
+                runs = []  # [good, bad, members]
+                for p, step, g, b, below in sorted(x[:5] for x in members if x[2] + x[3]):
+                    if runs:
+                        w, v = g + b + strength, runs[-1][0] + runs[-1][1] + strength
+                        q = (runs[-1][0] + strength * hp) / v
+                        pool = (p * w + q * v) / (w + v)
+                    if not runs or p - q > 1.96 * math.sqrt(pool * (1 - pool) * (1 / w + 1 / v)):
+                        runs.append([0, 0, []])
+                    runs[-1][0] += g
+                    runs[-1][1] += b
+                    runs[-1][2].extend(below)
+                runs = runs or [[0, 0, []]]
+                nearest = min(runs, key=lambda r: abs((r[0] + strength * hp) / (r[0] + r[1] + strength) - hp))
+                for p, step, g, b, below in members:
+                    if not g + b:
+                        nearest[2].extend(below)
+                for r in runs:
+                    descend(r[2], level + 1)
+
+        descend([(t, [s for s in t.split("/") if s]) for t in mine], 0)
+    return purity
+
+
 def same(rows, want):
     got = [(r.page_id, r.host, r.path, r.rule, r.verdict, r.template, round(r.purity, 6)) for r in rows]
     assert sorted(map(str, got)) == sorted(map(str, want))
@@ -126,3 +146,27 @@ def test_an_unlabelled_template_does_not_bridge(spark):
     got = {r.template: r.purity for r in U.merged(tree).collect()}
     assert got["/bad"] < 0.5 < got["/good"]
     assert got["/t00"] < 0.3 and got["/t20"] > 0.7
+
+
+def test_deep_urls_and_many_rules(spark):
+    deep = "http://deep.example.io/" + "/".join(f"s{k}" for k in range(12))
+    pages = [(1, deep), (2, deep + "/x"), (3, deep + "/y/1.html"), (4, "http://deep.example.io/s0/other")] + [(10 + k, f"http://h{k % 3}.r{k}.net/p{k}/q") for k in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    labels = spark.createDataFrame([], "page_id long, good boolean")
+    rows = {r.page_id: r for r in U.judge(df, labels).collect()}
+    assert rows[1].template == "/" + "/".join(f"s{k}" for k in range(12)) and rows[3].template.endswith("/s11/y/*.html")
+    same(rows.values(), brute(pages, {}))
+    rules = [("block", f"r{k}.net", f"/p{k}") for k in range(5000)] + [("allow", f"h1.r{k}.net", f"/p{k}/q") for k in range(5000)] + [("block", "example.io", "/s0/s1/"), ("allow", "io", "/")]
+    for r in U.judge(df, labels, rules=rules).collect():
+        fit = [(len(h + p), h + p, v) for v, h, p in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        best = max(fit, default=(0, None, r.verdict))
+        assert (r.rule, r.verdict) == best[1:]
+
+
+def test_branches_merge_under_their_parent_alone(spark):
+    rows = [("h", f"/{a}/{b}", f"/{a}/{b}", 40, g, 40 - g) for a, b, g in (("x", "one", 38), ("x", "two", 36), ("y", "one", 3), ("y", "two", 1), ("z", "one", 37))]
+    tree = spark.createDataFrame(rows, "host string, path string, template string, n long, good long, bad long")
+    got = {r.template: round(r.purity, 9) for r in U.merged(tree).collect()}
+    want = pure({(r[0], r[2]) for r in rows}, collections.Counter({(r[0], r[2]): r[4] for r in rows}), collections.Counter({(r[0], r[2]): r[5] for r in rows}))
+    assert got == {t: round(p, 9) for (_, t), p in want.items()}
+    assert got["/x/one"] == got["/z/one"] > 0.8 > 0.2 > got["/y/one"]
