@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from filinglake.session import written
+
 # ---- pages inside one text ---------------------------------------------------------------------------------------
 
 
@@ -74,12 +76,24 @@ def baseline_curve(blobs: DataFrame, lengths: list[int], text_col: str = "text")
 # ---- global ranks without one global sort -------------------------------------------------------------------------
 
 
-def ranked(df: DataFrame, value: str, tie: str, rank: str = "rank") -> DataFrame:
-    """0-based rank by (value, tie): rank inside the value's group, shifted by the counts of smaller values."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__k"))
-    before = counts.select(value, F.coalesce(F.sum("__k").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    inside = F.row_number().over(Window.partitionBy(value).orderBy(tie)) - 1
-    return df.withColumn("__r", inside).join(before, value).withColumn(rank, F.col("__b") + F.col("__r")).drop("__b", "__r")
+def ranked(df: DataFrame, *order: str, rank: str = "rank") -> DataFrame:
+    """0-based rank in the order of some columns: rows are dealt to ranges and sorted there, and shifted by the counts of the ranges before.
+
+    The sorted rows are written once, so that ranges and counts belong together.
+    """
+    place = F.monotonically_increasing_id()  # range << 33 | row
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", place), "ranked")
+    part, row = F.shiftright("__m", 33), F.col("__m").bitwiseAND((1 << 33) - 1)
+    counts = rows.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__k"))  # a row a range
+    before = counts.select("__p", F.coalesce(F.sum("__k").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    return rows.withColumn("__p", part).join(F.broadcast(before), "__p").withColumn(rank, F.col("__b") + row).drop("__p", "__m", "__b")
+
+
+def ranked_in(df: DataFrame, group: str, *order: str, rank: str = "rank") -> DataFrame:
+    """0-based rank inside each group, however large it is: the global rank less the group's first."""
+    rows = ranked(df, group, *order, rank="__all")
+    first = rows.groupBy(group).agg(F.min("__all").alias("__first"))
+    return rows.join(first, group).withColumn(rank, F.col("__all") - F.col("__first")).drop("__all", "__first")
 
 
 BANDS = ((0.0, 0.05), (0.05, 0.1), (0.1, 0.2), (0.2, 0.4), (0.4, 0.8), (0.8, 1.0))
@@ -117,7 +131,7 @@ def byte_budget(df: DataFrame, order: str, text_col: str, target: int, bucket: i
 def every_kth(df: DataFrame, order: str, n: int) -> DataFrame:
     """The first n of every step-th row in order, step = max(1, rows // n)."""
     step = max(1, df.count() // n)
-    return ranked(df, order, order).filter((F.col("rank") % step == 0) & (F.col("rank") < step * n))
+    return ranked(df, order).filter((F.col("rank") % step == 0) & (F.col("rank") < step * n))
 
 
 # ---- batches -----------------------------------------------------------------------------------------------------
@@ -131,16 +145,16 @@ def bucket_batches(chunks: DataFrame, id_col: str, length: str, budget: int, wid
     key = (F.ceil(F.col(length) / width) * width).cast("long")
     size = F.greatest(F.lit(1), F.floor(F.lit(float(budget)) / (1 + penalty * F.col("bucket") / span) / F.col("bucket")).cast("long"))
     rows = chunks.withColumn("bucket", F.greatest(key, F.lit(width))).withColumn("batch_size", size)
-    order = Window.partitionBy("bucket").orderBy(F.md5(F.col(id_col).cast("string").cast("binary")), id_col)
-    return rows.withColumn("batch", F.floor((F.row_number().over(order) - 1) / F.col("batch_size")))
+    rows = ranked_in(rows.withColumn("__h", F.md5(F.col(id_col).cast("string").cast("binary"))), "bucket", "__h", id_col, rank="__r")
+    return rows.withColumn("batch", F.floor(F.col("__r") / F.col("batch_size"))).select(*chunks.columns, "bucket", "batch_size", "batch")
 
 
 def same_doc_batches(chunks: DataFrame, doc: str, order: str, length: str, budget: int, width: int = 32) -> DataFrame:
     """Batches inside length buckets in document order, so that chunks of one document stay together."""
     key = F.greatest((F.ceil(F.col(length) / width) * width).cast("long"), F.lit(width))
     rows = chunks.withColumn("bucket", key).withColumn("batch_size", F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket"))))
-    w = Window.partitionBy("bucket").orderBy(doc, order)
-    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / F.col("batch_size")))
+    rows = ranked_in(rows, "bucket", doc, order, rank="__r")
+    return rows.withColumn("batch", F.floor(F.col("__r") / F.col("batch_size"))).select(*chunks.columns, "bucket", "batch_size", "batch")
 
 
 def padding_waste(batched: DataFrame, length: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filinglake.operators.corpus import ranked
+
 CLIP = 3.0
 
 
@@ -82,14 +84,10 @@ def growth(early: DataFrame, late: DataFrame, weights: DataFrame | None = None,
 
 
 def index_picks(df: DataFrame, column: str, picks: dict[str, Column]) -> DataFrame:
-    """Values at positions of the sorted column: picks maps a name to a 0-based index over the count ``n``.
-
-    Positions come from counts of distinct values, so only those meet in one window.
-    """
-    counts = df.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    run = counts.withColumn("hi", F.sum("k").over(Window.orderBy("v"))).withColumn("n", F.sum("k").over(Window.partitionBy()))
-    inside = lambda i: (i >= F.col("hi") - F.col("k")) & (i < F.col("hi"))
-    return run.agg(*[F.max(F.when(inside(i), F.col("v"))).alias(name) for name, i in picks.items()])
+    """Values at positions of the sorted column: picks maps a name to a 0-based index over the count ``n``; ranks come from ranges."""
+    rows = ranked(df.select(F.col(column).alias("v")), "v")
+    total = rows.count()
+    return rows.withColumn("n", F.lit(total)).agg(*[F.max(F.when(F.col("rank") == i, F.col("v"))).alias(name) for name, i in picks.items()])
 
 
 def score_summary(df: DataFrame, column: str) -> DataFrame:

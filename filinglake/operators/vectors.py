@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filinglake.operators.corpus import ranked
+
 #: Edges of the cosine histogram, each bin closed below and open above.
 COSINE_EDGES = (-1.0, 0.0, 0.5, 0.7, 0.8, 0.9, 0.95, 1.0)
 
@@ -27,10 +29,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def sampled_pairs(df: DataFrame, id_col: str, vec: str, n_pairs: int, n_rows: int, seed: int = 0) -> DataFrame:
-    """Cosines of ``n_pairs`` pairs of row numbers drawn by hash; ids run from 0 to n_rows - 1; i = j is dropped."""
+    """Cosines of ``n_pairs`` pairs of rows drawn by hash of their places in the order of ids, which may have gaps; i = j is dropped."""
+    df = ranked(df.select(id_col, vec), id_col, rank="__at")
     h = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("id")), F.lit(n_rows))
     pairs = df.sparkSession.range(n_pairs).select(h(0).alias("i"), h(1).alias("j")).filter("i <> j")
-    a, b = df.select(F.col(id_col).alias("i"), F.col(vec).alias("u")), df.select(F.col(id_col).alias("j"), F.col(vec).alias("v"))
+    a, b = df.select(F.col("__at").alias("i"), F.col(vec).alias("u")), df.select(F.col("__at").alias("j"), F.col(vec).alias("v"))
     return pairs.join(a, "i").join(b, "j").select("i", "j", cosine(F.col("u"), F.col("v")).alias("cos"))
 
 
@@ -159,7 +162,7 @@ def ridge_sweep(train: DataFrame, test: DataFrame, vec: str, y: str, alphas: lis
         y0 = m[d, -1] / n
         base = (tyy - 2 * y0 * t[d, -1] + nt * y0 * y0) / nt
         for alpha in alphas:
-            w = np.linalg.solve(a + alpha * np.eye(k + 1), b)
+            w = np.linalg.lstsq(a + alpha * np.eye(k + 1), b, rcond=None)[0]  # at alpha 0 the matrix may be singular
             mse = (tyy - 2 * w @ tb + w @ ta @ w) / nt
             out.append({"dims": k, "alpha": float(alpha), "mse": float(mse), "r2": float(1 - mse / base)})
         k //= 2

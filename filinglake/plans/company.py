@@ -90,7 +90,7 @@ def order_pairs(spark, sf):
 def field_coverage(spark, sf):
     pairs = order_pairs(spark, sf)
     n = pairs.agg(F.countDistinct("company_id")).first()[0]
-    return facts.field_coverage(pairs, 0.5, n)
+    return facts.field_coverage(pairs, 0.42, n)
 
 
 def rate_merge(spark, sf):
@@ -254,7 +254,7 @@ FROM r JOIN w USING (metric) WHERE r.years > 0 GROUP BY company_id, date_early,
 SELECT count(*) AS n, round(avg(v), 6) AS mean, min(v) AS min, max(v) AS max, round(avg((v > 0)::INT::DOUBLE), 6) AS share_positive,
   max(CASE WHEN i = n // 2 THEN v END) AS median, max(CASE WHEN i = floor(n * 0.1) THEN v END) AS p10, max(CASE WHEN i = floor(n * 0.9) THEN v END) AS p90 FROM s""",
     "field_coverage": f"""WITH p AS (SELECT o_custkey, o_orderpriority AS field FROM orders GROUP BY ALL HAVING bool_or(year(o_orderdate) <= {SPLIT_YEAR}) AND bool_or(year(o_orderdate) > {SPLIT_YEAR}))
-SELECT field, count(DISTINCT o_custkey) AS n_companies, 1.0::DOUBLE AS weight FROM p GROUP BY field HAVING count(DISTINCT o_custkey) >= greatest(floor(0.5 * (SELECT count(DISTINCT o_custkey) FROM p)), 1)""",
+SELECT field, count(DISTINCT o_custkey) AS n_companies, 1.0::DOUBLE AS weight FROM p GROUP BY field HAVING count(DISTINCT o_custkey) >= greatest(floor(0.42 * (SELECT count(DISTINCT o_custkey) FROM p)), 1)""",
     "rate_merge": "SELECT coalesce(s.c_custkey, u.s_suppkey)::VARCHAR AS company_id, round(coalesce(c_acctbal, s_acctbal) / 10000, 6) AS rate FROM supplier u FULL JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) s ON s_suppkey = c_custkey",
     "website_precedence": """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'tk' ELSE 'TK' END || c_custkey AS ticker, c_nationkey FROM customer)
 SELECT c_custkey, ticker, coalesce('https://one.example/' || a.s_suppkey, 'https://two.example/' || b.s_suppkey, CASE WHEN n_nationkey % 2 = 0 THEN 'https://three.example/' || lower(n_name) END) AS website

@@ -204,7 +204,7 @@ def wrap_chunk(spark, sf):
 def equal_splits(spark, sf):
     """Texts without a sentence end cut to 4 equal pieces; blanks dropped."""
     t = F.regexp_replace("text", r"[.?!]\s|\n", " ")
-    size = F.greatest(F.lit(1), F.ceil(F.length("t") / 4).cast("int"))
+    size = F.greatest(F.lit(1), F.floor(F.length("t") / 4).cast("int"))
     d = docs_of(spark, sf).select("doc_id", t.alias("t")).withColumn("k", size)
     pieces = F.filter(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.trim(F.substr("t", i * F.col("k") + 1, F.col("k")))), lambda s: s != "")
     return d.select("doc_id", F.size(pieces).alias("n"), F.array_join(pieces, "|").alias("pieces"))
@@ -214,8 +214,8 @@ def corpus_stats(spark, sf):
     """Totals by language, and the median length as an index pick."""
     d = docs_of(spark, sf)
     by = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("total"), F.min("n_chars").alias("min"), F.max("n_chars").alias("max"), F.round(F.avg("n_chars"), 4).alias("mean"))
-    r = d.select("lang", "n_chars", F.row_number().over(Window.partitionBy("lang").orderBy("n_chars")).alias("r"))
-    med = r.join(by.select("lang", "n_docs"), "lang").filter("r = n_docs div 2 + 1").select("lang", F.col("n_chars").alias("median"))
+    r = corpus.ranked_in(d.select("lang", "n_chars"), "lang", "n_chars")
+    med = r.join(by.select("lang", "n_docs"), "lang").filter("rank = n_docs div 2").select("lang", F.col("n_chars").alias("median"))
     return by.join(med, "lang")
 
 
@@ -297,7 +297,7 @@ ORACLES = {
     "running_bytes": "SELECT * FROM (SELECT doc_id, coalesce(sum(strlen(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bytes_before FROM documents) WHERE bytes_before < 300000",
     "non_empty_docs": "SELECT doc_id, lang FROM documents WHERE trim(text) <> ''",
     "page_explode": r"""SELECT doc_id, i AS seq, 'http://p' AS url, l[i + 1] AS content FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM (SELECT doc_id, string_split(E'lead\n' || text, E'\n') AS l FROM documents))""",
-    "page_concat": r"SELECT source, string_agg('########## http://d/' || doc_id || E'\n' || left(text, 40), E'\n' ORDER BY doc_id) AS text, count(*) AS n_pages FROM documents GROUP BY source",
+    "page_concat": rf"SELECT source, doc_id // {PIECE} AS piece, string_agg('########## http://d/' || doc_id || E'\n' || text, E'\n' ORDER BY doc_id) AS text, count(*) AS n_pages FROM documents GROUP BY source, piece",
     "density_expected": f"SELECT doc_id, n_bytes, round({_points()}, 6) AS expected FROM (SELECT doc_id, strlen(text) AS n_bytes FROM documents)",
     "rank_bands": _BANDS,
     "even_sample": f"""WITH b AS ({_BANDS}), g AS (SELECT *, rank - min(rank) OVER (PARTITION BY band) AS i, count(*) OVER (PARTITION BY band) AS m FROM b)
@@ -318,16 +318,16 @@ a AS (SELECT doc_id, {_u(0)} < 0.15 AS c, {_u(1)} AS u FROM t)
 SELECT doc_id, count(*) FILTER (NOT c) AS n_none, count(*) FILTER (c AND u < 0.8) AS n_mask, count(*) FILTER (c AND u >= 0.8 AND u < 0.9) AS n_random, count(*) FILTER (c AND u >= 0.9) AS n_keep, count(*) FILTER (c) AS n_labels FROM a GROUP BY doc_id""",
     "k_of_n_mask": """SELECT conv_id, turn, r <= least(greatest(ceil(n * 0.3::DOUBLE), 1), n - 1) AS chosen
 FROM (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY ('0x' || substr(md5('0:' || conv_id || ':' || turn), 1, 8))::BIGINT, turn) AS r FROM conversations)""",
-    "table_depth": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, E'\n')) AS line, generate_subscripts(string_split(text, E'\n'), 1) AS pos FROM documents WHERE doc_id % 2 = 0),
+    "table_depth": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, E'\n')) AS line, generate_subscripts(string_split(text, E'\n'), 1) AS pos FROM documents),
 d AS (SELECT doc_id, sum(contains(line, 'a')::INT) OVER w - coalesce(sum(contains(line, 'e')::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
 SELECT doc_id, max(depth)::BIGINT AS max_depth, min(depth)::BIGINT AS min_depth, count(*) AS n_lines FROM d GROUP BY doc_id""",
-    "line_boundaries": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, E'\n')) AS line, generate_subscripts(string_split(text, E'\n'), 1) AS pos FROM documents WHERE n_chars < 3000),
+    "line_boundaries": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, E'\n')) AS line, generate_subscripts(string_split(text, E'\n'), 1) AS pos FROM documents),
 c AS (SELECT doc_id, pos, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - 1)::BIGINT AS b FROM l) SELECT doc_id, count(*)::INT AS n, string_agg(b::VARCHAR, ',' ORDER BY pos) AS bounds FROM c GROUP BY doc_id""",
     "moving_average": "SELECT event_id, user_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS avg100 FROM events",
     "pad_collate": """WITH c AS (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda w: length(w)) AS ids FROM conversations), n AS (SELECT *, max(len(ids)) OVER (PARTITION BY conv_id) AS n FROM c)
 SELECT conv_id, turn, array_to_string(list_concat(ids, list_transform(range(n - len(ids)), lambda x: 0)), ' ') AS ids, len(ids) AS n_real, n AS n_padded FROM n""",
     "wrap_chunk": "SELECT doc_id, array_to_string(list_concat(['[CLS]'], string_split(text, ' ')[3:10], ['[SEP]']), ' ') AS chunk FROM documents",
-    "equal_splits": r"""WITH t AS (SELECT doc_id, regexp_replace(text, '[.?!]\s|\n', ' ', 'g') AS t FROM documents), k AS (SELECT *, greatest(1, ceil(length(t) / 4))::BIGINT AS k FROM t),
+    "equal_splits": r"""WITH t AS (SELECT doc_id, regexp_replace(text, '[.?!]\s|\n', ' ', 'g') AS t FROM documents), k AS (SELECT *, greatest(1, length(t) // 4)::BIGINT AS k FROM t),
 p AS (SELECT doc_id, list_filter(list_transform(range(4), lambda i: trim(substr(t, i * k + 1, k))), lambda s: s <> '') AS p FROM k) SELECT doc_id, len(p) AS n, array_to_string(p, '|') AS pieces FROM p""",
     "corpus_stats": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents)
 SELECT lang, count(*) AS n_docs, sum(n_chars)::BIGINT AS total, min(n_chars) AS min, max(n_chars) AS max, round(avg(n_chars), 4) AS mean, max(CASE WHEN r = n // 2 + 1 THEN n_chars END) AS median FROM r GROUP BY lang""",
@@ -368,9 +368,10 @@ def blob_fill(spark, sf):
 
 
 def title_slugs(spark, sf):
+    """Slugs of the first lines."""
     ship_package(spark)
     slug = tagging.text_udf(examples.slugify)
-    return docs_of(spark, sf).select("doc_id", slug(F.substring("text", 1, 120)).alias("slug"))
+    return docs_of(spark, sf).select("doc_id", slug(F.substring_index("text", "\n", 1)).alias("slug"))
 
 
 def readable_numbers(spark, sf):

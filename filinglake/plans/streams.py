@@ -31,15 +31,15 @@ def ext_stream_dedup(spark, sf):
 def ext_tumbling(spark, sf):
     """Daily counts and sums by type, in complete mode."""
     out, state = _paths(spark)
-    S.run_snapshots(S.tumbling(_stream(spark, sf), "event_type", "value"), out, state)
-    return spark.read.parquet(out).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+    last = S.run_snapshots(S.tumbling(_stream(spark, sf), "event_type", "value"), out, state)
+    return spark.read.parquet(last).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 
 def ext_ranking_snapshot(spark, sf):
     """Users by the number of events, as a table replaced after every batch."""
     out, state = _paths(spark)
-    S.run_snapshots(_stream(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), out, state)
-    return spark.read.parquet(out).orderBy(F.desc("n"), "user_id").limit(20)
+    last = S.run_snapshots(_stream(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), out, state)
+    return spark.read.parquet(last).orderBy(F.desc("n"), "user_id").limit(20)
 
 
 def ext_sessions(spark, sf):

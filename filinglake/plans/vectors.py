@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from filinglake.operators import vectors as V
+from filinglake.operators.corpus import ranked_in
 from filinglake.session import ship_package, table
 
 DIMS = 64
 BLOCKS = 64
+PIECE = 1000  # chunks of a label in one row
 
 
 def emb(spark, sf):
@@ -76,7 +77,7 @@ def ridge(spark, sf):
 
 def ridge_pca_sweep(spark, sf):
     e = emb(spark, sf)
-    rows = V.ridge_sweep(e.filter("vec_id % 5 <> 0"), e.filter("vec_id % 5 = 0"), "embedding", "label", [0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0])
+    rows = V.ridge_sweep(e.filter("vec_id % 5 <> 0"), e.filter("vec_id % 5 = 0"), "embedding", "label", [0.0, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0])
     return spark.createDataFrame(pd.DataFrame(rows))
 
 
@@ -112,10 +113,10 @@ def anchor_choice(spark, sf):
 
 
 def scatter_dense(spark, sf):
-    """Chunks of each label back in order, as one array of ids and the number of values."""
-    e = emb(spark, sf).withColumn("chunk_idx", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
+    """Chunks of each label back in order, in pieces of ``PIECE`` chunks, as an array of ids and the number of values."""
+    e = ranked_in(emb(spark, sf), "label", "vec_id", rank="chunk_idx")
     held = F.array_sort(F.collect_list(F.struct("chunk_idx", "vec_id", "embedding")))
-    return e.groupBy("label").agg(held.alias("h")).select("label", F.array_join(F.transform("h", lambda x: x["vec_id"]), ",").alias("ids"), F.aggregate(F.transform("h", lambda x: F.size(x["embedding"])), F.lit(0), lambda a, x: a + x).alias("n_values"))
+    return e.groupBy("label", F.floor(F.col("chunk_idx") / PIECE).alias("piece")).agg(held.alias("h")).select("label", "piece", F.array_join(F.transform("h", lambda x: x["vec_id"]), ",").alias("ids"), F.aggregate(F.transform("h", lambda x: F.size(x["embedding"])), F.lit(0), lambda a, x: a + x).alias("n_values"))
 
 
 def sigreg_statistic(spark, sf):
@@ -161,5 +162,5 @@ SELECT vec_id, round((1 - (t - floor(t))) * (lse - embedding[floor(t)::INT + 1]:
     "contrastive_loss": f"""WITH e AS (SELECT *, vec_id // 32 AS batch FROM embeddings), s AS (SELECT a.batch, a.vec_id AS i, a.label = b.label AS same, {_dot('a.embedding', 'b.embedding')} / sqrt({_dot('a.embedding', 'a.embedding')} * {_dot('b.embedding', 'b.embedding')}) / 0.07::DOUBLE AS s
 FROM e a JOIN e b ON a.batch = b.batch AND a.vec_id <> b.vec_id), r AS (SELECT batch, i, ln(sum(exp(s))) AS lse, avg(CASE WHEN same THEN s END) AS pos FROM s GROUP BY 1, 2) SELECT batch, round(avg(lse - pos), 5) AS loss, count(*) AS n FROM r WHERE pos IS NOT NULL GROUP BY batch""",
     "anchor_choice": f"SELECT a.vec_id AS anchor, arg_max(b.vec_id, {_dot('a.embedding', 'b.embedding')} / sqrt({_dot('b.embedding', 'b.embedding')})) AS closer FROM embeddings a JOIN embeddings b ON b.vec_id - b.vec_id % 10 = a.vec_id AND b.vec_id % 10 IN (1, 2) GROUP BY 1",
-    "scatter_dense": "SELECT label, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS ids, sum(len(embedding))::INT AS n_values FROM embeddings GROUP BY label",
+    "scatter_dense": f"SELECT label, piece, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS ids, sum(len(embedding))::INT AS n_values FROM (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // {PIECE} AS piece FROM embeddings) GROUP BY label, piece",
 }

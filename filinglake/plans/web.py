@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filinglake.functions import urls
 from filinglake.operators import manifest, sites
+from filinglake.operators.corpus import ranked
 from filinglake.session import ship_package, table
 
 
@@ -80,7 +81,9 @@ def dedup_keep_first(spark, sf):
 
 
 def page_usability(spark, sf):
-    return table(spark, sf, "pages").filter((F.col("page_id") % 5 != 0) & (F.length("html") >= 50)).select("page_id", F.length("html").alias("n"))
+    """Pages fetched well, whose event says so, with enough text; a page without an event is not usable."""
+    ok = statuses(spark, sf).filter(F.col("status").rlike("^(ok|skipped)")).select(F.col("event_id").alias("page_id")).distinct()
+    return table(spark, sf, "pages").filter(F.length("html") >= 50).join(ok, "page_id", "left_semi").select("page_id", F.length("html").alias("n"))
 
 
 def nearest_ancestor(spark, sf):
@@ -94,7 +97,10 @@ def added_lines(spark, sf):
     """Lines of each document that the one before it in the source does not have, by line difference."""
     ship_package(spark)
     d = table(spark, sf, "documents").select("doc_id", "source", "text")
-    prev = d.withColumn("ref", F.lag("text").over(Window.partitionBy("source").orderBy("doc_id")))
+    # places without texts first, then each document meets the text before it
+    at = ranked(d.select("source", "doc_id"), "source", "doc_id")
+    link = at.join(at.select("source", (F.col("rank") + 1).alias("rank"), F.col("doc_id").alias("before")), ["source", "rank"], "left").select("doc_id", "before")
+    prev = d.join(link, "doc_id").join(d.select(F.col("doc_id").alias("before"), F.col("text").alias("ref")), "before", "left")
     return prev.select("doc_id", sites.added_lines(F.coalesce("ref", F.lit("")), F.coalesce("text", F.lit(""))).alias("added"))
 
 
@@ -201,11 +207,11 @@ FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(regex
     "domain_blocklist": f"""WITH base AS ({MANIFEST_BASE}), best AS (SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY domain, norm_url ORDER BY crawl_rank, page_id) = 1),
 m AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY domain ORDER BY depth, CASE WHEN regexp_matches(lower(p), '\\.html?$') THEN 0 ELSE 1 END, p, page_id) <= 20)
 SELECT DISTINCT {DOMAIN} AS domain FROM pages WHERE {DOMAIN} NOT IN (SELECT domain FROM m WHERE page_id % 2 = 0) AND NOT regexp_matches({DOMAIN}, 'casino|adult|bets')""",
-    "fetch_status_rollup": f"""WITH s AS ({STATUS}) SELECT domain, count(*) FILTER (event_id % 40 = 0 AND regexp_matches(status, '^(ok|skipped)')) AS n_ok, count(*) FILTER (event_id % 40 = 0) AS n,
-  count(*) FILTER (event_id % 40 = 0 AND regexp_matches(status, '^(ok|skipped)')) = 0 AS needs_fetch FROM s GROUP BY domain""",
+    "fetch_status_rollup": f"""WITH s AS ({STATUS}) SELECT domain, count(*) FILTER (regexp_matches(status, '^(ok|skipped)')) AS n_ok, count(*) AS n,
+  count(*) FILTER (regexp_matches(status, '^(ok|skipped)')) = 0 AS needs_fetch FROM s GROUP BY domain""",
     "outcome_counts": f"SELECT split_part(status, ':', 1) AS outcome, count(*) AS n FROM ({STATUS}) GROUP BY 1",
     "dedup_keep_first": "SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1",
-    "page_usability": "SELECT page_id, length(html) AS n FROM pages WHERE page_id % 5 <> 0 AND length(html) >= 50",
+    "page_usability": f"SELECT page_id, length(html) AS n FROM pages WHERE length(html) >= 50 AND page_id IN (SELECT event_id FROM ({STATUS}) WHERE regexp_matches(status, '^(ok|skipped)'))",
     "dom_counts": COUNTS,
     "tag_entropy": r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages), c AS (SELECT page_id, tag, count(*) AS c FROM t GROUP BY 1, 2), n AS (SELECT *, sum(c) OVER (PARTITION BY page_id) AS n FROM c)
 SELECT page_id, count(*) AS unique_tags, round(-sum(c / n * log2(c / n)), 4) AS entropy FROM n GROUP BY page_id""",
@@ -220,3 +226,4 @@ f AS (SELECT c.page_id, arg_min(u.ref, lvl) AS ancestor FROM c JOIN u ON c.domai
 w AS (SELECT *, lag(page_id) OVER (PARTITION BY domain ORDER BY length(path) - length(replace(path, '/', '')), path, page_id) AS prev FROM p)
 SELECT w.page_id, w.domain, coalesce(f.ancestor, w.prev) AS ref_id, f.ancestor IS NOT NULL AS is_ancestor FROM w LEFT JOIN f USING (page_id)""",
 }
+ORACLES["manifest_nested"] = f"SELECT domain, count(*) AS n_pages, string_agg(url, ' ' ORDER BY page_rank) AS urls FROM ({ORACLES['manifest_select']}) GROUP BY domain"

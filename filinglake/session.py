@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -53,12 +53,24 @@ def ship_package(spark: SparkSession) -> None:
     sc._filinglake_shipped = True
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back: the same rows for every later use, whatever executors are lost."""
+    import uuid
+
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only on one machine where none is set."""
+    import re
     import tempfile
 
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="filinglake-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filinglake.functions import numbers
+from filinglake.session import written
 
 
 def write_manifest(pages: DataFrame, path: str) -> None:
@@ -37,16 +38,18 @@ def write_ranking(df: DataFrame, path: str, order: str, tie: str, top: int) -> N
 
 
 def append_new(df: DataFrame, path: str, key: str) -> int:
-    """Append the rows whose key is not there yet; returns their number."""
+    """Append one row of each key that is not there yet; returns their number. Only a missing table counts as empty."""
     from pyspark.errors import AnalysisException
 
+    df = df.dropDuplicates([key])
     try:
         df = df.join(df.sparkSession.read.parquet(path).select(key).distinct(), key, "left_anti")
-    except AnalysisException:
-        pass
-    n = df.count()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    df = written(df, "appended")
     df.write.mode("append").parquet(path)
-    return n
+    return df.count()
 
 
 def write_tokens(docs: DataFrame, path: str, parts: int | None = None) -> None:

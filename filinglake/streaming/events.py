@@ -41,10 +41,16 @@ def run_to_parquet(stream: DataFrame, path: str, checkpoint: str, mode: str = "a
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
 
 
-def run_snapshots(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Replace the result table after every batch (complete results, such as rankings)."""
+def run_snapshots(stream: DataFrame, path: str, checkpoint: str) -> str:
+    """A whole result table for every batch (rankings and the like), each in a folder of its own; returns the last one's.
+
+    A batch that fails or runs again touches its own folder alone, so the result before it stays readable.
+    """
+    last = [f"{path}/batch=0"]
 
     def put(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(path)
+        last[0] = f"{path}/batch={batch_id}"
+        df.write.mode("overwrite").parquet(last[0])
 
     stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return last[0]
