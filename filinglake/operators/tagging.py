@@ -1,78 +1,121 @@
-"""Number tagging of text, as Arrow-batched pandas functions (each match is rewritten by a rule)."""
+"""Number tagging of text.
+
+One scanner finds numbers by the shapes of a kind of text, in the order of
+their precedence, on the text as it stands; the spans found are then written
+anew with tags, all by one formatter. A kind says which of its shapes leave
+years bare and how decimals are written.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+from decimal import Decimal, localcontext
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The shapes of numbers in the three kinds of text.
+# The shapes of numbers in the three kinds of text; "n" is the number, "minus" or brackets its sign.
 COMMAS = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?"
 PLAIN = r"\d+(?:\.\d+)?"
-ANY_NUMBER = re.compile(rf"""(?<![.\d"'])({COMMAS}|{PLAIN})(?!\d|\.\d)(?!["'])""")
-OCR_NUMBER = re.compile(rf"(?<![.\d,\w])(-)?({COMMAS}|{PLAIN})(?![,\d])")
-FILING_NUMBER = re.compile(
-    r"(?P<neg>\(\s*(?:\d{1,3}(?:,\d{3})*|\d+)(?:\.\d+)?\s*\))"
-    rf"|(?<![.\d])(?P<sep>{COMMAS})(?![,\d])"
-    r"|(?<![.,\d])(?P<big>\d{5,})(?!\d)"
-)
-CELL = re.compile(r"(?<=\|)([^|\n]*)(?=\|)")
-CELL_NUMBER = re.compile(r"^(\s*\*{0,2}\s*)(-?\d{1,4}(?:\.\d+)?)(\s*\*{0,2}\s*)$")
-BOLD_NUMBER = re.compile(r"\*\*(\s*[£$€]?\s*)(-?\d[\d,]*(?:\.\d+)?)(\s*%?\s*)\*\*")
-MARKUP = re.compile(r"(<[^>]+>)")
-
-
-def tag(s: str) -> str:
-    return f"<number>{s}</number>"
-
-
-def canonical(raw: str) -> str:
-    """Digits without separators; decimals to 10 places with closing zeros cut."""
-    s = raw.replace(",", "").replace(" ", "")
-    return str(int(s)) if re.fullmatch(r"-?\d+", s) else f"{float(s):.10f}".rstrip("0").rstrip(".")
-
-
-def is_year(raw: str) -> bool:
-    return bool(re.fullmatch(r"\s*\d+\s*", raw)) and 1900 <= int(raw) <= 2099
-
-
-def tag_all(text: str) -> str:
-    """Every number; tags already there are removed first."""
-    plain = text.replace("<number>", "").replace("</number>", "")
-    return ANY_NUMBER.sub(lambda m: tag(canonical(m[1])), plain)
-
-
-def tag_ocr(text: str) -> str:
-    """Every number with its sign; decimals exactly as written, at least one digit behind the point."""
-
-    def one(m: re.Match) -> str:
-        whole, _, part = m[2].replace(",", "").partition(".")
-        return tag((m[1] or "") + str(int(whole)) + (f".{part.rstrip('0') or '0'}" if part else ""))
-
-    return OCR_NUMBER.sub(one, text)
-
-
-def tag_filing(text: str) -> str:
-    """Bracketed negatives, separated and 5-digit numbers, pure table cells, then bold numbers; years stay bare."""
-
-    def number(m: re.Match) -> str:
-        if m["neg"]:
-            inner = m["neg"][1:-1].strip()
-            return m["neg"] if is_year(inner) else tag("-" + canonical(inner))
-        return tag(canonical(m["sep"] or m["big"]))
-
-    def cell(m: re.Match) -> str:
-        c = CELL_NUMBER.match(m[1])
-        return m[1] if c is None or is_year(c[2]) else f"{c[1]}{tag(canonical(c[2]))}{c[3]}"
-
-    def line(s: str) -> str:
-        return FILING_NUMBER.sub(number, CELL.sub(cell, s) if "|" in s else s)
-
-    pieces = MARKUP.split(text)
-    pieces[::2] = ["\n".join(map(line, p.split("\n"))) for p in pieces[::2]]
-    return BOLD_NUMBER.sub(lambda m: m[0] if is_year(m[2]) else f"**{m[1]}{tag(canonical(m[2]))}{m[3]}**", "".join(pieces))
+ANY_NUMBER = rf"""(?<![.\d"'])(?P<n>{COMMAS}|{PLAIN})(?!\d|\.\d)(?!["'])"""
+OCR_NUMBER = rf"(?<![.\d,\w])(?P<minus>-)?(?P<n>{COMMAS}|{PLAIN})(?![,\d])"
+CELL_NUMBER = r"(?<=\|)[^\S\n]*\*{0,2}[^\S\n]*(?P<at>(?P<minus>-)?(?P<n>\d{1,4}(?:\.\d+)?))[^\S\n]*\*{0,2}[^\S\n]*(?=\|)"
+BRACKETED = r"(?P<at>\([^\S\n]*(?P<n>(?:\d{1,3}(?:,\d{3})*|\d+)(?:\.\d+)?)[^\S\n]*\))"
+SEPARATED = rf"(?<![.\d])(?P<n>{COMMAS})(?![,\d])"
+LONG = r"(?<![.,\d])(?P<n>\d{5,})(?!\d)"
+BOLD_NUMBER = r"\*\*\s*[£$€]?\s*(?P<at>(?P<minus>-)?(?P<n>\d[\d,]*(?:\.\d+)?))\s*%?\s*\*\*"
+YEARS = range(1900, 2100)
+
+MARKUP = re.compile(r"<[^>]+>")
+
+
+@dataclass(frozen=True)
+class Shape:
+    """What a pattern finds: ``at`` (or all of the match) is written anew; ``negative`` without a sign, ``bare`` years stay."""
+
+    pattern: str
+    bare: bool = False
+    negative: bool = False
+
+
+@dataclass(frozen=True)
+class Kind:
+    """Groups of shapes that are looked for together, the first group first; markup is passed over if ``outside`` is set."""
+
+    groups: tuple[tuple[Shape, ...], ...]
+    outside: bool = False
+    places: int | None = 10  # decimals kept, closing zeros cut; None: as written, one digit at least
+
+
+KINDS = {
+    "all": Kind(((Shape(ANY_NUMBER),),)),
+    "ocr": Kind(((Shape(OCR_NUMBER),),), places=None),
+    "filing": Kind(((Shape(CELL_NUMBER, bare=True),), (Shape(BRACKETED, bare=True, negative=True), Shape(SEPARATED), Shape(LONG)), (Shape(BOLD_NUMBER, bare=True),)), outside=True),
+}
+
+
+def written(digits: str, minus: bool, places: int | None) -> str:
+    """A number without separators."""
+    with localcontext(prec=max(50, 2 * len(digits) + 12)):
+        value = Decimal(digits.replace(",", ""))
+        if places is not None:
+            out = f"{round(Decimal(float(value)), places) if '.' in digits else value:f}"  # decimals are those of a double
+            out = out.rstrip("0").rstrip(".") if "." in out else out
+        else:
+            out = f"{value:f}"
+            if "." in out:
+                out = out.rstrip("0")
+                out += "0" * out.endswith(".")
+    return ("-" if minus and (value or places is None) else "") + out
+
+
+def spans(text: str, kind: Kind) -> Iterator[tuple[int, int, str]]:
+    """(start, end, tagged number) of the numbers, in order; a span that meets an earlier group's is left to it."""
+    taken = bytearray(len(text))
+    if kind.outside:
+        for m in MARKUP.finditer(text):
+            taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+    found = []
+    for group in kind.groups:
+        at = 0
+        while m := _together(group).search(text, at):
+            at = m.end()
+            k = int(m.lastgroup[1:])
+            shape, part = group[k], {name: m.group(f"{name}{k}") for name in ("n", "minus", "at") if f"{name}{k}" in m.re.groupindex}
+            a, b = m.span(f"at{k}" if "at" in part else m.lastgroup)
+            if any(taken[a:b]):
+                at = m.start() + 1
+                continue
+            if shape.bare and part["n"].isdigit() and int(part["n"]) in YEARS and not part.get("minus"):
+                continue
+            taken[a:b] = b"\1" * (b - a)
+            found.append((a, b, f"<number>{written(part['n'], shape.negative or bool(part.get('minus')), kind.places)}</number>"))
+    yield from sorted(found)
+
+
+_TOGETHER: dict[tuple[Shape, ...], re.Pattern] = {}
+
+
+def _together(group: tuple[Shape, ...]) -> re.Pattern:
+    """One pattern of a group; the k-th shape is named _k, and its parts bear its number."""
+    if group not in _TOGETHER:
+        parts = [f"(?P<_{k}>" + re.sub(r"\(\?P<(n|minus|at)>", rf"(?P<\g<1>{k}>", s.pattern) + ")" for k, s in enumerate(group)]
+        _TOGETHER[group] = re.compile("|".join(parts))
+    return _TOGETHER[group]
+
+
+def tag(text: str, kind: str) -> str:
+    """The text with its numbers tagged; tags that it has already are taken off where every number is tagged anew."""
+    if kind == "all":
+        text = re.sub("</?number>", "", text)
+    out, at = [], 0
+    for a, b, new in spans(text, KINDS[kind]):
+        out += [text[at:a], new]
+        at = b
+    return "".join([*out, text[at:]])
 
 
 def text_udf(f):
@@ -85,4 +128,4 @@ def text_udf(f):
 
 def taggers() -> dict:
     """Column functions by kind of text."""
-    return {"all": text_udf(tag_all), "ocr": text_udf(tag_ocr), "filing": text_udf(tag_filing)}
+    return {kind: text_udf(lambda t, kind=kind: tag(t, kind)) for kind in KINDS}

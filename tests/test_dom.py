@@ -56,23 +56,23 @@ def test_filing_text():
 
 
 @pytest.mark.parametrize(
-    "f,text,want",
+    "kind,text,want",
     [
-        (tagging.tag_all, "in 2017 1,234.50 of 5.00", "in <number>2017</number> <number>1234.5</number> of <number>5</number>"),
-        (tagging.tag_all, "<number>12</number> '7' 1.2.3", "<number>12</number> '7' 1.2.3"),
-        (tagging.tag_ocr, "-1,200 x5 5.00 3.", "<number>-1200</number> x5 <number>5.0</number> <number>3</number>."),
-        (tagging.tag_filing, "1,000 and (532) in 2017 (2017) 12345", "<number>1000</number> and <number>-532</number> in 2017 (2017) <number>12345</number>"),
-        (tagging.tag_filing, "| 12 | **5** | 30th | 1999 |", "| <number>12</number> | **<number>5</number>** | 30th | 1999 |"),
-        (tagging.tag_filing, "**£5.8 %** <td 99999> (12) 12", "**£<number>5.8</number> %** <td 99999> <number>-12</number> 12"),
+        ("all", "in 2017 1,234.50 of 5.00", "in <number>2017</number> <number>1234.5</number> of <number>5</number>"),
+        ("all", "<number>12</number> '7' 1.2.3", "<number>12</number> '7' 1.2.3"),
+        ("ocr", "-1,200 x5 5.00 3.", "<number>-1200</number> x5 <number>5.0</number> <number>3</number>."),
+        ("filing", "1,000 and (532) in 2017 (2017) 12345", "<number>1000</number> and <number>-532</number> in 2017 (2017) <number>12345</number>"),
+        ("filing", "| 12 | **5** | 30th | 1999 |", "| <number>12</number> | **<number>5</number>** | 30th | 1999 |"),
+        ("filing", "**£5.8 %** <td 99999> (12) 12", "**£<number>5.8</number> %** <td 99999> <number>-12</number> 12"),
     ],
 )
-def test_taggers(f, text, want):
-    assert f(text) == want
+def test_taggers(kind, text, want):
+    assert tagging.tag(text, kind) == want
 
 
 def test_tagging_all_twice_changes_nothing():
-    t = tagging.tag_all("a 1,234 b 5.250 c")
-    assert tagging.tag_all(t) == t
+    t = tagging.tag("a 1,234 b 5.250 c", "all")
+    assert tagging.tag(t, "all") == t
 
 
 def test_added_lines():
