@@ -53,8 +53,8 @@ BUCKETS = 64
 HIDDEN = 24
 ROUNDS = 2
 STREAMS = 256
-GROUP_TOKENS = 1 << 21
-HELD = 1 << 22  # tokens a task holds before it trains on them
+GROUP_TOKENS = 1 << 22
+HELD = 1 << 23  # tokens a task holds before it trains on them
 BLOCKS = 16
 END = b"\n"  # no word holds white space
 LN10 = float(np.log(10))
@@ -65,8 +65,8 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def tokens(text: str | bytes | None) -> list[bytes]:
+    return (text.encode() if isinstance(text, str) else text or b"").lower().split()
 
 
 def bucket(word: bytes) -> int:
@@ -91,7 +91,14 @@ def word_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
     def _counts(held: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
-    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("binary")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class _Rows(dict):
+    """Rows of words; -1 for all others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
 
 
 class Words:
@@ -119,7 +126,7 @@ class Words:
 
     def lookup(self) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
         """Head word to row; and by row the output id, the base's log10 and the natural log inside the output id."""
-        row = {w: i for i, w in enumerate(self.words)}
+        row = _Rows(zip(self.words, range(len(self.words))))
         net, buckets = self.output_of(), self.bucket_outputs()
         out, inside = np.empty(len(self.words), np.int32), np.zeros(len(self.words))
         for i, w in enumerate(self.words):
@@ -181,32 +188,29 @@ def encode(docs: DataFrame, words: Words) -> DataFrame:
             _LOOKUPS.clear()
             _LOOKUPS[name] = held.lookup()
         row, out, base, inside = _LOOKUPS[name]
-        buckets, get = held.bucket_outputs(), row.get
+        buckets, get = held.bucket_outputs(), row.__getitem__
         at_end = base[row[END]] if END in row else float(np.log10((0 + ALPHA) / held.floor))
         for b in batches:
             parts, ends, tails, late_at, late_bucket, n = [], [], [], [], [], 0
-            for t in b.column(2):
-                w = tokens(t.as_py())
-                found = [get(x, -1) for x in w]
-                tail: Counter = Counter()
-                if -1 in found:
-                    for i, r in enumerate(found):
-                        if r < 0:
-                            tail[w[i]] += 1
-                            late_at.append(n + i)
-                            late_bucket.append(bucket(w[i]))
-                found.append(-2)
+            for t in b.column(2).to_pylist():
+                w = tokens(t)
+                found = np.full(len(w) + 1, -2, np.int32)
+                found[:-1] = np.fromiter(map(get, w), np.int32, len(w))
+                rare = [w[i] for i in np.flatnonzero(found == -1)]
+                if rare:
+                    late_at.append(n + np.flatnonzero(found == -1))
+                    late_bucket += map(bucket, rare)
                 n += len(found)
-                parts.append(np.array(found, np.int32))
+                parts.append(found)
                 ends.append(n)
-                tails.append(tail)
+                tails.append(Counter(rare))
             if not ends:
                 continue
             r = np.concatenate(parts)
             stops = np.array(ends)
             starts = np.concatenate([[0], stops[:-1]])
             last = stops - 1
-            pos, late = np.array(late_at, np.int64), np.array(late_bucket, np.int64)
+            pos, late = np.concatenate(late_at) if late_at else np.zeros(0, np.int64), np.array(late_bucket, np.int64)
             # rows -1 and -2 pick wrong entries at first, which are then overwritten
             ids = out.take(r, mode="wrap") if len(out) else np.zeros(n, np.int32)
             ids[last] = held.end
@@ -227,7 +231,7 @@ def encode(docs: DataFrame, words: Words) -> DataFrame:
                 [b.column(0), b.column(1), pa.array(raw, pa.binary()), pa.array(stops - starts), pa.array([sum(x.values()) for x in tails], pa.int64()), pa.array(base_sums), pa.array(inside_sums), listed], [f.split()[0] for f in fields.split(", ")]
             )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return staged(rows.mapInArrow(run, fields), "encoded")
 
 
