@@ -59,9 +59,12 @@ def magnitude_bins(x: Column, low: float = -12.0, high: float = 12.0, bins: int
 
 
 def short_number(v: Column) -> Column:
-    """Readable number: exponent form under 0.01, whole with separators from a million, one decimal from 100, else two."""
+    """Readable number: exponent form under 0.01, whole with separators from a million, one decimal from 100, else two.
+
+    Decimals are rounded from the double's exact value, halves to even.
+    """
     a = F.abs(v)
-    return F.when(a < 0.01, F.format_string("%.4e", v)).when(a >= 1e6, F.format_string("%,.0f", v)).when(a >= 100, F.format_string("%,.1f", v)).otherwise(F.format_string("%.2f", v))
+    return F.when(a < 0.01, F.format_string("%.4e", v)).when(a >= 1e6, F.format_number(v, 0)).when(a >= 100, F.format_number(v, 1)).otherwise(F.format_number(v, 2))
 
 
 def learning_rate(step: Column, warm_up: int, total: int, floor: float = 0.0) -> Column:

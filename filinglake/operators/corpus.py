@@ -271,3 +271,50 @@ def choose_k(df: DataFrame, group: str, item: str, share: float, least: int = 1,
 
 def pad(arr: Column, n: Column, value) -> Column:
     return F.concat(arr, F.array_repeat(F.lit(value), F.greatest(n - F.size(arr), F.lit(0)).cast("int")))
+
+
+def mask_with_numbers(rows: DataFrame, row: str, pos: str, token: str, value: str, low: float, high: float, seed: int = 0, special: tuple[str, ...] = ("[CLS]",), sentinel: float = 13.0, floor: float = -12.0, top: float = 12.0) -> DataFrame:
+    """``rows`` (one a token; ``value`` is a log magnitude where the token is a number) with rate, action, input, input_value, label and label_value.
+
+    Each row's rate is drawn between ``low`` and ``high``. Of the chosen tokens 80 % are masked, 10 % replaced, 10 % kept; a masked
+    number has the sentinel for its value, a replaced one a random magnitude; labels are -100 (null as text) elsewhere.
+    """
+    rate = F.lit(low) + (high - low) * unit_hash(F.lit(seed), F.col(row))
+    u = unit_hash(F.lit(seed + 2), F.col(row), F.col(pos))
+    chosen = (unit_hash(F.lit(seed + 1), F.col(row), F.col(pos)) < F.col("rate")) & ~F.col(token).isin(*special)
+    number = F.col(value).isNotNull()
+    drawn = F.lit(floor) + (top - floor) * unit_hash(F.lit(seed + 3), F.col(row), F.col(pos))
+    action = F.when(~chosen, "none").when(u < 0.8, "mask").when(u < 0.9, "random").otherwise("keep")
+    a = F.col("action")
+    out = rows.withColumn("rate", rate).withColumn("action", action)
+    return out.withColumns({
+        "input": F.when((a == "mask") & ~number, "[MASK]").when((a == "random") & ~number, F.md5(F.col(token).cast("binary"))).otherwise(F.col(token)),
+        "input_value": F.when((a == "mask") & number, F.lit(sentinel)).when((a == "random") & number, drawn).otherwise(F.col(value)),
+        "label": F.when((a != "none") & ~number, F.col(token)),
+        "label_value": F.when((a != "none") & number, F.col(value)).otherwise(F.lit(-100.0)),
+    })
+
+
+def extract_chunk(arrays: dict[str, tuple[Column, object, object]], start: Column, end: Column) -> dict[str, Column]:
+    """Slices [start, end) of parallel arrays, each between an opening and a closing value; name: (array, opening, closing)."""
+    return {name: F.concat(F.array(F.lit(a)), F.slice(x, start + 1, F.greatest(end - start, F.lit(0))), F.array(F.lit(b))) for name, (x, a, b) in arrays.items()}
+
+
+def from_offset(df: DataFrame, order: str, start: int) -> DataFrame:
+    """The rows from place ``start`` on, in order: where a run that stopped goes on."""
+    return ranked(df, order).filter(F.col("rank") >= start)
+
+
+def length_stats(df: DataFrame, group: str, length: str) -> DataFrame:
+    """Count, total, min, median (the value at n // 2), max and mean of a length in each group."""
+    by = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("total"), F.min(length).alias("min"), F.max(length).alias("max"), F.round(F.avg(length), 4).alias("mean"))
+    at = ranked_in(df.select(group, length), group, length)
+    return by.join(at.join(by.select(group, "n"), group).filter("rank = n div 2").select(group, F.col(length).alias("median")), group)
+
+
+def drop_low_density(pages: DataFrame, group: str, order: str, text_col: str, curve: list[tuple[int, float]], least: float) -> DataFrame:
+    """A new snapshot without pages under the density; groups that lose all their pages are gone. Adds density and n_dropped of the group."""
+    scored = pages.withColumn("__ratio", deflate_ratio(F.col(text_col))).withColumn("density", adjusted_density(F.col(text_col), F.col("__ratio"), curve)).drop("__ratio")
+    scored = written(scored, "scored")
+    lost = scored.groupBy(group).agg(F.count_if(F.col("density") < least).alias("n_dropped"))
+    return scored.filter(F.col("density") >= least).join(lost, group)

@@ -223,3 +223,9 @@ def sigreg(x: np.ndarray, n_proj: int = 64, knots: int = 17, seed: int = 0) -> f
     arg = p[:, :, None] * t
     gap = (np.cos(arg).mean(0) - np.exp(-(t**2) / 2)) ** 2 + np.sin(arg).mean(0) ** 2
     return float((np.trapezoid(gap * np.exp(-(t**2) / 2), t, axis=1) * len(x)).mean())
+
+
+def variance_summary(df: DataFrame, vec: str) -> DataFrame:
+    """Mean, deviation, least, greatest and sum of the variances of all dimensions."""
+    v = F.col("variance")
+    return dim_variances(df, vec).agg(*[F.round(f(v), 6).alias(n) for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max), ("total", F.sum))])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from filinglake.functions import numbers
 from filinglake.operators import facts, manifest
 from filinglake.session import table
+from filinglake.sources import readers, writers
 
 SPLIT_YEAR = 1998
 
@@ -280,3 +281,26 @@ SELECT * FROM o WHERE (company_id, file_name, period_end) IN (SELECT company_id,
 SELECT round(avg((y - p) * (y - p)), 6) AS mse, round(avg(abs(y - p)), 6) AS mae, round(1 - sum((y - p) * (y - p)) / sum((y - m0) * (y - m0)), 6) AS r2 FROM c JOIN s USING (c_mktsegment), m WHERE c_custkey % 5 = 0""",
     "typed_dates": "SELECT o_orderkey, s AS iso, try_cast(s AS DATE) AS valid_date FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-') || lpad((o_orderkey % 33)::VARCHAR, 2, '0') AS s FROM orders)",
 }
+
+
+def company_statuses(spark, sf):
+    """Typed status records of landed answers: customers of some market segments are missing, others failed."""
+    c = table(spark, sf, "customer")
+    code = F.when(F.col("c_mktsegment") == "BUILDING", 404).when(F.col("c_mktsegment") == "MACHINERY", 503).otherwise(200)
+    body = F.to_json(F.struct(F.col("c_name").alias("company_name"), F.when(F.col("c_acctbal") < 0, "dissolved").when(F.col("c_custkey") % 7 != 0, "active").alias("company_status"), (F.col("c_acctbal") < 0).alias("has_been_liquidated"), F.lit("ltd").alias("type")))
+    landed = c.select(F.col("c_custkey").cast("string").alias("company_id"), code.alias("http_status"), F.when(code == 200, body).otherwise("<html>").alias("body"))
+    return readers.company_status(landed).select("company_id", "company_name", "company_status", "type", "has_been_liquidated", "has_charges")
+
+
+def filings_file_names(spark, sf):
+    """File names of companies: the ticker, else the id and a safe form of the name."""
+    c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("TK"), "c_custkey")).alias("ticker"), F.concat("c_name", F.lit(" & Co. (UK)")).alias("name"))
+    return c.select("c_custkey", writers.company_file_name(F.col("ticker"), F.col("c_custkey").cast("string"), F.col("name")).alias("file_name"))
+
+
+QUERIES |= {f.__name__: f for f in (company_statuses, filings_file_names)}
+ORACLES |= {
+    "company_statuses": """SELECT c_custkey::VARCHAR AS company_id, CASE WHEN ok THEN c_name END AS company_name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'not_found' WHEN NOT ok THEN 'api_error' WHEN c_acctbal < 0 THEN 'dissolved' WHEN c_custkey % 7 <> 0 THEN 'active' ELSE 'unknown' END AS company_status,
+  CASE WHEN ok THEN 'ltd' END AS type, CASE WHEN ok THEN c_acctbal < 0 END AS has_been_liquidated, NULL::BOOLEAN AS has_charges FROM (SELECT *, c_mktsegment NOT IN ('BUILDING', 'MACHINERY') AS ok FROM customer)""",
+    "filings_file_names": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'TK' || c_custkey ELSE 'CIK' || c_custkey || '_' || left(replace(regexp_replace(c_name || ' & Co. (UK)', '[^A-Za-z0-9 _-]', '_', 'g'), ' ', '_'), 80) END AS file_name FROM customer",
+}

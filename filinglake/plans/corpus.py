@@ -358,8 +358,10 @@ def random_token_windows(spark, sf):
 
 
 def tokenised_numbers(spark, sf):
+    import public_tokenizers  # a folder of tokenizer files; any other path will do
+
     t = docs_of(spark, sf).select("doc_id", F.concat(F.lit("Sales <number>1200</number> <table><tr><td>a</td><td><number>0.5</number></td></tr></table> "), F.coalesce("text", F.lit(""))).alias("text"))
-    return examples.tokenise(t, "doc_id", "text").select("id", "seq_length", F.size(F.filter("is_number_mask", lambda m: m)).alias("n_numbers"))
+    return examples.tokenise(t, "doc_id", "text", examples.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))).select("id", "seq_length", F.size(F.filter("is_number_mask", lambda m: m)).alias("n_numbers"))
 
 
 def blob_fill(spark, sf):
@@ -380,3 +382,91 @@ def readable_numbers(spark, sf):
 
 
 QUERIES |= {f.__name__: f for f in (text_examples, regrouped_lengths, random_token_windows, tokenised_numbers, blob_fill, title_slugs, readable_numbers)}
+
+
+# ---- statistics, masks, chunks and resumption --------------------------------------------------------------------
+
+
+def length_by_extension(spark, sf):
+    """Length figures of the corpus by file ending."""
+    d = docs_of(spark, sf).select(F.regexp_extract(file_name(), r"(\.[^.]*)$", 1).alias("extension"), "n_chars")
+    return corpus.length_stats(d, "extension", "n_chars")
+
+
+def dataset_stats(spark, sf):
+    """Chunk lengths, sub-sequences and kinds of a data set of conversations: a chunk is a conversation, a sub-sequence a turn."""
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("length"), F.count(F.lit(1)).alias("subs"))
+    kinds = table(spark, sf, "conversations").agg(F.countDistinct("role").alias("n_types"))
+    figures = [F.round(F.avg(x), 4).alias(f"avg_{n}") for x, n in (("length", "length"), ("subs", "subsequences"))] + [f(x).alias(f"{m}_{n}") for m, f in (("min", F.min), ("max", F.max)) for x, n in (("length", "length"), ("subs", "subsequences"))]
+    return c.agg(F.count(F.lit(1)).alias("n_chunks"), *figures).join(kinds)  # one row and one row
+
+
+def resume_from(spark, sf):
+    """Documents from the 100th on, as a run that stopped there takes them up."""
+    return corpus.from_offset(docs_of(spark, sf).select("doc_id"), "doc_id", 100)
+
+
+def chunk_arrays(spark, sf):
+    """Three parallel arrays of a document cut to tokens 2 to 9 and wrapped."""
+    w = F.split("text", " ")
+    number = lambda x: x.rlike("^[0-9]+$")
+    d = docs_of(spark, sf).select("doc_id", w.alias("w"), F.transform(w, number).alias("is_number"), F.transform(w, lambda x: F.when(number(x), F.length(x).cast("double")).otherwise(0.0)).alias("value"))
+    cut = corpus.extract_chunk({"tokens": (F.col("w"), "[CLS]", "[SEP]"), "mask": (F.col("is_number"), False, False), "values": (F.col("value"), 0.0, 0.0)}, F.lit(2), F.lit(10))
+    return d.select("doc_id", F.array_join(cut["tokens"], " ").alias("tokens"), F.size(F.filter(cut["mask"], lambda m: m)).alias("n_numbers"), F.aggregate(cut["values"], F.lit(0.0), lambda a, x: a + x).alias("value_sum"), F.size(cut["values"]).alias("n"))
+
+
+def mask_numbers(spark, sf):
+    """Masked tokens of each conversation turn at the turn's own rate, words of five letters standing for numbers."""
+    t = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("row"), F.posexplode(F.concat(F.array(F.lit("[CLS]")), F.split("text", " "))).alias("pos", "token"))
+    t = t.withColumn("value", F.when((F.col("pos") > 0) & (F.length("token") == 5), F.length("token") / 2.0))
+    m = corpus.mask_with_numbers(t, "row", "pos", "token", "value", 0.1, 0.4)
+    return m.groupBy("row").agg(
+        F.round(F.first("rate"), 8).alias("rate"), *[F.count_if(F.col("action") == a).alias(f"n_{a}") for a in ("mask", "random", "keep")], F.count("label").alias("n_labels"), F.count_if(F.col("label_value") != -100).alias("n_number_labels"),
+        F.count_if(F.col("input_value") == 13).alias("n_sentinels"), F.round(F.sum("input_value"), 4).alias("value_sum"), F.count_if(F.col("input") == "[MASK]").alias("n_mask_tokens"),
+    )
+
+
+def magnitude_decode(spark, sf):
+    """Values back from their magnitudes."""
+    m = numbers.log10_encode(F.col("l_extendedprice") * F.col("l_discount"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round(numbers.log10_decode(m), 4).alias("value"))
+
+
+def tidy_markup(spark, sf):
+    """Texts behind an XML declaration, with hard spaces and runs of blanks, tidied."""
+    t = F.concat(F.lit("<?xml version='1.0'?>  "), F.regexp_replace("text", r"\. ", " .\u00a0  "), F.lit("\n\n\n\n  end  "))
+    return docs_of(spark, sf).select("doc_id", text.tidy(text.drop_xml_declaration(t)).alias("text"))
+
+
+def density_snapshot(spark, sf):
+    """Documents that are dense enough, by source; sources that lose all of theirs are gone."""
+    d = corpus.drop_low_density(docs_of(spark, sf).select("doc_id", "source", "text"), "source", "doc_id", "text", CURVE, -0.2)
+    return d.select("doc_id", "source", F.round("density", 6).alias("density"), "n_dropped")
+
+
+QUERIES |= {f.__name__: f for f in (length_by_extension, dataset_stats, resume_from, chunk_arrays, mask_numbers, magnitude_decode, tidy_markup, density_snapshot)}
+
+
+def _unit(seed: int, *parts: str) -> str:
+    return f"(('0x' || substr(md5('{seed}:' || {" || ':' || ".join(parts)}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+ORACLES |= {
+    "length_by_extension": f"""WITH d AS (SELECT regexp_extract({_FILE}, '(\.[^.]*)$', 1) AS extension, n_chars FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY extension ORDER BY n_chars) - 1 AS r, count(*) OVER (PARTITION BY extension) AS n FROM d)
+SELECT extension, count(*) AS n, sum(n_chars)::BIGINT AS total, min(n_chars) AS min, max(n_chars) AS max, round(avg(n_chars), 4) AS mean, max(CASE WHEN r = n // 2 THEN n_chars END) AS median FROM r GROUP BY extension""",
+    "dataset_stats": """WITH c AS (SELECT conv_id, sum(length(text))::BIGINT AS length, count(*) AS subs FROM conversations GROUP BY conv_id)
+SELECT count(*) AS n_chunks, round(avg(length), 4) AS avg_length, round(avg(subs), 4) AS avg_subsequences, min(length) AS min_length, min(subs) AS min_subsequences, max(length) AS max_length, max(subs) AS max_subsequences, (SELECT count(DISTINCT role) FROM conversations) AS n_types FROM c""",
+    "resume_from": "SELECT doc_id, rank FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rank FROM documents) WHERE rank >= 100",
+    "chunk_arrays": """WITH w AS (SELECT doc_id, string_split(text, ' ')[3:10] AS w FROM documents), n AS (SELECT *, list_filter(w, lambda x: regexp_matches(x, '^[0-9]+$')) AS d FROM w)
+SELECT doc_id, array_to_string(list_concat(['[CLS]'], w, ['[SEP]']), ' ') AS tokens, len(d)::INT AS n_numbers, coalesce(list_sum(list_transform(d, lambda x: length(x)::DOUBLE)), 0.0::DOUBLE) AS value_sum, (len(w) + 2)::INT AS n FROM n""",
+    "mask_numbers": f"""WITH s AS (SELECT conv_id || '-' || turn AS row, list_concat(['[CLS]'], string_split(text, ' ')) AS w FROM conversations), t AS (SELECT row, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM s),
+v AS (SELECT *, CASE WHEN pos > 0 AND length(token) = 5 THEN 2.5::DOUBLE END AS value, 0.1::DOUBLE + (0.4::DOUBLE - 0.1::DOUBLE) * {_unit(0, "row")} AS rate FROM t),
+a AS (SELECT *, CASE WHEN NOT ({_unit(1, "row", "pos")} < rate AND token <> '[CLS]') THEN 'none' WHEN {_unit(2, "row", "pos")} < 0.8 THEN 'mask' WHEN {_unit(2, "row", "pos")} < 0.9 THEN 'random' ELSE 'keep' END AS action, -12 + 24 * {_unit(3, "row", "pos")} AS drawn FROM v),
+i AS (SELECT *, CASE WHEN action = 'mask' AND value IS NOT NULL THEN 13.0::DOUBLE WHEN action = 'random' AND value IS NOT NULL THEN drawn ELSE value END AS iv FROM a)
+SELECT row, round(any_value(rate), 8) AS rate, count(*) FILTER (action = 'mask') AS n_mask, count(*) FILTER (action = 'random') AS n_random, count(*) FILTER (action = 'keep') AS n_keep, count(*) FILTER (action <> 'none' AND value IS NULL) AS n_labels,
+  count(*) FILTER (action <> 'none' AND value IS NOT NULL) AS n_number_labels, count(*) FILTER (iv = 13) AS n_sentinels, round(sum(iv), 4) AS value_sum, count(*) FILTER ((action = 'mask' AND value IS NULL) OR (token = '[MASK]' AND action <> 'random')) AS n_mask_tokens FROM i GROUP BY row""",
+    "magnitude_decode": """WITH m AS (SELECT *, CASE WHEN abs(l_extendedprice * l_discount) < 1e-20 THEN -12.0::DOUBLE ELSE greatest(-12.0, least(12.0, log10(abs(l_extendedprice * l_discount)))) END AS m FROM lineitem)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(CASE WHEN m < -11 THEN 0 ELSE power(10.0::DOUBLE, m) END, 4) AS value FROM m""",
+    "readable_numbers": """WITH v AS (SELECT *, CASE WHEN l_linenumber = 1 THEN l_discount / 100 WHEN l_linenumber = 2 THEN l_extendedprice * 1000 ELSE l_extendedprice END AS v FROM lineitem)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN abs(v) < 0.01 THEN printf('%.4e', v) WHEN abs(v) >= 1e6 THEN format('{:,.0f}', v) WHEN abs(v) >= 100 THEN format('{:,.1f}', v) ELSE printf('%.2f', v) END AS shown FROM v""",
+}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from filinglake.operators import vectors as V
 from filinglake.operators.corpus import ranked_in
-from filinglake.session import ship_package, table
+from filinglake.session import shared_dir, ship_package, table
+from filinglake.sources import readers, writers
 
 DIMS = 64
 BLOCKS = 64
@@ -28,7 +31,7 @@ def _query_pairs(spark, sf):
 
 
 def cosine_stats(spark, sf):
-    return _query_pairs(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cos"), 5).alias("mean"), F.round(F.stddev_samp("cos"), 5).alias("std"), F.round(F.min("cos"), 5).alias("min"), F.round(F.max("cos"), 5).alias("max"))
+    return _query_pairs(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cos"), 5).alias("mean"), F.round(F.stddev_samp("cos"), 5).alias("std"), F.round(F.min("cos"), 5).alias("min"), F.round(F.max("cos"), 5).alias("max"), F.round(F.expr("percentile(round(cos, 5), 0.5)"), 5).alias("median"))
 
 
 def cosine_hist(spark, sf):
@@ -46,7 +49,7 @@ def dim_variance(spark, sf):
 
 def norms(spark, sf):
     n = V.norm(F.col("embedding"))
-    return emb(spark, sf).agg(F.round(F.avg(n), 5).alias("mean"), F.round(F.min(n), 5).alias("min"), F.round(F.max(n), 5).alias("max"))
+    return emb(spark, sf).agg(F.round(F.avg(n), 5).alias("mean"), F.round(F.stddev_samp(n), 5).alias("std"), F.round(F.min(n), 5).alias("min"), F.round(F.max(n), 5).alias("max"))
 
 
 def participation_ratio(spark, sf):
@@ -146,10 +149,10 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLES = {
-    "cosine_stats": f"SELECT count(*) AS n, round(avg(cos), 5) AS mean, round(stddev_samp(cos), 5) AS std, round(min(cos), 5) AS min, round(max(cos), 5) AS max FROM ({_PAIRS})",
+    "cosine_stats": f"SELECT count(*) AS n, round(avg(cos), 5) AS mean, round(stddev_samp(cos), 5) AS std, round(min(cos), 5) AS min, round(max(cos), 5) AS max, round(median(round(cos, 5)), 5) AS median FROM ({_PAIRS})",
     "cosine_hist": f"SELECT {', '.join(f'count(*) FILTER (cos >= {a} AND cos < {b}) AS bin{k}' for k, (a, b) in enumerate(_EDGES))}, count(*) AS n FROM (SELECT round(cos, 6) AS cos FROM ({_PAIRS}))",
     "dim_variance": f"SELECT dim, round(var_samp(x), 7) AS variance, round(avg(x), 6) AS mean FROM ({_LONG}) GROUP BY dim",
-    "norms": f"SELECT round(avg(n), 5) AS mean, round(min(n), 5) AS min, round(max(n), 5) AS max FROM (SELECT sqrt({_dot('embedding', 'embedding')}) AS n FROM embeddings)",
+    "norms": f"SELECT round(avg(n), 5) AS mean, round(stddev_samp(n), 5) AS std, round(min(n), 5) AS min, round(max(n), 5) AS max FROM (SELECT sqrt({_dot('embedding', 'embedding')}) AS n FROM embeddings)",
     "participation_ratio": f"""WITH l AS ({_LONG}), m AS (SELECT dim, avg(x) AS m FROM l GROUP BY dim), c AS (SELECT vec_id, l.dim, x - m AS x FROM l JOIN m USING (dim)), n AS (SELECT count(*) AS n FROM embeddings),
 v AS (SELECT a.dim AS i, b.dim AS j, sum(a.x * b.x) / (any_value(n) - 1) AS c FROM c a JOIN c b USING (vec_id), n GROUP BY 1, 2) SELECT round(power(sum(CASE WHEN i = j THEN c ELSE 0 END), 2) / sum(c * c), 3) AS participation_ratio FROM v""",
     "doc_mean_pool": f"SELECT label, count(*) AS n, dim, round(avg(x), 6) AS x FROM ({_LONG}) GROUP BY label, dim",
@@ -164,3 +167,23 @@ FROM e a JOIN e b ON a.batch = b.batch AND a.vec_id <> b.vec_id), r AS (SELECT b
     "anchor_choice": f"SELECT a.vec_id AS anchor, arg_max(b.vec_id, {_dot('a.embedding', 'b.embedding')} / sqrt({_dot('b.embedding', 'b.embedding')})) AS closer FROM embeddings a JOIN embeddings b ON b.vec_id - b.vec_id % 10 = a.vec_id AND b.vec_id % 10 IN (1, 2) GROUP BY 1",
     "scatter_dense": f"SELECT label, piece, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS ids, sum(len(embedding))::INT AS n_values FROM (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // {PIECE} AS piece FROM embeddings) GROUP BY label, piece",
 }
+
+
+def variance_summary(spark, sf):
+    return V.variance_summary(emb(spark, sf), "embedding")
+
+
+def cached_shards(spark, sf):
+    """Embeddings cached in shards of 100 places: a first run that stopped after some of them, a second one that goes on, and the cache read back."""
+    path = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    e = emb(spark, sf).select("vec_id", "embedding")
+    writers.write_shards(e.filter("vec_id < 300"), path, "vec_id", 100)
+    writers.write_shards(e, path, "vec_id", 100)
+    return readers.read_cache(spark, path).groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id"), F.sum(F.size("embedding")).alias("n_values"))
+
+
+QUERIES |= {f.__name__: f for f in (variance_summary, cached_shards)}
+ORACLES |= {
+    "variance_summary": f"WITH v AS (SELECT dim, var_samp(x) AS v FROM ({_LONG}) GROUP BY dim) SELECT round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, round(sum(v), 6) AS total FROM v",
+    "cached_shards": "SELECT shard, count(*) AS n, min(vec_id) AS first_id, max(vec_id) AS last_id, sum(len(embedding))::BIGINT AS n_values FROM (SELECT *, (row_number() OVER (ORDER BY vec_id) - 1) // 100 AS shard FROM embeddings) GROUP BY shard",
+}

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from filinglake.functions import urls
 from filinglake.operators import manifest, sites
-from filinglake.operators.corpus import ranked
-from filinglake.session import ship_package, table
+from filinglake.operators.corpus import concat_pages, ranked, ranked_in
+from filinglake.session import ship_package, table, written
 
 
 def crawl_index(spark: SparkSession, sf: str) -> DataFrame:
@@ -227,3 +227,25 @@ w AS (SELECT *, lag(page_id) OVER (PARTITION BY domain ORDER BY length(path) - l
 SELECT w.page_id, w.domain, coalesce(f.ancestor, w.prev) AS ref_id, f.ancestor IS NOT NULL AS is_ancestor FROM w LEFT JOIN f USING (page_id)""",
 }
 ORACLES["manifest_nested"] = f"SELECT domain, count(*) AS n_pages, string_agg(url, ' ' ORDER BY page_rank) AS urls FROM ({ORACLES['manifest_select']}) GROUP BY domain"
+
+
+def page_keys(spark, sf):
+    """Hierarchical key of a page: host without www and path. The index's mime column is dropped before output."""
+    p = crawl_index(spark, sf).withColumn("mime", F.lit("text/html")).drop("mime")
+    return p.withColumn("key", F.concat("domain", urls.path(F.col("url"))))
+
+
+def page_texts(spark, sf):
+    """The site pipeline in one query: pages to Markdown, in order of depth and path, each less the lines of the page it hangs on, joined to one text a domain and piece of 100 pages."""
+    ship_package(spark)
+    u = F.col("url")
+    p = written(table(spark, sf, "pages").select("page_id", urls.domain(u).alias("domain"), F.regexp_replace(urls.path(u), "/+$", "").alias("path"), urls.depth(u).alias("depth"), "url", sites.markdown()(F.col("html")).alias("markdown")), "page-texts")
+    refs = sites.reference_pages(p.select("page_id", "domain", "path"), "page_id", "domain", "path").select("page_id", "ref_id")
+    above = p.select(F.col("page_id").alias("ref_id"), F.col("markdown").alias("above"))
+    own = p.join(refs, "page_id").join(above, "ref_id", "left").withColumn("own", sites.added_lines(F.coalesce("above", F.lit("")), F.coalesce("markdown", F.lit(""))))
+    placed = ranked_in(own.select("page_id", "domain", "depth", "path", "url", "own"), "domain", "depth", "path", "page_id", rank="seq")
+    return concat_pages(placed.withColumn("piece", F.floor(F.col("seq") / 100)), ["domain", "piece"], "seq", "url", "own")
+
+
+QUERIES |= {f.__name__: f for f in (page_keys, page_texts)}
+ORACLES["page_keys"] = f"SELECT page_id, url, domain, crawl, domain || {PATH} AS key FROM ({INDEX})"

@@ -217,3 +217,20 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
+
+
+STATUS_FIELDS = "company_name string, company_status string, company_status_detail string, type string, date_of_creation string, date_of_cessation string, has_been_liquidated boolean, has_charges boolean"
+
+
+def company_status(landed: DataFrame) -> DataFrame:
+    """Typed records of a status service's landed answers (company_id, http_status, body): the body's fields at 200, else only a status, not_found for 404 and api_error for all others."""
+    ok = F.col("http_status") == 200
+    j = F.when(ok, F.from_json("body", STATUS_FIELDS))
+    fields = [f.split()[0] for f in STATUS_FIELDS.split(", ")]
+    status = F.when(ok, F.coalesce(j["company_status"], F.lit("unknown"))).when(F.col("http_status") == 404, "not_found").otherwise("api_error")
+    return landed.select("company_id", *[(status if f == "company_status" else j[f]).alias(f) for f in fields])
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Cached embeddings of all shards under ``path``, with their shard."""
+    return spark.read.parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filinglake.functions import numbers
+from filinglake.operators.corpus import ranked
 from filinglake.session import written
 
 
@@ -72,3 +73,24 @@ def band_report(banded: DataFrame, band: str, value: str) -> str:
     for r in banded.groupBy(band).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).orderBy(band).collect():
         out.append(f"## Band {r[0]}: {r.n} rows, {r.lo} to {r.hi}")
     return "\n".join(out)
+
+
+def write_shards(df: DataFrame, path: str, order: str, shard_rows: int) -> int:
+    """Write rows in folders shard=k of ``shard_rows`` places each, in order; returns how many shards were new.
+
+    Shards that a run before has finished are left alone, so a run that stopped goes on behind them. Each is written under a name of its
+    own and renamed when it is whole.
+    """
+    spark = df.sparkSession
+    rows = ranked(df, order, rank="__at").withColumn("shard", F.floor(F.col("__at") / shard_rows)).drop("__at")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    target = hadoop(path)
+    done = {int(f.getPath().getName().partition("=")[2]) for f in fs.listStatus(target) if f.getPath().getName().startswith("shard=")} if fs.exists(target) else set()
+    waiting = f"{path}/_waiting"
+    rows.filter(~F.col("shard").isin(*done) if done else F.lit(True)).write.mode("overwrite").partitionBy("shard").parquet(waiting)
+    new = [f.getPath() for f in fs.listStatus(hadoop(waiting)) if f.getPath().getName().startswith("shard=")]
+    for p in new:
+        fs.rename(p, hadoop(f"{path}/{p.getName()}"))
+    fs.delete(hadoop(waiting), True)
+    return len(new)
