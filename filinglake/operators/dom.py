@@ -10,7 +10,7 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import escape
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
@@ -20,9 +20,6 @@ CLOSES = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}
 FENCE = {"li": {"ul", "ol"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "p": {"div", "td", "th", "li", "body", "article", "section", "b"}}
 
 
-DEEPEST = 200  # deeper tags become siblings, so that recursion over a tree is bounded
-
-
 class Node:
     """An element, or with ``name`` None a text in ``text``."""
 
@@ -87,7 +84,7 @@ class _Builder(HTMLParser):
     def handle_starttag(self, tag, attrs):
         closes, fence = CLOSES.get(tag, ()), FENCE.get(tag, ())
         p = self.at
-        while p.parent is not None and p.name not in fence:
+        while closes and p.parent is not None and p.name not in fence:
             if p.name in closes:
                 self.at = p.parent
                 if tag != "tr" or p.name == "tr":
@@ -95,16 +92,9 @@ class _Builder(HTMLParser):
             p = p.parent
         node = Node(tag, {k: v for k, v in attrs}, self.at)
         self.at.kids.append(node)
-        if tag not in VOID and len(self.stack()) < DEEPEST:
+        if tag not in VOID:
             self.at = node
 
-    def stack(self) -> list[Node]:
-        out, p = [], self.at
-        while p is not None:
-            out.append(p)
-            p = p.parent
-        return out
-
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.at.name == tag:
@@ -125,6 +115,14 @@ class _Builder(HTMLParser):
         self.at.kids.append(Node(None, parent=self.at, text=""))
 
 
+def fold(root: Node, f: Callable[[Node, list], object]):
+    """``f`` of the root and the results of its children, from the leaves up; a tree of any depth needs no deeper stack."""
+    done: dict[int, object] = {}
+    for n, _ in reversed(list(root.walk())):
+        done[id(n)] = f(n, [done.pop(id(k)) for k in n.kids])
+    return done[id(root)]
+
+
 def parse(html: str) -> Node:
     b = _Builder()
     b.feed(html)
@@ -211,8 +209,8 @@ def page_stats(html: str) -> dict:
     heads = {f"h{i}": count[f"h{i}"] for i in range(1, 7)}
     robots = [n.attrs.get("content") for n in root.find("meta") if (n.attrs.get("name") or "").lower() == "robots"]
 
-    def nesting(n: Node) -> int:
-        return (n.name in ("ul", "ol")) + max((nesting(k) for k in n.kids), default=0)
+    def nesting(n: Node, below: list[int]) -> int:
+        return (n.name in ("ul", "ol")) + max(below, default=0)
 
     has = lambda a: sum(a in n.attrs for n in named)
     at_rules = len(re.findall(r"@[a-z-]+[^{;]*\{", styles))
@@ -230,7 +228,7 @@ def page_stats(html: str) -> dict:
         "open_graph_tag_count": sum((n.attrs.get("property") or "").startswith("og:") for n in root.find("meta")), "canonical_tag_present": any("canonical" in (n.attrs.get("rel") or "") for n in root.find("link")), "robots_meta_content": robots[0] if robots else None,
         "aria_attribute_count": sum(any(a.startswith("aria-") for a in n.attrs) for n in named), "alt_text_coverage": round(sum(bool((n.attrs.get("alt") or "").strip()) for n in images) / len(images), 4) if images else None,
         "role_attribute_count": has("role"), "tabindex_count": has("tabindex"), "nav_link_count": sum(len(n.find("a")) for n in root.find("nav")), "total_link_count": len(links), "footer_link_count": sum(len(n.find("a")) for n in root.find("footer")),
-        "internal_link_ratio": round(inside / len(hrefs), 4) if hrefs else 0.0, "nav_depth_levels": max((nesting(n) for n in root.find("nav")), default=0),
+        "internal_link_ratio": round(inside / len(hrefs), 4) if hrefs else 0.0, "nav_depth_levels": max((fold(n, nesting) for n in root.find("nav")), default=0),
     }
 
 
@@ -243,7 +241,7 @@ UNSEEN = frozenset("script style head noscript template title".split())
 def markdown(html: str) -> str:
     """Text with headings, lists, links, emphasis and tables; images and scripts go; lines are not wrapped."""
 
-    def inline(n: Node) -> str:
+    def inline(n: Node, below: list[str]) -> str:
         if n.name is None:
             return re.sub(r"\s+", " ", n.text)
         if n.name in UNSEEN or n.name == "img":
@@ -252,7 +250,7 @@ def markdown(html: str) -> str:
             return "  \n"
         if n.name == "hr":
             return "\n\n* * *\n\n"
-        body = "".join(map(inline, n.kids))
+        body = "".join(below)
         core = body.strip()
         if n.name in ("b", "strong") and core:
             return f"**{core}**" if "\n\n" not in core else body
@@ -271,12 +269,12 @@ def markdown(html: str) -> str:
             mark = f"{1 + [k for k in n.parent.kids if k.name == 'li'].index(n)}." if ordered else "*"
             return f"\n{'  ' * (max(depth, 0) + 1)}{mark} {core}"
         if n.name == "tr":
-            return "\n" + " | ".join(inline(c).strip() for c in n.kids if c.name in ("td", "th"))
+            return "\n" + " | ".join(s.strip() for c, s in zip(n.kids, below) if c.name in ("td", "th"))
         if n.name in BLOCKS:
             return f"\n\n{body}\n\n"
         return body
 
-    out = re.sub(r"[ \t]+\n", lambda m: "  \n" if m[0].startswith("  ") else "\n", inline(parse(html)))
+    out = re.sub(r"[ \t]+\n", lambda m: "  \n" if m[0].startswith("  ") else "\n", fold(parse(html), inline))
     return re.sub(r"\n{3,}", "\n\n", out).strip()
 
 
@@ -361,23 +359,23 @@ def prettify(root: Node) -> str:
     """A line for every tag and text, indented by depth."""
     out: list[str] = []
 
-    def emit(n: Node, d: int) -> None:
-        if n.name is None:
+    todo: list[tuple[Node | str, int]] = [(root, 0)]
+    while todo:
+        n, d = todo.pop()
+        if isinstance(n, str):
+            out.append(" " * d + n)
+        elif n.name is None:
             if n.text.strip():
                 out.append(" " * d + escape(re.sub(r"\s+", " ", n.text.strip()), quote=False))
-            return
-        if n.name == "[document]":
-            for k in n.kids:
-                emit(k, d)
-            return
-        head = "".join(f' {k}="{escape(v or "")}"' for k, v in n.attrs.items())
-        out.append(" " * d + f"<{n.name}{head}>")
-        for k in n.kids:
-            emit(k, d + 1)
-        if n.name not in VOID:
-            out.append(" " * d + f"</{n.name}>")
-
-    emit(root, 0)
+        else:
+            inner = d
+            if n.name != "[document]":
+                head = "".join(f' {k}="{escape(v or "")}"' for k, v in n.attrs.items())
+                out.append(" " * d + f"<{n.name}{head}>")
+                inner = d + 1
+                if n.name not in VOID:
+                    todo.append((f"</{n.name}>", d))
+            todo.extend((k, inner) for k in reversed(n.kids))
     return "\n".join(out)
 
 
@@ -500,13 +498,13 @@ def filing_text(html: str, mark: str = "GLMTABLE") -> tuple[str, list[str]]:
         else:
             t.replace([Node(None, text=t.content())])
 
-    def shown(n: Node) -> str:
+    def shown(n: Node, below: list[str]) -> str:
         if n.name is None:
             return n.text
-        body = "".join(map(shown, n.kids))
+        body = "".join(below)
         return "\n" if n.name == "br" else f"\n{body}\n" if n.name in BLOCKS else body
 
-    lines = [re.sub(r"[ \t\r\f\v]+", " ", s).strip() for s in shown(root).split("\n")]
+    lines = [re.sub(r"[ \t\r\f\v]+", " ", s).strip() for s in fold(root, shown).split("\n")]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip(), tables
 
 

@@ -160,3 +160,13 @@ def test_random_pairs_with_gaps_in_the_ids(spark):
     df = spark.createDataFrame([(i * 7 + 3, [float(i + 1), 1.0]) for i in range(20)], "vec_id long, e array<double>")
     got = vectors.sampled_pairs(df, "vec_id", "e", 500, 20)
     assert got.count() == got.filter("cos IS NOT NULL").count() > 400
+
+
+def test_pages_of_any_depth():
+    deep = "<body>" + "<div>" * 1000 + "deep" + "</div>" * 1000 + "</body>"
+    s = dom.page_stats(deep)
+    assert s["max_dom_depth"] == 1002 and s["total_element_count"] == 1002
+    assert dom.markdown(deep) == "deep" and dom.filing_text(deep)[0] == "deep"
+    nav = "<nav>" + "<ul><li>" * 600 + "x" + "</li></ul>" * 600 + "</nav>"
+    assert dom.page_stats(nav)["nav_depth_levels"] == 600
+    assert "deep" in dom.sanitize("<p>" + "<b>" * 300 + "deep") and len(dom.prettify(dom.parse(deep)).split("\n")) == 2003
