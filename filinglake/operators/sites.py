@@ -25,6 +25,26 @@ def registered_domain(url: Column) -> Column:
     return F.when(out != "", out)
 
 
+def registered_by_list(df: DataFrame, url: str, suffixes: DataFrame, out: str = "registered") -> DataFrame:
+    """The rows of ``df`` with the registered domain of their URL by a public suffix list (column ``suffix``), null without one.
+
+    The list's own rules hold: the longest suffix counts, ``*.x`` stands for any label before x, ``!a.x`` takes a name out of it,
+    and a host that no rule fits has a suffix of one label. Hosts meet the list in a join on their endings.
+    """
+    host = F.coalesce(F.regexp_extract(F.lower(F.col(url)), r"^(?:[^:/?#]+://)?(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
+    hosts = df.select(host.alias("__host")).distinct()
+    labels = F.split("__host", r"\.")
+    tail = lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.struct(k.alias("k"), tail(k).alias("end")))
+    cut = hosts.select("__host", F.explode(ends).alias("e")).select("__host", "e.k", "e.end")
+    rules = suffixes.select(F.regexp_replace("suffix", r"^(?:\*\.|!)", "").alias("end"), F.when(F.col("suffix").startswith("*."), 1).when(F.col("suffix").startswith("!"), -1).otherwise(0).alias("more")).distinct()
+    met = cut.join(rules, "end").groupBy("__host").agg(F.max(F.when(F.col("more") == -1, F.col("k") - 1)).alias("__cut"), F.max(F.when(F.col("more") >= 0, F.col("k") + F.col("more"))).alias("__long"))
+    long = F.coalesce("__cut", "__long", F.lit(1))
+    n = F.size(labels)
+    found = hosts.join(met, "__host", "left").select("__host", F.when((n > long) & (F.col("__host") != ""), F.array_join(F.slice(labels, n - long, long + 1), ".")).alias(out))
+    return df.withColumn("__host", host).join(found, "__host").drop("__host")
+
+
 def reference_pages(pages: DataFrame, id_col: str, domain: str, path: str, levels: int = 5, include_root: bool = False) -> DataFrame:
     """(id, domain, ref_id, is_ancestor): nearest existing ancestor by path, else the page before in (depth, path) order.
 

@@ -304,3 +304,13 @@ ORACLES |= {
   CASE WHEN ok THEN 'ltd' END AS type, CASE WHEN ok THEN c_acctbal < 0 END AS has_been_liquidated, NULL::BOOLEAN AS has_charges FROM (SELECT *, c_mktsegment NOT IN ('BUILDING', 'MACHINERY') AS ok FROM customer)""",
     "filings_file_names": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'TK' || c_custkey ELSE 'CIK' || c_custkey || '_' || left(replace(regexp_replace(c_name || ' & Co. (UK)', '[^A-Za-z0-9 _-]', '_', 'g'), ' ', '_'), 80) END AS file_name FROM customer",
 }
+
+
+def archive_months(spark, sf):
+    """Names of a monthly archive's files for a span of years; the source reads those that are there."""
+    y, m = spark.range(2019, 2022).select(F.col("id").cast("int").alias("year")), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month")
+    return y.select("year", m).select("year", "month", F.concat(F.lit("Accounts_Monthly_Data-"), F.date_format(F.make_date("year", "month", F.lit(1)), "MMMMyyyy"), F.lit(".zip")).alias("file_name"))
+
+
+QUERIES["archive_months"] = archive_months
+ORACLES["archive_months"] = "SELECT y::INT AS year, m::INT AS month, 'Accounts_Monthly_Data-' || strftime(make_date(y, m, 1), '%B%Y') || '.zip' AS file_name FROM range(2019, 2022) a(y), range(1, 13) b(m)"

@@ -452,7 +452,7 @@ def _unit(seed: int, *parts: str) -> str:
 
 
 ORACLES |= {
-    "length_by_extension": f"""WITH d AS (SELECT regexp_extract({_FILE}, '(\.[^.]*)$', 1) AS extension, n_chars FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY extension ORDER BY n_chars) - 1 AS r, count(*) OVER (PARTITION BY extension) AS n FROM d)
+    "length_by_extension": rf"""WITH d AS (SELECT regexp_extract({_FILE}, '(\.[^.]*)$', 1) AS extension, n_chars FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY extension ORDER BY n_chars) - 1 AS r, count(*) OVER (PARTITION BY extension) AS n FROM d)
 SELECT extension, count(*) AS n, sum(n_chars)::BIGINT AS total, min(n_chars) AS min, max(n_chars) AS max, round(avg(n_chars), 4) AS mean, max(CASE WHEN r = n // 2 THEN n_chars END) AS median FROM r GROUP BY extension""",
     "dataset_stats": """WITH c AS (SELECT conv_id, sum(length(text))::BIGINT AS length, count(*) AS subs FROM conversations GROUP BY conv_id)
 SELECT count(*) AS n_chunks, round(avg(length), 4) AS avg_length, round(avg(subs), 4) AS avg_subsequences, min(length) AS min_length, min(subs) AS min_subsequences, max(length) AS max_length, max(subs) AS max_subsequences, (SELECT count(DISTINCT role) FROM conversations) AS n_types FROM c""",

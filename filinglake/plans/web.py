@@ -249,3 +249,20 @@ def page_texts(spark, sf):
 
 QUERIES |= {f.__name__: f for f in (page_keys, page_texts)}
 ORACLES["page_keys"] = f"SELECT page_id, url, domain, crawl, domain || {PATH} AS key FROM ({INDEX})"
+
+
+#: A few rules of the public suffix list; a deployment passes the whole list as a table.
+SUFFIXES = ("com", "net", "org", "io", "example", "co.uk", "org.uk", "uk", "*.ck", "!www.ck")
+
+
+def registered_by_list(spark, sf):
+    """Registered domains by a public suffix table."""
+    rules = spark.createDataFrame([(s,) for s in SUFFIXES], "suffix string")
+    return sites.registered_by_list(table(spark, sf, "pages").select("page_id", "url"), "url", rules).select("page_id", "registered")
+
+
+QUERIES["registered_by_list"] = registered_by_list
+ORACLES["registered_by_list"] = rf"""WITH h AS (SELECT page_id, string_split(regexp_extract(lower({HOST}), '^(?:[^@]*@)?([^:]*)', 1), '.') AS l FROM pages), r AS (SELECT unnest({list(SUFFIXES)!r}) AS s),
+k AS (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS k FROM h), e AS (SELECT page_id, k, array_to_string(l[len(l) - k + 1:], '.') AS e FROM k),
+m AS (SELECT page_id, max(CASE WHEN s LIKE '!%' THEN k - 1 END) AS c, max(CASE WHEN s LIKE '*.%' THEN k + 1 WHEN s NOT LIKE '!%' THEN k END) AS g FROM e JOIN r ON e = regexp_replace(s, '^(\*\.|!)', '') GROUP BY page_id),
+n AS (SELECT page_id, l, coalesce(c, g, 1) AS n FROM h LEFT JOIN m USING (page_id)) SELECT page_id, CASE WHEN len(l) > n THEN array_to_string(l[len(l) - n:], '.') END AS registered FROM n"""

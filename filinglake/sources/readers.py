@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,17 +27,16 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 def read_tsv_from_zip(spark: SparkSession, path: str, member: str, columns: list[str]) -> DataFrame:
     """Rows of one tab-separated member of every archive, as strings, with archive and row_seq.
 
-    An archive is read by one task and its lines stream through; bad UTF-8 is replaced.
+    An archive is opened where it lies by one task and its lines stream through, so it may be of any size; bad UTF-8 is replaced.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import csv
         import io
-        import zipfile
 
         for pdf in frames:
-            for name, raw in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            for name in pdf["path"]:
+                with _archive(name) as z:
                     if member not in z.namelist():
                         continue
                     held = []
@@ -48,7 +50,17 @@ def read_tsv_from_zip(spark: SparkSession, path: str, member: str, columns: list
                         yield pd.DataFrame(held, columns=["archive", "row_seq", *columns])
 
     schema = "archive string, row_seq long, " + ", ".join(f"`{c}` string" for c in columns)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(run, schema)
+
+
+@contextmanager
+def _archive(uri: str) -> Iterator[zipfile.ZipFile]:
+    """A ZIP file read in pieces from where it is stored."""
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", uri))
+    with store.open_input_file(place) as source, zipfile.ZipFile(source) as z:
+        yield z
 
 
 INDEX_ROW = r"^(.+?)\s{2,}(.+?)\s{2,}(\d+)\s+(\d{4}-\d{2}-\d{2})\s+(\S+)\s*$"
@@ -106,18 +118,15 @@ def read_archives(spark: SparkSession, path: str, suffix: str = "") -> DataFrame
     """(archive, member, content) of the members of ZIP files; system clutter is skipped."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-        import zipfile
-
         for pdf in frames:
-            for name, raw in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            for name in pdf["path"]:
+                with _archive(name) as z:
                     for m in sorted(z.namelist()):
                         base = m.rpartition("/")[2]
                         if base and m.endswith(suffix) and "__MACOSX" not in m and not base.startswith("._"):
                             yield pd.DataFrame({"archive": [name], "member": [m], "content": [z.read(m)]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, content binary")
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(run, "archive string, member string, content binary")
 
 
 def warc_response(raw: bytes) -> str | None:

@@ -170,3 +170,24 @@ def test_pages_of_any_depth():
     nav = "<nav>" + "<ul><li>" * 600 + "x" + "</li></ul>" * 600 + "</nav>"
     assert dom.page_stats(nav)["nav_depth_levels"] == 600
     assert "deep" in dom.sanitize("<p>" + "<b>" * 300 + "deep") and len(dom.prettify(dom.parse(deep)).split("\n")) == 2003
+
+
+def test_domains_by_a_suffix_list(spark):
+    hosts = ["http://a.b.co.uk/x", "https://www.example.com:8080/", "http://www.ck/", "http://x.y.ck/", "http://y.ck/", "http://localhost/", "http://com/", None, "", "http://u@a.b.unlisted/q"]
+    rules = spark.createDataFrame([(s,) for s in ("com", "uk", "co.uk", "*.ck", "!www.ck")], "suffix string")
+    got = [r.registered for r in sorted(sites.registered_by_list(spark.createDataFrame(list(enumerate(hosts)), "i int, url string"), "url", rules).collect(), key=lambda r: r.i)]
+    assert got == ["b.co.uk", "example.com", "www.ck", "x.y.ck", None, None, None, None, None, "b.unlisted"]
+
+
+def test_html_tree_and_token_files(spark, tmp_path):
+    (tmp_path / "in/sub").mkdir(parents=True)
+    (tmp_path / "in/sub/a.html").write_text("<p>x</p>")
+    (tmp_path / "in/b.txt").write_text("no")
+    assert [r.html for r in readers.read_html_tree(spark, str(tmp_path / "in")).collect()] == ["<p>x</p>"]
+    assert readers.year_path("/d", "html", 2021) == "/d/html/year=2021"
+    t = spark.createDataFrame([("b", [1]), ("a", [2])], "source_file string, input_ids array<int>")
+    writers.write_tokens(t, str(tmp_path / "t"), 1)
+    assert [r.source_file for r in spark.read.parquet(str(tmp_path / "t")).collect()] == ["a", "b"]
+    assert writers.band_report(spark.createDataFrame([(0, 1), (0, 3), (1, 5)], "band int, v int"), "band", "v").split("\n") == ["## Band 0: 2 rows, 1 to 3", "## Band 1: 1 rows, 5 to 5"]
+    dense = examples.dense_by_chunk(spark.createDataFrame([("d", 1, [2.0]), ("d", 0, [1.0])], "doc string, k int, v array<double>"), "doc", "k", "v")
+    assert dense.first().vectors == [[1.0], [2.0]]
