@@ -121,11 +121,66 @@ def test_shards_of_odd_rows(spark):
     assert [(r.shard, r.slot, r["size"]) for r in few] == [(0, 0, 8)]
 
 
-def test_written_shards(spark, tmp_path):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    out = sharding.hilbert_shards(docs, 5)
-    sharding.write_shards(out, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
+def test_written_shards_prune_on_every_dimension(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = sharding.hilbert_shards(docs, 5).cache()
+    total = out.agg(F.sum("size")).first()[0]
+    sharding.write_shards(out, str(tmp_path / "s"), file_bytes=total // 40)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == docs.count()
+    files = back.groupBy(F.input_file_name()).agg(F.sum("size").alias("b"), *[f(c).alias(f"{n}_{c}") for c in ("lang", "source", "n_chars") for n, f in (("lo", F.min), ("hi", F.max))]).collect()
+    assert len(files) > 30 and max(r.b for r in files) < total / 8
+    rows = [tuple(r) for r in docs.select("lang", "source", "n_chars").collect()]
+    for k, c in enumerate(("lang", "source", "n_chars")):
+        read = [sum(r[f"lo_{c}"] <= row[k] <= r[f"hi_{c}"] for r in files) for row in rows[::10]]
+        assert sum(read) / len(read) < 0.75 * len(files), c  # a look-up of one value skips a quarter of the files or more
+
+
+def quantile_edges(values, bits):
+    """Edges by sorting all values: a value is an edge if a quantile falls on it and it is not the last."""
+    v = sorted(x for x in values if x is not None)
+    n, out = len(v), set()
+    for q in range(1, 1 << bits):
+        out.add(v[-(-q * n // (1 << bits)) - 1])
+    return sorted(out)
+
+
+def test_cells_of_a_table_recomputed(spark):
+    """Bins from sorted values, curve index by the curve's own table, order and cuts from one sort."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    following, digit, side = sharding.curve_table(3)
+    dims = [[getattr(d, c) for d in docs.values()] for c in ("lang", "source", "n_chars")]
+    edges = [quantile_edges(v, 4) for v in dims]
+    edges = [[e for e in es if e != max(v)] if isinstance(es[0], str) else es for es, v in zip(edges, dims)]
+
+    def index(d):
+        bins = []
+        for c, es in zip(("lang", "source", "n_chars"), edges):
+            bins.append(int(sum(e < getattr(d, c) for e in es) * 15 / len(es)) if es else 0)
+        s = h = 0
+        for level in (3, 2, 1, 0):
+            at = s * side + sum((b >> level & 1) << k for k, b in enumerate(bins))
+            s, h = following[at], h * side + digit[at]
+        return h
+
+    rows = Q.op7_hilbert_shards(spark, SF).collect()
+    assert {r.doc_id: r.hilbert for r in rows} == {i: index(d) for i, d in docs.items()}
+    n = len(rows)
+    order = sorted(rows, key=lambda r: (r.shard, r.slot))
+    assert [r.shard for r in order] == [k * 24 // n for k in range(n)]
+
+
+def test_names_with_a_common_prefix_part_the_shards(spark):
+    rows = [(i, "t", "en", f"https://common-crawl-archive/{i % 8}", 5) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = sharding.hilbert_shards(docs, 8).collect()
+    met = collections.defaultdict(set)
+    for r in out:
+        met[r.shard].add(r.source)
+    assert max(map(len, met.values())) <= 2
+    assert sharding.string_edges(docs, "source", 8) == [f"https://common-crawl-archive/{k}" for k in range(7)]
 
 
 def poisson_inverse(u, mean):
@@ -162,6 +217,18 @@ def test_mixing_counts_and_weights(spark):
     assert {r.copy for r in out if (r.doc_id, r.source) == (7, "hot")} == set(range(made[(7, "hot")] // 3))
 
 
+def test_rows_without_an_id_go_by_their_text(spark):
+    rows = [(None, f"text {i}", "a" if i % 3 else "b") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.poisson_mix(docs, {"a": 3.0, "b": 1.0}).collect()
+    n = collections.Counter(r.source for r in out)
+    assert abs(n["a"] - 2250) < 5 * math.sqrt(2250) and abs(n["b"] - 750) < 5 * math.sqrt(750)
+    assert len({r.shuffle_key for r in out}) == len(out)  # and no key is shared
+    named = docs.withColumnRenamed("source", "copy").withColumn("rate", docs.doc_id)
+    bare = mixing.poisson_mix(named, source_col="copy", figures=False)
+    assert bare.columns == named.columns and {r.copy for r in bare.collect()} == {"a", "b"}
+
+
 def test_mixing_edges(spark):
     docs = spark.createDataFrame([(None, None, None, "c"), (1, "a", "s", "c"), (1, "a", "s", "c")], "doc_id long, text string, source string, RATE string")
     out = mixing.poisson_mix(docs, {"s": 0.0}, target_rows=3000).collect()

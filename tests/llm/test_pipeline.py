@@ -23,30 +23,75 @@ def passes_quality(t):
 
 
 def deduplicated(rows):
-    fps = {r.doc_id: simhash.fingerprint(r.text, 3) for r in rows}
+    """Components of all pairs of different texts at 11 bits or fewer and a Jaccard similarity of 0.8 or more."""
     least = {}
-    for i, f in fps.items():
-        least[f] = min(i, least.get(f, i))
-    text = {r.doc_id: r.text for r in rows}
-    root = {f: f for f in least}
+    for r in rows:
+        t = r.text or ""
+        least[t] = min(r.doc_id, least.get(t, r.doc_id))
+    texts = list(least)
+    fps = [simhash.fingerprint(t, 3) for t in texts]
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    root = list(range(len(texts)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a, b in itertools.combinations(sorted(least), 2):
-        if bin((a ^ b) & (2**64 - 1)).count("1") <= 11:
-            s, t = (simhash.shingle_set(text[least[x]], 5) for x in (a, b))
-            if len(s & t) >= 0.8 * len(s | t):
-                root[find(a)] = find(b)
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if bin((fps[a] ^ fps[b]) & (2**64 - 1)).count("1") <= 11 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            root[find(a)] = find(b)
     groups = collections.defaultdict(list)
-    for f, i in least.items():
-        groups[find(f)].append(i)
+    for k, t in enumerate(texts):
+        groups[find(k)].append(least[t])
     kept = {min(g) for g in groups.values()}
     return [r for r in rows if r.doc_id in kept]
 
 
+def test_near_duplicates_of_a_table_by_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = sorted(r.doc_id for r in deduplicated(docs.collect()))
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert got == want and len(got) < docs.count()
+
+
+def test_ids_with_two_texts_are_judged_by_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    a, b = (" ".join(f"{p}{k}" for k in range(60)) for p in ("left", "right"))
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, a, "en", "s", 1), (0, b + " more", "en", "s", 1), (3, a, "en", "s", 1), (3, a, "en", "s", 1)]
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, docs.schema), SF).collect())
+    assert got == [(0, b + " more"), (1, a)]
+
+
+def test_a_dense_group_is_joined_without_its_pairs(spark):
+    """Copies of one text with many edits: alike to it or not, close in bits; every link between different groups is found."""
+    import random
+
+    r = random.Random(4)
+    base = [f"w{r.randrange(10_000)}" for _ in range(150)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for k in r.sample(range(150), r.randint(1, 12)):
+            w[k] = f"x{r.randrange(10_000)}"
+        rows.append((i, " ".join(w), "en", "s", 1))
+    df = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
+    want = sorted(x.doc_id for x in deduplicated(df.collect()))
+    assert sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, df, SF).collect()) == want and 1 < len(want) < 160
+
+
+def test_sketches_never_part_what_is_alike(spark):
+    import random
+
+    r = random.Random(9)
+    texts = [" ".join(r.choice("abcdefgh") + r.choice("xyz") for _ in range(r.choice((30, 300, 3000)))) for _ in range(12)]
+    rows = {x.node: x for x in simhash.sketches(spark.createDataFrame(list(enumerate(texts)), "node long, text string"), 5).collect()}
+    for i, j in itertools.combinations(range(12), 2):
+        s, t = (simhash.shingle_set(texts[k], 5) for k in (i, j))
+        a, b = (int.from_bytes(rows[k].sketch, "big") for k in (i, j))
+        assert (a ^ b).bit_count() <= len(s ^ t) and rows[i]["size"] == len(s)
+
+
 def test_stages_match_the_plain_version(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = [decontam.word_list(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
