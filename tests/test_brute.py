@@ -186,3 +186,40 @@ def test_random_pairs_are_those_of_the_hash(spark, vectors):
     for k, (a, b) in enumerate([(-1.0, 0.0), (0.0, 0.5), (0.5, 0.7)]):
         p = ((off >= a) & (off < b)).mean()
         assert abs(r[f"bin{k}"] / r.n - p) < 0.02
+
+
+def test_figures_of_domains_are_those_of_their_pages(spark):
+    from pyspark.sql import functions as F
+
+    from filinglake.functions import urls
+
+    pages = Q["dom_stats"](spark, SF).join(table(spark, SF, "pages").select("page_id", urls.domain(F.col("url")).alias("domain")), "page_id").collect()
+    groups = {}
+    for p in pages:
+        groups.setdefault(p.domain, []).append(p)
+    rows = Q["dom_stats_by_domain"](spark, SF).collect()
+    assert {r.domain for r in rows} == set(groups)
+    for r in rows:
+        g = sorted(groups[r.domain], key=lambda p: p.page_id)
+        assert r.n_pages == len(g) and r.heading_distribution == {h: sum(p.heading_distribution[h] for p in g) for h in g[0].heading_distribution}
+        for n, kind in dom.STAT_FIELDS:
+            v = [p[n] for p in g]
+            some = [x for x in v if x is not None]
+            if n in dom.RATIOS:
+                above, below = dom.RATIOS[n]
+                d = sum(p[below] for p in g)
+                assert r[n] == pytest.approx(sum(p[x] for x in above for p in g) / d if d else 0.0, abs=1e-4), n
+            elif n in dom.WEIGHTED:
+                w = [(p[n], p[dom.WEIGHTED[n]]) for p in g if p[n] is not None]
+                d = sum(b for _, b in w)
+                assert r[n] is None if not d else r[n] == pytest.approx(sum(a * b for a, b in w) / d, abs=1e-4), n
+            elif n in dom.MAXIMA:
+                assert r[n] == max(some, default=None), n
+            elif kind == "b":
+                assert r[n] == any(some), n
+            elif kind == "s":
+                assert r[n] == (some[0] if some else None), n
+            elif kind == "d":
+                assert r[n] is None if not some else r[n] == pytest.approx(sum(some) / len(some), abs=1e-4), n
+            elif n != "heading_distribution":
+                assert r[n] == (sum(some) if some else None), n
