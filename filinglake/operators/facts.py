@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filinglake.operators.corpus import ranked
@@ -39,17 +39,16 @@ def company_headers(facts: DataFrame) -> DataFrame:
     return facts.groupBy("cik").agg(first.alias("h")).select("cik", "h.name", "h.form", "h.filed")
 
 
-def pool_dates(facts: DataFrame, prefer: str = "latest", tie: str = "seq") -> DataFrame:
-    """One value a (company_id, metric), newest or earliest, and the company's representative date.
+def pool_dates(facts: DataFrame, prefer: str = "latest", tie: str = "seq", by: tuple[str, ...] = ("company_id",)) -> DataFrame:
+    """One value a metric of each ``by`` (a company, or its part of the facts), newest or earliest, and the representative date there.
 
     The representative date is the upper median of the distinct dates in use.
     """
     pick = F.max_by if prefer == "latest" else F.min_by
-    one = facts.filter(F.col("period_end").cast("string").rlike(r"^\d{4}-\d{2}-\d{2}")).groupBy("company_id", "metric")
-    one = one.agg(pick(F.struct("value", "period_end"), F.struct("period_end", tie)).alias("v")).select("company_id", "metric", "v.value", "v.period_end")
-    dates = F.sort_array(F.collect_set("period_end"))
-    rep = one.groupBy("company_id").agg(dates.alias("d")).select("company_id", F.element_at("d", (F.floor(F.size("d") / 2) + 1).cast("int")).alias("rep_date"))
-    return one.join(rep, "company_id")
+    one = facts.filter(F.col("period_end").cast("string").rlike(r"^\d{4}-\d{2}-\d{2}")).groupBy(*by, "metric")
+    one = one.agg(pick(F.struct("value", "period_end"), F.struct("period_end", tie)).alias("v")).select(*by, "metric", "v.value", "v.period_end")
+    dates = F.sort_array(F.collect_set("period_end").over(Window.partitionBy(*by)))  # a company's own dates
+    return one.withColumn("__d", dates).withColumn("rep_date", F.element_at("__d", (F.floor(F.size("__d") / 2) + 1).cast("int"))).drop("__d")
 
 
 def most_recent_filing(filings: DataFrame) -> DataFrame:
@@ -71,7 +70,19 @@ def growth(early: DataFrame, late: DataFrame, weights: DataFrame | None = None,
     """
     a = early.select("company_id", "metric", F.col("value").alias("v0"), F.col("rep_date").alias("date_early"))
     b = late.select("company_id", "metric", F.col("value").alias("v1"), F.col("rep_date").alias("date_late"))
-    pairs = a.join(b, ["company_id", "metric"]).filter("v0 > 0 AND v1 > 0")
+    return growth_of_pairs(a.join(b, ["company_id", "metric"]), weights, min_fields, digits, min_years)
+
+
+def growth_of_halves(pooled: DataFrame, late: str, weights: DataFrame | None = None, min_fields: int = 2, digits: int = 6, min_years: float = 1.0) -> DataFrame:
+    """``growth`` of facts pooled by company and half (the boolean ``late``): both halves of a metric meet by grouping, in one pass."""
+    half = lambda x, side: F.max(F.when(F.col(late) == side, F.col(x)))  # noqa: E731  one row a half at most
+    pairs = pooled.groupBy("company_id", "metric").agg(half("value", False).alias("v0"), half("value", True).alias("v1"), half("rep_date", False).alias("date_early"), half("rep_date", True).alias("date_late"))
+    return growth_of_pairs(pairs, weights, min_fields, digits, min_years)
+
+
+def growth_of_pairs(pairs: DataFrame, weights: DataFrame | None, min_fields: int, digits: int, min_years: float) -> DataFrame:
+    """``growth`` of metrics with values v0 and v1 and the dates of both periods."""
+    pairs = pairs.filter("v0 > 0 AND v1 > 0")
     ratio = F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), F.log(F.col("v1") / F.col("v0"))))
     if weights is None:
         score = F.avg(ratio)
