@@ -59,10 +59,14 @@ def norm_path(url: Column) -> Column:
     return F.lower(F.regexp_replace(path(url), "/$", ""))
 
 
+#: File endings that a slug leaves out.
+PAGE_ENDINGS = r"(?i)\.(html?|php|aspx?|jsp|cfm|do)$"
+
+
 def slug(url: Column) -> Column:
     """File-name form of a path; long ones keep 200 characters and a digest of the whole."""
     p = F.regexp_replace(path(url), "^/+|/+$", "")
-    p = F.regexp_replace(p, r"(?i)\.(html?|php|aspx?|jsp|cfm|do)$", "")
+    p = F.regexp_replace(p, PAGE_ENDINGS, "")
     p = F.regexp_replace(F.regexp_replace(p, "/", "__"), "[^A-Za-z0-9_-]", "_")
     p = F.regexp_replace(F.regexp_replace(p, "_+", "_"), "^_+|_+$", "")
     return (

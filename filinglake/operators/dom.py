@@ -132,7 +132,7 @@ def parse(html: str) -> Node:
 
 # ---- figures -----------------------------------------------------------------------------------------------------
 
-#: (name, kind): l long, d double, b boolean, s string, m map.
+#: Fixed values, the output schema; (name, kind): l long, d double, b boolean, s string, m map.
 STAT_FIELDS = tuple(
     (n, k)
     for k, names in (

@@ -141,7 +141,7 @@ def ridge(df: DataFrame, vec: str, y: str, alpha: float = 1.0) -> np.ndarray:
 
 
 def ridge_sweep(train: DataFrame, test: DataFrame, vec: str, y: str, alphas: list[float]) -> list[dict]:
-    """Test MSE, MAE-free R2 against the training mean for PCA sizes D, D/2, … and each alpha, from two Gram matrices."""
+    """Test MSE and R2 against the training mean for PCA sizes D, D/2, … and each alpha, from two Gram matrices, and MAE from one pass over the test rows."""
     n, m = gram(train, vec, [y])
     nt, t = gram(test, vec, [y])
     d = len(m) - 2
@@ -149,7 +149,7 @@ def ridge_sweep(train: DataFrame, test: DataFrame, vec: str, y: str, alphas: lis
     cov = m[:d, :d] / n - np.outer(mean, mean)
     _, v = np.linalg.eigh(cov)
     v = v[:, ::-1]
-    out, k = [], d
+    out, k, solved = [], d, []
     while k >= max(1, d // 128):
         # basis of [projected centred x, 1] in terms of [x, 1]
         basis = np.zeros((d + 1, k + 1))
@@ -163,9 +163,22 @@ def ridge_sweep(train: DataFrame, test: DataFrame, vec: str, y: str, alphas: lis
         base = (tyy - 2 * y0 * t[d, -1] + nt * y0 * y0) / nt
         for alpha in alphas:
             w = np.linalg.lstsq(a + alpha * np.eye(k + 1), b, rcond=None)[0]  # at alpha 0 the matrix may be singular
+            solved.append(basis @ w)
             mse = (tyy - 2 * w @ tb + w @ ta @ w) / nt
             out.append({"dims": k, "alpha": float(alpha), "mse": float(mse), "r2": float(1 - mse / base)})
         k //= 2
+    models = np.stack(solved, axis=1)  # a column a model
+
+    def misses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(models.shape[1])
+        for b in batches:
+            if b.num_rows:
+                x = np.stack(b.column(0).to_numpy(zero_copy_only=False)).astype(float)
+                total += np.abs(x @ models[:-1] + models[-1] - b.column(1).to_numpy(zero_copy_only=False).astype(float)[:, None]).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["model", "miss"])
+
+    for r in test.select(vec, y).mapInArrow(misses, "model long, miss double").groupBy("model").agg(F.sum("miss").alias("miss")).collect():  # a row a model
+        out[r.model]["mae"] = r.miss / nt
     return out
 
 

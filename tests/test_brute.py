@@ -128,6 +128,8 @@ def test_ridge_by_the_normal_equations(spark, vectors):
     t = one[ids % 5 == 0]
     plain = np.linalg.lstsq(a, b, rcond=None)[0]
     assert big[0.0] == pytest.approx(np.mean((t @ plain - y[ids % 5 == 0]) ** 2), rel=0.05)
+    mae = next(r.mae for r in sweep if r.dims == x.shape[1] and r.alpha == 0.0)
+    assert mae == pytest.approx(np.mean(np.abs(t @ plain - y[ids % 5 == 0])), rel=0.05)
 
 
 def test_tags_keep_all_but_numbers(spark, texts):
