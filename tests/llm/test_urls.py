@@ -149,12 +149,12 @@ def test_an_unlabelled_template_does_not_bridge(spark):
 
 
 def test_deep_urls_and_many_rules(spark):
-    deep = "http://deep.example.io/" + "/".join(f"s{k}" for k in range(12))
+    deep = "http://deep.example.io/" + "/".join(f"s{k}" for k in range(8))
     pages = [(1, deep), (2, deep + "/x"), (3, deep + "/y/1.html"), (4, "http://deep.example.io/s0/other")] + [(10 + k, f"http://h{k % 3}.r{k}.net/p{k}/q") for k in range(40)]
     df = spark.createDataFrame(pages, "page_id long, url string")
     labels = spark.createDataFrame([], "page_id long, good boolean")
     rows = {r.page_id: r for r in U.judge(df, labels).collect()}
-    assert rows[1].template == "/" + "/".join(f"s{k}" for k in range(12)) and rows[3].template.endswith("/s11/y/*.html")
+    assert rows[1].template == "/" + "/".join(f"s{k}" for k in range(8)) and rows[3].template.endswith("/s7/y/*.html")
     same(rows.values(), brute(pages, {}))
     rules = [("block", f"r{k}.net", f"/p{k}") for k in range(5000)] + [("allow", f"h1.r{k}.net", f"/p{k}/q") for k in range(5000)] + [("block", "example.io", "/s0/s1/"), ("allow", "io", "/")]
     for r in U.judge(df, labels, rules=rules).collect():
