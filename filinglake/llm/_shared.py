@@ -64,3 +64,18 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight:
     met = rows.join(hot, list(keys))
     rest = rows.join(hot.select(*keys), list(keys), "left_anti").join(table.filter(weight * HOT <= total), list(keys), how)
     return met.select(*rest.columns).union(rest)
+
+
+def spread_left(rows: DataFrame, table: DataFrame, key: str, weight: Column, total: int) -> DataFrame:
+    """``rows`` left-joined with ``table`` (staged, one row a key, not null) on a string key, each row read and moved once.
+
+    Keys with over a ``HOT``-th of all rows are broadcast as in ``spread_join``. Their rows, and rows without a
+    key, go through the shuffle of the others under keys that spread them.
+    """
+    hot, cold = table.filter(weight * HOT > total), table.filter(weight * HOT <= total)
+    names = [c for c in table.columns if c != key]
+    near = rows.join(F.broadcast(hot.select(F.col(key), F.struct(*names).alias("near_"))), key, "left")
+    apart = F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))
+    near = near.withColumn("spread_", F.when(F.col("near_").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(apart))
+    far = near.join(cold.select(F.col(key).alias("spread_"), F.struct(*names).alias("far_")), "spread_", "left")
+    return far.select(*rows.columns, *(F.coalesce(F.col("near_")[n], F.col("far_")[n]).alias(n) for n in names))
