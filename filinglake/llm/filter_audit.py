@@ -33,6 +33,7 @@ FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 MASKS = 1 << len(FILTERS)
 HELD_BYTES = 64 << 20  # distinct texts that a reading task remembers
+ROUTED_ROWS = 50_000  # documents, at most, that a routing task gets on average
 CAPITALS = bytes(range(65, 91))
 SYMBOLS = re.compile(rb"[#$%&*|]")
 
@@ -110,7 +111,7 @@ def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_
     """(key, doc_id, part, mask, n) for every document; bit k of ``mask`` is set if it fails filter k, rows alike may be one row with their count."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.col(part_col).cast("string")).rdd
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), rows.getNumPartitions())
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), docs.count() // ROUTED_ROWS + 1)
     routed = rows.mapPartitions(_read).repartitionAndSortWithinPartitions(width, partitionFunc=lambda key: key[0])
     return spark.createDataFrame(routed.mapPartitions(_chained), "key long, doc_id long, part string, mask int, n long", verifySchema=False)
 
