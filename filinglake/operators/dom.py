@@ -60,53 +60,63 @@ class Node:
                 todo.extend(reversed(n.kids))
         return "".join(out)
 
-    def above(self, *names: str) -> bool:
-        p = self.parent
-        while p is not None:
-            if p.name in names:
-                return True
-            p = p.parent
-        return False
+    def outermost(self, name: str, barrier: tuple[str, ...]) -> list[Node]:
+        """Elements of a name below this one, in order, that are not inside one of ``barrier``."""
+        out, todo = [], list(reversed(self.kids))
+        while todo:
+            n = todo.pop()
+            if n.name == name:
+                out.append(n)
+            if n.name not in barrier:
+                todo.extend(reversed(n.kids))
+        return out
 
-    def replace(self, nodes: list[Node]) -> None:
-        at = self.parent.kids.index(self)
-        self.parent.kids[at : at + 1] = nodes
-        for n in nodes:
-            n.parent = self.parent
-        self.parent = None
+    def become_text(self, text: str) -> None:
+        """This element and all in it give way to a text."""
+        self.name, self.attrs, self.kids, self.text = None, {}, [], text
 
 
 class _Builder(HTMLParser):
+    """Open elements are a stack, with the depths at which each name is open, so that no tag searches its ancestors."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("[document]")
+        self.root = Node("[document]")
+        self.open = [self.root]
+        self.depths: dict[str, list[int]] = {}
+
+    def _deepest(self, names) -> int:
+        return max((self.depths[n][-1] for n in names if self.depths.get(n)), default=0)
+
+    def _close(self, depth: int) -> None:
+        while len(self.open) > depth:
+            self.depths[self.open.pop().name].pop()
 
     def handle_starttag(self, tag, attrs):
-        closes, fence = CLOSES.get(tag, ()), FENCE.get(tag, ())
-        p = self.at
-        while closes and p.parent is not None and p.name not in fence:
-            if p.name in closes:
-                self.at = p.parent
-                if tag != "tr" or p.name == "tr":
-                    break
-            p = p.parent
-        node = Node(tag, {k: v for k, v in attrs}, self.at)
-        self.at.kids.append(node)
+        fence = self._deepest(FENCE.get(tag, ()))
+        while (at := self._deepest(CLOSES.get(tag, ()))) > fence:
+            name = self.open[at].name
+            self._close(at)
+            if tag != "tr" or name == "tr":
+                break
+        node = Node(tag, dict(attrs), self.open[-1])
+        self.open[-1].kids.append(node)
         if tag not in VOID:
-            self.at = node
+            self.depths.setdefault(tag, []).append(len(self.open))
+            self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.at.name == tag:
-            self.at = self.at.parent
+        if tag not in VOID:
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        p = self.at
-        while p.parent is not None:
-            if p.name == tag:
-                self.at = p.parent
-                return
-            p = p.parent
+        if at := self._deepest((tag,)):
+            self._close(at)
+
+    @property
+    def at(self) -> Node:
+        return self.open[-1]
 
     def handle_data(self, data):
         self.at.kids.append(Node(None, parent=self.at, text=data))
@@ -182,6 +192,20 @@ def _json_types(root: Node) -> tuple[int, set]:
     return n, {str(t) for t in types}
 
 
+def _links_inside(root: Node) -> dict[str, int]:
+    """Links in navigation and in footers; a link counts once for each of them that holds it."""
+    out = {"nav": 0, "footer": 0}
+    todo = [(root, 0, 0)]
+    while todo:
+        n, nav, footer = todo.pop()
+        if n.name == "a":
+            out["nav"] += nav
+            out["footer"] += footer
+        nav, footer = nav + (n.name == "nav"), footer + (n.name == "footer")
+        todo.extend((k, nav, footer) for k in n.kids)
+    return out
+
+
 def page_stats(html: str) -> dict:
     """Structure, content and metadata figures of one page."""
     root = parse(html)
@@ -207,6 +231,7 @@ def page_stats(html: str) -> dict:
     images = root.find("img")
     n_json, types = _json_types(root)
     heads = {f"h{i}": count[f"h{i}"] for i in range(1, 7)}
+    linked = _links_inside(root)
     robots = [n.attrs.get("content") for n in root.find("meta") if (n.attrs.get("name") or "").lower() == "robots"]
 
     def nesting(n: Node, below: list[int]) -> int:
@@ -227,8 +252,8 @@ def page_stats(html: str) -> dict:
         "media_query_count": len(re.findall(r"@media\s", styles)), "css_rule_count": max(0, styles.count("{") - at_rules), "has_json_ld": n_json > 0, "json_ld_type_count": len(types), "meta_tag_count": count["meta"],
         "open_graph_tag_count": sum((n.attrs.get("property") or "").startswith("og:") for n in root.find("meta")), "canonical_tag_present": any("canonical" in (n.attrs.get("rel") or "") for n in root.find("link")), "robots_meta_content": robots[0] if robots else None,
         "aria_attribute_count": sum(any(a.startswith("aria-") for a in n.attrs) for n in named), "alt_text_coverage": round(sum(bool((n.attrs.get("alt") or "").strip()) for n in images) / len(images), 4) if images else None,
-        "role_attribute_count": has("role"), "tabindex_count": has("tabindex"), "nav_link_count": sum(len(n.find("a")) for n in root.find("nav")), "total_link_count": len(links), "footer_link_count": sum(len(n.find("a")) for n in root.find("footer")),
-        "internal_link_ratio": round(inside / len(hrefs), 4) if hrefs else 0.0, "nav_depth_levels": max((fold(n, nesting) for n in root.find("nav")), default=0),
+        "role_attribute_count": has("role"), "tabindex_count": has("tabindex"), "nav_link_count": linked["nav"], "total_link_count": len(links), "footer_link_count": linked["footer"],
+        "internal_link_ratio": round(inside / len(hrefs), 4) if hrefs else 0.0, "nav_depth_levels": max((fold(n, nesting) for n in root.outermost("nav", ("nav",))), default=0),
     }
 
 
@@ -238,8 +263,36 @@ BLOCKS = frozenset("address article aside blockquote body dd div dl dt fieldset
 UNSEEN = frozenset("script style head noscript template title".split())
 
 
+EMPHASIS = {"b": "**", "strong": "**", "i": "_", "em": "_"}
+HEADINGS = {f"h{i}": "#" * i for i in range(1, 7)}
+
+
+MOST_MARKS = 100  # emphasis inside so many others adds no marks
+
+
+def _marks(root: Node) -> dict[int, str]:
+    """By node, what stands before a list item (indent by the lists around it, and a star or its number) or around emphasis."""
+    marks: dict[int, str] = {}
+    todo = [(root, -1, 0)]
+    while todo:
+        n, depth, strong = todo.pop()
+        depth += n.name in ("ul", "ol")
+        if n.name in EMPHASIS:
+            strong += 1
+            marks[id(n)] = EMPHASIS[n.name] if strong <= MOST_MARKS else ""
+        number = 0
+        for k in n.kids:
+            if k.name == "li":
+                number += 1
+                marks[id(k)] = "  " * (max(depth, 0) + 1) + (f"{number}." if n.name == "ol" else "*")
+            todo.append((k, depth, strong))
+    return marks
+
+
 def markdown(html: str) -> str:
     """Text with headings, lists, links, emphasis and tables; images and scripts go; lines are not wrapped."""
+    root = parse(html)
+    marks = _marks(root)
 
     def inline(n: Node, below: list[str]) -> str:
         if n.name is None:
@@ -251,30 +304,24 @@ def markdown(html: str) -> str:
         if n.name == "hr":
             return "\n\n* * *\n\n"
         body = "".join(below)
-        core = body.strip()
-        if n.name in ("b", "strong") and core:
-            return f"**{core}**" if "\n\n" not in core else body
-        if n.name in ("i", "em") and core:
-            return f"_{core}_" if "\n\n" not in core else body
-        if n.name == "a" and n.attrs.get("href") and core:
-            return f"[{core}]({n.attrs['href']})"
-        if re.fullmatch("h[1-6]", n.name):
-            return f"\n\n{'#' * int(n.name[1])} {core}\n\n" if core else ""
+        if n.name in EMPHASIS:
+            mark, core = marks[id(n)], body.strip() if marks[id(n)] else ""
+            return f"{mark}{core}{mark}" if core and "\n\n" not in core else body
+        if n.name == "a":
+            core = body.strip() if n.attrs.get("href") else ""
+            return f"[{core}]({n.attrs['href']})" if core else body
+        if n.name in HEADINGS:
+            core = body.strip()
+            return f"\n\n{HEADINGS[n.name]} {core}\n\n" if core else ""
         if n.name == "li":
-            ordered = n.parent is not None and n.parent.name == "ol"
-            depth, p = -1, n.parent
-            while p is not None:
-                depth += p.name in ("ul", "ol")
-                p = p.parent
-            mark = f"{1 + [k for k in n.parent.kids if k.name == 'li'].index(n)}." if ordered else "*"
-            return f"\n{'  ' * (max(depth, 0) + 1)}{mark} {core}"
+            return f"\n{marks[id(n)]} {body.strip()}"
         if n.name == "tr":
             return "\n" + " | ".join(s.strip() for c, s in zip(n.kids, below) if c.name in ("td", "th"))
         if n.name in BLOCKS:
-            return f"\n\n{body}\n\n"
+            return body if body.startswith("\n\n") and body.endswith("\n\n") and body.strip() else f"\n\n{body}\n\n"
         return body
 
-    out = re.sub(r"[ \t]+\n", lambda m: "  \n" if m[0].startswith("  ") else "\n", fold(parse(html), inline))
+    out = re.sub(r"[ \t]+\n", lambda m: "  \n" if m[0].startswith("  ") else "\n", fold(root, inline))
     return re.sub(r"\n{3,}", "\n\n", out).strip()
 
 
@@ -285,73 +332,66 @@ STAND_ALONE = frozenset(("br", "hr", "img", "input"))
 BLOCK_TAGS = frozenset("p div table ul ol h1 h2 h3 h4 h5 h6 section article blockquote".split())
 
 
-def _blank(n: Node) -> bool:
-    return n.name is None and not n.text.strip()
+def _int(v) -> int:
+    return int(v) if v and re.fullmatch(r"\s*\d+\s*", v) else 1
 
 
-def _empty(n: Node) -> bool:
-    """No text and no stand-alone tag inside, other than hard spaces."""
-    return not any(k.name in STAND_ALONE or (k.name is None and k.text.replace("\xa0", "").strip()) for k, _ in n.walk())
+def _joined(lists: list[list]) -> list:
+    """One list of several; a single one is handed on as it is, so that wrappers cost nothing however deep they are."""
+    lists = [x for x in lists if x]
+    return lists[0] if len(lists) == 1 else [n for x in lists for n in x]
 
 
-def _int(v) -> int:
-    return int(v) if v and re.fullmatch(r"\s*\d+\s*", v) else 1
+def _bare(n: Node, below: list[list[Node]]) -> list[Node]:
+    """What is left of an element without styles, hidden parts, inline markup, attributes, and elements without content."""
+    if n.name is None:
+        return [n] if n.text.strip() else []
+    if n.parent is not None and (n.name in ("style", "script", "ix:header") or re.search(r"display\s*:\s*none", n.attrs.get("style") or "", re.I)):
+        return []
+    kids = _joined(below)
+    if n.parent is not None and (n.name in ("span", "font") or n.name.startswith("ix:")):
+        return kids
+    n.attrs = {k: v for k, v in n.attrs.items() if k in KEEP_ATTRS}
+    n.kids = kids
+    return [n] if kids or n.name in STAND_ALONE or n.parent is None else []
 
 
-def is_layout_table(table: Node) -> bool:
-    """Rows of at most one cell each, no header cells, no spans."""
-    rows = table.find("tr")
-    for row in rows:
-        cells = [c for c in row.kids if c.name in ("td", "th")]
-        if len(cells) > 1 or any(c.name == "th" or _int(c.attrs.get("colspan")) > 1 for c in cells):
-            return False
-    return bool(rows)
+def _flat(n: Node, below: list[tuple[list[Node], int, bool]]) -> tuple[list[Node], int, bool]:
+    """(what stands for an element without layout tables and lone wrappers, table rows in it, whether all of them are layout).
+
+    A layout table has rows of at most one cell each, no header cells and no cells over several columns. It gives way
+    to the contents of its cells.
+    """
+    if n.name is None:
+        return [n], 0, True
+    n.kids, rows, plain = _joined([b[0] for b in below]), sum(b[1] for b in below), all(b[2] for b in below)
+    if n.name == "tr":
+        cells = [c for c in n.kids if c.name in ("td", "th")]
+        rows, plain = rows + 1, plain and len(cells) < 2 and all(c.name == "td" and _int(c.attrs.get("colspan")) < 2 for c in cells)
+    if n.name == "table" and rows and plain:
+        out: list[Node] = []
+        for cell in n.outermost("td", ("td",)):
+            if all(k.name in BLOCK_TAGS for k in cell.kids):
+                out += cell.kids
+            else:
+                p = Node("p")
+                p.kids = cell.kids
+                out.append(p)
+        return out, 0, True
+    if n.parent is not None and n.name not in STAND_ALONE and not n.kids:
+        return [], rows, plain
+    only = n.kids[0].name if len(n.kids) == 1 else None
+    lone = n.parent is not None and only is not None and n.name in (only, "div")
+    return n.kids if lone else [n], rows, plain
 
 
 def sanitize(html: str) -> str:
-    """Body without styles, hidden parts, inline markup, attributes, empty elements, layout tables and lone wrappers."""
+    """Body without styles, hidden parts, inline markup, attributes, empty elements, layout tables and lone wrappers; two folds from the leaves up."""
     root = parse(re.sub(r"<\?xml[^?]*\?>", "", html))
     root = (root.find("body") or [root])[0]
-    for n in list(root.find(*{t.name for t, _ in root.walk() if t.name})):
-        hidden = re.search(r"display\s*:\s*none", n.attrs.get("style") or "", re.I)
-        if n.parent is not None and (n.name in ("style", "script", "ix:header") or hidden):
-            n.replace([])
-    for n in [t for t, _ in root.walk()]:
-        if n.name and n.parent is not None and (n.name in ("span", "font") or n.name.startswith("ix:")):
-            n.replace(n.kids)
-        elif n.name:
-            n.attrs = {k: v for k, v in n.attrs.items() if k in KEEP_ATTRS}
-
-    def purge() -> None:  # children come before their parents, so one pass is a fixpoint
-        for n, _ in reversed(list(root.walk())):
-            if n.name and n.parent is not None and n.name not in STAND_ALONE and _empty(n):
-                n.replace([])
-
-    purge()
-    for table in reversed(root.find("table")):
-        if table.parent is None or not is_layout_table(table):
-            continue
-        out: list[Node] = []
-        for cell in table.find("td"):
-            kids = [k for k in cell.kids if not _blank(k)]
-            if kids and all(k.name in BLOCK_TAGS for k in kids):
-                out += kids
-            elif kids:
-                p = Node("p", {}, None)
-                p.kids = cell.kids
-                for k in p.kids:
-                    k.parent = p
-                out.append(p)
-        table.replace(out)
-    changed = True
-    while changed:
-        changed = False
-        for n, _ in list(root.walk()):
-            kids = [k for k in n.kids if not _blank(k)]
-            if n.name and n.parent is not None and len(kids) == 1 and kids[0].name and (n.name == kids[0].name or n.name == "div"):
-                n.replace(n.kids)
-                changed = True
-    purge()
+    root.parent = None
+    fold(root, _bare)
+    fold(root, _flat)
     return normalize(prettify(root))
 
 
@@ -409,102 +449,207 @@ def table_grid(html: str) -> list[list[tuple[int, str]]]:
 
 OPENERS = re.compile(r"[$£€(\s]+")
 CLOSERS = re.compile(r"[)%\s]+")
+UNSEEN_BLANKS = re.compile("[\u200b\u200c\u200d\ufeff\u00a0]")
+
+
+class _Cell:
+    """A cell with its text, tag and the rows and columns that it spans."""
+
+    __slots__ = ("name", "text", "wide", "tall", "row")
+
+    def __init__(self, name: str, text: str, wide: int, tall: int, row: int):
+        self.name, self.text, self.wide, self.tall, self.row = name, text, wide, tall, row
+
+    def html(self) -> str:
+        spans = "".join(f' {k}="{v}"' for k, v in (("colspan", self.wide), ("rowspan", self.tall)) if v > 1)
+        return f"<{self.name}{spans}>{escape(self.text, quote=False)}</{self.name}>"
+
+
+def _shown(n: Node) -> str:
+    return UNSEEN_BLANKS.sub(" ", n.content()).strip()
+
+
+def _lay(cells: list[_Cell], row: list) -> None:
+    """Put a row's own cells into the places that are free in it, from the left."""
+    at = 0
+    for cell in cells:
+        while at < len(row) and row[at] is not None:
+            at += 1
+        row.extend([None] * (at + cell.wide - len(row)))
+        row[at : at + cell.wide] = [cell] * cell.wide
+
+
+def _grid(own: list[list[_Cell]], usual: int | None = None) -> list[list]:
+    """The cell at each place of each row, spans filled in.
+
+    With a usual width, a row that would be wider begins at the left, and the spans that reach into it from above lose a row.
+    """
+    rows: list[list] = [[] for _ in own]
+    for r, cells in enumerate(own):
+        row = list(rows[r])
+        _lay(cells, row)
+        if usual is not None and len(row) > usual:
+            for cell in {id(c): c for c in rows[r] if c is not None}.values():
+                cell.tall = max(1, cell.tall - 1)
+            row = []
+            _lay(cells, row)
+        rows[r] = row
+        for at, cell in enumerate(row):
+            if cell is not None and cell.row == r:
+                for below in rows[r + 1 : r + cell.tall]:
+                    below.extend([None] * (at + 1 - len(below)))
+                    below[at] = cell
+    return rows
 
 
 def repair_table(html: str) -> str:
-    """Plain table of the same content: spans resolved, empty columns gone, currency marks and brackets beside their numbers.
+    """The same content in fewer cells: rows without text go, rows pushed aside by spans come back, needless columns go, marks stand beside their numbers.
 
-    A spanning cell's text goes to the sub-column that has most content of its own in other rows, the rightmost on a tie.
+    A row wider than the most frequent width (the least of several) is laid anew from the left and the row spans that reach into
+    it are shortened by one. Columns that always belong to one cell are one column. A cell that still spans columns in
+    which other rows have content of their own is split; its text goes to the sub-column that has most of that, the rightmost on a
+    tie. Columns without text go; columns of opening or closing marks alone join their right or left neighbour. Spans end with the table.
     """
-    table = parse(html)
-    rows = table.find("tr")
-    place: dict[tuple[int, int], tuple[int, str]] = {}  # position to (cell number, text)
-    spans: list[tuple[int, int, int, str, str]] = []
-    for r, tr in enumerate(rows):
-        c = 0
-        for cell in (k for k in tr.kids if k.name in ("td", "th")):
-            while (r, c) in place:
-                c += 1
-            w, h = _int(cell.attrs.get("colspan")), _int(cell.attrs.get("rowspan"))
-            spans.append((r, c, w, cell.content().strip(), cell.name))
-            for y in range(min(h, len(rows) - r)):
-                for x in range(w):
-                    place[(r + y, c + x)] = (len(spans), "")
-            c += w
-    width = max((c for _, c in place), default=-1) + 1
-    # columns that always belong to the same cell as their left neighbour are one column
-    column, last = {}, -1
-    for c in range(width):
-        same = c > 0 and all(place.get((r, c), (0,))[0] == place.get((r, c - 1), (0,))[0] for r in range(len(rows)))
-        last += not same
-        column[c] = last
-    own = Counter()
-    for _, c, w, text, _ in spans:
-        if column[c] == column[c + w - 1] and text and not OPENERS.fullmatch(text) and not CLOSERS.fullmatch(text):
-            own[column[c]] += 1
-    cells = [[""] * (last + 1) for _ in rows]
-    heads = [[False] * (last + 1) for _ in rows]
-    for r, c, w, text, name in spans:
-        first, end = column[c], column[c + w - 1]
-        at = max(range(first, end + 1), key=lambda k: (own[k], k)) if any(own[k] for k in range(first, end + 1)) else first
-        cells[r][at] = text
-        heads[r][at] = name == "th"
-    keep = [k for k in range(last + 1) if any(row[k] for row in cells)]
-
-    def all_match(k: int, shape: re.Pattern) -> bool:
-        return all(not row[k] or shape.fullmatch(row[k]) for row in cells)
-
-    for i in range(len(keep) - 2, -1, -1):
-        if all_match(keep[i], OPENERS):
-            for row in cells:
-                row[keep[i + 1]] = row[keep[i]] + row[keep[i + 1]]
-            del keep[i]
-    for i in range(len(keep) - 1, 0, -1):
-        if all_match(keep[i], CLOSERS):
-            for row in cells:
-                row[keep[i - 1]] += row[keep[i]]
-            del keep[i]
-    tag = lambda r, k: "th" if heads[r][k] else "td"
-    return "<table>" + "".join("<tr>" + "".join(f"<{tag(r, k)}>{escape(row[k], quote=False)}</{tag(r, k)}>" for k in keep) + "</tr>" for r, row in enumerate(cells)) + "</table>"
+    trs = [tr for tr in parse(html).outermost("tr", ("td", "th")) if _shown(tr)]
+    own = [[_Cell(c.name, _shown(c), min(_int(c.attrs.get("colspan")) or 1, 1000), min(_int(c.attrs.get("rowspan")) or 1, len(trs) - r), r) for c in tr.kids if c.name in ("td", "th")] for r, tr in enumerate(trs)]
+    widths = Counter(map(len, _grid(own)))
+    rows = _grid(own, min(widths, key=lambda w: (-widths[w], w), default=0))
+    width = max(map(len, rows), default=0)
+    columns = [[row[k] if k < len(row) else None for row in rows] for k in range(width)]
+
+    def drop(k: int) -> None:
+        for cell in {id(c): c for c in columns[k] if c is not None}.values():
+            cell.wide -= 1
+        del columns[k]
+
+    for k in range(width - 1, 0, -1):
+        if all(a is b for a, b in zip(columns[k], columns[k - 1])):
+            drop(k)
+    _split(columns)
+
+    def only(k: int, shape: re.Pattern | None) -> bool:
+        """Whether a column has nothing but blanks, texts of a shape and cells that span columns."""
+        return all(c is None or not c.text or c.wide > 1 or bool(shape and shape.fullmatch(c.text)) for c in columns[k])
+
+    def join(k: int, to: int, put: Callable[[str, str], str]) -> None:
+        done = set()
+        for mark, cell in zip(columns[k], columns[to]):
+            if mark is not None and cell is not None and mark is not cell and mark.wide == 1 and mark.text and (id(mark), id(cell)) not in done:
+                done.add((id(mark), id(cell)))
+                cell.text = put(cell.text, mark.text)
+        drop(k)
+
+    for k in range(len(columns) - 1, -1, -1):
+        if only(k, None):
+            drop(k)
+    for k in range(len(columns) - 2, -1, -1):
+        if only(k, OPENERS):
+            join(k, k + 1, lambda text, mark: mark + text)
+    for k in range(len(columns) - 1, 0, -1):
+        if only(k, CLOSERS):
+            join(k, k - 1, lambda text, mark: text + mark)
+    return "<table>" + "".join(f"<tr>{''.join(c.html() for c in _in_order(columns, r))}</tr>" for r in range(len(rows))) + "</table>"
+
+
+def _in_order(columns: list[list], r: int) -> list[_Cell]:
+    """The cells that begin in a row, from left to right."""
+    return list({id(col[r]): col[r] for col in columns if col[r] is not None and col[r].row == r}.values())
+
+
+def _split(columns: list[list]) -> None:
+    """Split the cells that span columns where others stand alone; the text goes where most of those have content."""
+    height = len(columns[0]) if columns else 0
+    alone = [sum(c is not None and c.row == r and c.wide == 1 and bool(c.text) and not OPENERS.fullmatch(c.text) and not CLOSERS.fullmatch(c.text) for r, c in enumerate(col)) for col in columns]
+    for r in range(height):
+        for cell in _in_order(columns, r):
+            held = [k for k, col in enumerate(columns) if col[r] is cell]
+            if cell.wide == 1 or not any(alone[k] for k in held):
+                continue
+            best = max(held, key=lambda k: (alone[k], k))
+            parts = {k: _Cell(cell.name, cell.text if k == best else "", 1, cell.tall, r) for k in held}
+            for k, part in parts.items():
+                columns[k][r : r + cell.tall] = [part if c is cell else c for c in columns[k][r : r + cell.tall]]
+
+
+def _rows_and_cells(table: Node) -> tuple[int, int]:
+    """Rows inside a table, and its cells, each counted once for every row that holds it."""
+    rows = cells = 0
+    todo = [(table, 0)]
+    while todo:
+        n, held = todo.pop()
+        rows += n.name == "tr"
+        cells += held if n.name == "td" else 0
+        held += n.name == "tr"
+        todo.extend((k, held) for k in n.kids)
+    return rows, cells
 
 
 def is_data_table(table: Node) -> bool:
     """More than 5 rows, over 2 cells a row, and over a tenth of the characters digits, bare 4-digit numbers aside."""
-    rows = table.find("tr")
-    if len(rows) <= 5 or sum(len(r.find("td")) for r in rows) / len(rows) <= 2:
+    rows, cells = _rows_and_cells(table)
+    if rows <= 5 or cells / rows <= 2:
         return False
     text = re.sub(r"\s", "", re.sub(r"(?<![,\d])\d{4}(?![,\d])", "", table.content().strip()))
     return len(re.findall(r"\d", text)) / (len(text) or 1) > 0.1
 
 
+FURNITURE = ("table of contents", "use these links to rapidly review the document")
+TOO_LONG = "\x00" * 2  # stands for any text longer than page furniture
+
+
+def _drop_furniture(root: Node) -> None:
+    """Scripts, styles, links, rules, page numbers and references to the contents go; judged by all text inside, in one fold."""
+    gone = []
+
+    def short(n: Node, below: list[str]) -> str:
+        text = n.text if n.name is None else TOO_LONG if TOO_LONG in below else "".join(below)
+        text = re.sub(r"\s{2,}", "  ", text)
+        if len(text.strip()) > 64:
+            text = TOO_LONG
+        core = text.strip() if n.name in ("p", "div", "span", "font") else ""
+        number = re.fullmatch(r"\d{1,3}", core) and (n.name == "font" or (n.name in ("p", "div") and n.attrs.get("align") == "center"))
+        if n.name in ("script", "style", "a", "hr") or number or core.lower() in FURNITURE:
+            gone.append(n)
+        return text
+
+    fold(root, short)
+    for n in gone:
+        n.become_text("")
+
+
+def _lines(root: Node) -> str:
+    """All text, with a line break before and behind each block."""
+    out: list[str] = []
+    todo: list = [root]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.name is None:
+            out.append(n.text)
+        elif n.name == "br":
+            out.append("\n")
+        else:
+            if n.name in BLOCKS:
+                out.append("\n")
+                todo.append("\n")
+            todo.extend(reversed(n.kids))
+    return "".join(out)
+
+
 def filing_text(html: str, mark: str = "GLMTABLE") -> tuple[str, list[str]]:
     """Text of a filing with placeholders, and the repaired data tables they stand for; page furniture goes."""
     root = parse(html)
     root = (root.find("body") or [root])[0]
-    for n in [t for t, _ in root.walk() if t.name]:
-        if n.parent is None:
-            continue
-        text = n.content().strip() if n.name in ("p", "div", "span", "font") else ""
-        number = re.fullmatch(r"\d{1,3}", text) and (n.name == "font" or (n.name in ("p", "div") and n.attrs.get("align") == "center"))
-        if n.name in ("script", "style", "a", "hr") or number or text.lower() in ("table of contents", "use these links to rapidly review the document"):
-            n.replace([])
+    _drop_furniture(root)
     tables: list[str] = []
-    for t in root.find("table"):
-        if t.parent is None or t.above("table"):
-            continue
+    for t in root.outermost("table", ("table",)):
         if is_data_table(t):
-            t.replace([Node(None, text=f"\n{mark}{len(tables)}{mark}\n")])
             tables.append(repair_table(t.html()))
+            t.become_text(f"\n{mark}{len(tables) - 1}{mark}\n")
         else:
-            t.replace([Node(None, text=t.content())])
-
-    def shown(n: Node, below: list[str]) -> str:
-        if n.name is None:
-            return n.text
-        body = "".join(below)
-        return "\n" if n.name == "br" else f"\n{body}\n" if n.name in BLOCKS else body
-
-    lines = [re.sub(r"[ \t\r\f\v]+", " ", s).strip() for s in fold(root, shown).split("\n")]
+            t.become_text(t.content())
+    lines = [re.sub(r"[ \t\r\f\v]+", " ", s).strip() for s in _lines(root).split("\n")]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip(), tables
 
 

@@ -165,6 +165,30 @@ def table_repair(spark, sf):
     return _order_tables(spark, sf).select("o_orderkey", sites.repaired()(F.col("html")).alias("html"))
 
 
+def _page_tables(spark, sf):
+    """The links of each page as a table: address and label, labels over up to three columns, every other address of an even label over two rows."""
+    ship_package(spark)
+    held = lambda k: F.regexp_extract_all("html", F.lit(r'<li><a href="([^"]*)">([^<]*)</a>'), k)
+    links = F.arrays_zip(held(1).alias("href"), held(2).alias("label"))
+
+    def row(x, i):
+        tall = F.when((i % 2 == 0) & (F.length(x["label"]) % 2 == 0), F.lit(' rowspan="2"')).otherwise(F.lit(""))
+        return F.concat(F.lit("<tr><td"), tall, F.lit(">"), x["href"], F.lit('</td><td colspan="'), F.length(x["label"]) % 3 + 1, F.lit('">'), x["label"], F.lit("</td></tr>"))
+
+    rows = F.array_join(F.transform(links, row), "")
+    return table(spark, sf, "pages").select("page_id", F.concat(F.lit("<table>"), rows, F.lit("</table>")).alias("html"))
+
+
+def page_table_grid(spark, sf):
+    """(row, col, content) of every cell of the link table of every page."""
+    return _page_tables(spark, sf).select("page_id", F.explode(sites.grid()(F.col("html"))).alias("c")).select("page_id", "c.*")
+
+
+def page_table_repair(spark, sf):
+    """The link table of every page with pushed rows put back, needless columns gone and cells split."""
+    return _page_tables(spark, sf).select("page_id", sites.repaired()(F.col("html")).alias("html"))
+
+
 PATH = r"regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1)"
 HOST = r"regexp_extract(url, '^[^:]+://([^/?#]*)', 1)"
 DOMAIN = rf"regexp_replace(lower({HOST}), '^www\.', '')"
@@ -183,9 +207,14 @@ COUNTS = "SELECT page_id, " + ", ".join(f"len(regexp_extract_all(html, '<{t}[ >]
 
 QUERIES = {f.__name__: f for f in (
     manifest_select, manifest_sql_variant, manifest_nested, url_slug, url_parts, registered_domain, domain_blocklist, fetch_status_rollup, outcome_counts, dedup_keep_first, page_usability, nearest_ancestor, added_lines,
-    dom_counts, tag_entropy, domain_stats_merge, dom_stats, dom_stats_by_domain, html_markdown, sanitize_html, filing_text, table_grid, table_repair,
+    dom_counts, tag_entropy, domain_stats_merge, dom_stats, dom_stats_by_domain, html_markdown, sanitize_html, filing_text, table_grid, table_repair, page_table_grid, page_table_repair,
 )}
 ORACLES = {
+    "page_table_grid": r"""
+WITH l AS (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages),
+r AS (SELECT page_id, unnest(h) AS href, unnest(t) AS label, generate_subscripts(h, 1) - 1 AS i FROM l),
+p AS (SELECT *, coalesce(i % 2 = 1 AND length(lag(label) OVER (PARTITION BY page_id ORDER BY i)) % 2 = 0, false)::INT AS first FROM r)
+SELECT page_id, i::INT AS row, unnest([first, first + 1])::INT AS col, unnest([trim(href, ' '), trim(label, ' ')]) AS content FROM p""",
     "manifest_select": rf"""
 WITH base AS (
   SELECT *, {NORM} AS norm_url, {DEPTH} AS depth, {PATH} AS p FROM ({INDEX})
