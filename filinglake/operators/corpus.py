@@ -206,15 +206,15 @@ def snap(target: int, bounds: list[int], least: int) -> int:
 
 
 def chunk_spans(length: int, bounds: list[int], size_of, tail: int = 16, cap: int | None = None) -> list[tuple[int, int]]:
-    """(start, end) spans that partition 0 … length, snapped to boundaries; a tail shorter than ``tail`` joins the last."""
+    """(start, end) spans that partition 0 … length, snapped to boundaries; a tail shorter than ``tail`` joins the last, and then no span is longer than ``cap``."""
     out, at = [], 0
     while at < length:
         end = at + size_of(len(out))
         end = length if end >= length else max(at + 1, snap(end, bounds, at))
+        if length - end < tail:
+            end = length
         if cap is not None:
             end = min(end, at + cap)
-        if length - end < tail and (cap is None or length - at <= cap):
-            end = length
         out.append((at, end))
         at = end
     return out

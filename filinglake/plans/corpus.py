@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from filinglake.functions import numbers, text
-from filinglake.operators import corpus, examples, tagging
+from filinglake.operators import corpus, examples, tagging, tokens
 from filinglake.session import ship_package, table
 
 CURVE = [(100, 0.82), (1000, 0.55), (10000, 0.42), (100000, 0.36), (853076, 0.31)]
@@ -358,10 +358,48 @@ def random_token_windows(spark, sf):
 
 
 def tokenised_numbers(spark, sf):
+    """Lengths of whole documents in ids, and how many of them are numbers."""
+    t = docs_of(spark, sf).select("doc_id", F.concat(F.lit("Sales <number>1200</number> <table><tr><td>a</td><td><number>0.5</number></td></tr></table> "), F.coalesce("text", F.lit(""))).alias("text"))
+    return examples.tokenise(t, "doc_id", "text", _vocabulary()).select("id", "seq_length", F.size(F.filter("is_number_mask", lambda m: m)).alias("n_numbers"))
+
+
+def _vocabulary():
     import public_tokenizers  # a folder of tokenizer files; any other path will do
 
-    t = docs_of(spark, sf).select("doc_id", F.concat(F.lit("Sales <number>1200</number> <table><tr><td>a</td><td><number>0.5</number></td></tr></table> "), F.coalesce("text", F.lit(""))).alias("text"))
-    return examples.tokenise(t, "doc_id", "text", examples.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))).select("id", "seq_length", F.size(F.filter("is_number_mask", lambda m: m)).alias("n_numbers"))
+    return examples.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _marked_texts(spark, sf):
+    """Documents with figures tagged as numbers and every fifth line as a table of its sentences."""
+    line = lambda x, i: F.when(i % 5 == 2, F.concat(F.lit("<table><tr><td>"), F.replace(x, F.lit(". "), F.lit("</td><td>7</td></tr><tr><td>")), F.lit("</td></tr></table>"))).otherwise(x)
+    t = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
+    return docs_of(spark, sf).select("doc_id", F.regexp_replace(t, "([0-9]+)", "<number>$1</number>").alias("text"))
+
+
+def token_chunks(spark, sf):
+    """Every document's ids, number mask and values in chunks that end at lines outside tables."""
+    words = _vocabulary()
+    return tokens.chunk(examples.tokenise(_marked_texts(spark, sf), "doc_id", "text", words), 128, 1024, line_ends=[words.mark("\n")])
+
+
+def table_boundaries(spark, sf):
+    """Places behind line ends outside tables, every fifth and the following line being a table."""
+    line = lambda x, i: F.concat(F.when(i % 5 == 2, F.array(F.lit(examples.TABLE_START))).otherwise(F.array().cast("array<int>")), F.transform(F.split(x, " "), lambda w: F.length(w) % 100 + 1000), F.array(F.lit(examples.NEW_LINE)), F.when(i % 5 == 3, F.array(F.lit(examples.TABLE_END))).otherwise(F.array().cast("array<int>")))
+    ids = F.concat(F.array(F.lit(examples.CLS)), F.flatten(F.transform(F.split("text", "\n"), line)), F.array(F.lit(examples.SEP)))
+    d = docs_of(spark, sf).filter("text is not null").select("doc_id", ids.alias("ids"))
+    return d.select("doc_id", F.size("ids").alias("n_ids"), F.array_join(tokens.boundaries_of(F.col("ids")), ",").alias("bounds"))
+
+
+def prediction_markup(spark, sf):
+    """Every turn with its masked words and numbers beside what was guessed: half of the words right, the others the word before."""
+    t = table(spark, sf, "conversations").filter("text is not null").select(F.concat_ws("-", "conv_id", "turn").alias("row"), F.posexplode(F.concat(F.array(F.lit("[CLS]")), F.split("text", " "))).alias("pos", "token"))
+    t = t.withColumn("value", F.when((F.col("pos") > 0) & (F.length("token") == 5), F.col("pos") % 9 - 2.0))
+    m = corpus.mask_with_numbers(t, "row", "pos", "token", "value", 0.1, 0.4)
+    before = F.lag("token", 1, "").over(Window.partitionBy("row").orderBy("pos"))
+    right = corpus.unit_hash(F.lit(9), F.col("row"), F.col("pos")) < 0.5
+    m = m.select("row", "pos", "token", F.concat(F.when(F.col("pos") > 1, " ").otherwise(""), F.col("token")).alias("piece"), F.col("value").alias("log"), (F.col("action") != "none").alias("masked"), (F.col("token") == "[CLS]").alias("special"), F.when(right, F.col("token")).otherwise(before).alias("guess"))
+    guesses = m.filter("masked").select("row", "pos", F.col("guess").alias("token"), F.concat(F.lit(" "), F.col("guess")).alias("piece"), (F.col("log") + 0.5).alias("log"))
+    return tokens.with_predictions(m.drop("guess"), guesses, "row", "pos")
 
 
 def blob_fill(spark, sf):
@@ -381,7 +419,7 @@ def readable_numbers(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", numbers.short_number(v).alias("shown"))
 
 
-QUERIES |= {f.__name__: f for f in (text_examples, regrouped_lengths, random_token_windows, tokenised_numbers, blob_fill, title_slugs, readable_numbers)}
+QUERIES |= {f.__name__: f for f in (text_examples, regrouped_lengths, random_token_windows, tokenised_numbers, token_chunks, table_boundaries, prediction_markup, blob_fill, title_slugs, readable_numbers)}
 
 
 # ---- statistics, masks, chunks and resumption --------------------------------------------------------------------
@@ -451,7 +489,23 @@ def _unit(seed: int, *parts: str) -> str:
     return f"(('0x' || substr(md5('{seed}:' || {" || ':' || ".join(parts)}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
+_SHOWN = """CASE WHEN abs({0}) < 0.01 THEN printf('%.4e', {0}) WHEN abs({0}) >= 1e6 THEN format('{{:,.0f}}', {0}) WHEN abs({0}) >= 100 THEN format('{{:,.1f}}', {0}) ELSE printf('%.2f', {0}) END"""
+_EXP = "CASE WHEN {0} < -11 THEN 0.0::DOUBLE ELSE power(10.0::DOUBLE, {0}) END"
+
 ORACLES |= {
+    "table_boundaries": f"""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: list_concat(CASE WHEN (i - 1) % 5 = 2 THEN [{examples.TABLE_START}] ELSE [] END,
+    list_transform(string_split(x, ' '), lambda w: length(w) % 100 + 1000), [{examples.NEW_LINE}], CASE WHEN (i - 1) % 5 = 3 THEN [{examples.TABLE_END}] ELSE [] END)) AS l FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, unnest(flatten(l)) AS id, generate_subscripts(flatten(l), 1) AS pos FROM l),
+d AS (SELECT *, sum(CASE WHEN id = {examples.TABLE_START} THEN 1 ELSE 0 END) OVER w - coalesce(sum(CASE WHEN id = {examples.TABLE_END} THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, (count(*) + 2)::INT AS n_ids, coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (id = {examples.NEW_LINE} AND depth <= 0), '') AS bounds FROM d GROUP BY doc_id""",
+    "prediction_markup": f"""WITH s AS (SELECT conv_id || '-' || turn AS row, list_concat(['[CLS]'], string_split(text, ' ')) AS w FROM conversations WHERE text IS NOT NULL), t AS (SELECT row, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM s),
+v AS (SELECT *, CASE WHEN pos > 0 AND length(token) = 5 THEN pos % 9 - 2.0::DOUBLE END AS log, {_unit(1, "row", "pos")} < 0.1::DOUBLE + (0.4::DOUBLE - 0.1::DOUBLE) * {_unit(0, "row")} AND token <> '[CLS]' AS masked,
+  CASE WHEN {_unit(9, "row", "pos")} < 0.5 THEN token ELSE lag(token, 1, '') OVER (PARTITION BY row ORDER BY pos) END AS guess, CASE WHEN pos > 1 THEN ' ' ELSE '' END AS lead FROM t),
+e AS (SELECT *, {_EXP.format("log")} AS x, {_EXP.format("(log + 0.5)")} AS y FROM v),
+p AS (SELECT row, pos, CASE WHEN token = '[CLS]' THEN '' WHEN log IS NOT NULL AND masked THEN '(~~' || {_SHOWN.format("y")} || '~~**' || {_SHOWN.format("x")} || '**)' WHEN log IS NOT NULL THEN {_SHOWN.format("x")}
+  WHEN NOT masked OR NOT regexp_matches(token, '[\\p{{L}}\\p{{N}}]') THEN lead || token WHEN guess = token THEN lead || '(**' || regexp_replace(guess, '^\\s+|\\s+$', '', 'g') || '**)'
+  ELSE lead || regexp_extract(token, '^(\\s*)', 1) || '(~~' || regexp_replace(guess, '^\\s+|\\s+$', '', 'g') || '~~**' || regexp_replace(token, '^\\s+|\\s+$', '', 'g') || '**)' END AS shown FROM e)
+SELECT row, string_agg(shown, '' ORDER BY pos) AS text FROM p GROUP BY row""",
     "length_by_extension": rf"""WITH d AS (SELECT regexp_extract({_FILE}, '(\.[^.]*)$', 1) AS extension, n_chars FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY extension ORDER BY n_chars) - 1 AS r, count(*) OVER (PARTITION BY extension) AS n FROM d)
 SELECT extension, count(*) AS n, sum(n_chars)::BIGINT AS total, min(n_chars) AS min, max(n_chars) AS max, round(avg(n_chars), 4) AS mean, max(CASE WHEN r = n // 2 THEN n_chars END) AS median FROM r GROUP BY extension""",
     "dataset_stats": """WITH c AS (SELECT conv_id, sum(length(text))::BIGINT AS length, count(*) AS subs FROM conversations GROUP BY conv_id)
