@@ -56,7 +56,7 @@ def deflate_ratio(s: pd.Series) -> pd.Series:
     import zlib
 
     def one(t):
-        raw = t.encode()
+        raw = t if isinstance(t, bytes) else t.encode()
         return len(zlib.compress(raw, 6)) / len(raw) if len(raw) >= 50 else None
 
     return s.map(one, na_action="ignore").astype(float)
@@ -68,9 +68,11 @@ def adjusted_density(text: Column, ratio: Column, curve: list[tuple[int, float]]
 
 
 def baseline_curve(blobs: DataFrame, lengths: list[int], text_col: str = "text") -> DataFrame:
-    """Mean deflate ratio at each length over the texts that reach it (n, ratio, n_texts)."""
-    cut = blobs.select(F.explode(F.array(*map(F.lit, lengths))).alias("n"), F.col(text_col).alias("t")).filter(F.octet_length("t") >= F.col("n"))
-    return cut.withColumn("r", deflate_ratio(F.expr("substring(t, 1, n)"))).groupBy("n").agg(F.avg("r").alias("ratio"), F.count(F.lit(1)).alias("n_texts"))
+    """Mean deflate ratio of the first n bytes of the texts that have so many (n, ratio, n_texts)."""
+    raw = F.col(text_col).cast("binary")
+    reached = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.octet_length(text_col))
+    cut = blobs.select(F.explode(F.transform(reached, lambda n: F.struct(n.alias("n"), F.substr(raw, F.lit(1), n).alias("t")))).alias("c")).select("c.n", "c.t")
+    return cut.withColumn("r", deflate_ratio(F.col("t"))).groupBy("n").agg(F.avg("r").alias("ratio"), F.count(F.lit(1)).alias("n_texts"))
 
 
 # ---- global ranks without one global sort -------------------------------------------------------------------------
@@ -166,28 +168,41 @@ def padding_waste(batched: DataFrame, length: str) -> DataFrame:
 def greedy_pack(chunks: DataFrame, group: str, length: str, tie: str, budget: int, padded: bool = False) -> DataFrame:
     """Batch numbers by first-come packing in order of length: a batch closes when the next chunk would exceed the budget.
 
-    ``padded`` counts max * size instead of the sum. The order within a group is sequential by definition, so a
-    group (a split, a bucket, a hash shard) is one task, which streams its rows in order and holds none of them.
+    ``padded`` counts max * size instead of the sum. Where batches close follows from how many chunks of each length a group
+    has: that table, not larger than the lengths that occur, is gone through in order, and the chunks find their batch by their
+    rank among those of their length. A null length counts as 0.
     """
-    schema = T.StructType([*chunks.schema.fields, T.StructField("batch", T.LongType())])
-    cols = chunks.columns
-    at_g, at_n = cols.index(group), cols.index(length)
+    size = F.coalesce(F.col(length), F.lit(0))
+    keyed = ranked(chunks.select(F.col(group).alias("__g"), size.cast("long").alias("__n"), F.col(tie).alias("__t"), F.struct(*[F.col(f"`{c}`") for c in chunks.columns]).alias("__row")), "__g", "__n", "__t", rank="__all")
+    runs = keyed.groupBy("__g", "__n").agg(F.min("__all").alias("first"), F.count(F.lit(1)).alias("count"))
+    kind = chunks.schema[group].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, batch, used, count = None, 0, 0, 0
+    def close(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, batch, used, held = None, 0, 0, 0
         for pdf in frames:
             out = []
-            for g, n in zip(pdf.iloc[:, at_g], pdf.iloc[:, at_n]):
-                if g != now:
-                    now, batch, used, count = g, 0, 0, 0
-                over = n * (count + 1) > budget if padded else used + n > budget
-                if count and over:
-                    batch, used, count = batch + 1, 0, 0
-                used, count = used + n, count + 1
-                out.append(batch)
-            yield pdf.assign(batch=out)
-
-    return chunks.repartition(group).sortWithinPartitions(group, length, tie).mapInPandas(run, schema)
+            for g, n, first, count in pdf.itertuples(index=False):
+                if now is None or not (g == now[0] or (g is None and now[0] is None)):
+                    now, batch, used, held = (g,), 0, 0, 0
+                # how many more fit the open batch, and how many an empty one
+                room = count if n == 0 else budget // n - held if padded else (budget - used) // n
+                full = count if n == 0 else max(1, budget // n)
+                room = min(count, max(room, 0 if held else 1))
+                out.append((g, n, first, batch, room, full))
+                rest = count - room
+                if rest:
+                    batch += -(-rest // full)
+                    held = rest - (-(-rest // full) - 1) * full
+                    used = held * n
+                else:
+                    held, used = held + room, used + room * n
+            yield pd.DataFrame(out, columns=["g", "n", "first", "open", "room", "full"])
+
+    plan = runs.repartition("__g").sortWithinPartitions("__g", "__n").mapInPandas(close, f"g {kind}, n long, first long, open long, room long, full long")
+    met = keyed.join(plan, F.col("__g").eqNullSafe(F.col("g")) & (F.col("__n") == F.col("n")))
+    at = F.col("__all") - F.col("first")
+    batch = F.when(at < F.col("room"), F.col("open")).otherwise(F.col("open") + 1 + F.floor((at - F.col("room")) / F.col("full")))
+    return met.select("__row.*", batch.alias("batch"))
 
 
 # ---- chunks and masks --------------------------------------------------------------------------------------------

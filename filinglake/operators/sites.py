@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filinglake.operators import dom
+from filinglake.operators import dom, linediff
 
 #: Tags counted by pattern, without a parser.
 COUNTED = ("a", "p", "b", "h1", "li", "ul", "nav", "div", "script", "style", "article", "footer", "img", "table")
@@ -65,16 +65,7 @@ def reference_pages(pages: DataFrame, id_col: str, domain: str, path: str, level
 
 def diff_added(ref: str, target: str) -> str:
     """Lines of ``target`` outside a longest common line sequence with ``ref``; lines that start ++ are lost."""
-    from difflib import SequenceMatcher
-
-    if ref == target:
-        return ""
-    a, b = ref.split("\n"), target.split("\n")
-    out = []
-    for op, _, _, j, k in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if op in ("insert", "replace"):
-            out += [s for s in b[j:k] if not s.startswith("++")]
-    return "\n".join(out)
+    return "\n".join(s for s in linediff.added(ref, target) if not s.startswith("++"))
 
 
 def added_lines(ref: Column, target: Column) -> Column:

@@ -243,3 +243,18 @@ def company_status(landed: DataFrame) -> DataFrame:
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """Cached embeddings of all shards under ``path``, with their shard."""
     return spark.read.parquet(path)
+
+
+def current(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The table that ``writers.replace`` put under ``path`` last; an empty one of ``schema`` where there is none."""
+    sc = spark.sparkContext
+    pointer = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    fs = pointer.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(pointer):
+        if schema is None:
+            raise FileNotFoundError(f"no table has been put under {path}")
+        return spark.createDataFrame([], schema)
+    held = fs.open(pointer)
+    name = sc._jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8")
+    held.close()
+    return spark.read.parquet(f"{path}/{name}")

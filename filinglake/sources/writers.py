@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filinglake.functions import numbers
-from filinglake.operators.corpus import ranked
+from filinglake.operators.corpus import evenly_spaced, ranked
 from filinglake.session import written
 
 
@@ -67,14 +69,74 @@ def copy_matched(files: DataFrame, wanted: DataFrame, key: str, path: str) -> No
     files.join(wanted.select(key).distinct(), key, "left_semi").write.mode("overwrite").parquet(path)
 
 
-def band_report(banded: DataFrame, band: str, value: str) -> str:
-    """Markdown of a few rows a band; the rows are those of a sampling operator."""
-    out = []
-    for r in banded.groupBy(band).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).orderBy(band).collect():
-        out.append(f"## Band {r[0]}: {r.n} rows, {r.lo} to {r.hi}")
+def band_report(banded: DataFrame, band: str, value: str, text_col: str | None = None, order: str | None = None, samples: int = 3, most: int = 400, title: str = "Samples by band") -> str:
+    """Markdown of every band: its range, its rows and its share of all characters, and evenly spaced sample rows cut to ``most`` characters.
+
+    ``order`` names the rows and orders them with the value; the samples are those of ``corpus.evenly_spaced``, at most ``samples`` a band.
+    """
+    chars = F.sum(F.length(text_col)) if text_col else F.lit(0)
+    by = banded.groupBy(band).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.coalesce(chars, F.lit(0)).alias("chars")).orderBy(band).collect()
+    shown: dict = {}
+    if text_col and order:
+        # the whole text is measured, only its beginning travels
+        body = F.trim(text_col)
+        rows = evenly_spaced(banded, samples, by=band).select(band, value, order, F.substring(body, 1, most).alias("cut"), F.length(body).alias("size"))
+        for r in rows.orderBy(band, value, order).collect():
+            shown.setdefault(r[0], []).append(r)
+    total, size = sum(r.n for r in by), sum(r.chars for r in by)
+    out = [f"# {title}", "", f"{total} rows, {size:,} characters", ""] if text_col else []
+    for r in by:
+        share = f", {r.chars:,} characters, {100 * r.chars / size if size else 0:.1f} % of all" if text_col else ""
+        out.append(f"## Band {r[0]}: {r.n} rows, {r.lo} to {r.hi}{share}")
+        for k, row in enumerate(shown.get(r[0], []), 1):
+            fence = "`" * max(3, 1 + max((len(m) for m in re.findall("`+", row.cut or "")), default=0))
+            out += ["", f"### Sample {k}: {row[2]}, {row[1]}", "", fence, row.cut or "", fence] + ([f"(cut; {row.size} characters)"] if (row.size or 0) > most else [])
+        if shown:
+            out.append("")
     return "\n".join(out)
 
 
+def _hadoop(spark, path: str):
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def replace(df: DataFrame, path: str, keep: int = 2) -> str:
+    """Replace the table under ``path`` by another, all at once; returns the new table's folder.
+
+    The rows go to a folder of their own first. Only when they are whole, a pointer with its name is written and renamed over the old pointer, so readers
+    (``readers.current``) see the old table or the new one, and a write that fails leaves the old one. The last ``keep`` tables
+    stay, for readers that have begun; older ones go. One writer at a time.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    root, fs = _hadoop(spark, path)
+    fs.mkdirs(root)
+    made = f"{0 if not (old := generations(spark, path)) else int(old[-1][4:14]) + 1:010d}"
+    name = f"gen-{made}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    jvm = spark.sparkContext._jvm
+    fresh, pointer = _hadoop(spark, f"{path}/_pointer-{name}")[0], _hadoop(spark, f"{path}/_current")[0]
+    out = fs.create(fresh, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    overwrite = spark.sparkContext._gateway.new_array(kind, 1)
+    overwrite[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(fresh), fs.makeQualified(pointer), overwrite)
+    for stale in generations(spark, path)[:-keep]:
+        fs.delete(_hadoop(spark, f"{path}/{stale}")[0], True)
+    return f"{path}/{name}"
+
+
+def generations(spark, path: str) -> list[str]:
+    """Folders of the tables written so far, the oldest first; also those of writes that failed."""
+    root, fs = _hadoop(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(root) if f.getPath().getName().startswith("gen-")) if fs.exists(root) else []
+
+
 def write_shards(df: DataFrame, path: str, order: str, shard_rows: int) -> int:
     """Write rows in folders shard=k of ``shard_rows`` places each, in order; returns how many shards were new.
 

@@ -73,8 +73,8 @@ def test_blobs_of_the_corpus(spark, texts):
 
 def test_density_baseline(spark, texts):
     for r in Q["density_baseline"](spark, SF).collect():
-        cut = [t[: r.n].encode() for t in texts.values() if len(t.encode()) >= r.n]
-        ratios = [len(zlib.compress(c, 6)) / len(c) for c in cut if len(c) >= 50]
+        cut = [t.encode()[: r.n] for t in texts.values() if len(t.encode()) >= r.n]
+        ratios = [len(zlib.compress(c, 6)) / r.n for c in cut]
         assert r.n_texts == len(cut) and r.ratio == pytest.approx(sum(ratios) / len(ratios))
 
 
