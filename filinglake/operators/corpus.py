@@ -182,7 +182,7 @@ def greedy_pack(chunks: DataFrame, group: str, length: str, tie: str, budget: in
         for pdf in frames:
             out = []
             for g, n, first, count in pdf.itertuples(index=False):
-                if now is None or not (g == now[0] or (g is None and now[0] is None)):
+                if now is None or not (g == now[0] or (pd.isna(g) and pd.isna(now[0]))):
                     now, batch, used, held = (g,), 0, 0, 0
                 # how many more fit the open batch, and how many an empty one
                 room = count if n == 0 else budget // n - held if padded else (budget - used) // n

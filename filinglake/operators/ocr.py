@@ -18,10 +18,10 @@ def pages_of_regions(regions: DataFrame, per_piece: int = REGIONS_A_PIECE) -> Da
 
     Regions of task ``abandon`` do not count. Those of task ``skip`` are figures without text. Any other region without content was not
     recognised: it is named in ``missing`` as page and region, in order. Of several rows of a region the one with most content counts, the
-    least of equally long ones. A piece has at most ``per_piece`` regions, so that no row grows with a page.
+    last by value of equally long ones. A piece has at most ``per_piece`` regions, so that no row grows with a page.
     """
     real = regions.filter(~F.col("task").eqNullSafe("abandon"))
-    best = F.max_by("content", F.struct(F.length("content"), F.expr("transform(split(content, ''), c -> -ascii(c))")))
+    best = F.max(F.struct(F.length("content").alias("n"), "content"))["content"]
     one = real.groupBy("stem", "page", "region").agg(best.alias("content"), F.bool_and(F.col("task").eqNullSafe("skip")).alias("skipped"))
     text = F.when(F.trim("content") != "", F.trim("content"))
     lost = F.when(F.col("content").isNull() & ~F.col("skipped"), F.concat(F.lit("p"), F.col("page"), F.lit("r"), F.col("region")))

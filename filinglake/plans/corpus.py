@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from filinglake.functions import numbers, text
-from filinglake.operators import corpus, examples, tagging, tokens
+from filinglake.operators import corpus, examples, ocr, tagging, tokens, worklist
 from filinglake.session import ship_package, table
 
 CURVE = [(100, 0.82), (1000, 0.55), (10000, 0.42), (100000, 0.36), (853076, 0.31)]
@@ -402,6 +402,55 @@ def prediction_markup(spark, sf):
     return tokens.with_predictions(m.drop("guess"), guesses, "row", "pos")
 
 
+def window_draws(spark, sf):
+    """The first 300 windows of 40 words from at most 3000 draws."""
+    d = docs_of(spark, sf).filter("text is not null").select("doc_id", F.split("text", " ").alias("w"))
+    return examples.window_draws(d, "doc_id", "w", 40, 300).select("attempt", "doc_id", "start", F.array_join("tokens", " ").alias("window"))
+
+
+def _regions(spark, sf):
+    """Lines of documents as recognised regions, ten a page: some abandoned, some figures, some lost, some read twice."""
+    lines = docs_of(spark, sf).filter("text is not null").select(F.concat(F.lit("doc"), "doc_id").alias("stem"), "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    k = F.col("doc_id") + F.col("i")
+    task = F.when(k % 11 == 0, "abandon").when(k % 7 == 0, "skip").otherwise("text")
+    content = F.when((k % 7 != 0) & (k % 13 != 5), F.col("line"))
+    twice = F.explode(F.when(k % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    rows = lines.select("stem", F.floor(F.col("i") / 10).cast("int").alias("page"), (F.col("i") % 10).alias("region"), task.alias("task"), content.alias("content"), twice.alias("again"))
+    return rows.select("stem", "page", "region", "task", F.when(F.col("again") == 0, F.col("content")).otherwise(F.substring("content", 1, 20)).alias("content"))
+
+
+def _region_files(spark, sf):
+    n = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
+    return docs_of(spark, sf).select(F.concat(F.lit("doc"), "doc_id").alias("stem"), F.when(F.col("text").isNull(), 1).otherwise(F.floor((n - 1) / 10) + 1).cast("int").alias("n_pages"))
+
+
+def ocr_pages(spark, sf):
+    """Recognised regions in reading order, a row a page, lost regions by name."""
+    return ocr.pages_of_regions(_regions(spark, sf))
+
+
+def ocr_documents(spark, sf):
+    """Pages in order, two of them a part, with pages without text counted."""
+    return ocr.documents_of_pages(ocr_pages(spark, sf), _region_files(spark, sf), 2)
+
+
+def _attempts(spark, sf):
+    ok = F.col("event_type").isin("view", "signup") & (F.col("event_id") % 9 != 0)
+    return table(spark, sf, "events").select(F.concat(F.lit("item"), F.col("user_id")).alias("item"), ok.alias("ok"), F.col("ts").alias("at"), F.when(~ok, F.concat(F.lit("error "), "event_type")).alias("error"))
+
+
+def attempt_state(spark, sf):
+    """What became of each item after all its attempts before the tenth day, and when it may be tried again."""
+    return worklist.attempts(_attempts(spark, sf).filter("at < timestamp_ntz'2024-01-10 00:00:00'"), most=3, wait_seconds=3600)
+
+
+def pending_items(spark, sf):
+    """Items of all customers that have no output and may be tried on the tenth day."""
+    items = table(spark, sf, "customer").select(F.concat(F.lit("item"), F.col("c_custkey")).alias("item"), "c_nationkey")
+    outputs = table(spark, sf, "orders").filter("o_orderkey % 7 = 0").select(F.concat(F.lit("item"), F.col("o_custkey"), F.when(F.col("o_orderkey") % 2 == 0, ".md").otherwise(".tmp")).alias("name"))
+    return worklist.pending(items, attempt_state(spark, sf), outputs, F.expr("timestamp_ntz'2024-01-10 00:00:00'"))
+
+
 def blob_fill(spark, sf):
     d = docs_of(spark, sf).select("doc_id", "text")
     return examples.fill_blobs(d, "doc_id", "text", 5, 20_000).select("blob", F.octet_length("text").alias("n_bytes"), "n_articles")
@@ -419,7 +468,7 @@ def readable_numbers(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", numbers.short_number(v).alias("shown"))
 
 
-QUERIES |= {f.__name__: f for f in (text_examples, regrouped_lengths, random_token_windows, tokenised_numbers, token_chunks, table_boundaries, prediction_markup, blob_fill, title_slugs, readable_numbers)}
+QUERIES |= {f.__name__: f for f in (text_examples, regrouped_lengths, random_token_windows, tokenised_numbers, token_chunks, table_boundaries, prediction_markup, window_draws, ocr_pages, ocr_documents, attempt_state, pending_items, blob_fill, title_slugs, readable_numbers)}
 
 
 # ---- statistics, masks, chunks and resumption --------------------------------------------------------------------
@@ -492,7 +541,28 @@ def _unit(seed: int, *parts: str) -> str:
 _SHOWN = """CASE WHEN abs({0}) < 0.01 THEN printf('%.4e', {0}) WHEN abs({0}) >= 1e6 THEN format('{{:,.0f}}', {0}) WHEN abs({0}) >= 100 THEN format('{{:,.1f}}', {0}) ELSE printf('%.2f', {0}) END"""
 _EXP = "CASE WHEN {0} < -11 THEN 0.0::DOUBLE ELSE power(10.0::DOUBLE, {0}) END"
 
+_REGIONS = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
+g AS (SELECT 'doc' || doc_id AS stem, (i // 10)::INT AS page, (i % 10)::INT AS region, doc_id + i AS k, CASE WHEN (doc_id + i) % 7 <> 0 AND (doc_id + i) % 13 <> 5 THEN line END AS content FROM l),
+r AS (SELECT *, CASE WHEN trim(content, ' ') <> '' THEN trim(content, ' ') END AS body, CASE WHEN content IS NULL AND k % 7 <> 0 THEN 'p' || page || 'r' || region END AS lost FROM g WHERE k % 11 <> 0),
+p AS (SELECT stem, page, 0::INT AS piece, coalesce(string_agg(body, chr(10) || chr(10) ORDER BY region), '') AS markdown, count(*) AS n_regions, coalesce(string_agg(lost, ' ' ORDER BY region), '') AS missing FROM r GROUP BY stem, page)"""
+_STATE = """WITH e AS (SELECT 'item' || user_id AS item, event_type IN ('view', 'signup') AND event_id % 9 <> 0 AS ok, ts AS tried, 'error ' || event_type AS error FROM events WHERE ts < TIMESTAMP '2024-01-10 00:00:00'),
+a AS (SELECT item, bool_or(ok) AS done, count(*) AS attempts, max(tried) AS last_try, first(error ORDER BY tried DESC, error) FILTER (NOT ok) AS error FROM e GROUP BY item),
+s AS (SELECT item, CASE WHEN done THEN 'done' WHEN attempts >= 3 THEN 'given_up' ELSE 'failed' END AS status, attempts, last_try, error FROM a),
+state AS (SELECT item, status, attempts, last_try, CASE WHEN status = 'failed' THEN last_try + INTERVAL 1 HOUR * power(2, attempts - 1)::INT END AS next_try, CASE WHEN status <> 'done' THEN error END AS error FROM s)"""
+
 ORACLES |= {
+    "window_draws": f"""WITH d AS (SELECT doc_id, string_split(text, ' ') AS w, row_number() OVER (ORDER BY doc_id) - 1 AS rank FROM documents WHERE text IS NOT NULL),
+t AS (SELECT i::VARCHAR AS i, i AS attempt FROM (SELECT unnest(range(0, 3000)) AS i)), a AS (SELECT attempt, floor({_unit(0, "i")} * (SELECT count(*) FROM d))::BIGINT AS rank, {_unit(1, "i")} AS u FROM t),
+m AS (SELECT attempt, doc_id, floor(u * (len(w) - 40 + 1))::INT AS start, w FROM a JOIN d USING (rank) WHERE len(w) >= 40 ORDER BY attempt LIMIT 300)
+SELECT attempt, doc_id, start, array_to_string(w[start + 1:start + 40], ' ') AS window FROM m""",
+    "ocr_pages": f"{_REGIONS} SELECT * FROM p",
+    "ocr_documents": f"""{_REGIONS}, f AS (SELECT 'doc' || doc_id AS stem, CASE WHEN text IS NULL THEN 1 ELSE (len(string_split(text, chr(10))) - 1) // 10 + 1 END AS n FROM documents),
+c AS (SELECT stem, n, unnest(range(0, (n - 1) // 2 + 1)) AS part FROM f WHERE stem IN (SELECT stem FROM p)),
+j AS (SELECT stem, page // 2 AS part, string_agg(CASE WHEN markdown <> '' THEN markdown END, chr(10) || chr(10) ORDER BY page) AS markdown, count(*) FILTER (markdown <> '') AS shown, string_agg(CASE WHEN missing <> '' THEN missing END, ' ' ORDER BY page) AS missing FROM p GROUP BY ALL)
+SELECT stem, part::INT AS part, coalesce(markdown, '') AS markdown, least(2, n - part * 2)::BIGINT AS n_pages, (least(2, n - part * 2) - coalesce(shown, 0))::BIGINT AS n_empty, coalesce(missing, '') AS missing FROM c LEFT JOIN j USING (stem, part)""",
+    "attempt_state": f"{_STATE} SELECT * FROM state",
+    "pending_items": f"""{_STATE} SELECT item, c_nationkey FROM (SELECT 'item' || c_custkey AS item, c_nationkey FROM customer)
+WHERE item NOT IN (SELECT 'item' || o_custkey FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey % 2 = 0) AND item NOT IN (SELECT item FROM state WHERE status IN ('done', 'given_up') OR next_try > TIMESTAMP '2024-01-10 00:00:00')""",
     "table_boundaries": f"""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: list_concat(CASE WHEN (i - 1) % 5 = 2 THEN [{examples.TABLE_START}] ELSE [] END,
     list_transform(string_split(x, ' '), lambda w: length(w) % 100 + 1000), [{examples.NEW_LINE}], CASE WHEN (i - 1) % 5 = 3 THEN [{examples.TABLE_END}] ELSE [] END)) AS l FROM documents WHERE text IS NOT NULL),
 t AS (SELECT doc_id, unnest(flatten(l)) AS id, generate_subscripts(flatten(l), 1) AS pos FROM l),
