@@ -183,9 +183,9 @@ def unit_filter(spark, sf):
 
 
 def quarter_urls(spark, sf):
-    """One archive name for each year and quarter."""
-    y = spark.range(2018, 2026).select(F.col("id").alias("year"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("q"))
-    return y.select("year", "q", F.format_string("%dq%d.zip", F.col("year"), F.col("q")).alias("archive"))
+    """The archive of each year and quarter in which filings lie."""
+    o = table(spark, sf, "orders").filter("o_orderdate is not null").select(F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("q")).distinct()
+    return o.select("year", "q", F.format_string("%dq%d.zip", F.col("year"), F.col("q")).alias("archive"))
 
 
 def set_operations(spark, sf):
@@ -275,7 +275,7 @@ FROM (SELECT *, CASE WHEN v = floor(v) AND abs(v) < 1e15 THEN v::BIGINT::VARCHAR
     "most_recent_filing": """WITH o AS (SELECT o_custkey AS company_id, 'Prod224_' || lpad((o_orderkey % 97)::VARCHAR, 4, '0') || '_' || o_custkey || '_' || strftime(o_orderdate, '%Y%m%d') AS file_name, strftime(o_orderdate, '%Y-%m-%d') AS period_end, o_orderkey FROM orders)
 SELECT * FROM o WHERE (company_id, file_name, period_end) IN (SELECT company_id, max(file_name), arg_max(period_end, file_name) FROM o GROUP BY 1)""",
     "unit_filter": "SELECT CASE WHEN l_linenumber % 4 = 0 THEN 'GBP' END AS shown_unit, l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS total FROM lineitem WHERE l_linenumber % 4 IN (0, 1) GROUP BY 1, 2",
-    "quarter_urls": "SELECT y AS year, q::INT AS q, y || 'q' || q || '.zip' AS archive FROM range(2018, 2026) a(y), range(1, 5) b(q)",
+    "quarter_urls": "SELECT DISTINCT year(o_orderdate)::INT AS year, quarter(o_orderdate)::INT AS q, year(o_orderdate) || 'q' || quarter(o_orderdate) || '.zip' AS archive FROM orders WHERE o_orderdate IS NOT NULL",
     "set_operations": f"SELECT o_custkey AS id, CASE WHEN bool_and(year(o_orderdate) <= {SPLIT_YEAR}) THEN 'early' WHEN bool_and(year(o_orderdate) > {SPLIT_YEAR}) THEN 'late' ELSE 'both' END AS kind FROM orders GROUP BY 1",
     "mean_baseline_metrics": """WITH c AS (SELECT c_custkey, c_mktsegment, c_acctbal / 1000 AS y FROM customer), s AS (SELECT c_mktsegment, avg(y) AS p FROM c WHERE c_custkey % 5 <> 0 GROUP BY 1), m AS (SELECT avg(y) AS m0 FROM c WHERE c_custkey % 5 <> 0)
 SELECT round(avg((y - p) * (y - p)), 6) AS mse, round(avg(abs(y - p)), 6) AS mae, round(1 - sum((y - p) * (y - p)) / sum((y - m0) * (y - m0)), 6) AS r2 FROM c JOIN s USING (c_mktsegment), m WHERE c_custkey % 5 = 0""",
@@ -307,10 +307,12 @@ ORACLES |= {
 
 
 def archive_months(spark, sf):
-    """Names of a monthly archive's files for a span of years; the source reads those that are there."""
-    y, m = spark.range(2019, 2022).select(F.col("id").cast("int").alias("year")), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month")
-    return y.select("year", m).select("year", "month", F.concat(F.lit("Accounts_Monthly_Data-"), F.date_format(F.make_date("year", "month", F.lit(1)), "MMMMyyyy"), F.lit(".zip")).alias("file_name"))
+    """The monthly archives between the first and the last filing; the source reads those that are there."""
+    span = table(spark, sf, "orders").agg(F.trunc(F.min("o_orderdate"), "month").alias("a"), F.trunc(F.max("o_orderdate"), "month").alias("b")).filter("a is not null")
+    months = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("m"))
+    return months.select(F.year("m").alias("year"), F.month("m").alias("month"), F.concat(F.lit("Accounts_Monthly_Data-"), F.date_format("m", "MMMMyyyy"), F.lit(".zip")).alias("file_name"))
 
 
 QUERIES["archive_months"] = archive_months
-ORACLES["archive_months"] = "SELECT y::INT AS year, m::INT AS month, 'Accounts_Monthly_Data-' || strftime(make_date(y, m, 1), '%B%Y') || '.zip' AS file_name FROM range(2019, 2022) a(y), range(1, 13) b(m)"
+ORACLES["archive_months"] = """SELECT year(m)::INT AS year, month(m)::INT AS month, 'Accounts_Monthly_Data-' || strftime(m, '%B%Y') || '.zip' AS file_name
+FROM (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS m FROM orders)"""

@@ -48,12 +48,13 @@ def tidy_text(spark, sf):
 
 def word_budget_filter(spark, sf):
     d = docs_of(spark, sf).select("doc_id", text.word_count(F.col("text")).alias("n_words"), text.estimated_tokens(F.col("text")).alias("est_tokens"))
-    return d.filter("est_tokens >= 1000")
+    return d.filter("est_tokens >= 4000")
 
 
 def number_count_filter(spark, sf):
-    t = F.regexp_replace("text", "[0-9]+", "<number>1</number>")
-    return docs_of(spark, sf).select("doc_id", text.number_tags(t).alias("n_numbers")).filter("n_numbers >= 1")
+    """Documents of at least 100 numbers, words that begin with h standing for some."""
+    t = F.regexp_replace("text", "[0-9]+| h[a-z]+", "<number>1</number>")
+    return docs_of(spark, sf).select("doc_id", text.number_tags(t).alias("n_numbers")).filter("n_numbers >= 100")
 
 
 def running_bytes(spark, sf):
@@ -239,8 +240,9 @@ def union_corpora(spark, sf):
 
 
 def ocr_recombine(spark, sf):
-    """Placeholders in a text replaced by the table of the same stem and number; misses become a comment."""
-    d = docs_of(spark, sf).select("doc_id", F.concat(F.lit("x GLMTABLE0GLMTABLE y GLMTABLE1GLMTABLE z")).alias("t"))
+    """Every fifth line of a document a placeholder, replaced by the table of its stem and number; misses become a comment."""
+    line = lambda x, i: F.when(i % 5 == 2, F.concat(F.lit("GLMTABLE"), F.floor(i / 5).cast("int"), F.lit("GLMTABLE"))).otherwise(x)
+    d = docs_of(spark, sf).filter("text is not null").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("t"))
     parts = d.select("doc_id", F.posexplode(F.split("t", "(?=GLMTABLE[0-9]+GLMTABLE)|(?<=[0-9]GLMTABLE)")).alias("pos", "part"))
     parts = parts.withColumn("stem", F.when(F.col("part").rlike("^GLMTABLE[0-9]+GLMTABLE$"), F.concat(F.col("doc_id"), F.lit("__t"), F.regexp_extract("part", "([0-9]+)", 1))))
     tables = table(spark, sf, "labels").select(F.concat(F.col("doc_id"), F.lit("__t"), F.col("toxic")).alias("stem"), F.concat(F.lit("<table>"), "quality", F.lit("</table>")).alias("html"))
@@ -250,7 +252,12 @@ def ocr_recombine(spark, sf):
 
 
 def learning_rates(spark, sf):
-    return spark.range(0, 1000).select(F.col("id").alias("step"), F.round(numbers.learning_rate(F.col("id"), 100, 1000), 6).alias("lr"))
+    """The rate at each step of a run over all batches, a tenth of them warm-up, with the cosine ending at nothing and at a tenth."""
+    batches = bucket_batches(spark, sf).select("bucket", "batch").distinct()
+    total = batches.count()
+    warm = total // 10
+    steps = corpus.ranked(batches, "bucket", "batch", rank="step").select("step")
+    return steps.select("step", F.round(numbers.learning_rate(F.col("step"), warm, total), 6).alias("lr"), F.round(numbers.learning_rate(F.col("step"), warm, total, 0.1), 6).alias("lr_floor"))
 
 
 def _points() -> str:
@@ -292,8 +299,8 @@ ORACLES = {
     "entity_id": _ENTITY,
     "strip_links": r"""SELECT doc_id, regexp_replace('[a](http://x "t") ' || replace(text, 'the ', '[the](/u) '), '(\[[^\]]*\])\([^)]+\)', '\1(link)', 'g') AS text FROM documents""",
     "tidy_text": r"""SELECT doc_id, regexp_replace(array_to_string(list_transform(string_split(regexp_replace(text, '\. ', E' .\n\n\n ', 'g'), E'\n'), lambda s: trim(s, E' \t')), E'\n'), E'\n{3,}', E'\n\n', 'g') AS text FROM documents""",
-    "word_budget_filter": f"SELECT doc_id, {_WORDS} AS n_words, floor({_WORDS} * 1.35::DOUBLE)::BIGINT AS est_tokens FROM documents WHERE floor({_WORDS} * 1.35::DOUBLE) >= 1000",
-    "number_count_filter": "SELECT doc_id, n AS n_numbers FROM (SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS n FROM documents) WHERE n >= 1",
+    "word_budget_filter": f"SELECT doc_id, {_WORDS} AS n_words, floor({_WORDS} * 1.35::DOUBLE)::BIGINT AS est_tokens FROM documents WHERE floor({_WORDS} * 1.35::DOUBLE) >= 4000",
+    "number_count_filter": "SELECT doc_id, n AS n_numbers FROM (SELECT doc_id, len(regexp_extract_all(text, '[0-9]+| h[a-z]+')) AS n FROM documents) WHERE n >= 100",
     "running_bytes": "SELECT * FROM (SELECT doc_id, coalesce(sum(strlen(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bytes_before FROM documents) WHERE bytes_before < 300000",
     "non_empty_docs": "SELECT doc_id, lang FROM documents WHERE trim(text) <> ''",
     "page_explode": r"""SELECT doc_id, i AS seq, 'http://p' AS url, l[i + 1] AS content FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM (SELECT doc_id, string_split(E'lead\n' || text, E'\n') AS l FROM documents))""",
@@ -334,9 +341,12 @@ SELECT lang, count(*) AS n_docs, sum(n_chars)::BIGINT AS total, min(n_chars) AS
     "label_align": f"SELECT e.company_id, e.doc_id, e.source_file, l.quality AS rate FROM ({_ENTITY}) e JOIN labels l ON e.company_id = lpad(l.doc_id::VARCHAR, 8, '0')",
     "split_label_join": f"SELECT is_val, count(*) AS n, round(avg(quality), 6) AS quality, sum(toxic)::BIGINT AS n_toxic FROM ({_SPLIT}) JOIN labels USING (doc_id) GROUP BY is_val",
     "union_corpora": "SELECT kind, count(*) AS rows, sum(n)::BIGINT AS chars FROM (SELECT 'document' AS kind, length(text) AS n FROM documents UNION ALL SELECT 'conversation', length(text) FROM conversations) GROUP BY kind",
-    "ocr_recombine": """SELECT doc_id, 'x ' || coalesce('<table>' || a.quality || '</table>', '<!-- missing table -->') || ' y ' || coalesce('<table>' || b.quality || '</table>', '<!-- missing table -->') || ' z' AS text,
-  ((a.quality IS NULL)::INT + (b.quality IS NULL)::INT)::BIGINT AS n_missing FROM documents d LEFT JOIN (SELECT * FROM labels WHERE toxic = 0) a USING (doc_id) LEFT JOIN (SELECT * FROM labels WHERE toxic = 1) b USING (doc_id)""",
-    "learning_rates": "SELECT step, round(CASE WHEN step < 100 THEN step / 100.0::DOUBLE ELSE 0.5::DOUBLE * (1 + cos(pi() * least(1.0::DOUBLE, (step - 100) / 900.0::DOUBLE))) END, 6) AS lr FROM range(1000) r(step)",
+    "ocr_recombine": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
+t AS (SELECT l.doc_id, i, i % 5 = 2 AND html IS NULL AS missing, CASE WHEN i % 5 = 2 THEN coalesce(html, '<!-- missing table -->') ELSE line END AS line FROM l LEFT JOIN (SELECT doc_id, toxic, '<table>' || quality || '</table>' AS html FROM labels) b ON b.doc_id = l.doc_id AND l.i % 5 = 2 AND l.i // 5 = b.toxic)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text, count(*) FILTER (missing) AS n_missing FROM t GROUP BY doc_id""",
+    "learning_rates": f"""WITH s AS (SELECT row_number() OVER (ORDER BY bucket, batch) - 1 AS step, count(*) OVER () AS n FROM (SELECT DISTINCT bucket, batch FROM ({_BATCHES}))), p AS (SELECT step, n // 10 AS w, n FROM s),
+c AS (SELECT *, 0.5::DOUBLE * (1 + cos(pi() * least(1.0::DOUBLE, (step - w)::DOUBLE / greatest(1, n - w)))) AS c FROM p)
+SELECT step, round(CASE WHEN step < w THEN step::DOUBLE / greatest(1, w) ELSE c END, 6) AS lr, round(CASE WHEN step < w THEN step::DOUBLE / greatest(1, w) ELSE 0.1::DOUBLE + (1 - 0.1::DOUBLE) * c END, 6) AS lr_floor FROM c""",
 }
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from filinglake.operators import vectors as V
-from filinglake.operators.corpus import ranked_in
+from filinglake.operators.corpus import ranked, ranked_in
 from filinglake.session import shared_dir, ship_package, table
 from filinglake.sources import readers, writers
 
@@ -110,11 +110,13 @@ def contrastive_loss(spark, sf):
 
 
 def anchor_choice(spark, sf):
-    """Which of the two vectors behind each tenth is closer to it."""
+    """Of every three vectors in order, which of the last two is closer to the first."""
     e = emb(spark, sf).select("vec_id", "embedding")
-    a = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("anchor"), F.col("embedding").alias("u"))
-    b = e.filter("vec_id % 10 IN (1, 2)").select((F.col("vec_id") - F.col("vec_id") % 10).alias("anchor"), F.col("vec_id").alias("candidate"), F.col("embedding").alias("v"))
-    return a.join(b, "anchor").groupBy("anchor").agg(F.max_by("candidate", V.cosine(F.col("u"), F.col("v"))).alias("closer"))
+    at = ranked(e.select("vec_id"), "vec_id").select("vec_id", F.floor(F.col("rank") / 3).alias("triple"), (F.col("rank") % 3).alias("place"))
+    rows = e.join(at, "vec_id")
+    a = rows.filter("place = 0").select("triple", F.col("vec_id").alias("anchor"), F.col("embedding").alias("u"))
+    b = rows.filter("place > 0").select("triple", F.col("vec_id").alias("candidate"), F.col("embedding").alias("v"))
+    return a.join(b, "triple").groupBy("anchor").agg(F.max_by("candidate", V.cosine(F.col("u"), F.col("v"))).alias("closer"))
 
 
 def scatter_dense(spark, sf):
@@ -166,7 +168,8 @@ SELECT vec_id, round(sum(w * v) / sum(w), 5) AS magnitude FROM w GROUP BY vec_id
 SELECT vec_id, round((1 - (t - floor(t))) * (lse - embedding[floor(t)::INT + 1]::DOUBLE) + (t - floor(t)) * (lse - embedding[least(floor(t)::INT + 1, 63) + 1]::DOUBLE), 5) AS nll FROM t JOIN s USING (vec_id)""",
     "contrastive_loss": f"""WITH e AS (SELECT *, vec_id // 32 AS batch FROM embeddings), s AS (SELECT a.batch, a.vec_id AS i, a.label = b.label AS same, {_dot('a.embedding', 'b.embedding')} / sqrt({_dot('a.embedding', 'a.embedding')} * {_dot('b.embedding', 'b.embedding')}) / 0.07::DOUBLE AS s
 FROM e a JOIN e b ON a.batch = b.batch AND a.vec_id <> b.vec_id), r AS (SELECT batch, i, ln(sum(exp(s))) AS lse, avg(CASE WHEN same THEN s END) AS pos FROM s GROUP BY 1, 2) SELECT batch, round(avg(lse - pos), 5) AS loss, count(*) AS n FROM r WHERE pos IS NOT NULL GROUP BY batch""",
-    "anchor_choice": f"SELECT a.vec_id AS anchor, arg_max(b.vec_id, {_dot('a.embedding', 'b.embedding')} / sqrt({_dot('b.embedding', 'b.embedding')})) AS closer FROM embeddings a JOIN embeddings b ON b.vec_id - b.vec_id % 10 = a.vec_id AND b.vec_id % 10 IN (1, 2) GROUP BY 1",
+    "anchor_choice": f"""WITH r AS (SELECT *, (row_number() OVER (ORDER BY vec_id) - 1) AS r FROM embeddings)
+SELECT a.vec_id AS anchor, arg_max(b.vec_id, {_dot('a.embedding', 'b.embedding')} / sqrt({_dot('b.embedding', 'b.embedding')})) AS closer FROM r a JOIN r b ON a.r % 3 = 0 AND b.r // 3 = a.r // 3 AND b.r % 3 > 0 GROUP BY 1""",
     "scatter_dense": f"SELECT label, piece, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS ids, sum(len(embedding))::INT AS n_values FROM (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // {PIECE} AS piece FROM embeddings) GROUP BY label, piece",
 }
 

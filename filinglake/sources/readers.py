@@ -258,3 +258,71 @@ def current(spark: SparkSession, path: str, schema: str | None = None) -> DataFr
     name = sc._jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8")
     held.close()
     return spark.read.parquet(f"{path}/{name}")
+
+
+# ---- company metadata and text data sets --------------------------------------------------------------------------
+
+
+def read_tickers(spark: SparkSession, path: str) -> DataFrame:
+    """(cik, ticker, company_name) of the register's ticker list: one JSON object of numbered entries; the last entry of a cik counts."""
+    held = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, struct<cik_str: string, ticker: string, title: string>>").alias("m"))
+    rows = held.select(F.explode("m").alias("k", "e")).filter("e.cik_str is not null")
+    last = rows.groupBy(F.col("e.cik_str").alias("cik")).agg(F.max_by("e", F.col("k").try_cast("long")).alias("e"))
+    return last.select("cik", F.col("e.ticker").alias("ticker"), F.col("e.title").alias("company_name"))
+
+
+def read_websites(spark: SparkSession, path: str) -> DataFrame:
+    """(ticker, website) of a query service's JSON bindings: upper-case tickers, trimmed, the first website of each."""
+    value = "struct<value: string>"
+    held = spark.read.text(path, wholetext=True).select(F.from_json("value", f"results struct<bindings: array<struct<ticker: {value}, website: {value}>>>").alias("j"))
+    rows = held.select(F.posexplode("j.results.bindings").alias("at", "b")).select("at", F.upper(F.trim("b.ticker.value")).alias("ticker"), F.trim("b.website.value").alias("website"))
+    return rows.filter("ticker is not null and website is not null").groupBy("ticker").agg(F.min_by("website", "at").alias("website"))
+
+
+def read_identifiers(spark: SparkSession, path: str) -> DataFrame:
+    """(entity_name, city, postal_code, website) of nested identifier records, one JSON object a file; lines that begin // are comments, and a record without websites has none."""
+    fields = "identifier struct<entity_name: string, address_line_1: string, city: string, postal_code: string, websites: array<string>>"
+    plain = F.regexp_replace("value", r"(?m)^\s*//.*$", "")
+    i = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.from_json(plain, fields).alias("j")).select("j.identifier.*")
+    return i.filter("entity_name is not null").select("entity_name", "city", "postal_code", F.explode_outer("websites").alias("website"))
+
+
+#: Kinds of text data sets in order of preference, with the columns that hold text and title (the first that is there), and the title where none does.
+TEXT_SETS = (
+    ("wikimedia", ("text",), ("title",), "Unknown"),
+    ("cohere", ("text", "passage"), ("title", "id"), "Unknown"),
+    ("wikitext", ("text",), (), "WikiText Article"),
+    ("openwebtext", ("text",), (), "OpenWebText Document"),
+)
+
+
+def text_set(df: DataFrame, kind: str) -> DataFrame:
+    """(title, text, kind) of a data set of some kind; another kind's rows are their text column, or themselves as JSON."""
+    found = {k: (texts, titles, other) for k, texts, titles, other in TEXT_SETS}
+    if kind in found:
+        texts, titles, other = found[kind]
+        pick = lambda names: next((F.col(f"`{n}`").cast("string") for n in names if n in df.columns), F.lit(None).cast("string"))
+        return df.select(F.coalesce(pick(titles), F.lit(other)).alias("title"), F.coalesce(pick(texts), F.lit("")).alias("text"), F.lit(kind).alias("kind"))
+    body = F.col("text").cast("string") if "text" in df.columns else F.to_json(F.struct("*"))
+    return df.select(F.lit("Unknown Source").alias("title"), F.coalesce(body, F.lit("")).alias("text"), F.lit(kind).alias("kind"))
+
+
+def read_first_text_set(spark: SparkSession, places: dict[str, str]) -> DataFrame:
+    """The first data set, in order of preference, that is there and has files Spark can read: ``places`` has Parquet folders by kind."""
+    from pyspark.errors import AnalysisException
+
+    for kind, *_ in TEXT_SETS:
+        if kind not in places:
+            continue
+        try:
+            return text_set(spark.read.parquet(places[kind]), kind)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+    raise FileNotFoundError(f"none of {sorted(places)} can be read")
+
+
+def read_years(spark: SparkSession, root: str, kind: str, years: range | list[int] | None = None) -> DataFrame:
+    """One kind of data from its folders by year (``year_path``), with the year as a column; other years' folders are not read."""
+    df = spark.read.parquet(f"{root}/{kind}")
+    return df if years is None else df.filter(F.col("year").isin(*map(int, years)))
