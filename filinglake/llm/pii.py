@@ -9,9 +9,11 @@ format again), and the new number is written in the old layout, separators and
 case included, with check digits made right. The permutation depends on key
 and kind alone, so equal values stay equal across documents, whatever their
 layout, and different ones stay different, and the holder of the key can undo
-it. Days are permuted among those of like kind (up to the 12th, or after it),
+it; what comes back of an address of 128 bits is its shortest form, and of a date like 11/12/2020 two digits each. Days are permuted among those of like kind (up to the 12th, or after it),
 so that month and day can be told apart as before; a number without country
-code in a North American layout counts as one of code 1. A value of over
+code in a North American layout counts as one of code 1, and one that begins with 0 in groups
+as one of no country. Letters beyond a to z are permuted among those of their block and case. Numbers without any
+mark (15551234567, 20200115) are left alone, as are month names in other languages than English. A value of over
 ``LONG`` letters and digits is permuted in chained blocks, forwards and back.
 A card or IBAN candidate
 that fails may have taken in a neighbour (an expiry date, a count, a word): its
@@ -28,14 +30,20 @@ their end, repeated rows are treated alike, empty tables give empty results.
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
+import ipaddress
 import re
+import string
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from filinglake.llm._shared import by_name, by_position
+
 ROUNDS = 10
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2100, 1, 1).toordinal() - FIRST_DAY
@@ -43,17 +51,26 @@ LONG = 128  # letters and digits of a block
 #: Country calling codes of one and two digits; all others have three.
 CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 
+MONTHS = tuple("January February March April May June July August September October November December".split())
+
+_NAMES = "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in MONTHS)
+
 CANDIDATE = re.compile(
-    r"""(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
+    r"""(?P<email>(?u:(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)+))
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
     |(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))
-    |(?P<date>(?<![\d/.-])(?:\d{4}([-/.])\d{2}\5\d{2}|\d{2}([-/.])\d{2}\6\d{4})(?![\d]|[-/.]\d))
-    |(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d))
+    |(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)(?=[A-Fa-f:]*[0-9])[0-9A-Fa-f:]{3,39}(?![\w:]))
+    |(?P<date>(?<![\d/.-])(?:\d{4}(?P<sep1>[-/.])\d{2}(?P=sep1)\d{2}|\d{1,2}(?P<sep2>[-/.])\d{1,2}(?P=sep2)\d{4})(?![\d]|[-/.]\d))
+    |(?P<written>(?<![A-Za-z0-9])(?:(?:@MONTH@)\.?\x20\d{1,2},?\x20\d{4}|\d{1,2}\x20(?:@MONTH@)\.?,?\x20\d{4})(?![A-Za-z0-9]))
+    |(?P<ssn>(?<![\d-])(?:\d{3}-\d{2}-\d{4}(?![\d]|-\d)|(?<!\d\x20)\d{3}\x20\d{2}\x20\d{4}(?![\d]|[-\x20]\d)))
     |(?P<card>(?<![\d-])(?:\d[\x20-]?){12,18}\d(?![\d]|-\d))
-    |(?P<phone>(?:(?<![\d+])\+\d{1,3}[\x20.-]?(?:\(\d{2,4}\)[\x20.-]?|\d{2,4}[\x20.-])\d{3,4}[\x20.-]?\d{3,4}|(?<![\d+])\(\d{3}\)\x20?\d{3}-\d{4}|(?<![\d+-])\d{3}[.-]\d{3}[.-]\d{4}|(?<![\d+])\+\d{9,15})(?![\d]|-\d))
-    """,
+    |(?P<phone>(?:(?<![\d+])\+\d{1,3}[\x20.-]?(?:\(\d{2,4}\)[\x20.-]?|\d{2,4}[\x20.-])\d{3,4}[\x20.-]?\d{3,4}|(?<![\d+])\(\d{3}\)\x20?\d{3}-\d{4}|(?<![\d+-])\d{3}[.-]\d{3}[.-]\d{4}|(?<![\d+])\+\d{9,15})(?![\d]|-\d)
+        |(?<![\d+.-])(?<!\d\x20)(?:[2-9]\d{2}\x20\d{3}\x20\d{4}|0\d{2,4}\x20\d{3,4}\x20\d{3,4})(?![\d]|[-\x20]\d))
+    """.replace("@MONTH@", _NAMES),
     re.VERBOSE | re.ASCII,
 )
+KINDS = ("email", "iban", "ip", "ip6", "date", "written", "ssn", "card", "phone")
+WRITTEN = re.compile(rf"(?:(?P<m1>{_NAMES})\.?\x20(?P<d1>\d{{1,2}}),?|(?P<d2>\d{{1,2}})\x20(?P<m2>{_NAMES})\.?,?)\x20(?P<y>\d{{4}})", re.ASCII)
 HINT = re.compile(r"[0-9@]")
 #: Groups of the kinds whose candidates may take in a neighbour, what joins groups, and what a reading looks like.
 GROUPS = {"card": re.compile(r"[0-9]+"), "iban": re.compile(r"[A-Z0-9]+")}
@@ -116,6 +133,16 @@ def luhn_digit(body: str) -> int:
     return -total % 10
 
 
+@functools.lru_cache(4096)
+def _alike(c: str) -> str:
+    """The characters that may stand for one: its case of a to z, the digits, or those of its block of 128 code points and its category."""
+    for own in (string.digits, string.ascii_lowercase, string.ascii_uppercase):
+        if c in own:
+            return own
+    start = ord(c) & ~127
+    return "".join(d for d in map(chr, range(max(start, 128), start + 128)) if d.isalnum() and unicodedata.category(d) == unicodedata.category(c))
+
+
 def _number(values: list[int], radices: list[int]) -> tuple[int, int]:
     x, n = 0, 1
     for v, r in zip(values, radices):
@@ -169,12 +196,12 @@ class Pseudonymiser:
         return net.back(x) if self.undo else net.forward(x)
 
     def _block(self, kind: str, s: str, at: list[int], permute: Callable[[str, int, int], int]) -> str:
-        base = {i: "0" if s[i].isdigit() else "a" if s[i].islower() else "A" for i in at}
-        radices = [10 if base[i] == "0" else 26 for i in at]
-        x, n = _number([ord(s[i]) - ord(base[i]) for i in at], radices)
+        alike = [_alike(s[i]) for i in at]
+        radices = [len(a) for a in alike]
+        x, n = _number([a.index(s[i]) for i, a in zip(at, alike)], radices)
         out = list(s)
-        for i, v in zip(at, _values(permute(kind, x, n), radices)):
-            out[i] = chr(ord(base[i]) + v)
+        for i, a, v in zip(at, alike, _values(permute(kind, x, n), radices)):
+            out[i] = a[v]
         return "".join(out)
 
     @staticmethod
@@ -211,23 +238,56 @@ class Pseudonymiser:
         return ".".join(map(str, _values(self._permute("ip", x, n), [256] * 4)))
 
     def date(self, s: str) -> str | None:
-        year_first = s[4] in "-/."
-        y, m, d = (s[:4], s[5:7], s[8:]) if year_first else (s[6:], s[3:5], s[:2])
+        year_first = s[4] in "-/." and len(s) == 10 and s[:4].isdigit()
+        mark = s[4] if year_first else next(c for c in s if c in "-/.")
+        parts = s.split(mark)
+        y, m, d = parts if year_first else parts[::-1]
         swapped = False
         if not year_first and int(m) > 12 >= int(d):  # month before day
             m, d, swapped = d, m, True
+        new = self._day(int(y), int(m), int(d))
+        if new is None:
+            return None
+        if year_first:
+            return f"{new.year:04d}{mark}{new.month:02d}{mark}{new.day:02d}"
+        first, second = (new.month, new.day) if swapped else (new.day, new.month)
+        wide = 2 if len(s) == 10 else 1  # numbers of one digit stay without a nought
+        return f"{first:0{wide}d}{mark}{second:0{wide}d}{mark}{new.year:04d}"
+
+    def written(self, s: str) -> str | None:
+        """A day with its month's name, which stays short or whole."""
+        found = WRITTEN.fullmatch(s)
+        name = found["m1"] or found["m2"]
+        month = 1 + next(k for k, m in enumerate(MONTHS) if m.startswith(name))
+        day = found["d1"] or found["d2"]
+        new = self._day(int(found["y"]), month, int(day))
+        if new is None:
+            return None
+        shown = MONTHS[new.month - 1]
+        shown = shown if len(name) > 3 or name == "May" else shown[:3]
+        at = [(found.span("m1" if found["m1"] else "m2"), shown), (found.span("d1" if found["d1"] else "d2"), f"{new.day:0{2 if day[0] == '0' else 1}d}"), (found.span("y"), f"{new.year:04d}")]
+        for (a, b), text in sorted(at, reverse=True):
+            s = s[:a] + text + s[b:]
+        return s
+
+    def _day(self, y: int, m: int, d: int) -> datetime.date | None:
         try:
-            day = datetime.date(int(y), int(m), int(d)).toordinal() - FIRST_DAY
+            day = datetime.date(y, m, d).toordinal() - FIRST_DAY
         except ValueError:
             return None
         if not 0 <= day < DAYS:
             return None
-        kind, days, index = self._days(int(d) > 12)
-        new = datetime.date.fromordinal(FIRST_DAY + days[self._permute(kind, index[day], len(days))])
-        if year_first:
-            return f"{new.year:04d}{s[4]}{new.month:02d}{s[4]}{new.day:02d}"
-        first, second = (new.month, new.day) if swapped else (new.day, new.month)
-        return f"{first:02d}{s[2]}{second:02d}{s[2]}{new.year:04d}"
+        kind, days, index = self._days(d > 12)
+        return datetime.date.fromordinal(FIRST_DAY + days[self._permute(kind, index[day], len(days))])
+
+    def ip6(self, s: str) -> str | None:
+        """Any address of 128 bits; written in its shortest form, in capitals where it had any."""
+        try:
+            x = int(ipaddress.IPv6Address(s))
+        except ValueError:
+            return None
+        out = str(ipaddress.IPv6Address(self._permute("ip6", x, 1 << 128)))
+        return out.upper() if s != s.lower() else out
 
     def _days(self, late: bool) -> tuple[str, list[int], dict[int, int]]:
         """The days up to the 12th, or those after it, and their places; both kinds keep month and day in their order."""
@@ -246,23 +306,34 @@ class Pseudonymiser:
         radices = [898, 99, 9999]
         x, size = _number([a - 1 - (a > 666), g - 1, n - 1], radices)
         a, g, n = _values(self._permute("ssn", x, size), radices)
-        return f"{a + 1 + (a >= 665):03d}-{g + 1:02d}-{n + 1:04d}"
+        return f"{a + 1 + (a >= 665):03d}{s[3]}{g + 1:02d}{s[3]}{n + 1:04d}"
 
     def phone(self, s: str) -> str | None:
         """The country code stays; the other digits are permuted as one number, whatever the layout."""
         d = re.sub(r"\D", "", s)
-        code = "1" if s[0] != "+" else next((c for c in CODES if d.startswith(c)), d[:3])
-        rest = d if s[0] != "+" else d[len(code) :]
+        code = next((c for c in CODES if d.startswith(c)), d[:3]) if s[0] == "+" else "0" if s[0] == "0" and " " in s else "1"
+        rest = d[len(code) :] if s[0] in "+0" and code != "1" or s[0] == "+" else d
         if not 7 <= len(rest) <= 14 or len(d) > 15 or len(set(rest)) == 1:
             return None
-        return self._layout(s, d[: len(d) - len(rest)] + f"{self._permute('phone' + code, int(rest), 10 ** len(rest)):0{len(rest)}d}")
+        return self._layout(s, d[: len(d) - len(rest)] + self._subscriber(code, rest))
+
+    def _subscriber(self, code: str, rest: str) -> str:
+        """Another number of the same length; of code 1, one whose area and exchange are as well or as ill formed."""
+        if code != "1" or len(rest) != 10:
+            return f"{self._permute('phone' + code, int(rest), 10 ** len(rest)):0{len(rest)}d}"
+        area, exchange = rest[0] > "1", rest[3] > "1"
+        low = [2 * area, 0, 2 * exchange, 0]
+        radices = [8 if area else 2, 100, 8 if exchange else 2, 1_000_000]
+        x, n = _number([v - b for v, b in zip((int(rest[0]), int(rest[1:3]), int(rest[3]), int(rest[4:])), low)], radices)
+        a, b, c, d = (v + k for v, k in zip(_values(self._permute(f"phone1{area:d}{exchange:d}", x, n), radices), low))
+        return f"{a}{b:02d}{c}{d:06d}"
 
     def replace(self, text: str | None) -> tuple[str | None, int]:
         if not text or not HINT.search(text):
             return text, 0
         n, pos, done, out = 0, 0, 0, []
         while m := CANDIDATE.search(text, pos):
-            kind = m.lastgroup or next(k for k, v in m.groupdict().items() if v)
+            kind = next(k for k in KINDS if m[k] is not None)
             start, end = m.span()
             new = self._new(kind, m[0])
             if new is None and kind in GROUPS:
@@ -304,10 +375,9 @@ class Pseudonymiser:
 
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", undo: bool = False) -> DataFrame:
     """The input with pseudonyms in its text, and n_replaced."""
-    kept = [f for f in docs.schema.fields if f.name.lower() != "n_replaced"]
-    docs = docs.select(*[f"`{f.name}`" for f in kept])
-    at = docs.columns.index(text_col)
-    schema = T.StructType([*kept, T.StructField("n_replaced", T.LongType())])
+    given, (docs, name) = docs, by_position(docs)
+    at = docs.columns.index(name(text_col))
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_replaced", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work: Callable = Pseudonymiser(key, undo).replace
@@ -316,4 +386,4 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", undo: bool
             columns = [b.column(i) if i != at else pa.array([t for t, _ in done], pa.string()) for i in range(b.num_columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in done], pa.int64())], [f.name for f in schema.fields])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).select(*by_name(given, ["n_replaced"]), "n_replaced")

@@ -182,3 +182,34 @@ def test_failed_candidates_are_left_alone_in_linear_time():
     text = " ".join(["1"] * 50_000)
     assert pii.Pseudonymiser(b"k").replace("4111 1111 1111 1112 12/26") == ("4111 1111 1111 1112 12/26", 0)
     assert len(pii.Pseudonymiser(b"k").replace(text)[0]) == len(text)
+
+
+@pytest.mark.parametrize(
+    "text,values",
+    [
+        ("jörg@x.de, joe@müller.de, ИВАН.Петров7@почта.рф", ["jörg", "joe", "ИВАН.Петров7"]),
+        ("call 020 7946 0958 or 555 123 4567 or 555 987 6543", ["020 7946 0958", "555 123 4567", "555 987 6543"]),
+        ("on Jan 5, 2020 and 15 January 2020 and 1/5/2020 and Sep. 30 2021", ["Jan 5", "15 January 2020", "1/5/2020", "30 2021"]),
+        ("no 123 45 6789.", ["123 45 6789"]),
+        ("at fe80::1:2 and 2001:DB8::8A2E:370:7334", ["fe80::1:2", "2001:DB8::8A2E:370:7334"]),
+    ],
+)
+def test_further_layouts_and_scripts(text, values):
+    new, n = P.replace(text)
+    assert n == len(values) and not any(v in new for v in values)
+    assert pii.Pseudonymiser(P.key, undo=True).replace(new)[0] == text
+    assert "@x.de" in new if "@x.de" in text else True
+
+
+def test_one_value_is_one_pseudonym_in_every_layout():
+    one = {re.sub(r"\D", "", P.replace(s)[0])[-10:] for s in ("555 987 6543", "555-987-6543", "(555) 987-6543", "+1 555 987 6543", "555.987.6543")}
+    assert len(one) == 1
+    days = [P.replace(s)[0] for s in ("2020-01-25", "Jan 25, 2020", "25 January 2020", "25/1/2020", "25.01.2020")]
+    y, m, d = days[0].split("-")
+    month = pii.MONTHS[int(m) - 1]
+    assert days[1:] == [f"{month[:3]} {int(d)}, {y}", f"{int(d)} {month} {y}", f"{int(d)}/{int(m)}/{y}", f"{d}.{m}.{y}"]
+
+
+def test_what_is_no_value_stays():
+    for text in ("Feb 30, 2020", "12:30:45 std::string a::b", "15551234567 20200115", "100 200 3000", "1 234 567 890", "31/2/2020", "Janus 5, 2020", "@ 5", "5 May", "1.2.3"):
+        assert P.replace(text) == (text, 0)
