@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,3 +79,15 @@ def spread_left(rows: DataFrame, table: DataFrame, key: str, weight: Column, tot
     near = near.withColumn("spread_", F.when(F.col("near_").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(apart))
     far = near.join(cold.select(F.col(key).alias("spread_"), F.struct(*names).alias("far_")), "spread_", "left")
     return far.select(*rows.columns, *(F.coalesce(F.col("near_")[n], F.col("far_")[n]).alias(n) for n in names))
+
+
+def by_position(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """The rows with columns named c0, c1, …, so that no name meets a working column or needs quoting, and the new name of an old one."""
+    names = {n.lower(): f"c{k}" for k, n in reversed(list(enumerate(docs.columns)))}
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]), lambda name: names[name.lower()]
+
+
+def by_name(docs: DataFrame, made: Sequence[str] = ()) -> list[Column]:
+    """Back from ``by_position``: the columns of ``docs`` under their own names, less those that are made anew."""
+    gone = {m.lower() for m in made}
+    return [F.col(f"c{k}").alias(n) for k, n in enumerate(docs.columns) if n.lower() not in gone]

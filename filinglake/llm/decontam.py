@@ -10,14 +10,15 @@ so reordered passages are caught. A pair is reported if the marked words cover
 at least ``coverage`` of the item. An item shorter than ``min_match`` words
 must occur as one piece; an item of one word is thus found wherever it stands.
 
-The benchmark meets the documents in blocks of about ``BLOCK_BYTES`` of text,
-one after the other; a block is all that travels to a task. Each block is a
+The benchmark meets the documents in blocks of ``BLOCK_BYTES`` of text and at most one item more,
+equal items once, one block after the other; a block is all that travels to a task. Each block is a
 pass over the documents, of which nothing is shuffled; where one is not enough,
 the marks of each pass are written before the next one starts. Null and empty
 texts match nothing, items without words are never found, texts of any length
 are searched whole, repeated rows and equal items are judged each, extra
 columns are ignored. Matches are compared word by word: a hash collision cuts
-a match where the words differ and takes no word from it.
+a match where the words differ and takes no word from it. Of equally long matches the first in the text counts, then
+the first in the item. An empty benchmark finds nothing, an empty table of documents gives none.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filinglake.llm._shared import staged
+from filinglake.llm._shared import by_name, by_position, staged
 
 #: Thai, Lao, Khmer, kana and Han, which are written without spaces.
 UNSPACED = "\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -177,8 +178,10 @@ class Matcher:
         for r, (start, n) in enumerate(zip(runs.tolist(), length.tolist())):
             for j in range(start, start + n):
                 held.setdefault(int(owner[j]), []).append((r, int(at[j])))
+        by_run = live[np.argsort(back, kind="stable")]
+        starts = np.concatenate([[0], np.cumsum(np.bincount(back, minlength=len(runs)))])
         for k, seeds in held.items():
-            where = [live[back == r] for r, _ in seeds]
+            where = [by_run[starts[r] : starts[r + 1]] for r, _ in seeds]
             yield k, np.concatenate(where), np.concatenate([np.full(len(w), p) for w, (_, p) in zip(where, seeds)])
 
 
@@ -186,11 +189,20 @@ def matches(rows: DataFrame, benchmark: DataFrame, min_match: int, coverage: flo
     """One row (doc_id, item_id, …) for each row of ``rows`` (doc_id, text) and item that it covers enough of; the blocks of the benchmark come in turn."""
     spark = rows.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("t is not null")
-    n = -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes)
-    out = None
-    for b in range(n):
-        held = [(r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("t", "i"), F.lit(n)) == b).toLocalIterator()]
-        sent = spark.sparkContext.broadcast(held)  # bounded by block_bytes
+    # copies of an item travel once; where there are any, a key stands for the text until the end
+    texts = items.groupBy("t").agg(F.min("i").alias("i"), F.count(F.lit(1)).alias("copies")).withColumn("size", F.octet_length("t"))
+    whole = staged(texts.withColumn("key", F.monotonically_increasing_id()), "items")
+    found = whole.agg(F.sum("size").alias("bytes"), F.max("copies").alias("copies")).first()
+    buckets, copied = max(1, -(-(found["bytes"] or 0) // block_bytes)), (found["copies"] or 0) > 1
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = whole.select("key", "size", F.pmod(F.xxhash64("t"), F.lit(buckets)).alias("bucket")).withColumn("part", F.floor(before / block_bytes))
+    cut = staged(whole.join(parts.select("key", "bucket", "part"), "key"), "blocks")
+    blocks = cut.select("bucket", "part").distinct().orderBy("bucket", "part").collect()  # a row a block
+    n, out = len(blocks), None
+    for block in blocks:
+        mine = cut.filter((F.col("bucket") == block.bucket) & (F.col("part") == block.part))
+        held = [(r.name, r.t) for r in mine.select(F.col("key" if copied else "i").alias("name"), "t").toLocalIterator()]
+        sent = spark.sparkContext.broadcast(held)  # block_bytes and one item more
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value, min_match, coverage)
@@ -205,7 +217,12 @@ def matches(rows: DataFrame, benchmark: DataFrame, min_match: int, coverage: flo
             one = staged(one, "matches")
             sent.unpersist()
         out = one if out is None else out.union(one)
-    return out if out is not None else spark.createDataFrame([], SCHEMA)
+    if out is None:
+        return spark.createDataFrame([], SCHEMA)
+    if not copied:
+        return out
+    every = items.join(whole.select("t", F.col("key").alias("item_id")), "t").select("item_id", "i")
+    return out.join(every, "item_id").select("doc_id", F.col("i").alias("item_id"), *out.columns[2:])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.6, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -219,12 +236,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, cov
 
     A benchmark of one block filters the documents in place. Beyond that they are written once with a row number, which the passes mark.
     """
+    given, (docs, name) = docs, by_position(docs)
+    text_col = name(text_col)
     spark, schema, at = docs.sparkSession, docs.schema, docs.columns.index(text_col)
     items = benchmark.select("item_id", "text").filter("text is not null")
     if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > block_bytes:
         rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
         found = matches(rows.select(F.col("__row").alias("doc_id"), F.col(text_col).alias("text")), items, min_match, coverage, "item_id", "text", block_bytes)
-        return rows.join(found.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(*docs.columns)
+        return rows.join(found.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(*by_name(given))
     sent = spark.sparkContext.broadcast([(r.item_id, r.text) for r in items.toLocalIterator()])  # bounded by block_bytes
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,4 +251,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, cov
         for b in batches:
             yield b.filter(pa.array([next(matcher.match(t.as_py()), None) is None for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(keep, schema)
+    return docs.mapInArrow(keep, schema).select(*by_name(given))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filinglake.llm._shared import staged
+from filinglake.llm._shared import by_name, by_position, staged
 
 MEAN_STEP = 500.0  # a larger mean is split over several draws, so that exp() does not underflow
 
@@ -65,6 +65,8 @@ def _key(source_col: str) -> Column:
 
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", default_weight: float = 1.0, target_rows: int | None = None, seed: int = 42, text_col: str = "text", figures: bool = True) -> DataFrame:
     """Replicated and shuffled documents: the input's columns and, with ``figures``, copy (from 0), rate and shuffle_key."""
+    given, (docs, at) = docs, by_position(docs)
+    id_col, source_col, text_col = at(id_col), at(source_col), at(text_col)
     rates = source_rates(docs, weights, source_col, default_weight, target_rows)
     # a row a source: adaptive execution broadcasts it if its measured size allows, else joins by shuffle
     joined = docs.withColumn("__source", _key(source_col)).join(rates.select("__source", F.col("rate").alias("__rate"), F.col("draws").alias("__draws"), F.col("cdf").alias("__cdf")), "__source")
@@ -77,5 +79,4 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"shuffle:{seed}"), name, F.col("__copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
     out = copies.withColumn("__key", key).repartition("__key").sortWithinPartitions("__key")
     made = {"copy": "__copy", "rate": "__rate", "shuffle_key": "__key"} if figures else {}
-    kept = [F.col(c) for c in docs.columns if c.lower() not in made]
-    return out.select(*kept, *[F.col(c).alias(n) for n, c in made.items()])
+    return out.select(*by_name(given, list(made)), *[F.col(c).alias(n) for n, c in made.items()])

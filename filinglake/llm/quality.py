@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filinglake.llm._shared import by_name, by_position
+
 WINDOW = 8
 SAMPLE_ROWS = 1000
 RUNS = 2
@@ -194,7 +196,9 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + RULES, text_
 
 
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """Input rows with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept."""
+    """Input rows with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept; input columns of these names are replaced."""
+    given, (docs, at) = docs, by_position(docs)
+    text_col = at(text_col)
     text = F.col(text_col)
     order = ordered(measure(docs, rules, text_col))
 
@@ -215,5 +219,5 @@ def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: s
         return let(base, judged)
 
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    out = docs.withColumn("__base", let(words(text), figures))
-    return out.withColumns({n: F.col("__base")[n] for n in (*names, "base_failed", "kept")}).drop("__base")
+    made = (*names, "base_failed", "kept")
+    return docs.withColumn("__base", let(words(text), figures)).select(*by_name(given, made), *[F.col("__base")[n].alias(n) for n in made])

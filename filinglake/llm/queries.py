@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +28,11 @@ PII_KEY = b"replace this key with a secret of your own"
 def op2_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with pseudonyms in place of valid personal numbers, dates and addresses.
 
-    The key is the session's ``spark.filinglake.pii.key``; the demonstration key where that is unset.
+    The key is the session's ``spark.filinglake.pii.key``; where that is unset, the demonstration key, on test masters alone.
     """
     key = spark.conf.get("spark.filinglake.pii.key", None)
+    if not key and not re.match(r"local(\[|-cluster\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.filinglake.pii.key: a key that stands in the source protects nothing")
     return pii.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), key.encode() if key else PII_KEY)
 
 
@@ -117,7 +121,8 @@ def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AUDIT_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(t, '[ 	
-]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+
+]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
 l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
 m AS (SELECT part, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
     + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END

@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filinglake.llm._shared import staged
+from filinglake.llm._shared import by_name, by_position, staged
 
 GROUP_ROWS = 1 << 14
 FILE_BYTES = 256 << 20
@@ -118,6 +118,9 @@ def quantised(name: str, kind: str, edges: list, bits: int) -> Column:
 
 def hilbert_shards(docs: DataFrame, n_shards: int = 24, dims: Sequence[str] = ("lang", "source", "n_chars"), bits: int = 4, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Rows of ``docs`` (columns ``keep``, else all) with size, text_crc32, hilbert, shard and slot."""
+    given, (docs, at) = docs, by_position(docs)
+    shown = given.columns if keep is None else list(keep)
+    id_col, text_col, dims, keep = at(id_col), at(text_col), [at(d) for d in dims], keep and [at(c) for c in keep]
     text = F.coalesce(F.col(text_col), F.lit(""))
     kinds = {d: dict(docs.dtypes)[d] for d in dims}
     facts = {"__size": F.octet_length(text).cast("long") + 8, "__crc": F.crc32(text.cast("binary")), "__x": F.xxhash64(text)}
@@ -148,8 +151,9 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 24, dims: Sequence[str] = ("
     shard = F.expr(f"(__r + __offset) * {n_shards}L div {max(total, 1)}L")
     out = ranked.withColumns({"size": F.col("__size"), "text_crc32": F.col("__crc"), "hilbert": F.col("__h"), "shard": shard.cast("int")})
     first = F.expr(f"(shard * {max(total, 1)}L + {n_shards - 1}L) div {n_shards}L")
-    out = out.withColumn("slot", rank - first).drop("__r", "__offset", "__g", "__h", "__size", "__crc", "__x")
-    return out if keep is None or id_col in keep else out.drop(id_col)
+    made = ("size", "text_crc32", "hilbert", "shard", "slot")
+    own = [F.col(at(c)).alias(c) for c in shown if c.lower() not in made]
+    return out.withColumn("slot", rank - first).select(*own, *made)
 
 
 def write_shards(sharded: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filinglake.llm._shared import spread_join, staged
+from filinglake.llm._shared import by_name, by_position, spread_join, staged
 from filinglake.llm.components import connected_components
 
 BITS = 64
@@ -443,7 +443,10 @@ def deduplicate(docs: DataFrame, k: int = 11, width: int = 3, check_width: int =
     Where that id has several texts in the group, one of them stays; its texts in other groups are judged there.
     Rows without an id are kept; of repeated rows (same id, same text) one stays.
     """
+    given, (docs, at) = docs, by_position(docs)
+    id_col, text_col = at(id_col), at(text_col)
     named = near_duplicate_classes(docs, k, width, check_width, similarity, id_col, text_col)
     kept = named.filter(F.col("least") == F.col("component_id")).groupBy("component_id", "root").agg(F.min("fp").alias("__node")).select(F.col("component_id").alias(id_col), "__node")
     node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.withColumn("__node", node).join(kept, [id_col, "__node"], "left_semi").dropDuplicates([id_col, text_col]).select(*docs.columns).union(docs.filter(F.col(id_col).isNull()))
+    one = docs.withColumn("__node", node).join(kept, [id_col, "__node"], "left_semi").dropDuplicates([id_col, text_col])
+    return one.select(*docs.columns).union(docs.filter(F.col(id_col).isNull())).select(*by_name(given))
