@@ -92,10 +92,10 @@ def ranked(df: DataFrame, *order: str, rank: str = "rank") -> DataFrame:
 
 
 def ranked_in(df: DataFrame, group: str, *order: str, rank: str = "rank") -> DataFrame:
-    """0-based rank inside each group, however large it is: the global rank less the group's first."""
+    """0-based rank inside each group, however large it is: the global rank less the group's first. Null is a group."""
     rows = ranked(df, group, *order, rank="__all")
-    first = rows.groupBy(group).agg(F.min("__all").alias("__first"))
-    return rows.join(first, group).withColumn(rank, F.col("__all") - F.col("__first")).drop("__all", "__first")
+    first = rows.groupBy(F.col(group).alias("__group")).agg(F.min("__all").alias("__first"))
+    return rows.join(first, F.col(group).eqNullSafe(F.col("__group"))).withColumn(rank, F.col("__all") - F.col("__first")).drop("__all", "__first", "__group")
 
 
 BANDS = ((0.0, 0.05), (0.05, 0.1), (0.1, 0.2), (0.2, 0.4), (0.4, 0.8), (0.8, 1.0))
@@ -118,16 +118,28 @@ def evenly_spaced(banded: DataFrame, k: int, by: str = "band", rank: str = "rank
 
 
 def byte_budget(df: DataFrame, order: str, text_col: str, target: int, bucket: int = 1000) -> DataFrame:
-    """Rows in order until the running bytes reach the target; the row that crosses it stays.
+    """Rows in order (a number) until the running bytes reach the target; the row that crosses it stays.
 
-    Running sums are taken inside buckets of the order and shifted by the bytes of the buckets before.
+    Sizes alone are added up, first over wide and then over narrow buckets of the order, to find where the target falls; only rows up to
+    there are read, and their running sums are taken inside buckets and shifted by the bytes of those before.
     """
-    rows = df.withColumn("__b", F.octet_length(text_col)).withColumn("__g", F.floor(F.col(order) / bucket))
-    totals = rows.groupBy("__g").agg(F.sum("__b").alias("__t"))
-    before = totals.select("__g", F.coalesce(F.sum("__t").over(Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
+    size = F.coalesce(F.octet_length(text_col), F.lit(0))
+    sizes = df.select(F.col(order).alias("__o"), size.alias("__b"))
+    low = before = None
+    for width in (bucket * bucket, bucket):
+        inside = sizes if low is None else sizes.filter((F.col("__o") >= low[0]) & (F.col("__o") < low[1]))
+        sums = inside.groupBy(F.floor(F.col("__o") / width).alias("g")).agg(F.sum("__b").alias("t"))
+        run = F.sum("t").over(Window.orderBy("g")) + F.lit(before or 0)
+        reached = sums.select("g", (run - F.col("t")).alias("before"), run.alias("upto")).filter(F.col("upto") >= target).orderBy("g").first()
+        if reached is None:
+            break
+        low, before = (reached.g * width, (reached.g + 1) * width), reached.before
+    rows = (df if low is None else df.filter(F.col(order).isNull() | (F.col(order) < low[1]))).withColumn("__b", size).withColumn("__g", F.floor(F.col(order) / bucket))
+    totals = rows.groupBy(F.col("__g").alias("__h")).agg(F.sum("__b").alias("__t"))
+    start = totals.select("__h", F.coalesce(F.sum("__t").over(Window.orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
     inside = F.coalesce(F.sum("__b").over(Window.partitionBy("__g").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = rows.withColumn("__r", inside).join(before, "__g").withColumn("bytes_before", F.col("__s") + F.col("__r"))
-    return out.filter(F.col("bytes_before") < target).drop("__b", "__g", "__r", "__s")
+    out = rows.withColumn("__r", inside).join(start, F.col("__g").eqNullSafe(F.col("__h"))).withColumn("bytes_before", F.col("__s") + F.col("__r"))
+    return out.filter(F.col("bytes_before") < target).drop("__b", "__g", "__h", "__r", "__s")
 
 
 def every_kth(df: DataFrame, order: str, n: int) -> DataFrame:
@@ -321,10 +333,15 @@ def from_offset(df: DataFrame, order: str, start: int) -> DataFrame:
 
 
 def length_stats(df: DataFrame, group: str, length: str) -> DataFrame:
-    """Count, total, min, median (the value at n // 2), max and mean of a length in each group."""
-    by = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("total"), F.min(length).alias("min"), F.max(length).alias("max"), F.round(F.avg(length), 4).alias("mean"))
-    at = ranked_in(df.select(group, length), group, length)
-    return by.join(at.join(by.select(group, "n"), group).filter("rank = n div 2").select(group, F.col(length).alias("median")), group)
+    """Count, total, min, median (the value at n // 2), max and mean of a length in each group; rows are counted by length first, and the counts gone through."""
+    by = df.groupBy(group, length).agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(group).orderBy(F.col(length).asc_nulls_first()))
+    whole = F.sum("__n").over(Window.partitionBy(group))
+    placed = by.withColumn("__upto", upto).withColumn("__middle", F.floor(whole / 2))
+    middle = F.when((F.col("__upto") > F.col("__middle")) & (F.col("__upto") - F.col("__n") <= F.col("__middle")), F.col(length))
+    total = F.sum(F.col(length) * F.col("__n"))
+    known = F.sum(F.when(F.col(length).isNotNull(), F.col("__n")))
+    return placed.groupBy(group).agg(F.sum("__n").alias("n"), total.alias("total"), F.min(length).alias("min"), F.max(length).alias("max"), F.round(total / known, 4).alias("mean"), F.max(middle).alias("median"))
 
 
 def drop_low_density(pages: DataFrame, group: str, order: str, text_col: str, curve: list[tuple[int, float]], least: float) -> DataFrame:

@@ -213,11 +213,7 @@ def equal_splits(spark, sf):
 
 def corpus_stats(spark, sf):
     """Totals by language, and the median length as an index pick."""
-    d = docs_of(spark, sf)
-    by = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("total"), F.min("n_chars").alias("min"), F.max("n_chars").alias("max"), F.round(F.avg("n_chars"), 4).alias("mean"))
-    r = corpus.ranked_in(d.select("lang", "n_chars"), "lang", "n_chars")
-    med = r.join(by.select("lang", "n_docs"), "lang").filter("rank = n_docs div 2").select("lang", F.col("n_chars").alias("median"))
-    return by.join(med, "lang")
+    return corpus.length_stats(docs_of(spark, sf), "lang", "n_chars").withColumnRenamed("n", "n_docs")
 
 
 def label_align(spark, sf):

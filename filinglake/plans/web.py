@@ -272,7 +272,8 @@ def page_texts(spark, sf):
     refs = sites.reference_pages(p.select("page_id", "domain", "path"), "page_id", "domain", "path").select("page_id", "ref_id")
     above = p.select(F.col("page_id").alias("ref_id"), F.col("markdown").alias("above"))
     own = p.join(refs, "page_id").join(above, "ref_id", "left").withColumn("own", sites.added_lines(F.coalesce("above", F.lit("")), F.coalesce("markdown", F.lit(""))))
-    placed = ranked_in(own.select("page_id", "domain", "depth", "path", "url", "own"), "domain", "depth", "path", "page_id", rank="seq")
+    seq = ranked_in(p.select("page_id", "domain", "depth", "path"), "domain", "depth", "path", "page_id", rank="seq").select("page_id", "seq")
+    placed = own.select("page_id", "domain", "url", "own").join(seq, "page_id")
     return concat_pages(placed.withColumn("piece", F.floor(F.col("seq") / 100)), ["domain", "piece"], "seq", "url", "own")
 
 

@@ -57,20 +57,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The table written to the shared folder and read back: the same rows for every later use, whatever executors are lost."""
     import uuid
 
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    note(spark, path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def note(spark: SparkSession, path: str) -> None:
+    """Remember an intermediate table for ``forget``."""
+    spark.sparkContext.__dict__.setdefault("_filinglake_written", []).append(path)
+
+
+def forget(spark: SparkSession) -> int:
+    """Delete the intermediate tables of all queries so far, once nothing reads their results any more; returns their number."""
+    held = spark.sparkContext.__dict__.pop("_filinglake_written", [])
+    for path in held:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(held)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only on one machine where none is set."""
+    """The cluster's ``spark.checkpoint.dir``, with its scheme; only where that is unset on one machine (tests) a temporary folder, the same for the whole session."""
     import re
     import tempfile
 
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_filinglake_shared", None)
     if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        if not re.match(r"local(\[|$)", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="filinglake-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+        found = sc._filinglake_shared = "file://" + tempfile.mkdtemp(prefix="filinglake-")
+        sc.setCheckpointDir(found)
+    # a path without a scheme belongs to the cluster's default file system; Python readers need it spelt out
+    path = sc._jvm.org.apache.hadoop.fs.Path(found)
+    full = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return "file://" + full[5:] if re.match("file:/(?!/)", full) else full

@@ -61,8 +61,10 @@ def write_tokens(docs: DataFrame, path: str, parts: int | None = None) -> None:
     d.sortWithinPartitions("source_file").write.mode("overwrite").parquet(path)
 
 
-def write_by_period(facts: DataFrame, path: str, period: str = "year") -> None:
-    facts.repartition(period).write.mode("overwrite").partitionBy(period).parquet(path)
+def write_by_period(facts: DataFrame, path: str, period: str = "year", files: int = 16) -> None:
+    """A folder a period, written by up to ``files`` tasks each, so that no period is one task."""
+    some = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(files))
+    facts.repartition(F.col(period), some).write.mode("overwrite").partitionBy(period).parquet(path)
 
 
 def copy_matched(files: DataFrame, wanted: DataFrame, key: str, path: str) -> None:

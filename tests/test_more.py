@@ -191,3 +191,42 @@ def test_html_tree_and_token_files(spark, tmp_path):
     assert writers.band_report(spark.createDataFrame([(0, 1), (0, 3), (1, 5)], "band int, v int"), "band", "v").split("\n") == ["## Band 0: 2 rows, 1 to 3", "## Band 1: 1 rows, 5 to 5"]
     dense = examples.dense_by_chunk(spark.createDataFrame([("d", 1, [2.0]), ("d", 0, [1.0])], "doc string, k int, v array<double>"), "doc", "k", "v")
     assert dense.first().vectors == [[1.0], [2.0]]
+
+
+def test_byte_budget_reads_up_to_the_target(spark):
+    rows = [(k * 7 % 5000, "ä" * (k % 11)) for k in range(5000)] + [(5001, None), (5002, "end")]
+    df = spark.createDataFrame(rows, "k int, t string").dropDuplicates(["k"])
+    sizes = sorted((k, len((t or "").encode())) for k, t in dict(rows).items())
+    for target in (0, 1, 999, 20_000, 10**9):
+        want, run = [], 0
+        for k, n in sizes:
+            if run < target:
+                want.append((k, run))
+            run += n
+        got = corpus.byte_budget(df, "k", "t", target, bucket=10)
+        assert sorted((r.k, r.bytes_before) for r in got.collect()) == want
+    assert corpus.byte_budget(df.limit(0), "k", "t", 5).count() == 0
+
+
+def test_lengths_by_counts(spark):
+    rows = [("a", k % 7) for k in range(100)] + [("b", 3), (None, 5), (None, 9), ("c", None), ("c", 4)]
+    got = {r.g: (r.n, r.total, r.min, r.median, r.max, r["mean"]) for r in corpus.length_stats(spark.createDataFrame(rows, "g string, n int"), "g", "n").collect()}
+    a = sorted(k % 7 for k in range(100))
+    assert got == {"a": (100, sum(a), 0, a[50], 6, round(sum(a) / 100, 4)), "b": (1, 3, 3, 3, 3, 3.0), None: (2, 14, 5, 9, 9, 7.0), "c": (2, 4, 4, 4, 4, 4.0)}
+
+
+def test_ranks_in_groups_keep_the_null_group(spark):
+    got = corpus.ranked_in(spark.createDataFrame([(None, 3), (None, 1), ("a", 5), ("a", 2)], "g string, n int"), "g", "n").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, 3, 1), (None, 1, 0), ("a", 5, 1), ("a", 2, 0)], key=str)
+
+
+def test_intermediate_tables_are_forgotten(spark, tmp_path):
+    from pathlib import Path
+
+    from filinglake import session
+
+    session.forget(spark)
+    df = session.written(spark.range(5), "kept")
+    at = Path(df.inputFiles()[0].removeprefix("file://")).parent
+    assert session.shared_dir(spark) == session.shared_dir(spark) and df.count() == 5 and at.exists()
+    assert session.forget(spark) == 1 and not at.exists() and session.forget(spark) == 0
