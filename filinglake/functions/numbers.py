@@ -52,10 +52,12 @@ def log10_decode(x: Column) -> Column:
 
 
 def magnitude_bins(x: Column, low: float = -12.0, high: float = 12.0, bins: int = 128) -> Column:
-    """struct(lo, hi, w_lo, w_hi): the two bins around a magnitude and their linear weights."""
+    """struct(lo, hi, w_lo, w_hi): the two bins around a magnitude and their linear weights; above ``high`` lies the sentinel of masked numbers, which has a bin of its own behind the others."""
     pos = (F.greatest(F.lit(low), F.least(F.lit(high), x)) - low) / (high - low) * (bins - 1)
-    lo, hi = F.floor(pos), F.ceil(pos)
-    return F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), (1 - (pos - lo)).alias("w_lo"), (pos - lo).alias("w_hi"))
+    masked = x > high
+    at = lambda b: F.when(masked, bins).otherwise(b.cast("int"))
+    share = F.when(masked, 0.0).otherwise(pos - F.floor(pos))
+    return F.struct(at(F.floor(pos)).alias("lo"), at(F.ceil(pos)).alias("hi"), (1 - share).alias("w_lo"), share.alias("w_hi"))
 
 
 def short_number(v: Column) -> Column:

@@ -81,6 +81,28 @@ def chunk(tokenised: DataFrame, low: int = 128, high: int = 1024, cap: int | Non
     return tokenised.select("id", F.col("input_ids").cast("array<int>"), F.col("is_number_mask"), F.col("number_values").cast("array<float>")).mapInArrow(run, out_type)
 
 
+IGNORED = -100  # label of a token that is not to be predicted
+SENTINEL = 13.0  # value of a masked number
+
+
+def mask(rows: DataFrame, row: str, mask_id: int, vocabulary: int, low: float = 0.15, high: float = 0.15, seed: int = 0, special: tuple[int, ...] = (CLS, SEP)) -> DataFrame:
+    """``rows`` (input_ids, is_number_mask, number_values) with masked_ids, masked_values, labels and label_values, as arrays alike in length.
+
+    Each row's rate is drawn between ``low`` and ``high``; special tokens are never chosen. Of the chosen ones 80 % are masked (a number by the
+    sentinel), 10 % replaced (a word by an id below ``vocabulary``, a number by a magnitude), 10 % kept. All draws are hashes of (seed, row, place).
+    """
+    drawn = lambda k, i: corpus.unit_hash(F.lit(seed + k), F.col(row), i)
+    rate = F.lit(low) + (high - low) * corpus.unit_hash(F.lit(seed), F.col(row))
+    action = F.transform("input_ids", lambda x, i: F.when((drawn(1, i) >= rate) | x.isin(*special), "none").when(drawn(2, i) < 0.8, "mask").when(drawn(2, i) < 0.9, "random").otherwise("keep"))
+    number = lambda i: F.get("is_number_mask", i)
+    does = lambda i: F.get("__action", i)
+    ids = F.transform("input_ids", lambda x, i: F.when(number(i) | does(i).isin("none", "keep"), x).when(does(i) == "mask", mask_id).otherwise(F.floor(drawn(4, i) * vocabulary).cast("int")))
+    values = F.transform("number_values", lambda v, i: F.when(~number(i) | does(i).isin("none", "keep"), v.cast("double")).when(does(i) == "mask", SENTINEL).otherwise(-12 + 24 * drawn(3, i)))
+    labels = F.transform("input_ids", lambda x, i: F.when((does(i) == "none") | number(i), IGNORED).otherwise(x))
+    wanted = F.transform("number_values", lambda v, i: F.when((does(i) == "none") | ~number(i), float(IGNORED)).otherwise(v.cast("double")))
+    return rows.withColumn("__action", action).withColumns({"masked_ids": ids, "masked_values": values, "labels": labels, "label_values": wanted}).drop("__action")
+
+
 def pieces(ids: Column, words: Vocabulary) -> Column:
     """Texts of an array of ids, one by one, so that leading blanks stay."""
 

@@ -188,6 +188,12 @@ def mean_pool(df: DataFrame, key: str, vec: str, dims: int) -> DataFrame:
     return df.groupBy(key).agg(F.array(*parts).alias("pooled"), F.count(F.lit(1)).alias("n"))
 
 
+def masked_mean(df: DataFrame, key: str, vec: str, valid: str, dims: int) -> DataFrame:
+    """Mean vector of each key's valid rows, with their number; a key without any has noughts."""
+    parts = [F.coalesce(F.avg(F.when(F.col(valid), F.get(F.col(vec), F.lit(k)).cast("double"))), F.lit(0.0)) for k in range(dims)]
+    return df.groupBy(key).agg(F.array(*parts).alias("pooled"), F.count_if(F.col(valid)).alias("n"))
+
+
 def off_diagonal_cosine(df: DataFrame, key: str, vec: str, dims: int) -> DataFrame:
     """Mean cosine of the different pairs of each key: (|sum of units|^2 - n) / (n (n - 1)), without forming pairs."""
     unit = F.transform(F.col(vec), lambda x: x.cast("double") / norm(F.col(vec)))

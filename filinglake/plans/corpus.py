@@ -408,6 +408,16 @@ def prediction_markup(spark, sf):
     return tokens.with_predictions(m.drop("guess"), guesses, "row", "pos")
 
 
+def mask_token_ids(spark, sf):
+    """Masked ids and labels of every turn, words by their length as ids, those of five letters numbers."""
+    w = F.split("text", " ")
+    t = table(spark, sf, "conversations").filter("text is not null").select(F.concat_ws("-", "conv_id", "turn").alias("row"), F.concat(F.array(F.lit(examples.CLS)), F.transform(w, lambda x: F.length(x)), F.array(F.lit(examples.SEP))).alias("input_ids"))
+    t = t.select("row", "input_ids", F.transform("input_ids", lambda x: x == 5).alias("is_number_mask"), F.transform("input_ids", lambda x, i: F.when(x == 5, i % 9 - 2.0).otherwise(0.0)).alias("number_values"))
+    m = tokens.mask(t, "row", 50264, 50264, 0.1, 0.4)
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 4).alias(c)
+    return m.select("row", F.array_join("masked_ids", ",").alias("ids"), F.array_join("labels", ",").alias("labels"), total("masked_values"), total("label_values"))
+
+
 def window_draws(spark, sf):
     """The first 300 windows of 40 words from at most 3000 draws."""
     d = docs_of(spark, sf).filter("text is not null").select("doc_id", F.split("text", " ").alias("w"))
@@ -474,7 +484,7 @@ def readable_numbers(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", numbers.short_number(v).alias("shown"))
 
 
-QUERIES |= {f.__name__: f for f in (text_examples, regrouped_lengths, random_token_windows, tokenised_numbers, token_chunks, table_boundaries, prediction_markup, window_draws, ocr_pages, ocr_documents, attempt_state, pending_items, blob_fill, title_slugs, readable_numbers)}
+QUERIES |= {f.__name__: f for f in (text_examples, regrouped_lengths, random_token_windows, tokenised_numbers, token_chunks, table_boundaries, prediction_markup, mask_token_ids, window_draws, ocr_pages, ocr_documents, attempt_state, pending_items, blob_fill, title_slugs, readable_numbers)}
 
 
 # ---- statistics, masks, chunks and resumption --------------------------------------------------------------------
@@ -557,6 +567,11 @@ s AS (SELECT item, CASE WHEN done THEN 'done' WHEN attempts >= 3 THEN 'given_up'
 state AS (SELECT item, status, attempts, last_try, CASE WHEN status = 'failed' THEN last_try + INTERVAL 1 HOUR * power(2, attempts - 1)::INT END AS next_try, CASE WHEN status <> 'done' THEN error END AS error FROM s)"""
 
 ORACLES |= {
+    "mask_token_ids": f"""WITH s AS (SELECT conv_id || '-' || turn AS row, list_concat([{examples.CLS}], list_transform(string_split(text, ' '), lambda x: length(x)), [{examples.SEP}]) AS w FROM conversations WHERE text IS NOT NULL), t AS (SELECT row, unnest(w) AS id, generate_subscripts(w, 1) - 1 AS pos FROM s),
+c AS (SELECT *, id = 5 AS num, CASE WHEN id = 5 THEN pos % 9 - 2.0::DOUBLE ELSE 0.0::DOUBLE END AS value, CASE WHEN {_unit(1, "row", "pos")} >= 0.1::DOUBLE + (0.4::DOUBLE - 0.1::DOUBLE) * {_unit(0, "row")} OR id IN ({examples.CLS}, {examples.SEP}) THEN 'none' WHEN {_unit(2, "row", "pos")} < 0.8 THEN 'mask' WHEN {_unit(2, "row", "pos")} < 0.9 THEN 'random' ELSE 'keep' END AS act FROM t),
+m AS (SELECT row, pos, CASE WHEN num OR act IN ('none', 'keep') THEN id WHEN act = 'mask' THEN 50264 ELSE floor({_unit(4, "row", "pos")} * 50264)::INT END AS id, CASE WHEN act = 'none' OR num THEN -100 ELSE id END AS label,
+  CASE WHEN NOT num OR act IN ('none', 'keep') THEN value WHEN act = 'mask' THEN 13.0::DOUBLE ELSE -12 + 24 * {_unit(3, "row", "pos")} END AS value, CASE WHEN act = 'none' OR NOT num THEN -100.0::DOUBLE ELSE value END AS wanted FROM c)
+SELECT row, string_agg(id::VARCHAR, ',' ORDER BY pos) AS ids, string_agg(label::VARCHAR, ',' ORDER BY pos) AS labels, round(sum(value), 4) AS masked_values, round(sum(wanted), 4) AS label_values FROM m GROUP BY row""",
     "window_draws": f"""WITH d AS (SELECT doc_id, string_split(text, ' ') AS w, row_number() OVER (ORDER BY doc_id) - 1 AS rank FROM documents WHERE text IS NOT NULL),
 t AS (SELECT i::VARCHAR AS i, i AS attempt FROM (SELECT unnest(range(0, 3000)) AS i)), a AS (SELECT attempt, floor({_unit(0, "i")} * (SELECT count(*) FROM d))::BIGINT AS rank, {_unit(1, "i")} AS u FROM t),
 m AS (SELECT attempt, doc_id, floor(u * (len(w) - 40 + 1))::INT AS start, w FROM a JOIN d USING (rank) WHERE len(w) >= 40 ORDER BY attempt LIMIT 300)

@@ -91,6 +91,12 @@ def doc_mean_pool(spark, sf):
     return p.select("label", "n", F.posexplode("pooled").alias("dim", "x")).select("label", "n", "dim", F.round("x", 6).alias("x"))
 
 
+def masked_mean_pool(spark, sf):
+    """Mean of the chunks of each label that are not padding; every fourth vector and the whole of label 3 is."""
+    e = emb(spark, sf).withColumn("valid", (F.col("vec_id") % 4 != 0) & (F.col("label") != 3))
+    return V.masked_mean(e, "label", "embedding", "valid", DIMS).select("label", "n", F.posexplode("pooled").alias("dim", "x")).select("label", "n", "dim", F.round("x", 6).alias("x"))
+
+
 def off_diagonal_cosine(spark, sf):
     return V.off_diagonal_cosine(emb(spark, sf), "label", "embedding", DIMS).select("label", "n", F.round("mean_cosine", 6).alias("mean_cosine"))
 
@@ -149,7 +155,7 @@ _EDGES = list(zip(V.COSINE_EDGES, V.COSINE_EDGES[1:]))
 
 QUERIES = {f.__name__: f for f in (
     cosine_stats, cosine_hist, cosine_random_pairs, dim_variance, norms, participation_ratio, pca_spectrum, components_needed, zca, ridge, ridge_pca_sweep, doc_mean_pool, off_diagonal_cosine, peak_decode,
-    bin_cross_entropy, contrastive_loss, anchor_choice, scatter_dense, sigreg_statistic,
+    masked_mean_pool, bin_cross_entropy, contrastive_loss, anchor_choice, scatter_dense, sigreg_statistic,
 )}
 
 ORACLES = {
@@ -159,6 +165,8 @@ ORACLES = {
     "norms": f"SELECT round(avg(n), 5) AS mean, round(stddev_samp(n), 5) AS std, round(min(n), 5) AS min, round(max(n), 5) AS max FROM (SELECT sqrt({_dot('embedding', 'embedding')}) AS n FROM embeddings)",
     "participation_ratio": f"""WITH l AS ({_LONG}), m AS (SELECT dim, avg(x) AS m FROM l GROUP BY dim), c AS (SELECT vec_id, l.dim, x - m AS x FROM l JOIN m USING (dim)), n AS (SELECT count(*) AS n FROM embeddings),
 v AS (SELECT a.dim AS i, b.dim AS j, sum(a.x * b.x) / (any_value(n) - 1) AS c FROM c a JOIN c b USING (vec_id), n GROUP BY 1, 2) SELECT round(power(sum(CASE WHEN i = j THEN c ELSE 0 END), 2) / sum(c * c), 3) AS participation_ratio FROM v""",
+    "masked_mean_pool": f"""SELECT label, count(*) FILTER (valid) AS n, dim, round(coalesce(avg(x) FILTER (valid), 0), 6) AS x
+FROM (SELECT *, vec_id % 4 <> 0 AND label <> 3 AS valid FROM ({_LONG})) GROUP BY label, dim""",
     "doc_mean_pool": f"SELECT label, count(*) AS n, dim, round(avg(x), 6) AS x FROM ({_LONG}) GROUP BY label, dim",
     "off_diagonal_cosine": f"""WITH l AS ({_LONG}), n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM l GROUP BY 1), s AS (SELECT label, dim, sum(x / n) AS s, count(*) AS c FROM l JOIN n USING (vec_id) GROUP BY 1, 2)
 SELECT label, any_value(c) AS n, round((sum(s * s) - any_value(c)) / (any_value(c) * (any_value(c) - 1)), 6) AS mean_cosine FROM s GROUP BY label""",

@@ -158,3 +158,31 @@ def test_pieces_keep_their_blanks(spark):
     got = {r.k: r.pieces for r in df.select("k", tokens.pieces(F.col("ids"), examples.Vocabulary(PATH)).alias("pieces")).collect()}
     assert got == {k: [LIBRARY.decode([i]) for i in LIBRARY.encode(t).ids] for k, t in enumerate(texts)}
     assert "".join(got[1]) == texts[1] and got[0][1:3] == [" ", " sales"]
+
+
+def test_masking_leaves_special_tokens_and_marks_the_rest(spark):
+    n = 4000
+    ids = [CLS, *[100 + k % 7 for k in range(n)], SEP]
+    number = [False, *[k % 5 == 0 for k in range(n)], False]
+    df = spark.createDataFrame([(1, ids, number, [2.5 if m else 0.0 for m in number])], "row int, input_ids array<int>, is_number_mask array<boolean>, number_values array<float>")
+    r = tokens.mask(df, "row", 9, 50, 0.5, 0.5).first()
+    chosen = {"word": 0, "number": 0, "mask": 0, "kept": 0}
+    for i, m in enumerate(number):
+        text = r.labels[i] != -100
+        value = r.label_values[i] != -100
+        assert not (text and m) and not (value and not m) and (i not in (0, n + 1) or not (text or value))
+        assert (m or not text) <= (r.masked_ids[i] == ids[i]) and (text and r.masked_ids[i] not in (9, ids[i])) <= (r.masked_ids[i] < 50)
+        assert text <= (r.labels[i] == ids[i]) and value <= (r.label_values[i] == 2.5) and (not value) <= (r.masked_values[i] == (2.5 if m else 0.0))
+        chosen["word"] += text
+        chosen["number"] += value
+        chosen["mask"] += (r.masked_ids[i] == 9) + (r.masked_values[i] == 13)
+    total = chosen["word"] + chosen["number"]
+    assert abs(total / n - 0.5) < 0.05 and abs(chosen["mask"] / total - 0.8) < 0.05
+
+
+def test_bin_of_masked_numbers(spark):
+    from filinglake.functions import numbers
+
+    rows = spark.createDataFrame([(13.0,), (12.0,), (-20.0,), (0.1,)], "x double").select("x", numbers.magnitude_bins(F.col("x")).alias("b")).collect()
+    got = {r.x: tuple(r.b) for r in rows}
+    assert got[13.0] == (128, 128, 1.0, 0.0) and got[12.0] == (127, 127, 1.0, 0.0) and got[-20.0][:2] == (0, 0) and got[0.1][:2] == (64, 65)
