@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filinglake.session import note, shared_dir
+
 HOT = 1000  # a key with more than one row in so many is hot; there are fewer than HOT such keys
 
 
@@ -19,21 +19,6 @@ def _hadoop_path(spark: SparkSession, path: str):
     return found, found.getFileSystem(sc._jsc.hadoopConfiguration())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where that is unset on one machine (tests) a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="filinglake-")
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        spark.sparkContext.setCheckpointDir(found)
-    # a path without a scheme belongs to the cluster's default file system; Python readers need it spelt out
-    path, fs = _hadoop_path(spark, found)
-    full = fs.makeQualified(path).toString().rstrip("/")
-    return "file://" + full[5:] if re.match("file:/(?!/)", full) else full
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -42,12 +27,37 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    note(spark, path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    for made in scratch.open[-1:]:
+        made.tables.append(out)
     return out
 
 
+class scratch:
+    """Tables staged inside the block are deleted at its end, but for those that are kept."""
+
+    open: list[scratch] = []
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __enter__(self) -> scratch:
+        self.open.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.tables = [t for t in self.tables if t is not df]
+        return df
+
+    def __exit__(self, *_) -> None:
+        self.open.remove(self)
+        for df in self.tables:
+            discard(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
     path, fs = _hadoop_path(df.sparkSession, df._staged_at)

@@ -165,8 +165,8 @@ def _templates_sql(depth: int = 8, max_children: int = 12, strength: float = 4.0
     for k in range(depth):
         seg = f"segs[{k + 1}]"
         grow += rf"""
-k{k} AS (SELECT host, template, count(DISTINCT {seg}) AS d FROM t{k} WHERE len(segs) > {k} GROUP BY host, template),
-t{k + 1} AS (SELECT host, path, segs, good, bad, template || CASE WHEN len(segs) <= {k} THEN '' WHEN d > {max_children} OR regexp_matches({seg}, '{url_filters.VARIABLE}') THEN '/*' || regexp_extract({seg}, '(\.[A-Za-z0-9]{{1,5}})$', 1) ELSE '/' || {seg} END AS template
+k{k} AS (SELECT host, template, count(DISTINCT {seg}) AS d, count(DISTINCT regexp_extract({seg}, '{url_filters.ENDING}', 1)) AS ea, count(DISTINCT CASE WHEN regexp_matches({seg}, '{url_filters.VARIABLE}') THEN regexp_extract({seg}, '{url_filters.ENDING}', 1) END) AS ev FROM t{k} WHERE len(segs) > {k} GROUP BY host, template),
+t{k + 1} AS (SELECT host, path, segs, good, bad, template || CASE WHEN len(segs) <= {k} THEN '' WHEN d > {max_children} OR regexp_matches({seg}, '{url_filters.VARIABLE}') THEN '/*' || CASE WHEN CASE WHEN d > {max_children} THEN ea ELSE ev END > {max_children} THEN '' ELSE regexp_extract({seg}, '{url_filters.ENDING}', 1) END ELSE '/' || {seg} END AS template
   FROM t{k} LEFT JOIN k{k} USING (host, template)),"""
         p, q = pure("o.good", "o.bad").replace("hp", "o.hp"), pure("w.g", "w.b").replace("hp", "w.hp")
         w, v = f"(o.good + o.bad + {strength})", f"(w.g + w.b + {strength})"
@@ -187,7 +187,7 @@ b{k + 1} AS (SELECT b.host, b.template, b.steps, b.good, b.bad, b.hp, b.branch |
 WITH RECURSIVE p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 g AS (SELECT doc_id, bool_and(coalesce(quality = 1 AND toxic = 0, false)) AS good FROM labels GROUP BY doc_id),
 y AS (SELECT page_id, bool_and(good) AS good FROM p JOIN g ON try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:[./]|$)', 1) AS BIGINT) = doc_id GROUP BY page_id),
-t0 AS (SELECT host, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad, '' AS template FROM p LEFT JOIN y USING (page_id) GROUP BY host, path),{grow}
+t0 AS (SELECT host, path, CASE WHEN len(list_filter(string_split(path, '/'), lambda x: x <> '')) > {depth} THEN error('a path is deeper than this SQL') ELSE list_filter(string_split(path, '/'), lambda x: x <> '') END AS segs, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad, '' AS template FROM p LEFT JOIN y USING (page_id) GROUP BY host, path),{grow}
 l AS (SELECT host, template, sum(good)::DOUBLE AS good, sum(bad)::DOUBLE AS bad FROM t{depth} GROUP BY host, template),
 prior AS (SELECT (sum(good) + 1.0::DOUBLE) / (sum(good) + sum(bad) + 2.0::DOUBLE) AS prior FROM l),
 h AS (SELECT host, (sum(good) + {strength} * any_value(prior)) / (sum(good) + sum(bad) + {strength}) AS hp FROM l, prior GROUP BY host),

@@ -1,7 +1,10 @@
 import collections
 import math
+import random
 import re
 
+import pytest
+
 from filinglake.llm import queries as Q
 from filinglake.llm import url_filters as U
 
@@ -36,9 +39,11 @@ def brute(pages, labels, max_children=12, strength=4.0, below=0.5):
             t = template[hp]
             if len(s) > level:
                 x = s[level]
-                end = re.search(r"\.[A-Za-z0-9]{1,5}$", x)
-                wild = len(kids[(hp[0], t)]) > max_children or re.match(r"(?:[0-9]+|[0-9a-fA-F-]{16,})(?:\.[A-Za-z0-9]{1,5})?$", x)
-                t += "/*" + (end[0] if end else "") if wild else "/" + x
+                end = re.search(r"\.[A-Za-z0-9]{1,5}\Z", x)
+                named = lambda y: re.fullmatch(r"(?:[0-9]+|[0-9a-fA-F-]{16,})(?:\.[A-Za-z0-9]{1,5})?", y)
+                many = len(kids[(hp[0], t)]) > max_children
+                endings = {(e := re.search(r"\.[A-Za-z0-9]{1,5}\Z", y)) and e[0] for y in kids[(hp[0], t)] if many or named(y)}
+                t += "/*" + (end[0] if end and len(endings) <= max_children else "") if many or named(x) else "/" + x
             new[hp] = t
         template = new
     good, bad = collections.Counter(), collections.Counter()
@@ -170,3 +175,46 @@ def test_branches_merge_under_their_parent_alone(spark):
     want = pure({(r[0], r[2]) for r in rows}, collections.Counter({(r[0], r[2]): r[4] for r in rows}), collections.Counter({(r[0], r[2]): r[5] for r in rows}))
     assert got == {t: round(p, 9) for (_, t), p in want.items()}
     assert got["/x/one"] == got["/z/one"] > 0.8 > 0.2 > got["/y/one"]
+
+
+def made(seed):
+    rng = random.Random(seed)
+    seg = lambda d: rng.choice(["a", "b", "good", "bad", str(rng.randrange(99)), f"{rng.randrange(9)}.html", "deadbeefdeadbeef", f"n{rng.randrange(20)}.x{rng.randrange(20)}", f"u{rng.randrange(40)}.php"])
+    pages = [(k, f"http://{rng.choice(['one.io', 'two.io', 'two.io', 'three.net'])}/" + "/".join(seg(d) for d in range(rng.choice([0, 1, 2, 3, 12])))) for k in range(500)]
+    return pages, {k: ("good" in u) or rng.random() < 0.3 for k, u in pages if rng.random() < 0.7}
+
+
+@pytest.mark.parametrize("most", [20_000, 0, 150])
+def test_small_and_large_hosts_are_judged_alike(spark, monkeypatch, most):
+    """Hosts in one task, level by level, and both; up to twelve segments deep."""
+    monkeypatch.setattr(U, "HOST_PATHS", most)
+    pages, labels = made(most)
+    rows = U.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(list(labels.items()), "page_id long, good boolean")).collect()
+    same(rows, brute(pages, labels))
+    assert len({r.purity for r in rows}) > 5
+
+
+def test_endings_without_number_are_one(spark):
+    pages = [(k, f"http://h.io/files/f{k}.e{k:x}") for k in range(300)] + [(1000 + k, f"http://h.io/few/f{k}.{'html' if k % 2 else 'pdf'}") for k in range(300)] + [(2000 + k, f"http://h.io/num/{k}.e{k:x}") for k in range(9)]
+    rows = U.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([], "page_id long, good boolean")).collect()
+    same(rows, brute(pages, {}))
+    assert {r.template for r in rows if r.page_id < 1000} == {"/files/*"} and {r.template for r in rows if 1000 <= r.page_id < 2000} == {"/few/*.html", "/few/*.pdf"}
+
+
+def test_planted_meaning_decides_the_verdict(spark):
+    rng = random.Random(4)
+    pages = [(k, f"http://shop.io/{'spam' if k % 3 == 0 else 'text'}/{k}/item{k}.html") for k in range(900)]
+    labels = [(k, (k % 3 != 0) != (rng.random() < 0.05)) for k, _ in pages if rng.random() < 0.4]
+    rows = U.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good boolean")).collect()
+    assert all(r.verdict == ("block" if r.page_id % 3 == 0 else "allow") for r in rows)
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    from pathlib import Path
+
+    from filinglake.session import shared_dir
+
+    at = Path(shared_dir(spark).removeprefix("file://"))
+    before = {p.name for p in at.glob("url-*")}
+    U.judge(spark.createDataFrame([(1, "http://h/a")], "page_id long, url string"), spark.createDataFrame([], "page_id long, good boolean")).collect()
+    assert {p.name.rsplit("-", 1)[0] for p in at.glob("url-*") if p.name not in before} == {"url-rows", "url-judged"}
