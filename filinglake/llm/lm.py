@@ -4,8 +4,8 @@ Words are counted over all training documents; a document trains unless the
 CRC-32 of its id is divisible by 10. Three layers share these counts:
 
 - the base: add-0.1 unigram probabilities of words and the end token;
-- the vocabulary of the network: the end, the ``NET_WORDS`` most frequent
-  words, and buckets for all others by their last two bytes, inside which a
+- the vocabulary of the network: the end, the most frequent words
+  (``net_words``, growing with the corpus), and buckets for all others by their last two bytes, inside which a
   word has its smoothed share of the bucket's count;
 - the network: a gated recurrent unit with a class-factored softmax
   (:mod:`filinglake.llm.gru`), whose state runs through the whole document,
@@ -13,7 +13,8 @@ CRC-32 of its id is divisible by 10. Three layers share these counts:
 
 Documents are encoded once; training and scoring read the ids. Training
 documents are dealt by a hash of id and content to groups of about
-``GROUP_TOKENS`` tokens, and the groups to rounds. In a round every group
+``GROUP_TOKENS`` tokens, and the groups in order to rounds, whose number grows with
+theirs. In a round every group
 starts from the common parameters and trains on its documents in the order of
 the hash, each whole; the groups' parameters are then averaged by token
 counts, in the order of the groups. Every token of every training document
@@ -48,10 +49,12 @@ from filinglake.llm._shared import staged
 
 HEAD = 400_000
 LONGEST = 64  # bytes of a head word; longer ones are joined like rare ones
-NET_WORDS = 1500
+NET_WORDS = 1500  # words and hidden units of a corpus of up to NET_TOKENS training tokens; beyond that they grow with it
 BUCKETS = 64
 HIDDEN = 24
-ROUNDS = 2
+NET_TOKENS = 1 << 27
+MANY_ROUNDS = 8
+MOST_WORDS, MOST_HIDDEN = 60_000, 512
 STREAMS = 256
 GROUP_TOKENS = 1 << 22
 HELD = 1 << 23  # tokens a task holds before it trains on them
@@ -61,6 +64,21 @@ LN10 = float(np.log(10))
 ALPHA = 0.1
 
 
+def net_words(total: int) -> int:
+    """Words of the network: as the square root of the training tokens."""
+    return min(MOST_WORDS, int(NET_WORDS * max(1.0, total / NET_TOKENS) ** 0.5))
+
+
+def hidden_units(total: int) -> int:
+    """Hidden units: as the fourth root of the training tokens."""
+    return min(MOST_HIDDEN, int(HIDDEN * max(1.0, total / NET_TOKENS) ** 0.25))
+
+
+def training_rounds(groups: int) -> int:
+    """Rounds of training and averaging: as the cube root of the groups, so that more data makes a model that has learnt more, and a round has the more groups to share out."""
+    return max(1, min(groups, 1 + round(groups ** (1 / 3))))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
@@ -108,7 +126,8 @@ class Words:
         self.words, self.counts, self.total, self.distinct = words, counts, total, distinct
         self.floor = total + ALPHA * (distinct + 1)
         self.bucket_den = bucket_n + ALPHA * (bucket_v + 1)
-        net = [w for w in words[: NET_WORDS + 1] if w != END][:NET_WORDS]
+        most = net_words(total)
+        net = [w for w in words[: most + 1] if w != END][:most]
         self.net_words = net
         at = {w: int(c) for w, c in zip(words, counts)}
         outputs = np.array([at.get(END, 0), *(at[w] for w in net), *bucket_n], float)
@@ -154,7 +173,8 @@ def collect_words(counts: DataFrame, head: int = HEAD) -> Words:
     table = short.filter(level >= (least if least is not None else 1 << 30)).toArrow()
     pairs = sorted(zip(table.column("n").to_pylist(), table.column("word").to_pylist()), key=lambda x: (-x[0], x[1]))
     words, sizes = [w for _, w in pairs], np.array([n for n, _ in pairs], np.int64)
-    net = {*[w for w in words[: NET_WORDS + 1] if w != END][:NET_WORDS], END}
+    most = net_words(total["n"] or 0)
+    net = {*[w for w in words[: most + 1] if w != END][:most], END}
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, v = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -235,16 +255,18 @@ def encode(docs: DataFrame, words: Words) -> DataFrame:
     return staged(rows.mapInArrow(run, fields), "encoded")
 
 
-def train(encoded: DataFrame, words: Words, rounds: int = ROUNDS, rate: float = 0.05, group_tokens: int = GROUP_TOKENS) -> dict[str, np.ndarray]:
+def train(encoded: DataFrame, words: Words, rounds: int | None = None, rate: float = 0.05, group_tokens: int = GROUP_TOKENS) -> dict[str, np.ndarray]:
     """Parameters after ``rounds`` of training in groups and averaging; ``encoded`` has doc_id and ids of the training documents."""
     spark = encoded.sparkSession
-    p = gru.init(len(words.place), HIDDEN)
+    p = gru.init(len(words.place), hidden_units(words.total))
     gru.warm(p, words.output_counts)
     groups = max(1, -(-words.total // group_tokens))
-    rounds, salts = min(rounds, groups), max(1, int(groups**0.5))
+    rounds, salts = min(rounds or training_rounds(groups), groups), max(1, int(groups**0.5))
     width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     mark = F.xxhash64("doc_id", "ids")
     dealt = encoded.select(F.pmod(mark, F.lit(groups)).alias("g"), mark.alias("mark"), "doc_id", "ids")
+    if rounds > MANY_ROUNDS:  # written once in the order of the groups, so that a round reads its own part alone
+        dealt = staged(dealt.repartitionByRange(F.col("g"), F.col("mark")).sortWithinPartitions("g", "mark"), "dealt")
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast((p, words.end))
 
@@ -282,7 +304,8 @@ def train(encoded: DataFrame, words: Words, rounds: int = ROUNDS, rate: float =
             return pd.DataFrame({"block": [pdf["block"].iloc[0]], "salt": [0], "g": [pdf["salt"].iloc[0]], "w": [pdf["w"].sum()], "v": [total.tobytes()]})
 
         schema = "block long, salt long, g long, w double, v binary"
-        mine = dealt.filter(F.col("g") % rounds == turn).repartition(width, "g").sortWithinPartitions("g", "mark", "doc_id", "ids").select("g", "ids")
+        first, behind = (-(-turn * groups // rounds), -(-(turn + 1) * groups // rounds))
+        mine = dealt.filter((F.col("g") >= first) & (F.col("g") < behind)).repartition(width, "g").sortWithinPartitions("g", "mark", "doc_id", "ids").select("g", "ids")
         parts = mine.mapInArrow(local, schema).groupBy("block", "salt").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema).collect()
         if parts:  # one model: a fixed number of bytes
             parts.sort(key=lambda r: r.block)

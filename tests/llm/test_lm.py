@@ -151,3 +151,60 @@ def test_scores_do_not_depend_on_partitions(spark):
     for other in got[1:]:
         assert other.keys() == got[0].keys()
         assert all(other[i] == pytest.approx(got[0][i], rel=2e-5) for i in other)
+
+
+def scalar_scores(ids, p, end):
+    """Natural log probability of each token by loops over numbers: gates, candidate, class, and word inside it."""
+    k, size = p["u"].shape[0], p["o"].shape[2]
+    h, out = [0.0] * k, []
+    dot = lambda a, b: sum(float(x) * float(y) for x, y in zip(a, b))
+    log_softmax = lambda z, at: z[at] - math.log(sum(math.exp(v) for v in z))
+    for y in ids:
+        m = [*h, 1.0]
+        c = y // size
+        out.append(log_softmax([dot(m, p["c"][:, j]) for j in range(p["c"].shape[1])], c) + log_softmax([dot(m, p["o"][c][:, j]) for j in range(size)], y - c * size))
+        a = [dot(h, p["u"][:, j]) for j in range(3 * k)]
+        x = p["x"][y]
+        s = lambda v: 1 / (1 + math.exp(-v))
+        r, z = [s(a[j] + x[j]) for j in range(k)], [s(a[k + j] + x[k + j]) for j in range(k)]
+        n = [math.tanh(r[j] * a[2 * k + j] + x[2 * k + j]) for j in range(k)]
+        h = [0.0] * k if y == end else [(1 - z[j]) * n[j] + z[j] * h[j] for j in range(k)]
+    return out
+
+
+def test_scores_by_loops_over_numbers(spark):
+    """Ten documents of the table under the trained network, words outside it by their share of their bucket."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    counts = lm.staged(lm.word_counts(docs.filter(~lm.held_out(docs.doc_id))), "counts")
+    words = lm.collect_words(counts)
+    encoded = lm.encode(docs, words)
+    params = lm.train(encoded.filter(~lm.held_out(encoded.doc_id)), words, group_tokens=20_000)
+    got = {r.doc_id: r.score for r in lm.score(encoded, words, params, counts).collect()}
+    c = {bytes(r.word): r.n for r in counts.collect()}
+    net, buckets = words.output_of(), words.bucket_outputs()
+    inside = {}
+    for w, n in c.items():
+        if w not in net and w != lm.END:
+            inside.setdefault(lm.bucket(w), []).append(n)
+    short = sorted((len(r.text or ""), r.doc_id, r.text or "") for r in docs.collect())[5:15]
+    for _, i, text in short:
+        ws = lm.tokens(text)
+        ids = [net.get(w, int(buckets[lm.bucket(w)])) for w in ws] + [words.end]
+        share = sum(math.log((c.get(w, 0) + 0.1) / (sum(held := inside.get(lm.bucket(w), [])) + 0.1 * (len(held) + 1))) for w in ws if w not in net)
+        assert got[i] == pytest.approx((sum(scalar_scores(ids, params, words.end)) + share) / math.log(10), rel=1e-4), i
+
+
+def test_the_network_grows_with_the_corpus():
+    assert [lm.net_words(n) for n in (0, 1 << 27, 1 << 29, 1 << 31)] == [1500, 1500, 3000, 6000] and lm.net_words(1 << 60) == lm.MOST_WORDS
+    assert [lm.hidden_units(n) for n in (0, 1 << 27, 1 << 31)] == [24, 24, 48] and lm.hidden_units(1 << 60) == lm.MOST_HIDDEN
+    assert [lm.training_rounds(n) for n in (1, 2, 8, 27, 1000, 10**6)] == [1, 2, 3, 4, 11, 101]
+
+
+def test_many_rounds_read_their_own_groups(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    words = lm.collect_words(lm.staged(lm.word_counts(docs), "counts"))
+    encoded = lm.encode(docs, words)
+    few = lm.train(encoded, words, rounds=5, group_tokens=5_000)
+    monkeypatch.setattr(lm, "MANY_ROUNDS", 1)
+    many = lm.train(encoded, words, rounds=5, group_tokens=5_000)
+    assert all(np.allclose(few[k], many[k], atol=1e-5) for k in few)
