@@ -1,5 +1,7 @@
 """Cosines of queries with all vectors, on odd inputs and over several strips."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -41,3 +43,16 @@ def test_histogram_counts_every_pair(spark, strips):
         near = [round(c, 6) for c in cos]
         want = [sum(a <= c < b for c in near) for a, b in zip(V.COSINE_EDGES, V.COSINE_EDGES[1:])]
         assert list(V.cosine_counts(spark.createDataFrame(rows, SCHEMA), "id", "v", 3, F.expr(ASKS)).first()) == [*want, pairs]
+
+
+def test_figures_of_every_pair(spark, strips):
+    for rows in (ROWS, [*ROWS, (160, [0.0, 0.0, 0.0])], ROWS[:1], []):
+        pairs, cos = brute(rows)
+        got = V.cosine_figures(spark.createDataFrame(rows, SCHEMA), "id", "v", 3, F.expr(ASKS)).first()
+        assert got.n == pairs
+        if not cos:
+            assert list(got)[1:] == [None] * 5
+            continue
+        near = sorted((round(c, 5) for c in cos), key=lambda c: (math.isnan(c), c))
+        want = [np.mean(cos), np.std(cos, ddof=1), np.nanmin(cos), np.max(cos), (near[(len(near) - 1) // 2] + near[len(near) // 2]) / 2]
+        assert np.allclose([got["mean"], got["std"], got["min"], got["max"], got["median"]], want, atol=2e-5, equal_nan=True)
