@@ -1,3 +1,5 @@
+import re
+
 from filinglake.plans import catalogue, corpus
 from filinglake.session import table
 
@@ -53,3 +55,9 @@ def test_page_concat_keeps_whole_texts(spark, monkeypatch):
         held.setdefault((r.source, r.doc_id // 50), []).append((r.doc_id, r.text))
     got = {(r.source, r.piece): (r.text, r.n_pages) for r in catalogue.QUERIES["page_concat"](spark, SF).collect()}
     assert got == {s: ("\n".join(f"########## http://d/{i}\n{t}" for i, t in sorted(x)), len(x)) for s, x in held.items()}
+
+
+def test_word_budget_keeps_every_document_of_a_thousand_tokens(spark):
+    want = {i: len(re.findall(r"\S+", t)) for i, t in texts(spark).items()}
+    got = {r.doc_id: r.n_words for r in catalogue.QUERIES["word_budget_filter"](spark, SF).collect()}
+    assert got == {i: n for i, n in want.items() if int(n * 1.35) >= 1000} and any(int(n * 1.35) < 4000 for n in got.values())
