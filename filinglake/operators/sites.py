@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filinglake.operators import dom, linediff
+from filinglake.operators.arrow import each
 
 #: Tags counted by pattern, without a parser.
 COUNTED = ("a", "p", "b", "h1", "li", "ul", "nav", "div", "script", "style", "article", "footer", "img", "table")
@@ -89,14 +90,6 @@ def merge_counts(counts: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _udf(f, kind):
-    @F.pandas_udf(kind)
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(f, na_action="ignore")
-
-    return run
-
-
 def _frame_udf(f, kind, columns):
     @F.pandas_udf(kind)
     def run(s: pd.Series) -> pd.DataFrame:
@@ -138,22 +131,22 @@ def combine_stats(stats: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def markdown():
-    return _udf(dom.markdown, T.StringType())
+    return each(dom.markdown, T.StringType())
 
 
 def sanitized():
-    return _udf(dom.sanitize, T.StringType())
+    return each(dom.sanitize, T.StringType())
 
 
 def filing_text():
     kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("tables", T.ArrayType(T.StringType()))])
-    return _frame_udf(lambda h: dict(zip(("text", "tables"), dom.filing_text(h))), kind, ["text", "tables"])
+    return each(lambda h: dict(zip(("text", "tables"), dom.filing_text(h))), kind, {"text": None, "tables": None})
 
 
 def grid():
     cell = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType()), T.StructField("content", T.StringType())])
-    return _udf(lambda h: [{"row": r, "col": c, "content": t} for r, cells in enumerate(dom.table_grid(h)) for c, t in cells], T.ArrayType(cell))
+    return each(lambda h: [{"row": r, "col": c, "content": t} for r, cells in enumerate(dom.table_grid(h)) for c, t in cells], T.ArrayType(cell))
 
 
 def repaired():
-    return _udf(dom.repair_table, T.StringType())
+    return each(dom.repair_table, T.StringType())
