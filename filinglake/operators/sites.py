@@ -70,11 +70,7 @@ def diff_added(ref: str, target: str) -> str:
 
 
 def added_lines(ref: Column, target: Column) -> Column:
-    @F.pandas_udf(T.StringType())
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([diff_added(x, y) for x, y in zip(a, b)])
-
-    return run(ref, target)
+    return each(diff_added, T.StringType())(ref, target)
 
 
 def tag_counts(pages: DataFrame, html: str = "html") -> DataFrame:
