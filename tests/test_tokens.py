@@ -186,3 +186,33 @@ def test_bin_of_masked_numbers(spark):
     rows = spark.createDataFrame([(13.0,), (12.0,), (-20.0,), (0.1,)], "x double").select("x", numbers.magnitude_bins(F.col("x")).alias("b")).collect()
     got = {r.x: tuple(r.b) for r in rows}
     assert got[13.0] == (128, 128, 1.0, 0.0) and got[12.0] == (127, 127, 1.0, 0.0) and got[-20.0][:2] == (0, 0) and got[0.1][:2] == (64, 65)
+
+
+class Dots:
+    """A vocabulary of single characters; with ``peak``, ids are the process's peak memory in MB."""
+
+    def __init__(self, peak: bool = False):
+        self.peak = peak
+
+    def mark(self, text: str) -> int:
+        return 1
+
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        import resource
+
+        i = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024 if self.peak else 2000
+        return [(i if k == 0 else 2000 + k, k, k + 1) for k in range(len(text))]
+
+
+def test_rows_leave_before_a_batch_is_done(spark):
+    from filinglake.operators import examples, tokens
+
+    words = Dots()
+    docs = spark.range(40, numPartitions=1).selectExpr("id", "repeat('.', 200000) AS text")
+    some = examples.tokenise(docs.limit(4), "id", "text", words)
+    sizes = some.selectExpr("id", "seq_length", "size(input_ids) n", "size(is_number_mask) m", "size(number_values) v").collect()
+    assert sorted(map(tuple, sizes)) == [(k, 200_002, 200_002, 200_002, 200_002) for k in range(4)]
+    rows = tokens.chunk(some, 128, 1024).groupBy("id").agg({"doc_end": "max"}).collect()
+    assert sorted(map(tuple, rows)) == [(k, 200_000) for k in range(4)]
+    peak = examples.tokenise(docs, "id", "text", Dots(peak=True)).selectExpr("max(element_at(input_ids, 2)) AS mb").first().mb
+    assert peak < 400  # MB; the lists of a batch are more
