@@ -78,3 +78,39 @@ def test_tagging_all_twice_changes_nothing():
 def test_added_lines():
     assert sites.diff_added("a\nb\nc", "a\nx\nc\ny") == "x\ny"
     assert sites.diff_added("a", "a") == "" and sites.diff_added("", "++lost\nkept") == "kept"
+
+
+def test_plain_markup_parses_like_any_other():
+    import random
+
+    def shape(root):
+        return [(n.name, n.attrs, n.text, d) for n, d in root.walk()]
+
+    def slow(html):
+        b = dom._Builder()
+        b.feed(html)
+        b.close()
+        return b.root
+
+    draw = random.Random(5)
+    bits = ["<table>", "</table>", "<tr>", "</tr>", '<td colspan="2">', "<td rowspan='3' x-y=a1>", "<th colspan=2>", "</td>", "<li>", "<p>", "</p>", "<br>", "<b>", "</b>", "<div class=''>", "$ (12)", " a\n\xa0b ", "x > y", "<a href=\"/u v\" href='w'>", "</a>"]
+    odd = ["<script>", "</script>", "<td", "&amp;", "a < b", "<TD>", "<br/>", "<!-- x -->", "<p >", "<title>", "<![CDATA[", "</td x>", "<a b>"]
+    plain = 0
+    for k in range(3000):
+        html = "".join(draw.choice(bits + odd * (k % 2)) for _ in range(draw.randrange(12)))
+        plain += dom._plain(html) is not None
+        assert shape(dom.parse(html)) == shape(slow(html)), html
+    assert 1500 <= plain < 3000
+
+
+def test_an_order_table_takes_few_calls():
+    import cProfile
+    import pstats
+
+    html = "<table><tr><th colspan=2>Total</th><th>$</th></tr><tr><td rowspan='2'>7</td><td>$ (12)</td><td>) %</td></tr><tr><td>1.5</td></tr></table>"
+    calls = []
+    for f in (dom.table_grid, dom.repair_table):
+        p = cProfile.Profile()
+        p.runcall(f, html)
+        calls.append(pstats.Stats(p).total_calls)
+    assert calls[0] < 600 and calls[1] < 1000
