@@ -94,20 +94,21 @@ def growth_of_pairs(pairs: DataFrame, weights: DataFrame | None, min_fields: int
     return g.select("company_id", "date_early", "date_late", F.round("years", 4).alias("years"), F.round("g", digits).alias("growth_score"), F.round(F.col("g") / F.col("years"), digits).alias("annual_growth"), "fields_used")
 
 
-def index_picks(df: DataFrame, column: str, picks: dict[str, Column]) -> DataFrame:
-    """Values at positions of the sorted column: picks maps a name to a 0-based index over the count ``n``; ranks come from ranges."""
+def index_picks(df: DataFrame, column: str, picks: dict[str, Column], *more: Column) -> DataFrame:
+    """Values at positions of the sorted column: picks maps a name to a 0-based index over the count ``n``; ranks come from ranges.
+
+    ``more`` are aggregates of the column, named ``v``, over the same written rows, so that ``df`` is computed once.
+    """
     rows = ranked(df.select(F.col(column).alias("v")), "v")
     total = rows.count()
-    return rows.withColumn("n", F.lit(total)).agg(*[F.max(F.when(F.col("rank") == i, F.col("v"))).alias(name) for name, i in picks.items()])
+    return rows.withColumn("n", F.lit(total)).agg(*more, *[F.max(F.when(F.col("rank") == i, F.col("v"))).alias(name) for name, i in picks.items()])
 
 
 def score_summary(df: DataFrame, column: str) -> DataFrame:
     """n, mean, min, max, share above 0, and median, P10 and P90 as index picks."""
-    n = F.col("n")
-    at = index_picks(df, column, {"median": F.floor(n / 2), "p10": F.floor(n * 0.1), "p90": F.floor(n * 0.9)})
-    c = F.col(column)
-    base = df.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max"), F.round(F.avg((c > 0).cast("double")), 6).alias("share_positive"))
-    return base.join(at)  # one row and one row
+    n, v = F.col("n"), F.col("v")
+    base = (F.count(F.lit(1)).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.avg((v > 0).cast("double")), 6).alias("share_positive"))
+    return index_picks(df, column, {"median": F.floor(n / 2), "p10": F.floor(n * 0.1), "p90": F.floor(n * 0.9)}, *base)
 
 
 def field_coverage(pairs: DataFrame, coverage: float, n_companies: int) -> DataFrame:

@@ -230,3 +230,12 @@ def test_intermediate_tables_are_forgotten(spark, tmp_path):
     at = Path(df.inputFiles()[0].removeprefix("file://")).parent
     assert session.shared_dir(spark) == session.shared_dir(spark) and df.count() == 5 and at.exists()
     assert session.forget(spark) == 1 and not at.exists() and session.forget(spark) == 0
+
+
+def test_a_summary_computes_its_input_once(spark):
+    from filinglake.operators import facts
+
+    df = spark.range(11).selectExpr("id / 10.0D - 0.2D AS marked_input")
+    got = facts.score_summary(df, "marked_input")
+    assert "marked_input" not in got._jdf.queryExecution().toString()  # all figures come from the written rows
+    assert [round(x, 6) for x in got.first()] == [11, 0.3, -0.2, 0.8, round(8 / 11, 6), 0.3, -0.1, 0.7]
