@@ -67,73 +67,79 @@ def _exp_sums(x: np.ndarray) -> np.ndarray:
     return x @ np.ones(x.shape[1], np.float32)
 
 
+def _by_id(y: np.ndarray, n_out: int) -> np.ndarray:
+    """Stable order of ids."""
+    return np.argsort(y.astype(np.uint16) if n_out <= 1 << 16 else y, kind="stable")
+
+
 class Model:
     def __init__(self, p: dict[str, np.ndarray], end: int, batch: int = 256):
         self.p, self.end, self.batch = p, end, batch
         self.hidden = p["u"].shape[0]
 
+    def _inputs(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A row for each gate and id, and the rows of ids ``y``: of their reset gates, their update gates, their candidates."""
+        return self.p["x"].reshape(-1, self.hidden), 3 * y + np.arange(3)[:, None, None]
+
     def _step(self, h: np.ndarray, g: np.ndarray, clear: np.ndarray, keep: tuple | None = None) -> np.ndarray:
-        """The next state after input projections ``g``; ``keep`` takes the gates, the candidate and its part of the state."""
+        """The next state after input projections ``g``, side by side or gate by gate; ``keep`` takes the gates with the candidate's part of the state, and the candidate."""
         k = self.hidden
-        a = h @ self.p["u"]
-        rz, q = a[:, : 2 * k], a[:, 2 * k :]
-        rz += g[:, : 2 * k]
+        if g.ndim == 2:
+            g = g.reshape(-1, 3, k).swapaxes(0, 1)
+        # each gate's numbers lie together, so that one loop runs over all streams
+        a, n = keep if keep is not None else (np.empty((3, *h.shape), np.float32), np.empty_like(h))
+        np.matmul(h, self.p["u"].reshape(k, 3, k).swapaxes(0, 1), out=a)
+        rz = a[:2]
+        rz += g[:2]
         rz *= 0.5
         np.tanh(rz, out=rz)  # the logistic function by tanh, which does not overflow
         rz *= 0.5
         rz += 0.5
-        n = rz[:, :k] * q
-        n += g[:, 2 * k :]
+        np.multiply(a[0], a[2], out=n)
+        n += g[2]
         np.tanh(n, out=n)
         new = h - n
-        new *= rz[:, k:]
+        new *= a[1]
         new += n
         if clear.any():
             new[clear] = 0
-        if keep is not None:
-            keep[0][:], keep[1][:], keep[2][:] = rz, n, q
         return new
 
     def _output(self, m: np.ndarray, y: np.ndarray, grad: dict | None = None) -> np.ndarray:
         """Natural log probabilities of ``y`` at states ``m``; with ``grad``, its gradients and that of m."""
         c, o = self.p["c"], self.p["o"]
         n_classes, wide, size = o.shape
-        order = np.argsort(y.astype(np.uint16) if n_classes * size < 1 << 16 else y, kind="stable")  # by class, and by id inside it
+        order = _by_id(y, n_classes * size)  # by class, and by id inside it
         ys = y[order]
         ms = np.empty((len(y), wide), np.float32)
-        ms[:, :-1], ms[:, -1] = m[order], 1
+        ms[:, :-1], ms[:, -1] = m.take(order, axis=0), 1
         cls, rows = ys // size, np.arange(len(y))
-        bounds = np.searchsorted(cls, np.arange(n_classes + 1)).tolist()
-        place = ys - cls * size
-        lc = ms @ c
-        out = lc[rows, cls]
-        sums = _exp_sums(lc)
-        out -= np.log(sums)
-        dm = None
+        bounds = np.searchsorted(ys, np.arange(n_classes + 1) * size).tolist()
+        own = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
+        lc, lo = ms @ c, np.empty((len(y), size), np.float32)
+        for k, at in own:
+            np.matmul(ms[at], o[k], out=lo[at])
+        of_c, of_o = rows * n_classes + cls, rows * size + (ys - cls * size)
+        out = lc.ravel().take(of_c)
+        out += lo.ravel().take(of_o)
+        sums_c, sums_o = _exp_sums(lc), _exp_sums(lo)
+        out -= np.log(sums_c)
+        out -= np.log(sums_o)
         if grad is not None:
-            lc *= (1 / sums)[:, None]
-            lc[rows, cls] -= 1
+            lc *= (1 / sums_c)[:, None]
+            lc.ravel()[of_c] -= 1
+            lo *= (1 / sums_o)[:, None]
+            lo.ravel()[of_o] -= 1
             grad["c"], grad["o"] = ms.T @ lc, np.zeros_like(o)
-            dm = lc @ c.T
-        for k in range(n_classes):
-            a, b = bounds[k], bounds[k + 1]
-            if a == b:
-                continue
-            lo = ms[a:b] @ o[k]
-            at, own = place[a:b], rows[: b - a]
-            out[a:b] += lo[own, at]
-            sums = _exp_sums(lo)
-            out[a:b] -= np.log(sums)
-            if grad is not None:
-                lo *= (1 / sums)[:, None]
-                lo[own, at] -= 1
-                np.matmul(ms[a:b].T, lo, out=grad["o"][k])
-                dm[a:b] += lo @ o[k].T
+            dm = np.empty((len(y), wide - 1), np.float32)
+            for k, at in own:
+                np.matmul(ms[at].T, lo[at], out=grad["o"][k])
+                np.matmul(lo[at], o[k, :-1].T, out=dm[at])
+            dm += lc @ c[:-1].T
+            grad["m"] = np.empty_like(dm)
+            grad["m"][order] = dm
         back = np.empty_like(out)
         back[order] = out
-        if grad is not None:
-            grad["m"] = np.empty_like(m)
-            grad["m"][order] = dm[:, :-1]
         return back
 
     def _windows(self, ids: np.ndarray, ends: np.ndarray, most: int):
@@ -157,12 +163,15 @@ class Model:
         h = np.zeros((self.batch, self.hidden), np.float32)
         for at, inside, y, clear in self._windows(ids, ends, self.batch):
             h = h[: at.shape[1]]
-            g = self.p["x"][y]
+            x, rows = self._inputs(y)
             states = np.empty((*at.shape, self.hidden), np.float32)
             for t in range(len(at)):
                 states[t] = h
-                h = self._step(h, g[t], clear[t])
-            out[at[inside]] = self._output(states[inside], y[inside])
+                h = self._step(h, x.take(rows[:, t], axis=0), clear[t])
+            if inside.all():
+                out[at] = self._output(states.reshape(-1, self.hidden), y.ravel()).reshape(at.shape)
+            else:
+                out[at[inside]] = self._output(states[inside], y[inside])
         return out
 
     def train(self, ids: np.ndarray, ends: np.ndarray, memory: dict[str, np.ndarray], rate: float = 0.05) -> int:
@@ -177,48 +186,68 @@ class Model:
         for at, inside, y, clear in self._windows(ids, ends, most):
             live = at.shape[1]
             h = h[:live]
-            # what does not depend on the step before is computed for the whole window at once
-            g = p["x"][y]
-            states, n, q = (np.empty((*at.shape, k), np.float32) for _ in range(3))
-            rz = np.empty((*at.shape, 2 * k), np.float32)
+            x, rows = self._inputs(y)
+            states, n = (np.empty((*at.shape, k), np.float32) for _ in range(2))
+            a = np.empty((3, *at.shape, k), np.float32)
             for t in range(len(at)):
                 states[t] = h
-                h = self._step(h, g[t], clear[t], (rz[t], n[t], q[t]))
+                h = self._step(h, x.take(rows[:, t], axis=0), clear[t], (a[:, t], n[t]))
             grad: dict = {}
-            self._output(states[inside], y[inside], grad)
-            dm = np.zeros_like(states)
-            dm[inside] = grad.pop("m")
-            r, z = rz[:, :, :k], rz[:, :, k:]
-            # a state that is cleared passes no gradient back
-            goes_on = (~clear[:, :, None]).astype(np.float32)
-            by_n = (1 - z) * (1 - n * n) * goes_on
-            by_z, by_r = (states - n) * z * (1 - z) * goes_on, q * r * (1 - r)
-            through = z * goes_on
-            dh = np.zeros_like(h)
-            dg, da = np.empty_like(g), np.empty_like(g)
-            back = np.ascontiguousarray(p["u"].T)
+            if inside.all():
+                self._output(states.reshape(-1, k), y.ravel(), grad)
+                dm = grad.pop("m").reshape(states.shape)
+            else:
+                self._output(states[inside], y[inside], grad)
+                dm = np.zeros_like(states)
+                dm[inside] = grad.pop("m")
+            dh, part, through, cleared = np.zeros_like(h), np.empty_like(h), np.empty((3, *h.shape), np.float32), clear.any(1).tolist()
+            back = p["u"].reshape(k, 3, k).transpose(1, 2, 0)
+            # the gradients of a step take the place of its gates, of the candidate's part of the state and of the candidate
             for t in range(len(at) - 1, -1, -1):
-                dgt, dat = dg[t], da[t]
-                np.multiply(dh, by_n[t], out=dgt[:, 2 * k :])
-                np.multiply(dh, by_z[t], out=dgt[:, k : 2 * k])
-                np.multiply(dgt[:, 2 * k :], by_r[t], out=dgt[:, :k])
-                dat[:, : 2 * k] = dgt[:, : 2 * k]
-                np.multiply(dgt[:, 2 * k :], r[t], out=dat[:, 2 * k :])
-                dh *= through[t]
-                dh += dat @ back
+                (r, z, q), nt = a[:, t], n[t]
+                if cleared[t]:
+                    dh[clear[t]] = 0  # a state that is cleared passes no gradient back
+                on = dh * z
+                dh -= on
+                np.subtract(states[t], nt, out=part)
+                part *= z
+                np.multiply(part, dh, out=z)
+                nt *= nt
+                nt *= dh
+                np.subtract(dh, nt, out=nt)
+                np.multiply(nt, q, out=part)
+                part *= r
+                np.multiply(nt, r, out=q)
+                r *= part
+                np.subtract(part, r, out=r)
+                np.matmul(a[:, t], back, out=through)
+                dh = on
+                dh += through[0]
+                dh += through[1]
+                dh += through[2]
                 dh += dm[t]
-            grad["u"] = states.reshape(-1, k).T @ da.reshape(-1, 3 * k)
-            flat, dx = y.ravel(), dg.reshape(-1, 3 * k)
-            order = np.argsort(flat.astype(np.uint16) if len(p["x"]) < 1 << 16 else flat, kind="stable")
+            grad["u"] = np.concatenate((states.swapaxes(1, 2) @ a).sum(1), axis=1)
+            flat = y.ravel()
+            order = _by_id(flat, len(p["x"]))
             ordered = flat[order]
             first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            touched, sums = ordered[first], np.add.reduceat(dx[order], first) * scale
+            touched, dx = ordered[first], np.empty((len(flat), 3 * k), np.float32)
+            for i, d in enumerate((a[0], a[1], n)):
+                dx[:, i * k : (i + 1) * k] = d.reshape(-1, k).take(order, axis=0)
+            sums = np.add.reduceat(dx.view(np.complex64), first).view(np.float32) * scale  # two numbers an addition
             memory["x"][touched] += sums * sums
             p["x"][touched] -= rate * sums / np.sqrt(memory["x"][touched] + 1e-6)
             for name in ("u", "c", "o"):
-                g = np.clip(grad[name] * scale, -5, 5)
-                memory[name] += g * g
-                p[name] -= rate * g / np.sqrt(memory[name] + 1e-6)
+                g = grad[name]
+                g *= scale
+                np.clip(g, -5, 5, out=g)
+                root = g * g
+                memory[name] += root
+                np.add(memory[name], 1e-6, out=root)
+                np.sqrt(root, out=root)
+                g *= rate
+                g /= root
+                p[name] -= g
         return len(ids)
 
 

@@ -147,16 +147,11 @@ class Words:
         """Head word to row; and by row the output id, the base's log10 and the natural log inside the output id."""
         row = _Rows(zip(self.words, range(len(self.words))))
         net, buckets = self.output_of(), self.bucket_outputs()
-        out, inside = np.empty(len(self.words), np.int32), np.zeros(len(self.words))
-        for i, w in enumerate(self.words):
-            if w == END:
-                out[i] = self.end
-            elif w in net:
-                out[i] = net[w]
-            else:
-                b = bucket(w)
-                out[i] = buckets[b]
-                inside[i] = np.log((self.counts[i] + ALPHA) / self.bucket_den[b])
+        late = np.fromiter(map(bucket, self.words), np.int64, len(self.words))
+        out, inside = buckets[late], np.log((self.counts + ALPHA) / self.bucket_den[late])
+        for w, i in [(END, self.end), *net.items()]:
+            if w in row:
+                out[row[w]], inside[row[w]] = i, 0.0
         return row, out, np.log10((self.counts + ALPHA) / self.floor), inside
 
 
@@ -195,6 +190,19 @@ def collect_words(counts: DataFrame, head: int = HEAD) -> Words:
 _LOOKUPS: dict[str, tuple] = {}  # of the worker's present words
 
 
+def lookup_of(name: str, words: Words) -> tuple:
+    """Made once a worker. A task gets a copy of what its function names, but for functions of a module, so that only these reach ``_LOOKUPS``."""
+    if name not in _LOOKUPS:
+        _LOOKUPS.clear()
+        _LOOKUPS[name] = words.lookup()
+    return _LOOKUPS[name]
+
+
+def drop_lookups() -> None:
+    """The worker encodes no more."""
+    _LOOKUPS.clear()
+
+
 def encode(docs: DataFrame, words: Words) -> DataFrame:
     """Rows of ``docs`` (doc_id, text) with ids of the network, the base's log10 of head words, the natural log inside their ids, and the rare words."""
     spark = docs.sparkSession
@@ -204,16 +212,13 @@ def encode(docs: DataFrame, words: Words) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sent.value
-        if name not in _LOOKUPS:
-            _LOOKUPS.clear()
-            _LOOKUPS[name] = held.lookup()
-        row, out, base, inside = _LOOKUPS[name]
+        row, out, base, inside = lookup_of(name, held)
         buckets, get = held.bucket_outputs(), row.__getitem__
         at_end = base[row[END]] if END in row else float(np.log10((0 + ALPHA) / held.floor))
         for b in batches:
             parts, ends, tails, late_at, late_bucket, n = [], [], [], [], [], 0
-            for t in b.column(2).to_pylist():
-                w = tokens(t)
+            for t in b.column(2):
+                w = tokens(t.as_py())
                 found = np.full(len(w) + 1, -2, np.int32)
                 found[:-1] = np.fromiter(map(get, w), np.int32, len(w))
                 rare = [w[i] for i in np.flatnonzero(found == -1)]
@@ -271,6 +276,7 @@ def train(encoded: DataFrame, words: Words, rounds: int | None = None, rate: flo
         sent = spark.sparkContext.broadcast((p, words.end))
 
         def local(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            drop_lookups()
             start, end = sent.value
             now, model, memory, seen, held, n = None, None, None, 0, [], 0
 
@@ -319,13 +325,17 @@ def score(encoded: DataFrame, words: Words, params: dict[str, np.ndarray], count
     end = words.end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_lookups()
         model = gru.Model(sent.value, end, batch=2 * STREAMS)
         for b in batches:
             if not b.num_rows:
                 continue
             docs = [np.frombuffer(x.as_py(), "<u2") for x in b.column(1)]
+            longest = np.argsort([-len(x) for x in docs], kind="stable")  # the longest first: streams are of near-equal length
+            docs = [docs[i] for i in longest]
             stops = np.cumsum([len(x) for x in docs])
-            sums = np.add.reduceat(model.score(np.concatenate(docs).astype(np.int32), stops).astype(np.float64), np.concatenate([[0], stops[:-1]]))
+            sums = np.empty(len(docs))
+            sums[longest] = np.add.reduceat(model.score(np.concatenate(docs).astype(np.int32), stops).astype(np.float64), np.concatenate([[0], stops[:-1]]))
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(sums)], ["key", "doc_id", "n_tokens", "n_tail", "base", "inside", "net"])
 
     scored = encoded.select("key", "ids", "doc_id", "n_tokens", "n_tail", "base", "inside").mapInArrow(run, "key long, doc_id long, n_tokens long, n_tail long, base double, inside double, net double")

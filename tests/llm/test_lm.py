@@ -208,3 +208,97 @@ def test_many_rounds_read_their_own_groups(spark, monkeypatch):
     monkeypatch.setattr(lm, "MANY_ROUNDS", 1)
     many = lm.train(encoded, words, rounds=5, group_tokens=5_000)
     assert all(np.allclose(few[k], many[k], atol=1e-5) for k in few)
+
+
+def test_words_are_looked_up_once_a_worker(spark):
+    """A task's own copy of the words' table would be made anew by every task."""
+    df = spark.range(1, 200, 1, 16).selectExpr("id AS doc_id", "concat('w', id, ' b c') AS text")
+    words = lm.collect_words(lm.word_counts(df))
+
+    def tables():
+        def look(batches):
+            import pyarrow as pa
+
+            from filinglake.llm import lm as here
+
+            for _ in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([len(here._LOOKUPS)])], ["n"])
+
+        return sum(r.n for r in spark.range(0, 64, 1, 64).mapInArrow(look, "n long").collect())
+
+    encoded = lm.encode(df, words)
+    assert tables() > 0
+    params = lm.train(encoded, words)
+    held = tables()
+    for _ in range(5):  # each worker comes to score
+        lm.score(encoded.repartition(64), words, params, lm.word_counts(df)).collect()
+        held = min(held, tables())
+    assert held == 0
+
+
+def test_scoring_streams_end_together(spark, monkeypatch):
+    """Long documents among short ones do not lie behind one another in one stream."""
+    sizes = [2000 if i % 100 in (98, 99) else 20 for i in range(2000)]
+    df = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(sizes)], "doc_id long, text string").coalesce(1)
+    words = lm.collect_words(counts := lm.word_counts(df))
+    encoded = lm.encode(df, words).orderBy("doc_id").coalesce(1)
+    p = gru.init(len(words.place), 4)
+    steps, found = [], []
+    step = gru.Model._step
+    monkeypatch.setattr(gru.Model, "_step", lambda self, h, *a: steps.append(len(h)) or step(self, h, *a))
+    monkeypatch.setattr(type(encoded), "mapInArrow", lambda self, f, schema: spark.createDataFrame([found.append(row) or row for b in f(iter(self.toArrow().combine_chunks().to_batches())) for row in zip(*(c.to_pylist() for c in b.columns))], schema), raising=False)
+    lm.score(encoded, words, p, counts)
+    assert len(steps) <= 2001 + gru.WINDOW  # the longest document
+    by_id = {row[1]: row[-1] for row in found}
+    model = gru.Model(p, words.end)
+    for i in (0, 1, 98, 1999):
+        ids = np.array([words.output_of()[b"w"]] * sizes[i] + [words.end], np.int32)
+        assert by_id[i] == pytest.approx(float(model.score(ids, np.array([len(ids)])).astype(float).sum()), rel=1e-4)
+
+
+def plain_window(ids, p, end):
+    """Loss gradients of one document by loops over steps, in double precision."""
+    q = {k: v.astype(float) for k, v in p.items()}
+    k, size = q["u"].shape[0], q["o"].shape[2]
+    grad = {n: np.zeros_like(v) for n, v in q.items()}
+    soft = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    h, kept = np.zeros(k), []
+    for y in ids:
+        a, x = h @ q["u"], q["x"][y]
+        r, z = 1 / (1 + np.exp(-a[:k] - x[:k])), 1 / (1 + np.exp(-a[k : 2 * k] - x[k : 2 * k]))
+        n = np.tanh(r * a[2 * k :] + x[2 * k :])
+        kept.append((y, h, r, z, a[2 * k :], n))
+        h = (1 - z) * n + z * h if y != end else np.zeros(k)
+    dh = np.zeros(k)
+    for y, h, r, z, b, n in reversed(kept):
+        if y == end:
+            dh = np.zeros(k)
+        dn = dh * (1 - z) * (1 - n * n)
+        dz, dr = dh * (h - n) * z * (1 - z), dn * b * r * (1 - r)
+        da = np.concatenate([dr, dz, dn * r])
+        grad["x"][y] += np.concatenate([dr, dz, dn])
+        grad["u"] += np.outer(h, da)
+        m, c = np.append(h, 1), y // size
+        e, f = soft(m @ q["c"]), soft(m @ q["o"][c])
+        e[c] -= 1
+        f[y - c * size] -= 1
+        grad["c"] += np.outer(m, e)
+        grad["o"][c] += np.outer(m, f)
+        dh = dh * z + q["u"] @ da + (q["c"] @ e + q["o"][c] @ f)[:-1]
+    return grad
+
+
+def test_gradients_of_several_streams_are_those_of_plain_loops(monkeypatch):
+    """One window of three streams of documents; a stream that has ended adds nothing."""
+    p = gru.init(30, 6, 5)
+    r = np.random.default_rng(4)
+    docs = [np.append(r.integers(1, 30, n), 0).astype(np.int32) for n in (31, 0, 4, 20, 12, 2, 17)]
+    ends = np.cumsum([len(d) for d in docs])
+    runs = np.array([0, *ends[[1, 4, 6]]])
+    monkeypatch.setattr(gru, "WINDOW", 64)
+    monkeypatch.setattr(gru, "streams", lambda ends, most: (runs[[1, 0, 2]], runs[[2, 1, 3]]))
+    memory = {k: np.zeros_like(v) for k, v in p.items()}
+    gru.Model({k: v.copy() for k, v in p.items()}, 0, 3).train(np.concatenate(docs), ends, memory, rate=0.0)
+    want = [plain_window(d, p, 0) for d in docs]
+    for name in p:
+        assert np.allclose(np.sqrt(memory[name]), np.abs(sum(g[name] for g in want)) / 3, atol=2e-5, rtol=2e-4), name
