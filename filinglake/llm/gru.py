@@ -231,10 +231,10 @@ class Model:
             order = _by_id(flat, len(p["x"]))
             ordered = flat[order]
             first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            touched, dx = ordered[first], np.empty((len(flat), 3 * k), np.float32)
+            touched, dx = ordered[first], np.zeros((len(flat), 3 * k + k % 2), np.float32)
             for i, d in enumerate((a[0], a[1], n)):
                 dx[:, i * k : (i + 1) * k] = d.reshape(-1, k).take(order, axis=0)
-            sums = np.add.reduceat(dx.view(np.complex64), first).view(np.float32) * scale  # two numbers an addition
+            sums = np.add.reduceat(dx.view(np.complex64), first).view(np.float32)[:, : 3 * k] * scale  # two numbers an addition
             memory["x"][touched] += sums * sums
             p["x"][touched] -= rate * sums / np.sqrt(memory["x"][touched] + 1e-6)
             for name in ("u", "c", "o"):

@@ -288,9 +288,10 @@ def plain_window(ids, p, end):
     return grad
 
 
-def test_gradients_of_several_streams_are_those_of_plain_loops(monkeypatch):
+@pytest.mark.parametrize("hidden", [5, 6])
+def test_gradients_of_several_streams_are_those_of_plain_loops(monkeypatch, hidden):
     """One window of three streams of documents; a stream that has ended adds nothing."""
-    p = gru.init(30, 6, 5)
+    p = gru.init(30, hidden, 5)
     r = np.random.default_rng(4)
     docs = [np.append(r.integers(1, 30, n), 0).astype(np.int32) for n in (31, 0, 4, 20, 12, 2, 17)]
     ends = np.cumsum([len(d) for d in docs])
