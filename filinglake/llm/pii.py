@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from filinglake.llm._shared import by_name, by_position
+from filinglake.operators.arrow import ROWS
 
 ROUNDS = 10
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
@@ -381,8 +382,8 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", undo: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work: Callable = Pseudonymiser(key, undo).replace
-        for b in batches:
-            done = [work(t.as_py()) for t in b.column(at)]
+        for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+            done = [work(t) for t in b.column(at).to_pylist()]
             columns = [b.column(i) if i != at else pa.array([t for t, _ in done], pa.string()) for i in range(b.num_columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in done], pa.int64())], [f.name for f in schema.fields])
 

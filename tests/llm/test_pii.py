@@ -213,3 +213,28 @@ def test_one_value_is_one_pseudonym_in_every_layout():
 def test_what_is_no_value_stays():
     for text in ("Feb 30, 2020", "12:30:45 std::string a::b", "15551234567 20200115", "100 200 3000", "1 234 567 890", "31/2/2020", "Janus 5, 2020", "@ 5", "5 May", "1.2.3"):
         assert P.replace(text) == (text, 0)
+
+
+def test_a_cluster_without_a_key_gets_a_secret_one_for_the_session(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.warns(UserWarning, match="pii.key"):
+        out = Q.op2_feistel_pii(spark, sf)
+    key = Q.pii_key(spark)
+    assert key not in (Q.PII_KEY, b"") and Q.pii_key(spark) == key
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got.keys() == docs.keys() and got == {r.doc_id: r.text for r in Q.op2_feistel_pii(spark, sf).collect()}
+    undone = lambda k: {r.doc_id: r.text for r in pii.pseudonymise(out, k, undo=True).collect()}
+    assert undone(key) == docs and undone(Q.PII_KEY) != docs
+    monkeypatch.setattr(spark.sparkContext, "master", "local[8]")
+    assert Q.pii_key(spark) == Q.PII_KEY
+    del spark.sparkContext._filinglake_pii_key
+
+
+def test_rows_leave_in_pieces_and_in_order(spark):
+    rows = [(k, None if k % 7 == 0 else f"no {k} of 10.0.{k % 256}.1") for k in range(1000)]
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), b"k").collect()
+    assert [(r.doc_id, r.n_replaced) for r in got] == [(k, int(t is not None)) for k, t in rows]
+    back = pii.Pseudonymiser(b"k", undo=True)
+    assert [r.text and back.replace(r.text)[0] for r in got] == [t for _, t in rows]
