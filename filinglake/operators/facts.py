@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filinglake.functions.numbers import rounded
 from filinglake.operators.corpus import ranked
 
 CLIP = 3.0
@@ -91,7 +92,7 @@ def growth_of_pairs(pairs: DataFrame, weights: DataFrame | None, min_fields: int
         score = F.sum(F.col("weight") * ratio) / F.sum(F.abs("weight"))
     g = pairs.groupBy("company_id").agg(F.min("date_early").alias("date_early"), F.min("date_late").alias("date_late"), score.alias("g"), F.count(F.lit(1)).alias("fields_used"))
     g = g.withColumn("years", years_between(F.col("date_early"), F.col("date_late"))).filter((F.col("fields_used") >= min_fields) & (F.col("years") >= min_years) & (F.col("years") > 0))
-    return g.select("company_id", "date_early", "date_late", F.round("years", 4).alias("years"), F.round("g", digits).alias("growth_score"), F.round(F.col("g") / F.col("years"), digits).alias("annual_growth"), "fields_used")
+    return g.select("company_id", "date_early", "date_late", rounded(F.col("years"), 4).alias("years"), rounded(F.col("g"), digits).alias("growth_score"), rounded(F.col("g") / F.col("years"), digits).alias("annual_growth"), "fields_used")
 
 
 def index_picks(df: DataFrame, column: str, picks: dict[str, Column], *more: Column) -> DataFrame:
